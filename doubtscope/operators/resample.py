@@ -1,8 +1,8 @@
 """Bootstrap of the detection metrics.
 
-Every resample is a group of weighted cells: draws are counted per (resample, row) before they
-meet the scores, and equal scores are merged before they are ranked, so what is ranked is never
-larger than distinct scores x resamples. The ranking itself is ``running_totals``, which cuts all
+Every resample is a group of cells: each draw picks up its row's score, equal scores are merged on
+the map side before the one shuffle, and what is ranked is never larger than distinct scores x
+resamples. The ranking itself is ``running_totals``, which cuts all
 resamples into score ranges, so no resample sits in one task.
 """
 
@@ -21,15 +21,15 @@ RESAMPLES_DEFAULT = 1000
 METRICS = ["auroc", "aurac", "balanced_acc"]
 
 
-def resample_weights(spark, n: Column, n_resamples: int, seed: int, n_rows: int) -> DataFrame:
-    """(resample, row_index, weight): n draws with replacement per resample, counted."""
+def resample_draws(spark, n_rows: int, n_resamples: int, seed: int) -> DataFrame:
+    """(resample, row_index): n draws with replacement per resample, the same on every run."""
+    n = F.lit(n_rows).cast("bigint")
     draws = spark.range(0, n_resamples * n_rows).select(
-        F.expr(f"id div {n_rows}L").alias("resample"), (F.col("id") % n_rows).alias("at")
+        F.expr(f"id div {n_rows}L").alias("resample"), (F.col("id") % n).alias("at")
     )
-    picked = draws.select(
+    return draws.select(
         "resample", draw_below(n, F.lit(seed), F.col("resample"), F.col("at")).alias("row_index")
     )
-    return picked.groupBy("resample", "row_index").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def resample_metrics(
@@ -53,16 +53,16 @@ def resample_metrics(
     n_rows = rows.count()
     if n_rows < 2:
         n_resamples = 0
-    weights = resample_weights(df.sparkSession, F.lit(n_rows).cast("bigint"), n_resamples, seed, max(n_rows, 1))
-    drawn = weights.join(indexed, "row_index").select("resample", "unc", "ok", "weight")
+    draws = resample_draws(df.sparkSession, max(n_rows, 1), n_resamples, seed)
+    drawn = draws.join(indexed, "row_index").select("resample", "unc", "ok")
     table = detection_table(
-        drawn, ["resample"], metrics=[*METRICS, "n_ranked", "n_wrong"], weight=F.col("weight")
+        drawn, ["resample"], metrics=[*METRICS, "n_ranked", "n_wrong"]
     ).filter((F.col("n_wrong") > 0) & (F.col("n_wrong") < F.col("n_ranked")))
     if threshold is None:
         return table.select("resample", *METRICS)
     at = drawn.groupBy("resample").agg(
         *[
-            F.sum(F.when(cond, F.col("weight")).otherwise(0)).alias(name)
+            F.count_if(cond).alias(name)
             for name, cond in {
                 "p": ~F.col("ok"),
                 "n": F.col("ok"),

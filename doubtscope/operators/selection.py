@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,8 +31,6 @@ def early_stop(points: DataFrame, total_steps: int, val_steps: int, keys: list[s
     A run stops at its first point that has gone 10 % of all steps without a strictly better AUROC
     and is past the warm-up. The number of points per run is total_steps / val_steps.
     """
-    from pyspark.sql import Window
-
     warmup, patience = max(1, int(0.05 * total_steps)), int(0.1 * total_steps)
     w = Window.partitionBy(*keys).orderBy("step")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -49,7 +47,7 @@ def early_stop(points: DataFrame, total_steps: int, val_steps: int, keys: list[s
     idle = ((F.col("__at") - F.col("__last")) * val_steps).cast("bigint")
     marked = marked.withColumn("idle_steps", idle)
     marked = marked.withColumn(
-        "__hit", (F.col("idle_steps") >= patience) & (F.col("step") > warmup) & ~F.col("better")
+        "__hit", (F.col("idle_steps") >= patience) & (F.col("step") > warmup)
     )
     first = F.min(F.when(F.col("__hit"), F.col("step"))).over(Window.partitionBy(*keys))
     return marked.select(
