@@ -21,6 +21,35 @@ INF = float("inf")
 COVERAGE_STEPS = 20
 
 
+# SQL text of the pieces the metrics are made of, over the columns of ``ranked_cells``
+_SEEN = "n_wrong + n_right > 0"
+_CAUGHT = "all_wrong - cum_wrong + n_wrong"  # wrong answers at or above the cell's score
+_ALARMS = "all_right - cum_right + n_right"  # right answers at or above it
+_N = "all_wrong + all_right"
+_UPTO = "cum_wrong + cum_right"
+
+
+def _exact(count: str) -> str:
+    """Counts as decimals: products of two counts stay exact beyond 2**63."""
+    return f"cast({count} as decimal(19,0))"
+
+
+# Youden's J times P*N, an exact integer: no float ties
+_YOUDEN = f"{_exact(_CAUGHT)} * {_exact('all_right')} - {_exact(_ALARMS)} * {_exact('all_wrong')}"
+
+
+def _ranks_below(x: str) -> str:
+    """How many of the 20 cut ranks floor((n-1)(19+9i)/190), i = 0…19, are below x.
+
+    Rank i is below x iff 9i(n-1) < 190x - 19(n-1), so the count is one integer division.
+    """
+    gap = f"({_N} - 1)"
+    room = f"(({x}) * 190 - {gap} * 19)"
+    some = f"least((({room} - 1) div greatest({gap} * 9, 1)) + 1, {COVERAGE_STEPS})"
+    single = f"if({x} > 0, {COVERAGE_STEPS}, 0)"
+    return f"(case when {gap} <= 0 then {single} when {room} <= 0 then 0 else {some} end)"
+
+
 def is_finite(c: Column) -> Column:
     """Neither null, NaN nor infinite."""
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(INF))
@@ -30,118 +59,68 @@ def finite_only(df: DataFrame, unc: str = "unc") -> DataFrame:
     return df.filter(is_finite(F.col(unc)))
 
 
-def score_cells(
-    df: DataFrame, keys: list[str], unc: str = "unc", ok: str = "ok", weight: Column | None = None
-) -> DataFrame:
+def score_cells(df: DataFrame, keys: list[str], unc: str = "unc", ok: str = "ok") -> DataFrame:
     """One row per (keys, score): ``n_wrong``, ``n_right`` (finite scores) and ``n_any`` (non-null)."""
-    w = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
-    zero = F.lit(0).cast("bigint")
-    x = F.col(unc).cast("double")
-    finite = is_finite(x)
-    return df.groupBy(*keys, x.alias("score")).agg(
-        F.sum(F.when(finite & ~F.col(ok), w).otherwise(zero)).alias("n_wrong"),
-        F.sum(F.when(finite & F.col(ok), w).otherwise(zero)).alias("n_right"),
-        F.sum(F.when(x.isNotNull(), w).otherwise(zero)).alias("n_any"),
+    x = f"cast(`{unc}` as double)"
+    finite = f"{x} is not null and not isnan({x}) and abs({x}) <> double('infinity')"
+    return df.groupBy(*keys, F.expr(f"{x} as score")).agg(
+        F.expr(f"count_if({finite} and not `{ok}`) as n_wrong"),
+        F.expr(f"count_if({finite} and `{ok}`) as n_right"),
+        F.expr(f"count({x}) as n_any"),
     )
 
 
-def ranked_cells(
-    df: DataFrame, keys: list[str], unc: str = "unc", ok: str = "ok", weight: Column | None = None
-) -> DataFrame:
+def ranked_cells(df: DataFrame, keys: list[str], unc: str = "unc", ok: str = "ok") -> DataFrame:
     """Cells with ascending running counts (``cum_*``) and group totals (``all_*``)."""
-    cells = score_cells(df, keys, unc, ok, weight)
     return running_totals(
-        cells,
+        score_cells(df, keys, unc, ok),
         keys,
         "score",
-        {"wrong": F.col("n_wrong"), "right": F.col("n_right")},
-        # no otherwise(0): a group with no non-null score has a null sum
-        {"any": F.col("n_any"), "sum": F.when(F.col("n_any") > 0, F.col("score") * F.col("n_any"))},
-        keep=(F.col("n_wrong") + F.col("n_right") > 0) & (F.col("n_any") > 0),
+        {"wrong": "n_wrong", "right": "n_right"},
+        {"any": "n_any", "sum": "if(n_any > 0, score * n_any, null)"},
+        keep=f"{_SEEN} and n_any > 0",
     )
 
 
-def _exact(c: Column) -> Column:
-    """Counts as decimals: products of two counts stay exact beyond 2**63."""
-    return c.cast("decimal(19,0)")
-
-
-def _caught() -> Column:
-    """Wrong answers at or above the cell's score."""
-    return F.col("all_wrong") - F.col("cum_wrong") + F.col("n_wrong")
-
-
-def _false_alarms() -> Column:
-    return F.col("all_right") - F.col("cum_right") + F.col("n_right")
-
-
-def _youden() -> Column:
-    """Youden's J times P*N, as an exact integer: no float ties."""
-    return _exact(_caught()) * _exact(F.col("all_right")) - _exact(_false_alarms()) * _exact(
-        F.col("all_wrong")
-    )
-
+def _metric_columns(with_threshold: bool) -> list[Column]:
+    """The aggregates over ranked cells from which every metric is finished.
 
-def _ranks_below(x: Column, n: Column) -> Column:
-    """How many of the 20 cut ranks floor((n-1)(19+9i)/190), i = 0…19, are below x."""
-    gap = (n - 1).cast("bigint")
-    room = x * 190 - gap * 19
-    step = F.greatest(gap * 9, F.lit(1))
-    # room - 1 over step, rounded down, plus one: the number of i >= 0 with step * i < room
-    some = F.floor((room - 1) / step) + 1
-    by_rank = F.when(room <= 0, 0).otherwise(F.least(some, F.lit(COVERAGE_STEPS)))
-    return F.when(gap <= 0, F.when(x > 0, COVERAGE_STEPS).otherwise(0)).otherwise(by_rank)
-
-
-def _metric_columns() -> list[Column]:
-    """The aggregates over ranked cells from which every metric is finished."""
-    seen = (F.col("n_wrong") + F.col("n_right")) > 0
-    n = F.col("all_wrong") + F.col("all_right")
-    upto = F.col("cum_wrong") + F.col("cum_right")
-    share = F.when(upto > 0, F.col("cum_right") / upto)
-    cuts = _ranks_below(upto, n) - _ranks_below(upto - F.col("n_wrong") - F.col("n_right"), n)
+    Finding where J is highest needs a struct buffer and so a sorted aggregate; J alone does not.
+    """
     # mean over all non-null scores; NaN and infinities take part
-    mean = F.when(F.col("all_any") > 0, F.col("all_sum") / F.col("all_any"))
-    off = F.col("score") - mean
-    wins = _exact(F.col("n_right")) * (
-        _exact(F.col("all_wrong") - F.col("cum_wrong")) * 2 + _exact(F.col("n_wrong"))
-    )
-    return [
-        F.max("all_any").alias("n_any"),
-        F.max("all_wrong").alias("p"),
-        F.max("all_right").alias("n"),
-        F.max(mean).alias("mean"),
-        F.sum(F.when(F.col("n_any") > 0, off * off * F.col("n_any"))).alias("spread"),
-        F.sum(wins).alias("wins"),
-        F.max(F.when(seen, F.struct(_youden().alias("j"), F.col("score").alias("at")))).alias("best"),
-        F.sum(F.when(seen, share * cuts)).alias("covered"),
+    mean = "if(all_any > 0, all_sum / all_any, null)"
+    wins = f"{_exact('n_right')} * (2 * {_exact('all_wrong - cum_wrong')} + {_exact('n_wrong')})"
+    cuts = f"({_ranks_below(_UPTO)} - {_ranks_below(f'{_UPTO} - n_wrong - n_right')})"
+    columns = [
+        f"max(if({_SEEN}, {_YOUDEN}, null)) as j",
+        "max(all_any) as n_any",
+        "max(all_wrong) as p",
+        "max(all_right) as n",
+        f"max({mean}) as mean",
+        f"sum(if(n_any > 0, power(score - {mean}, 2) * n_any, null)) as spread",
+        f"sum({wins}) as wins",
+        f"sum(if({_SEEN}, cum_right / ({_UPTO}) * {cuts}, null)) as covered",
     ]
+    if with_threshold:
+        columns.append(f"max(if({_SEEN}, struct({_YOUDEN} as j, score as at), null)) as best")
+    return [F.expr(c) for c in columns]
 
 
-def _finished() -> dict[str, Column]:
-    """Final expressions over the aggregates of ``_metric_columns``."""
-    p, n = F.coalesce("p", F.lit(0)), F.coalesce("n", F.lit(0))
-    two = (p > 0) & (n > 0)
-    pairs = _exact(F.col("p")) * _exact(F.col("n"))
-    best = F.greatest(F.col("best.j"), F.lit(0).cast("decimal(38,0)"))
-    n_any = F.coalesce("n_any", F.lit(0))
-    return {
-        "mean": F.when(n_any > 0, F.col("mean")).otherwise(NAN),
-        "std": F.when(n_any > 1, F.sqrt(F.col("spread") / (n_any - 1))).otherwise(NAN),
-        "auroc": F.when(
-            two, F.col("wins").cast("double") / (pairs.cast("double") * 2)
-        ).otherwise(0.5),
-        "aurac": F.when(p + n > 0, F.col("covered") * (0.9 / 19)).otherwise(NAN),
-        "balanced_acc": F.when(
-            two, (F.lit(1.0) + best.cast("double") / pairs.cast("double")) / 2
-        ).otherwise(NAN),
-        "threshold": F.when(~two, 0.5)
-        .when(F.col("best.j") > 0, F.col("best.at"))
-        .otherwise(INF),
-        "n_samples": n_any.cast("bigint"),
-        "n_ranked": (p + n).cast("bigint"),
-        "n_wrong": p.cast("bigint"),
-    }
+_TWO = "coalesce(p, 0) > 0 and coalesce(n, 0) > 0"
+_PAIRS = f"cast({_exact('p')} * {_exact('n')} as double)"
+
+# Final expressions over the aggregates of ``_metric_columns``
+_FINISHED = {
+    "mean": "if(n_any > 0, mean, double('NaN'))",
+    "std": "if(n_any > 1, sqrt(spread / (n_any - 1)), double('NaN'))",
+    "auroc": f"case when {_TWO} then cast(wins as double) / (2 * {_PAIRS}) else 0.5D end",
+    "aurac": "if(coalesce(p + n, 0) > 0, covered * (0.9D / 19), double('NaN'))",
+    "balanced_acc": f"case when {_TWO} then (1D + cast(greatest(j, 0) as double) / {_PAIRS}) / 2 else double('NaN') end",
+    "threshold": f"case when not ({_TWO}) then 0.5D when j > 0 then best.at else double('infinity') end",
+    "n_samples": "coalesce(n_any, 0L)",
+    "n_ranked": "coalesce(p + n, 0L)",
+    "n_wrong": "coalesce(p, 0L)",
+}
 
 
 def detection_table(
@@ -150,17 +129,15 @@ def detection_table(
     unc: str = "unc",
     ok: str = "ok",
     metrics: list[str] | None = None,
-    weight: Column | None = None,
 ) -> DataFrame:
     """One row per group with the named metrics; the source is read once for all of them."""
     keys = keys or []
-    done = _finished()
-    names = metrics or list(done)
+    names = metrics or list(_FINISHED)
     return (
-        ranked_cells(df, keys, unc, ok, weight)
+        ranked_cells(df, keys, unc, ok)
         .groupBy(*keys)
-        .agg(*_metric_columns())
-        .select(*keys, *[done[m].alias(m) for m in names])
+        .agg(*_metric_columns("threshold" in names))
+        .selectExpr(*keys, *[f"{_FINISHED[m]} as {m}" for m in names])
     )
 
 
@@ -198,31 +175,22 @@ def roc_curve(df: DataFrame, keys: list[str] | None = None, unc="unc", ok="ok")
     """One point per distinct finite score, plus the origin at +inf, per group."""
     keys = keys or []
     cells = ranked_cells(df, keys, unc, ok)
-    point = F.struct(
-        F.col("score").alias("threshold"), _caught().alias("tp"), _false_alarms().alias("fp")
-    )
-    # the highest cell of each group also opens its curve
-    origin = F.struct(
-        F.lit(INF).alias("threshold"),
-        F.lit(0).cast("bigint").alias("tp"),
-        F.lit(0).cast("bigint").alias("fp"),
+    # the highest cell of each group also opens its curve at the origin
+    points = (
+        f"explode(if({_CAUGHT} = n_wrong and {_ALARMS} = n_right,"
+        f" array(struct(score as threshold, {_CAUGHT} as tp, {_ALARMS} as fp), struct(double('infinity') as threshold, 0L as tp, 0L as fp)),"
+        f" array(struct(score as threshold, {_CAUGHT} as tp, {_ALARMS} as fp)))) as pt"
     )
-    top = (_caught() == F.col("n_wrong")) & (_false_alarms() == F.col("n_right"))
-    points = F.when(top, F.array(point, origin)).otherwise(F.array(point))
     return (
-        cells.filter(F.col("n_wrong") + F.col("n_right") > 0)
-        .select(*keys, F.explode(points).alias("pt"), "all_wrong", "all_right")
-        .select(
+        cells.filter(_SEEN)
+        .selectExpr(*keys, points, "all_wrong", "all_right")
+        .selectExpr(
             *keys,
             "pt.threshold",
             "pt.tp",
             "pt.fp",
-            F.when(F.col("all_wrong") > 0, F.col("pt.tp") / F.col("all_wrong"))
-            .otherwise(NAN)
-            .alias("tpr"),
-            F.when(F.col("all_right") > 0, F.col("pt.fp") / F.col("all_right"))
-            .otherwise(NAN)
-            .alias("fpr"),
+            "if(all_wrong > 0, pt.tp / all_wrong, double('NaN')) as tpr",
+            "if(all_right > 0, pt.fp / all_right, double('NaN')) as fpr",
         )
     )
 
@@ -235,16 +203,13 @@ def accuracy_at_quantile(
     The cut keeps exactly the ties of rank floor(q(n-1)), so ranks replace the interpolation.
     """
     keys = keys or []
-    q = F.lit(Decimal(str(quantile)))
-    upto = F.col("cum_wrong") + F.col("cum_right")
-    n = F.col("all_wrong") + F.col("all_right")
-    rank = F.floor(q * (n - 1).cast("decimal(19,0)"))
-    holds = (upto > rank) & (upto - F.col("n_wrong") - F.col("n_right") <= rank)
+    q = Decimal(str(quantile))
+    rank = f"floor({q}BD * ({_exact(f'{_N} - 1')}))"
+    holds = f"{_SEEN} and {_UPTO} > {rank} and {_UPTO} - n_wrong - n_right <= {rank}"
     return (
         ranked_cells(df, keys, unc, ok)
         .groupBy(*keys)
-        .agg(F.max(F.when(holds & (upto > 0), F.col("cum_right") / upto)).alias("accuracy"))
-        .select(*keys, F.coalesce("accuracy", F.lit(NAN)).alias("accuracy"))
+        .agg(F.expr(f"coalesce(max(if({holds}, cum_right / ({_UPTO}), null)), double('NaN')) as accuracy"))
     )
 
 

@@ -4,18 +4,15 @@ A plain ``Window.partitionBy(key).orderBy(x)`` puts all rows of a key in one tas
 key the whole table. Here the ordered column is cut into ranges first (approximate quantiles, one
 mergeable sketch), each (key, range) is summed on its own, and the per-range totals, at most
 ``ranges`` rows per key, carry the sums across ranges.
+
+Expressions are SQL text: one call to the JVM each, where composed columns take one per operator.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_RANGE = "__range"
-_EDGES = "__edges"
-
 
 def _edge_bits(df: DataFrame) -> int:
     """Number of range edges is 2**bits - 1: at least one range per shuffle partition, at most 1024."""
@@ -23,78 +20,55 @@ def _edge_bits(df: DataFrame) -> int:
     return max(3, min(10, (partitions - 1).bit_length()))
 
 
-def _range_of(x: Column, edges: Column, bits: int) -> Column:
-    """How many of the 2**bits - 1 sorted edges are below x, by binary search."""
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.get(edges, at + step - 1) < x, at + step).otherwise(at),
-    )
-
-
-def with_ranges(df: DataFrame, order: str, keep: Column | None = None) -> DataFrame:
-    """Add the range number of ``order``. Ranges hold about equally many rows whatever their spread."""
+def with_ranges(df: DataFrame, order: str, keep: str | None = None) -> DataFrame:
+    """Add ``__range``, the range number of ``order`` (the number of range edges below it, found by
+    binary search). Ranges hold about equally many rows whatever the spread of the values."""
     bits = _edge_bits(df)
-    n_edges = (1 << bits) - 1
-    shares = [i / (n_edges + 1) for i in range(1, n_edges + 1)]
-    sample = df.filter(keep) if keep is not None else df
-    edges = sample.agg(F.percentile_approx(order, shares, F.lit(10000)).alias("edges"))
-    return (
-        df.withColumn(_EDGES, edges.scalar())
-        .withColumn(_RANGE, _range_of(F.col(order), F.col(_EDGES), bits))
-        .drop(_EDGES)
-    )
+    shares = ", ".join(str(i / (1 << bits)) for i in range(1, 1 << bits))
+    sample = df.filter(keep) if keep else df
+    edges = sample.select(F.expr(f"percentile_approx({order}, array({shares}), 10000) as edges"))
+    steps = ", ".join(str(1 << b) for b in reversed(range(bits)))
+    search = f"aggregate(array({steps}), 0, (a, s) -> if(get(__edges, a + s - 1) < {order}, a + s, a))"
+    return df.withColumn("__edges", edges.scalar()).withColumn("__range", F.expr(search)).drop("__edges")
 
 
 def running_totals(
     df: DataFrame,
     keys: list[str],
     order: str,
-    sums: dict[str, Column],
-    totals: dict[str, Column] | None = None,
-    keep: Column | None = None,
+    sums: dict[str, str],
+    totals: dict[str, str] | None = None,
+    keep: str | None = None,
 ) -> DataFrame:
     """For each row add ``cum_<name>`` (inclusive, ascending in ``order``) and ``all_<name>`` per key.
 
     ``order`` must be distinct within ``keys``. ``sums`` are summed both ways; ``totals`` only per
     key. ``keep`` says which rows shape the ranges (leave out NaN and infinities).
     """
-    totals = totals or {}
-    ranged = with_ranges(df, order, keep)
-    per_range = ranged.groupBy(*keys, _RANGE).agg(
-        *[F.sum(c).alias(f"r_{n}") for n, c in {**sums, **totals}.items()]
-    )
-    one = F.lit(0).alias("__one")
-    by_key = Window.partitionBy(*(keys or ["__one"]))
-    before = by_key.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select("*", one).select(
-        *[F.col(k).alias(f"o_{k}") for k in keys],
-        F.col(_RANGE).alias(f"o_{_RANGE}"),
-        *[F.coalesce(F.sum(f"r_{n}").over(before), F.lit(0)).alias(f"before_{n}") for n in sums],
-        *[F.sum(f"r_{n}").over(by_key).alias(f"all_{n}") for n in {**sums, **totals}],
-    )
-    inside = (
-        Window.partitionBy(*keys, _RANGE)
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = ranged.select("*", *[F.sum(c).over(inside).alias(f"in_{n}") for n, c in sums.items()])
-    # null-safe: a null key is a group like any other, and no filter is inferred that would
-    # make the branches differ and keep Spark from reusing the shuffle below them
-    same = reduce(
-        lambda a, b: a & b,
-        [local[c].eqNullSafe(offsets[f"o_{c}"]) for c in [*keys, _RANGE]],
+    every = {**sums, **(totals or {})}
+    # a struct is never null, though its fields may be: groups with null keys need no special join,
+    # and aggregate, window and join all agree on one hash partitioning
+    group = F.expr(f"struct({', '.join([*keys, '__range'])}) as __group")
+    ranged = with_ranges(df, order, keep).select("*", group)
+    per_range = ranged.groupBy("__group").agg(*[F.expr(f"sum({c}) as r_{n}") for n, c in every.items()])
+    key = f"struct({', '.join(f'__group.{k}' for k in keys)})" if keys else "0"
+    over_key = f"over (partition by {key})"
+    before = f"over (partition by {key} order by __group.__range rows between unbounded preceding and 1 preceding)"
+    offsets = per_range.selectExpr(
+        "__group",
+        *[f"coalesce(sum(r_{n}) {before}, 0) as before_{n}" for n in sums],
+        *[f"sum(r_{n}) {over_key} as all_{n}" for n in every],
     )
-    joined = local.join(offsets, same, "left")
-    return joined.select(
-        *[local[c] for c in df.columns],
-        *[(F.col(f"in_{n}") + F.col(f"before_{n}")).alias(f"cum_{n}") for n in sums],
-        *[F.col(f"all_{n}") for n in {**sums, **totals}],
+    inside = f"over (partition by __group order by {order} rows between unbounded preceding and current row)"
+    local = ranged.selectExpr("*", *[f"sum({c}) {inside} as in_{n}" for n, c in sums.items()])
+    return local.join(offsets, "__group").selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[f"in_{n} + before_{n} as cum_{n}" for n in sums],
+        *[f"all_{n}" for n in every],
     )
 
 
 def dense_index(df: DataFrame, order: str, name: str = "row_id") -> DataFrame:
     """Number the rows 0, 1, 2 … in the order of a unique numeric column."""
-    keyed = running_totals(df, [], order, {"row": F.lit(1).cast("bigint")})
-    return keyed.withColumn(name, F.col("cum_row") - 1).drop("cum_row", "all_row")
+    keyed = running_totals(df, [], order, {"row": "1L"})
+    return keyed.withColumn(name, F.expr("cum_row - 1")).drop("cum_row", "all_row")

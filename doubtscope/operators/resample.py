@@ -8,14 +8,13 @@ resamples into score ranges, so no resample sits in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doubtscope.functions.mixing import draw_below
-from doubtscope.operators.metrics import detection_table, finite_only
+from doubtscope.operators.metrics import NAN, detection_table, finite_only
 from doubtscope.operators.prefix import dense_index
+from doubtscope.session import stored
 
 RESAMPLES_DEFAULT = 1000
 METRICS = ["auroc", "aurac", "balanced_acc"]
@@ -49,8 +48,9 @@ def resample_metrics(
     """
     rows = finite_only(df, unc) if finite else df
     rows = rows.select(F.col(order).alias("__order"), F.col(unc).cast("double").alias("unc"), F.col(ok).alias("ok"))
-    indexed = dense_index(rows, "__order", "row_index").drop("__order")
-    n_rows = rows.count()
+    # two numbers and a flag per row, stored once: what made the scores is not run per resample
+    indexed = stored(dense_index(rows, "__order", "row_index").drop("__order"), "resample-rows")
+    n_rows = indexed.count()
     if n_rows < 2:
         n_resamples = 0
     draws = resample_draws(df.sparkSession, max(n_rows, 1), n_resamples, seed)
@@ -77,53 +77,38 @@ def resample_metrics(
     return table.drop("balanced_acc").join(fixed, "resample").select("resample", *METRICS)
 
 
-def _unpivot(values: DataFrame) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])
-    return values.select(F.explode(pairs).alias("m")).select("m.metric", "m.value")
+def _rounded(c: Column) -> Column:
+    return F.coalesce(F.round(c, 3), F.lit(NAN))
 
 
-def _rounded(c: Column) -> Column:
-    return F.coalesce(F.round(c, 3), F.lit(float("nan")))
+def _per_metric(values: DataFrame, shape) -> DataFrame:
+    """One row per metric. The aggregate has no key, so there is a row even without resamples."""
+    one = values.agg(*[shape(F.col(m)).alias(m) for m in METRICS])
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("r")) for m in METRICS])
+    return one.select(F.explode(rows).alias("m")).select("m.metric", "m.r.*")
 
 
 def bootstrap_metrics(df: DataFrame, order: str, **how) -> DataFrame:
     """(metric, mean, std): mean and population deviation over resamples, rounded to 3 digits."""
-    values = _unpivot(resample_metrics(df, order, **how))
-    return _every_metric(
-        values.groupBy("metric").agg(
-            _rounded(F.avg("value")).alias("mean"), _rounded(F.stddev_pop("value")).alias("std")
-        ),
-        ["mean", "std"],
+    return _per_metric(
+        resample_metrics(df, order, **how),
+        lambda v: F.struct(_rounded(F.avg(v)).alias("mean"), _rounded(F.stddev_pop(v)).alias("std")),
     )
 
 
 def bootstrap_ci(df: DataFrame, order: str, finite: bool = False, **how) -> DataFrame:
     """As ``bootstrap_metrics`` with the 2.5 and 97.5 percentiles; NaN results are left out."""
-    values = _unpivot(resample_metrics(df, order, finite=finite, **how)).filter(~F.isnan("value"))
-    q = values.groupBy("metric").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-        F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q"),
-    )
-    out = q.select(
-        "metric",
-        _rounded(F.col("mean")).alias("mean"),
-        _rounded(F.col("std")).alias("std"),
-        _rounded(F.get("q", F.lit(0))).alias("ci_low"),
-        _rounded(F.get("q", F.lit(1))).alias("ci_high"),
-    )
-    return _every_metric(out, ["mean", "std", "ci_low", "ci_high"])
 
+    def shape(v: Column) -> Column:
+        v = F.when(~F.isnan(v), v)
+        return F.struct(
+            _rounded(F.avg(v)).alias("mean"),
+            _rounded(F.stddev_pop(v)).alias("std"),
+            _rounded(F.percentile(v, F.lit(0.025))).alias("ci_low"),
+            _rounded(F.percentile(v, F.lit(0.975))).alias("ci_high"),
+        )
 
-def _every_metric(found: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per metric even when no resample had two classes (all NaN then)."""
-    spark = found.sparkSession
-    names = reduce(
-        DataFrame.unionAll, [spark.range(1).select(F.lit(m).alias("metric")) for m in METRICS]
-    )
-    return names.join(found, "metric", "left").select(
-        "metric", *[F.coalesce(c, F.lit(float("nan"))).alias(c) for c in columns]
-    )
+    return _per_metric(resample_metrics(df, order, finite=finite, **how), shape)
 
 
 def seed_report(df: DataFrame, keys: list[str], value: str = "mean") -> DataFrame:
@@ -131,6 +116,6 @@ def seed_report(df: DataFrame, keys: list[str], value: str = "mean") -> DataFram
     x = F.col(value)
     kept = F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
     return df.groupBy(*keys).agg(
-        F.coalesce(F.avg(kept), F.lit(float("nan"))).alias("mean_of_bootstrapped_means"),
-        F.coalesce(F.stddev_pop(kept), F.lit(float("nan"))).alias("std_across_seeds"),
+        F.coalesce(F.avg(kept), F.lit(NAN)).alias("mean_of_bootstrapped_means"),
+        F.coalesce(F.stddev_pop(kept), F.lit(NAN)).alias("std_across_seeds"),
     )

@@ -24,7 +24,7 @@ from doubtscope.operators.pairing import attach_correct_flags, zip_result_logits
 from doubtscope.operators.resample import bootstrap_ci, seed_report
 from doubtscope.operators.scoring import embed_prompts, infer_wide, wide_label
 from doubtscope.operators.selection import best_run
-from doubtscope.session import fresh_path
+from doubtscope.session import stored
 from doubtscope.sources.artifacts import write_embeddings
 from doubtscope.sources.corpus import corpus_split, number_samples
 from doubtscope.sources.sharded import first_readable, read_sharded, scan_topk_column
@@ -33,13 +33,6 @@ from doubtscope.sources.shards import resumable_sharded_write
 RESULT_COLUMNS = ["prompt", "label"]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def sequence_scores(results: DataFrame, logits: DataFrame, dataset: Column, m: int = HEAP_DEFAULT,
                     w: int = PATIENCE_DEFAULT, pred: str = "answer_0") -> DataFrame:
     """(row_id, unc, ok): the early-halting score and the correctness of every result row."""
