@@ -17,7 +17,7 @@ def result_name(task, length, model, method, n_responses, split, logits: bool =
 
 def model_tag(path: Column) -> Column:
     """Last path part, then what follows its last ``--``."""
-    return F.substring_index(F.element_at(F.split(F.rtrim(F.lit("/"), path), "/"), -1), "--", -1)
+    return F.substring_index(F.element_at(F.split(F.rtrim(path, F.lit("/")), "/"), -1), "--", -1)
 
 
 def embedding_tag(model: Column) -> Column:

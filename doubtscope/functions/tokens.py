@@ -33,7 +33,8 @@ def token_l2(entries: Column) -> Column:
 def seq_token_scores(seq: Column) -> Column:
     """Scores of the scorable tokens in order; null when there is none."""
     scores = F.filter(F.transform(seq, token_l2), lambda x: x.isNotNull())
-    return F.when(F.size(scores) > 0, scores)
+    # by way of a one-element array the scores are named, and computed, once
+    return F.get(F.filter(F.array(scores), lambda s: F.size(s) > 0), F.lit(0))
 
 
 def _mean(values: Column) -> Column:

@@ -1,0 +1,382 @@
+"""Registered queries: model runs, embeddings, training, scoring, end-to-end jobs."""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import functions as F
+
+from doubtscope.operators import labels as lab
+from doubtscope.operators import network as net
+from doubtscope.operators import training as tr
+from doubtscope.operators.metrics import detection_summary
+from doubtscope.operators.pooling import pool_tokens
+from doubtscope.operators.scoring import answer_fields, batch_score, embed_prompts, hash_embed, score_prompts
+from doubtscope.plans import evaluate as ev
+from doubtscope.plans import fixtures as fx
+from doubtscope.plans.catalog_text import _MIXED_SQL, mixed_pairs
+from doubtscope.plans.registry import query, shown, table
+from doubtscope.session import fresh_path, stored
+
+_NET = f"WITH {fx.VECTORS_SQL}, {fx.FORWARD_SQL}"
+FIVE = ["mean", "std", "auroc", "aurac", "balanced_acc"]
+
+
+@query(
+    "minmax_normalise",
+    f"""WITH {fx.VECTORS_SQL}, raw AS (SELECT row_id, split, CAST(row_id % 37 AS FLOAT) + y AS label FROM vectors),
+        s AS (SELECT CAST(min(label) AS DOUBLE) AS lo, CAST(max(label) AS DOUBLE) AS hi FROM raw WHERE split = 'train')
+        SELECT row_id, round(CAST(greatest(least((CAST(label AS DOUBLE) - lo) / greatest(hi - lo, 1e-8), 1), 0) AS DOUBLE), 5) AS y FROM raw, s""",
+)
+def minmax_normalise(spark, sf):
+    raw = fx.vectors(spark, sf).select(
+        "row_id", "split", ((F.col("row_id") % 37).cast("float") + F.col("y")).cast("float").alias("label")
+    )
+    span = lab.label_range(raw.filter("split = 'train'"))
+    out = lab.minmax_normalise(raw, span)
+    return out.select("row_id", F.round(F.col("y").cast("double"), 5).alias("y"))
+
+
+@query(
+    "label_range",
+    f"""WITH {fx.VECTORS_SQL} SELECT round(CAST(min(y) AS DOUBLE), 6) AS lo, round(CAST(max(y) AS DOUBLE), 6) AS hi FROM vectors WHERE split = 'train'""",
+)
+def label_range(spark, sf):
+    r = lab.label_range(fx.vectors(spark, sf).filter("split = 'train'"), "y")
+    return r.select(*[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("lo", "hi")])
+
+
+@query("drop_unlabelled", "SELECT d.doc_id AS row_id, l.quality AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
+def drop_unlabelled(spark, sf):
+    d, q = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels")
+    joined = d.join(q, "doc_id", "left").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label"))
+    return lab.drop_unlabelled(joined)
+
+
+@query(
+    "label_functions",
+    f"""WITH {fx.DOC_NORMS_SQL}, r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) AS r FROM norms)
+        SELECT doc_id AS row_id, round(CAST(CAST(avg(s) AS FLOAT) AS DOUBLE), 4) AS label FROM r WHERE r <= 3 GROUP BY doc_id""",
+)
+def label_functions(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"))
+    out = lab.compute_labels(d, fx.doc_logits(spark, sf), "topm_norm", topk_worst=3)
+    return out.select("row_id", F.round(F.col("label").cast("double"), 4).alias("label"))
+
+
+@query(
+    "build_train_set",
+    f"""WITH {fx.VECTORS_SQL}, {fx.DOC_NORMS_SQL},
+        r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) AS r FROM norms),
+        raw AS (SELECT v.row_id, v.split, v.embedding, CAST(avg(r.s) AS FLOAT) AS label FROM vectors v JOIN r ON r.doc_id = v.row_id WHERE r.r <= 5 GROUP BY ALL),
+        s AS (SELECT CAST(min(label) AS DOUBLE) AS lo, CAST(max(label) AS DOUBLE) AS hi FROM raw WHERE split = 'train')
+        SELECT row_id, split, round(greatest(least((CAST(label AS DOUBLE) - lo) / greatest(hi - lo, 1e-8), 1), 0), 4) AS y,
+               round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM raw, s""",
+)
+def build_train_set(spark, sf):
+    v = fx.vectors(spark, sf)
+    labels = lab.compute_labels(v, fx.doc_logits(spark, sf), "topm_norm").join(v.select("row_id", "split"), "row_id")
+    out = lab.build_train_set(stored(labels, "labels"), v)
+    return out.select(
+        "row_id", "split", F.round(F.col("y").cast("double"), 4).alias("y"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first")
+    )
+
+
+_POOL_SQL = """v AS (SELECT doc_id % 40 AS seq, doc_id AS pos, n_chars, doc_id % 7 <> 0 AS valid FROM documents)"""
+
+
+def _token_vectors(spark, sf):
+    """Documents as the tokens of 40 sequences, one hot: a third of all rows has the same key."""
+    d = table(spark, sf, "documents")
+    vec = F.array((F.col("n_chars") % 1000).cast("float"), (F.col("doc_id") % 11).cast("float"), F.lit(1.0).cast("float"))
+    key = F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("doc_id") % 40)
+    return d.select(key.alias("seq"), F.col("doc_id").alias("pos"), vec.alias("vec"), (F.col("doc_id") % 7 != 0).alias("valid"))
+
+
+_TOKENS_SQL = """v AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 40 END AS seq, doc_id AS pos, doc_id % 7 <> 0 AS valid,
+    CAST(n_chars % 1000 AS DOUBLE) AS a, CAST(doc_id % 11 AS DOUBLE) AS b FROM documents)"""
+
+
+@query(
+    "mean_pool",
+    f"WITH {_TOKENS_SQL} SELECT seq, round(avg(a) FILTER (valid), 6) AS a, round(avg(b) FILTER (valid), 6) AS b, CAST(1 AS DOUBLE) AS c FROM v GROUP BY seq",
+)
+def mean_pool(spark, sf):
+    p = pool_tokens(_token_vectors(spark, sf), "mean")
+    return p.select("seq", *[F.round(F.col("embedding")[i], 6).alias(n) for i, n in enumerate("abc")])
+
+
+@query(
+    "last_pool",
+    f"WITH {_TOKENS_SQL} SELECT seq, max_by(a, pos) FILTER (valid) AS a, max_by(b, pos) FILTER (valid) AS b FROM v GROUP BY seq",
+)
+def last_pool(spark, sf):
+    p = pool_tokens(_token_vectors(spark, sf), "last")
+    return p.select("seq", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("ab")])
+
+
+def _fixed(spark, sf):
+    v = fx.vectors(spark, sf)
+    return v, fx.fixed_weights(fx.vector_width(v))
+
+
+@query("mlp_score", f"{_NET} SELECT row_id, round(unc, 6) AS unc FROM net")
+def mlp_score(spark, sf):
+    v, w = _fixed(spark, sf)
+    return net.mlp_score(v, {0: w}).select("row_id", F.round("unc", 6).alias("unc"))
+
+
+@query(
+    "grad_partial",
+    f"""{_NET}, o AS (SELECT n.row_id, 2 * (n.unc - CAST(v.y AS DOUBLE)) AS g FROM net n JOIN vectors v ON v.row_id = n.row_id),
+        act AS (SELECT h.row_id, h, z, o.g, 1 / (1 + exp(-z)) AS s, CAST((h * 7) % 11 - 5 AS DOUBLE) / 8 AS w2 FROM hid h JOIN o ON o.row_id = h.row_id),
+        back AS (SELECT *, g * w2 * (s * (1 + z * (1 - s))) AS b FROM act), hh AS (SELECT max(len(embedding)) AS dd, max(len(embedding)) // 4 AS nh FROM embeddings),
+        out AS (SELECT h * dd + d AS i, sum(b * v) AS value FROM back JOIN xs ON xs.row_id = back.row_id, hh GROUP BY h, d, dd
+          UNION ALL SELECT dd * nh + h, sum(b) FROM back, hh GROUP BY h, dd, nh
+          UNION ALL SELECT dd * nh + nh + h, sum(g * z * s) FROM back, hh GROUP BY h, dd, nh
+          UNION ALL SELECT dd * nh + 2 * nh, sum(g) FROM o, hh GROUP BY dd, nh)
+        SELECT CAST(i AS BIGINT) AS i, round(value, 5) AS value FROM out""",
+)
+def grad_partial(spark, sf):
+    v, w = _fixed(spark, sf)
+    g = net.grad_partial(v, w).select(F.posexplode("grad").alias("i", "value"))
+    return g.select(F.col("i").cast("bigint").alias("i"), F.round("value", 5).alias("value"))
+
+
+@query(
+    "ranknet_pairs",
+    f"""{_NET}, b AS (SELECT n.row_id // 64 AS batch_id, n.unc AS p, CAST(v.y AS DOUBLE) AS t FROM net n JOIN vectors v ON v.row_id = n.row_id),
+        pairs AS (SELECT x.batch_id, -sign(x.t - y.t) * (x.p - y.p) AS m FROM b x JOIN b y ON y.batch_id = x.batch_id AND abs(x.t - y.t) > 1e-6)
+        SELECT batch_id, round(avg(greatest(m, 0) + ln(1 + exp(-abs(m)))), 6) AS loss, count(*) AS n_pairs FROM pairs GROUP BY batch_id""",
+)
+def ranknet_pairs(spark, sf):
+    v, w = _fixed(spark, sf)
+    scored = net.mlp_score(v.withColumn("t", F.col("y").cast("double")), {0: w}, keep=["row_id", "t"], out="pred")
+    loss = net.ranknet_loss(scored, 64, target="t")
+    return loss.select("batch_id", F.round("loss", 6).alias("loss"), "n_pairs")
+
+
+# --- stub model: answers and logits read off the MD5 of the prompt ------------------------------
+
+
+def stub_model(texts: list[str]) -> list[list[tuple]]:
+    """Two answers per prompt; tokens, candidates and logits follow from the digest's hex digits."""
+    out = []
+    for text in texts:
+        digest = hashlib.md5(text.encode()).hexdigest()
+        answers = []
+        for r in range(2):
+            digits = [int(c, 16) for c in digest[8 * r : 8 * r + 8]]
+            tokens = [
+                [(t * 10 + j, {"logprob": (digits[(t + j) % 8] - 6) / 2.0, "decoded_token": f"t{t}c{j}", "rank": None if r else j})
+                 for j in range(3)]
+                for t in range(1 + digits[0] % 4)
+            ]
+            answers.append((f"  {digest[8 * r : 8 * r + 8]} \n", [dict(c) for c in tokens]))
+        out.append(answers)
+    return out
+
+
+_STUB_SQL = """
+dig AS (SELECT row_id, md5(text) AS h FROM src),
+resp AS (SELECT row_id, r, substr(h, 8 * r + 1, 8) AS d FROM dig, range(2) q(r)),
+toks AS (SELECT row_id, r, d, unnest(range(0, 1 + CAST('0x' || substr(d, 1, 1) AS INTEGER) % 4)) AS t FROM resp),
+cand AS (SELECT row_id, r, t, j, CAST(CAST('0x' || substr(d, CAST((t + j) % 8 + 1 AS INTEGER), 1) AS INTEGER) - 6 AS DOUBLE) / 2 AS logit FROM toks, range(3) q(j)),
+ord AS (SELECT *, row_number() OVER (PARTITION BY row_id, r, t ORDER BY CASE WHEN r = 0 THEN CAST(j AS DOUBLE) ELSE -logit END, j) AS place FROM cand)"""
+_TURN_SRC = f"{fx.TURNS_SQL}, src AS (SELECT tid AS row_id, text FROM turns)"
+
+
+def _turn_prompts(spark, sf):
+    t = fx.turns(spark, sf)
+    message = F.struct(F.col("role").alias("role"), F.col("text").alias("content"))
+    return t.select(F.col("tid").alias("row_id"), F.array(message).alias("prompt"), F.col("role").alias("label"))
+
+
+@query(
+    "batch_score",
+    f"""WITH {_TURN_SRC}, {_STUB_SQL}, n AS (SELECT row_id, r, max(t) AS last FROM toks GROUP BY ALL)
+        SELECT o.row_id, CAST(o.r AS INTEGER) AS response_idx, substr(d.h, CAST(8 * o.r + 1 AS INTEGER), 8) AS answer, CAST(n.last AS INTEGER) AS answer_token_index,
+               CAST(o.t AS BIGINT) AS pos, o.place, o.t * 10 + o.j AS token_id, o.logit
+        FROM ord o JOIN dig d ON d.row_id = o.row_id JOIN n ON n.row_id = o.row_id AND n.r = o.r WHERE o.place <= 2 OR (o.r = 0 AND o.j = 0)""",
+)
+def model_answers(spark, sf):
+    f = answer_fields(batch_score(_turn_prompts(spark, sf), stub_model), 2)
+    tokens = f.select("row_id", "response_idx", "answer", "answer_token_index", F.posexplode("gen_topk_logits").alias("pos", "t"))
+    e = tokens.select("row_id", "response_idx", "answer", "answer_token_index", "pos", F.posexplode("t").alias("i", "e"))
+    return e.select(
+        "row_id", "response_idx", "answer", "answer_token_index", F.col("pos").cast("bigint").alias("pos"),
+        (F.col("i") + 1).cast("bigint").alias("place"), "e.token_id", "e.logit",
+    )
+
+
+@query(
+    "infer_dataset",
+    f"""WITH {fx.CORPUS_SQL}, d AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS n FROM corpus),
+        q AS (SELECT count(*) AS n FROM qa JOIN d ON d.row_id = qa.row_id WHERE i < n - 2 * (n // 10)),
+        p AS (SELECT n, n // 5 + 1 AS per FROM q)
+        SELECT CAST(s AS INTEGER) AS shard_idx, least((s + 1) * per, n) - s * per AS expected_rows, least((s + 1) * per, n) - s * per AS written_rows_results,
+               least((s + 1) * per, n) - s * per AS written_rows_logits, true AS completed FROM p, range(5) r(s) WHERE s * per < n""",
+)
+def infer_dataset(spark, sf):
+    from doubtscope.operators.prefix import dense_index
+    from doubtscope.sources.corpus import corpus_split
+
+    c = fx.corpus(spark, sf).withColumnRenamed("row_id", "key")
+    rows = stored(dense_index(c, "key", "row_id").drop("key"), "corpus")
+    n = corpus_split(rows, "train").count()
+    m = ev.infer_corpus(rows, fresh_path(spark, "infer"), stub_model, "train", "raw", 2, n // 5 + 1)
+    return m.select("shard_idx", "expected_rows", "written_rows_results", "written_rows_logits", "completed")
+
+
+# --- embeddings ---------------------------------------------------------------------------------
+
+
+def digest_vectors(df, text):
+    """Embedder that SQL can repeat: eight numbers from the MD5 of the text. Stays in the JVM."""
+    nibble = F.transform(
+        F.sequence(F.lit(1), F.lit(8)), lambda i: (F.conv(F.substring(F.md5(F.col(text)), i, F.lit(1)), 16, 10).cast("double") / 16.0)
+    )
+    return df.withColumn("embedding", nibble.cast("array<float>"))
+
+
+@query(
+    "embed_prompts",
+    f"""WITH {_TURN_SRC} SELECT row_id, CAST(i AS INTEGER) AS i, CAST(CAST('0x' || substr(md5(text), CAST(i + 1 AS INTEGER), 1) AS INTEGER) AS DOUBLE) / 16 AS v FROM src, range(8) r(i)""",
+)
+def embed(spark, sf):
+    e = embed_prompts(_turn_prompts(spark, sf), digest_vectors)
+    return e.select("row_id", F.posexplode("embedding").alias("i", "v")).select("row_id", "i", F.col("v").cast("double").alias("v"))
+
+
+@query("hash_embed")
+def hashed(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    e = hash_embed(d, "text", 64)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return e.select("row_id", F.size("embedding").alias("width"), F.round(norm, 4).alias("norm"))
+
+
+_SCORED_SQL = f"""{_TURN_SRC},
+x AS (SELECT row_id, i, CAST(CAST('0x' || substr(md5(text), CAST(i + 1 AS INTEGER), 1) AS INTEGER) AS DOUBLE) / 16 AS v FROM src, range(8) r(i)),
+hid AS (SELECT row_id, h, sum(v * (CAST((h * 31 + i * 17) % 23 - 11 AS DOUBLE) / 64)) + CAST(h % 5 - 2 AS DOUBLE) / 8 AS z FROM x, range(2) r(h) GROUP BY row_id, h),
+net AS (SELECT row_id, sum(z / (1 + exp(-z)) * (CAST((h * 7) % 11 - 5 AS DOUBLE) / 8)) + CAST(0.125 AS DOUBLE) AS unc FROM hid GROUP BY row_id)"""
+
+
+@query("score_prompts", f"WITH {_SCORED_SQL} SELECT row_id, round(unc, 6) AS unc FROM net")
+def prompt_scores(spark, sf):
+    s = score_prompts(_turn_prompts(spark, sf), fx.fixed_weights(8), digest_vectors)
+    return s.select("row_id", F.round("unc", 6).alias("unc"))
+
+
+@query(
+    "encode_dataset",
+    f"""WITH {_TURN_SRC} SELECT row_id, role AS label, text AS prompt, CAST(CAST('0x' || substr(md5(text), 1, 1) AS INTEGER) AS DOUBLE) / 16 AS first
+        FROM (SELECT row_number() OVER (ORDER BY tid) - 1 AS row_id, role, text FROM turns)""",
+)
+def encode_dataset(spark, sf):
+    from doubtscope.operators.prefix import dense_index
+    from doubtscope.sources.artifacts import read_embeddings
+
+    p = dense_index(_turn_prompts(spark, sf).withColumnRenamed("row_id", "tid"), "tid", "row_id")
+    root = fresh_path(spark, "encode")
+    p.repartitionByRange(4, "row_id").sortWithinPartitions("row_id").drop("row_id").write.parquet(f"{root}/res-0000-of-0001.parquet")
+    done = ev.encode_dataset(spark, {"train": [f"{root}/missing", f"{root}/res"], "val": [f"{root}/none"]}, f"{root}/emb", digest_vectors)
+    e = read_embeddings(spark, f"{root}/emb/{done[0]}")
+    return e.select("row_id", "label", "prompt", F.col("embedding")[0].cast("double").alias("first"))
+
+
+# --- evaluation ---------------------------------------------------------------------------------
+
+_E1_SQL = f"""{_MIXED_SQL},
+flag AS (SELECT tid, CASE WHEN lower(dataset) IN ('coqa', 'newsqa', 'emrqa', 'nq', 'triviaqa') THEN rouge_l >= 0.3 ELSE label = pred END AS ok FROM rouge),
+{fx._words_sql('turns', 'tid')}, {fx.PATIENCE_SQL},
+scored AS (SELECT f.tid, f.ok, round(h.mean, 9) AS unc FROM flag f LEFT JOIN heap h ON h.tid = f.tid)"""
+
+
+def _results(spark, sf):
+    return mixed_pairs(spark, sf).withColumnRenamed("tid", "row_id").withColumnRenamed("pred", "answer_0")
+
+
+def _result_logits(spark, sf):
+    return fx.turn_logits(spark, sf).withColumnRenamed("tid", "row_id")
+
+
+@query("evaluate_sequence_score", f"{_E1_SQL}, {fx.metrics_sql('scored', [])} SELECT {', '.join(FIVE)} FROM metrics")
+def evaluate_sequence_score(spark, sf):
+    s = ev.sequence_scores(_results(spark, sf), _result_logits(spark, sf), F.col("dataset"))
+    m = detection_summary(s.withColumn("unc", F.round("unc", 9)))
+    return m.select(*[shown(c).alias(c) for c in FIVE])
+
+
+@query("sequence_scores", f"{_E1_SQL} SELECT tid AS row_id, ok, unc FROM scored")
+def sequence_scores(spark, sf):
+    s = ev.sequence_scores(_results(spark, sf), _result_logits(spark, sf), F.col("dataset"))
+    return s.select("row_id", "ok", shown("unc").alias("unc"))
+
+
+@query(
+    "evaluate_scorer",
+    f"""{_NET}, sc AS (SELECT v.split, v.ok, round(n.unc, 6) AS unc FROM net n JOIN vectors v ON v.row_id = n.row_id),
+        {fx.metrics_sql('sc', ['split'])} SELECT m.split, auroc, aurac, balanced_acc, c.n_samples, c.n_correct, c.n_incorrect FROM metrics m
+        JOIN (SELECT split, count(*) AS n_samples, count(*) FILTER (ok) AS n_correct, count(*) FILTER (NOT ok) AS n_incorrect FROM sc GROUP BY split) c ON c.split = m.split""",
+)
+def evaluate_scorer(spark, sf):
+    v, w = _fixed(spark, sf)
+    scored = net.mlp_score(v.withColumnRenamed("y", "label"), {0: w}, keep=["row_id", "split", "ok", "label"])
+    m = ev.evaluate_scored(scored.withColumn("unc", F.round("unc", 6)), ["split"])
+    return m.select("split", *[shown(c).alias(c) for c in FIVE[2:]], "n_samples", "n_correct", "n_incorrect")
+
+
+@query(
+    "evaluate_learned_score",
+    f"""{_MIXED_SQL}, flag AS (SELECT tid, CASE WHEN lower(dataset) IN ('coqa', 'newsqa', 'emrqa', 'nq', 'triviaqa') THEN rouge_l >= 0.3 ELSE label = pred END AS ok FROM rouge),
+    {fx._words_sql('turns', 'tid')}, has AS (SELECT DISTINCT tid FROM norms), src AS (SELECT tid AS row_id, text FROM turns),
+    x AS (SELECT row_id, i, CAST(CAST('0x' || substr(md5(text), CAST(i + 1 AS INTEGER), 1) AS INTEGER) AS DOUBLE) / 16 AS v FROM src, range(8) r(i)),
+    hid AS (SELECT row_id, h, sum(v * (CAST((h * 31 + i * 17) % 23 - 11 AS DOUBLE) / 64)) + CAST(h % 5 - 2 AS DOUBLE) / 8 AS z FROM x, range(2) r(h) GROUP BY row_id, h),
+    net AS (SELECT row_id, round(sum(z / (1 + exp(-z)) * (CAST((h * 7) % 11 - 5 AS DOUBLE) / 8)) + CAST(0.125 AS DOUBLE), 6) AS unc FROM hid GROUP BY row_id),
+    sc AS (SELECT f.ok, n.unc FROM flag f JOIN has ON has.tid = f.tid JOIN net n ON n.row_id = f.tid), {fx.metrics_sql('sc', [])}
+    SELECT round(auroc, 4) AS auroc, round(aurac, 4) AS aurac, (SELECT count(*) FROM sc) AS n_samples, (SELECT count(*) FILTER (ok) FROM sc) AS n_correct FROM metrics""",
+)
+def evaluate_learned_score(spark, sf):
+    emb = embed_prompts(_turn_prompts(spark, sf), digest_vectors).drop("label")
+    m = ev.evaluate_learned_score(_results(spark, sf), _result_logits(spark, sf), emb, fx.fixed_weights(8), F.col("dataset"))
+    return m.select(F.round("auroc", 4).alias("auroc"), F.round("aurac", 4).alias("aurac"), "n_samples", "n_correct")
+
+
+# --- training (results depend on random draws: rows only) ---------------------------------------
+
+
+def _three(spark, sf):
+    v = stored(fx.vectors(spark, sf), "vectors")
+    return (v.filter("split = 'train'"), v.filter("split = 'val'"), v.filter("split = 'test'"))
+
+
+@query("mlp_train")
+def mlp_train(spark, sf):
+    train, val, _ = _three(spark, sf)
+    runs = [tr.Run(i, lr=3e-3, batch_size=64, loss=kind, seed=i) for i, kind in enumerate(net.LOSSES)]
+    done = tr.train_runs(train, val, runs, epochs=4, val_steps=5, parts=2)
+    return spark.createDataFrame(
+        [(h["run_id"], h["epoch"], h["step"], float(h["loss"]), h["val_auroc"]) for h in done.history],
+        "run_id int, epoch int, step int, loss double, val_auroc double",
+    )
+
+
+@query("grid_sweep")
+def grid_sweep(spark, sf):
+    train, val, test = _three(spark, sf)
+    _, found = ev.train_and_measure(train, val, test, tr.grid_runs(), epochs=3, parts=2)
+    return found
+
+
+@query("multi_seed_train")
+def multi_seed_train(spark, sf):
+    train, val, test = _three(spark, sf)
+    _, found = ev.multi_seed_train(train, val, test, tr.Run(0, lr=3e-3), seeds=(0, 1), epochs=3, n_resamples=50)
+    return found
+
+
+@query("sweep_and_select")
+def sweep_and_select(spark, sf):
+    train, val, test = _three(spark, sf)
+    return ev.sweep_and_select(train, val, test, epochs=2, seeds=(0, 1), n_resamples=20)

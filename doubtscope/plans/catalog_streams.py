@@ -1,0 +1,61 @@
+"""Registered queries: the streaming forms. Each must equal its batch twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from doubtscope.functions import tokens as tok
+from doubtscope.operators.scoring import infer_wide
+from doubtscope.plans import fixtures as fx
+from doubtscope.plans.catalog_learning import _turn_prompts, stub_model
+from doubtscope.plans.registry import query, shown
+from doubtscope.session import fresh_path
+from doubtscope.streaming.patience import run_to_table, stream_patience
+from doubtscope.streaming.scoring import stream_resumable_score
+
+
+@query(
+    "stream_patience",
+    f"""WITH {fx.TURN_NORMS_SQL}, {fx.PATIENCE_SQL} SELECT h.tid AS seq, round(mean, 9) AS mean, CAST(tau AS INTEGER) AS tau, triggered
+        FROM halt h JOIN heap p ON p.tid = h.tid""",
+)
+def patience_stream(spark, sf):
+    logits = fx.turn_logits(spark, sf)
+    scores = logits.select("tid", F.transform("logits", tok.token_l2).alias("s"))
+    rows = scores.select(
+        F.col("tid").alias("seq"), F.posexplode("s").alias("pos", "score"), (F.size("s") - 1).alias("last")
+    ).select("seq", F.col("pos").cast("bigint").alias("pos"), "score", (F.col("pos") == F.col("last")).alias("is_last"))
+    root = fresh_path(spark, "stream")
+    # files hold the tokens out of order; each file is a micro-batch
+    rows.repartition(3, F.expr("pos % 3")).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    run_to_table(stream_patience(stream, 5, 20), f"{root}/out", f"{root}/checkpoint")
+    out = spark.read.parquet(f"{root}/out").filter("tau > 0")
+    return out.select("seq", shown("mean").alias("mean"), "tau", "triggered")
+
+
+@query(
+    "stream_resumable_score",
+    f"""WITH {fx.TURNS_SQL} SELECT count(*) AS n_rows, count(DISTINCT tid) AS n_distinct, true AS all_complete FROM turns""",
+)
+def scoring_stream(spark, sf):
+    prompts = _turn_prompts(spark, sf)
+    root = fresh_path(spark, "stream")
+    prompts.repartition(4, "row_id").write.parquet(f"{root}/in")
+
+    def start():
+        stream = spark.readStream.schema(prompts.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+        query_ = stream_resumable_score(
+            stream, f"{root}/out", lambda b: infer_wide(b, stub_model, 2, keys=["row_id", "shard_idx"]),
+            ["answer_0", "answer_1"], ["gen_topk_logits_0", "gen_topk_logits_1"],
+        )
+        query_.awaitTermination()
+
+    start()
+    start()  # nothing is new: nothing is added
+    results = spark.read.parquet(f"{root}/out/results")
+    status = spark.read.parquet(f"{root}/out/manifest").agg(F.sum("written_rows").alias("n"), F.bool_and("completed").alias("c"))
+    packed = status.select(F.struct("n", "c").alias("s")).scalar()
+    return results.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("row_id").alias("n_distinct")).withColumn("s", packed).select(
+        "n_rows", "n_distinct", (F.col("s.c") & (F.col("s.n") == F.col("n_rows"))).alias("all_complete")
+    )

@@ -40,13 +40,13 @@ def render_prompt(spark, sf):
 
 @query(
     "chat_messages",
-    f"""{_QA}, m AS (SELECT row_id, qa_idx, 0 AS at, 'system' AS role, {_lit(tx.STORY_CONFIG['system_prompt'])} AS content FROM qa
+    f"""{_QA}, m AS (SELECT row_id, qa_idx, CAST(0 AS INTEGER) AS msg, 'system' AS role, {_lit(tx.STORY_CONFIG['system_prompt'])} AS content FROM qa
         UNION ALL SELECT row_id, qa_idx, 1, 'user', {_STORY} FROM qa)
-        SELECT row_id, CAST(qa_idx AS INTEGER) AS qa_idx, at, role, content FROM m""",
+        SELECT row_id, CAST(qa_idx AS INTEGER) AS qa_idx, msg, role, content FROM m""",
 )
 def chat_messages(spark, sf):
     e = explode_qa(fx.corpus(spark, sf), tx.STORY_CONFIG, tx.STEPWISE_SUFFIX)
-    return e.select("row_id", "qa_idx", F.posexplode("prompt").alias("at", "m")).select("row_id", "qa_idx", "at", "m.*")
+    return e.select("row_id", "qa_idx", F.posexplode("prompt").alias("msg", "m")).select("row_id", "qa_idx", "msg", "m.*")
 
 
 @query(

@@ -92,13 +92,13 @@ def read_sharded(spark: SparkSession, path: str, columns: list[str] | None = Non
     tables = [
         spark.read.parquet(*uris).select(
             "*",
-            F.col("_metadata.file_path").alias("__uri"),
+            F.regexp_replace("_metadata.file_path", "^(\\w+):/+", "$1:/").alias("__uri"),
             F.col("_metadata.row_index").alias("__at"),
         )
         for uris in layouts.values()
     ]
     offsets = spark.createDataFrame(
-        [(f["uri"], f["shard_idx"], f["in_shard"], f["offset"]) for f in files],
+        [(re.sub(r"^(\w+):/+", r"\1:/", f["uri"]), f["shard_idx"], f["in_shard"], f["offset"]) for f in files],
         "__uri string, shard_idx int, __in_shard bigint, __offset bigint",
     )
     whole = union_relaxed(tables)
