@@ -146,27 +146,18 @@ def with_rouge_l(df: DataFrame, label: str, pred: str, out: str = "rouge_l") ->
     return common.withColumn(out, F.when(F.col("__lcs").isNotNull(), f)).drop("__a", "__b", "__lcs")
 
 
-def _overlap_bound(a: Column, b: Column) -> Column:
-    """Words of the shorter side that occur at all in the longer one: at least the LCS length."""
-    short = F.when(F.size(a) <= F.size(b), a).otherwise(b)
-    long = F.when(F.size(a) <= F.size(b), b).otherwise(a)
-    shared = F.array_intersect(a, b)
-    lost = F.size(F.filter(short, lambda w: ~F.array_contains(shared, w)))
-    return F.least(F.size(short) - lost, F.size(long))
-
-
 def with_correct_qa(
     df: DataFrame, label: str, pred: str, out: str = "ok", threshold: float = OVERLAP_THRESHOLD
 ) -> DataFrame:
     """Add ROUGE-L >= threshold; null on either side is wrong.
 
-    F = 2·LCS/(m+n), so a pair whose LCS cannot reach the threshold, by the lengths or by the
-    words it shares, is settled without computing it and sends no text to Python.
+    F = 2·LCS/(m+n), so a pair whose shorter side is too short to reach the threshold, or that shares
+    no word, is settled without computing the LCS and sends no text to Python.
     """
     words = df.withColumn("__a", overlap_words(F.col(label))).withColumn("__b", overlap_words(F.col(pred)))
     m, n = F.size("__a"), F.size("__b")
     needed = (F.lit(threshold) - 1e-9) * (m + n) / 2
-    reachable = (F.least(m, n) >= needed) & (_overlap_bound(F.col("__a"), F.col("__b")) >= needed)
+    reachable = (F.least(m, n) >= needed) & F.arrays_overlap("__a", "__b")
     asked = words.withColumn("__ask", F.col("__a").isNotNull() & F.col("__b").isNotNull() & reachable)
     common = asked.withColumn(
         "__lcs", _lcs_udf(F.when(F.col("__ask"), F.col("__a")), F.when(F.col("__ask"), F.col("__b")))

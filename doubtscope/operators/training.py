@@ -22,8 +22,19 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doubtscope.operators import network as net
+# names, not the module: functions sent to workers carry what they name
 from doubtscope.operators.metrics import detection_table
+from doubtscope.operators.network import (
+    Adam,
+    backprop,
+    hidden_size,
+    init_weights,
+    loss_and_slope,
+    LOSSES,
+    matrix_of,
+    mlp_score,
+    weight_count,
+)
 
 # The published grid and training defaults
 GRID = {"lr": [3e-3, 1e-3, 3e-4], "dropout": [0.3], "batch_size": [64, 128, 256]}
@@ -46,14 +57,14 @@ class Run:
     rank_lambda: float = 0.5
 
     def __post_init__(self):
-        if self.loss not in net.LOSSES:
-            raise ValueError(f"unknown loss {self.loss!r}, expected one of {net.LOSSES}")
+        if self.loss not in LOSSES:
+            raise ValueError(f"unknown loss {self.loss!r}, expected one of {LOSSES}")
 
 
 @dataclass
 class _State:
     flat: np.ndarray
-    adam: net.Adam
+    adam: Adam
     best: np.ndarray
     best_auroc: float = -1.0
     best_step: int = 0
@@ -97,18 +108,18 @@ def _rate(step: int, total: int) -> float:
 
 def _train_part(part: int, x: np.ndarray, y: np.ndarray, run: Run, state, epoch: int, total: int):
     """One epoch of mini-batch steps over one part → (weights, Adam state, summed loss)."""
-    flat, adam = state[0].copy(), net.Adam(state[1].copy(), state[2].copy(), state[3])
+    flat, adam = state[0].copy(), Adam(state[1].copy(), state[2].copy(), state[3])
     rng = np.random.default_rng([run.seed, epoch, part])
     order, lost, step = rng.permutation(len(x)), 0.0, state[3]
-    hidden = net.hidden_size(x.shape[1])
+    hidden = hidden_size(x.shape[1])
     for at in range(0, len(order), run.batch_size):
         rows = order[at : at + run.batch_size]
         mask = None
         if run.dropout > 0:
             mask = (rng.random((len(rows), hidden)) >= run.dropout) / (1.0 - run.dropout)
         target = y[rows]
-        loss, grad = net.backprop(
-            flat, x[rows], lambda pred: net.loss_and_slope(run.loss, run.rank_lambda, pred, target), mask
+        loss, grad = backprop(
+            flat, x[rows], lambda pred: loss_and_slope(run.loss, run.rank_lambda, pred, target), mask
         )
         flat = adam.update(flat, grad, run.lr * _rate(step, total), run.weight_decay)
         lost, step = lost + loss * len(rows), step + 1
@@ -145,8 +156,8 @@ def train_runs(
         per_epoch = {r.run_id: -(-largest // r.batch_size) for r in runs}
         states = {}
         for r in runs:
-            flat = net.init_weights(dim, r.seed)
-            states[r.run_id] = _State(flat, net.Adam(np.zeros_like(flat), np.zeros_like(flat)), flat)
+            flat = init_weights(dim, r.seed)
+            states[r.run_id] = _State(flat, Adam(np.zeros_like(flat), np.zeros_like(flat)), flat)
         history: list[dict] = []
         for epoch in range(epochs):
             active = [r for r in runs if not states[r.run_id].stopped]
@@ -190,7 +201,7 @@ def _epoch(data, active, states, per_epoch, epoch, epochs, dim) -> dict[int, flo
         if not held:
             return
         table = pa.Table.from_batches(held).sort_by([("part", "ascending"), ("row_id", "ascending")])
-        x, y = net.matrix_of(table["embedding"]), table["y"].to_numpy()
+        x, y = matrix_of(table["embedding"]), table["y"].to_numpy()
         part = table["part"].to_numpy()
         for p in np.unique(part):
             lo, hi = np.searchsorted(part, [p, p + 1])
@@ -224,19 +235,19 @@ def _epoch(data, active, states, per_epoch, epoch, epochs, dim) -> dict[int, flo
         .collect()
     )
     losses = {}
-    size = net.weight_count(dim)
+    size = weight_count(dim)
     for r in active:
         rows = sorted((m for m in mixed if m["run_id"] == r.run_id), key=lambda m: m["block"])
         whole = np.concatenate([np.asarray(m["vals"]) for m in rows])
         s = states[r.run_id]
-        s.flat, s.adam = whole[:size], net.Adam(whole[size : 2 * size], whole[2 * size :], rows[0]["steps"])
+        s.flat, s.adam = whole[:size], Adam(whole[size : 2 * size], whole[2 * size :], rows[0]["steps"])
         losses[r.run_id] = rows[0]["loss"]
     shared.unpersist()
     return losses
 
 
 def _validate(val, due, states, per_epoch, epochs, val_steps, history) -> None:
-    scored = net.mlp_score(val, {r.run_id: states[r.run_id].flat for r in due}, keep=["row_id", "ok"])
+    scored = mlp_score(val, {r.run_id: states[r.run_id].flat for r in due}, keep=["row_id", "ok"])
     found = {m["run_id"]: m.asDict() for m in detection_table(scored, ["run_id"]).collect()}
     for r in due:
         s, total = states[r.run_id], per_epoch[r.run_id] * epochs

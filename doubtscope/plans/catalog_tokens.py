@@ -8,6 +8,7 @@ from doubtscope.functions import tokens as tok
 from doubtscope.operators.prompts import responses_long, responses_wide
 from doubtscope.plans import fixtures as fx
 from doubtscope.plans.registry import query, shown
+from doubtscope.session import spread
 
 _TURN = f"WITH {fx.TURN_NORMS_SQL}"
 _DOC = f"WITH {fx.DOC_NORMS_SQL}"
@@ -138,7 +139,7 @@ def tokens_saved(spark, sf):
 
 def _candidates(spark, sf):
     """(tid, candidates): six candidates per word; ranks known in even turns; the chosen one (rank 0) last."""
-    t = fx.turns(spark, sf)
+    t = spread(fx.turns(spark, sf))
 
     def token(w, p):
         p = p.cast("bigint")

@@ -37,6 +37,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows to all cores when the input has fewer splits than the cluster has cores.
+
+    For heavy work per row on small or badly split files; larger inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
     """Local session for tests and the bench; cluster jobs bring their own session."""
     return (
