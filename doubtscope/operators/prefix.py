@@ -39,18 +39,23 @@ def running_totals(
     sums: dict[str, str],
     totals: dict[str, str] | None = None,
     keep: str | None = None,
+    maxima: dict[str, str] | None = None,
 ) -> DataFrame:
     """For each row add ``cum_<name>`` (inclusive, ascending in ``order``) and ``all_<name>`` per key.
 
     ``order`` must be distinct within ``keys``. ``sums`` are summed both ways; ``totals`` only per
-    key. ``keep`` says which rows shape the ranges (leave out NaN and infinities).
+    key. ``keep`` says which rows shape the ranges (leave out NaN and infinities). ``maxima`` give
+    running maxima ``top_<name>``: inclusive, null while there is none.
     """
-    every = {**sums, **(totals or {})}
+    every, maxima = {**sums, **(totals or {})}, maxima or {}
     # a struct is never null, though its fields may be: groups with null keys need no special join,
     # and aggregate, window and join all agree on one hash partitioning
     group = F.expr(f"struct({', '.join([*keys, '__range'])}) as __group")
     ranged = with_ranges(df, order, keep).select("*", group)
-    per_range = ranged.groupBy("__group").agg(*[F.expr(f"sum({c}) as r_{n}") for n, c in every.items()])
+    per_range = ranged.groupBy("__group").agg(
+        *[F.expr(f"sum({c}) as r_{n}") for n, c in every.items()],
+        *[F.expr(f"max({c}) as m_{n}") for n, c in maxima.items()],
+    )
     key = f"struct({', '.join(f'__group.{k}' for k in keys)})" if keys else "0"
     over_key = f"over (partition by {key})"
     before = f"over (partition by {key} order by __group.__range rows between unbounded preceding and 1 preceding)"
@@ -58,13 +63,19 @@ def running_totals(
         "__group",
         *[f"coalesce(sum(r_{n}) {before}, 0) as before_{n}" for n in sums],
         *[f"sum(r_{n}) {over_key} as all_{n}" for n in every],
+        *[f"max(m_{n}) {before} as before_{n}" for n in maxima],
     )
     inside = f"over (partition by __group order by {order} rows between unbounded preceding and current row)"
-    local = ranged.selectExpr("*", *[f"sum({c}) {inside} as in_{n}" for n, c in sums.items()])
+    local = ranged.selectExpr(
+        "*",
+        *[f"sum({c}) {inside} as in_{n}" for n, c in sums.items()],
+        *[f"max({c}) {inside} as in_{n}" for n, c in maxima.items()],
+    )
     return local.join(offsets, "__group").selectExpr(
         *[f"`{c}`" for c in df.columns],
         *[f"in_{n} + before_{n} as cum_{n}" for n in sums],
         *[f"all_{n}" for n in every],
+        *[f"greatest(in_{n}, before_{n}) as top_{n}" for n in maxima],
     )
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doubtscope.operators.prefix import running_totals
+
 
 def best_run(runs: DataFrame, keys: list[str] | None = None, auroc: str = "auroc", path: str = "path") -> DataFrame:
     """Run with the highest validation AUROC, the first path on ties; a missing or NaN one never wins.
@@ -29,33 +31,25 @@ def early_stop(points: DataFrame, total_steps: int, val_steps: int, keys: list[s
     """Per validation point: best AUROC so far, steps without improvement, and whether to stop here.
 
     A run stops at its first point that has gone 10 % of all steps without a strictly better AUROC
-    and is past the warm-up. The number of points per run is total_steps / val_steps.
+    and is past the warm-up. Running maxima are cut into step ranges, so a run of any length is
+    spread over tasks.
     """
     warmup, patience = max(1, int(0.05 * total_steps)), int(0.1 * total_steps)
-    w = Window.partitionBy(*keys).orderBy("step")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    # NaN never improves; nothing beats the start value of -1 from below
-    seen = F.when(~F.isnan("auroc"), F.col("auroc")).otherwise(-1.0)
-    marked = points.withColumn("__best", F.coalesce(F.max(seen).over(before), F.lit(-1.0)))
-    marked = marked.withColumn("better", seen > F.greatest("__best", F.lit(-1.0)))
-    at = F.row_number().over(w)
-    marked = marked.withColumn("__at", at)
-    marked = marked.withColumn(
-        "__last", F.coalesce(F.max(F.when(F.col("better"), F.col("__at"))).over(upto), F.lit(0))
-    )
-    idle = ((F.col("__at") - F.col("__last")) * val_steps).cast("bigint")
-    marked = marked.withColumn("idle_steps", idle)
-    marked = marked.withColumn(
-        "__hit", (F.col("idle_steps") >= patience) & (F.col("step") > warmup)
-    )
-    first = F.min(F.when(F.col("__hit"), F.col("step"))).over(Window.partitionBy(*keys))
-    return marked.select(
-        *points.columns,
-        F.greatest(F.col("__best"), seen).alias("best_auroc"),
-        "better",
-        "idle_steps",
-        F.coalesce(F.col("step") == first, F.lit(False)).alias("stop"),
+    # NaN never improves, and nothing improves on the start value of -1 from below
+    seen = "if(isnan(auroc) or auroc is null, -1D, greatest(auroc, -1D))"
+    best = running_totals(points, keys, "step", {"at": "1L"}, maxima={"auroc": seen})
+    # better: a new maximum, first of its value: its rank by (value, earliest step) is unique
+    firsts = best.groupBy(*keys, F.col("top_auroc").alias("best_auroc")).agg(F.min("step").alias("__first"))
+    marked = best.withColumnRenamed("top_auroc", "best_auroc").join(firsts, [*keys, "best_auroc"])
+    marked = marked.withColumn("better", F.expr("step = __first and best_auroc > -1D")).drop("__first")
+    since = marked.withColumnRenamed("cum_at", "__at").drop("all_at")
+    since = running_totals(since, keys, "step", {"one": "1L"}, maxima={"last": "if(better, __at, null)"})
+    since = since.withColumn("idle_steps", F.expr(f"(__at - coalesce(top_last, 0L)) * {val_steps}L"))
+    hit = f"if(idle_steps >= {patience} and step > {warmup}, step, null)"
+    stops = since.groupBy(*keys).agg(F.expr(f"min({hit}) as __stop"))
+    return since.join(stops, keys).select(
+        *points.columns, "best_auroc", "better", "idle_steps",
+        F.expr("coalesce(step = __stop, false) as stop"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from doubtscope.functions import tokens as tok
+from doubtscope.operators.longform import patience_long
 from doubtscope.operators.prompts import responses_long, responses_wide
 from doubtscope.plans import fixtures as fx
 from doubtscope.plans.registry import query, shown
@@ -90,6 +91,18 @@ def patience_from_topk(spark, sf):
     return run.select("tid", shown(F.col("r.mean")).alias("unc"), F.col("r.tau").cast("bigint").alias("tau"), "r.triggered")
 
 
+@query(
+    "patience_long",
+    f"""{_PATIENCE} SELECT h.tid AS seq, round(mean, 9) AS unc, CAST(tau AS BIGINT) AS tau, triggered
+        FROM halt h JOIN heap p ON p.tid = h.tid""",
+)
+def patience_rows(spark, sf):
+    rows = fx.turn_logits(spark, sf).select(F.col("tid").alias("seq"), F.posexplode("logits").alias("pos", "t"))
+    scored = rows.select("seq", "pos", tok.token_l2(F.col("t")).alias("score"))
+    out = patience_long(scored, 5, 20, block=64).filter("tau > 0")
+    return out.select("seq", shown("mean").alias("unc"), F.col("tau").cast("bigint").alias("tau"), "triggered")
+
+
 @query(
     "running_heap_floor",
     f"""{_TURN}, tok AS (SELECT tid, s, row_number() OVER (PARTITION BY tid ORDER BY p) AS t FROM norms),

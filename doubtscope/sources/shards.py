@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doubtscope.session import fresh_path
+from doubtscope.session import fresh_path, stored
 
 ROWS_PER_SHARD_DEFAULT = 10_000
 MANIFEST = (
@@ -85,9 +85,12 @@ def _check_plan(spark: SparkSession, root: str, n_total: int, n_shards: int, n_p
 
 
 def write_partitions(df: DataFrame, path: str, key: str = "shard_idx") -> None:
-    """Replace the partitions of ``key`` that occur in df and leave the others alone."""
+    """Replace the partitions of ``key`` that occur in df and leave the others alone.
+
+    A task writes chunks of 10,000 row numbers, so one shard of any size is written by many tasks.
+    """
     (
-        df.repartition(key)
+        df.repartition(key, F.expr(f"row_id div {ROWS_PER_SHARD_DEFAULT}") if "row_id" in df.columns else F.lit(0))
         .sortWithinPartitions(key, *(["row_id"] if "row_id" in df.columns else []))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -119,22 +122,21 @@ def resumable_sharded_write(
     if manifest is None:
         manifest = spark.createDataFrame([], MANIFEST)
     done = complete_shards(manifest, read_if_there(spark, results), read_if_there(spark, logits))
-    todo = [r["shard_idx"] for r in pending_shards(plan, done).select("shard_idx").collect()]
-    if todo:
-        pending = spark.createDataFrame([(s,) for s in todo], "shard_idx int")
-        rows = with_shard(samples, n_per_shard).join(pending, "shard_idx", "left_semi")
+    # stored, because the tables it is read from are about to change
+    pending = stored(pending_shards(plan, done), "pending")
+    if not pending.isEmpty():
+        rows = with_shard(samples, n_per_shard).join(pending.select("shard_idx"), "shard_idx", "left_semi")
         # a predictor may be random and is dear: its output is stored once, both tables come from it
         staged = fresh_path(spark, "staged")
         produce(rows).write.parquet(staged)
         out = spark.read.parquet(staged)
         write_partitions(out.select("row_id", "shard_idx", *result_columns), results)
         write_partitions(out.select("row_id", "shard_idx", *logit_columns), logits)
-        expected = plan.join(pending, "shard_idx", "left_semi")
         written = [
             spark.read.parquet(t).groupBy("shard_idx").agg(F.count(F.lit(1)).alias(n))
             for t, n in ((results, "written_rows_results"), (logits, "written_rows_logits"))
         ]
-        status = expected.join(written[0], "shard_idx", "left").join(written[1], "shard_idx", "left")
+        status = pending.join(written[0], "shard_idx", "left").join(written[1], "shard_idx", "left")
         status = status.withColumn(
             "completed",
             F.coalesce(
