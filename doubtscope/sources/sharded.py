@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHARD = re.compile(r"-(\d+)-of-\d+\.parquet")
+BROADCAST_FILES = 100_000
 _GLOB = "-[0-9]*-of-[0-9]*.parquet"
 
 
@@ -101,6 +102,9 @@ def read_sharded(spark: SparkSession, path: str, columns: list[str] | None = Non
         [(re.sub(r"^(\w+):/+", r"\1:/", f["uri"]), f["shard_idx"], f["in_shard"], f["offset"]) for f in files],
         "__uri string, shard_idx int, __in_shard bigint, __offset bigint",
     )
+    # one short row per file: sent to every task, so the table itself is not shuffled
+    if len(files) <= BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
     whole = union_relaxed(tables)
     data = [c for c in whole.columns if c not in ("__uri", "__at")]
     if columns is not None:
