@@ -188,9 +188,10 @@ def train_runs(
 
 def _epoch(data, active, states, per_epoch, epoch, epochs, dim) -> dict[int, float]:
     spark = data.sparkSession
+    # plain values only: broadcast data is unpickled by name, and workers need not have this package
     shared = spark.sparkContext.broadcast(
         [
-            (r, (s.flat, s.adam.m, s.adam.v, s.adam.steps), per_epoch[r.run_id] * epochs)
+            (asdict(r), (s.flat, s.adam.m, s.adam.v, s.adam.steps), per_epoch[r.run_id] * epochs)
             for r in active
             for s in [states[r.run_id]]
         ]
@@ -205,7 +206,8 @@ def _epoch(data, active, states, per_epoch, epoch, epochs, dim) -> dict[int, flo
         part = table["part"].to_numpy()
         for p in np.unique(part):
             lo, hi = np.searchsorted(part, [p, p + 1])
-            for run, state, total in shared.value:
+            for spec, state, total in shared.value:
+                run = Run(**spec)
                 flat, adam, lost = _train_part(int(p), x[lo:hi], y[lo:hi], run, state, epoch, total)
                 whole = np.concatenate([flat, adam.m, adam.v])
                 starts = range(0, len(whole), BLOCK)
