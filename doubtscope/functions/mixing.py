@@ -16,5 +16,9 @@ def digest_int(*parts: Column) -> Column:
 
 
 def draw_below(n: Column, *parts: Column) -> Column:
-    """Integer in 0 … n-1 for the given parts (seed, stream, position)."""
-    return F.pmod(digest_int(*parts), n)
+    """Integer in 0 … n-1 for the given parts (seed, stream, position).
+
+    Never null, and declared so: a join on it then needs no null filter, which would compute the
+    digest a second time.
+    """
+    return F.coalesce(F.pmod(digest_int(*parts), n), F.lit(0).cast("bigint"))

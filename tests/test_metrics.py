@@ -92,16 +92,27 @@ def _records_read(spark):
     return {stages.apply(i).stageId(): stages.apply(i).inputRecords() for i in range(stages.size())}
 
 
-def test_source_is_scanned_once(spark, sf_dir):
+@pytest.mark.parametrize("names", [None, ["auroc"], ["mean", "std"], ["threshold"], ["aurac", "n_samples"]])
+def test_source_is_scanned_once(spark, sf_dir, names):
     df = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         (F.col("user_id") % 3).alias("g"), F.col("value").alias("unc"), (F.col("event_type") != "error").alias("ok")
     )
     before = _records_read(spark)
-    mt.detection_table(df, ["g"]).collect()
+    mt.detection_table(df, ["g"], metrics=names).collect()
     read = sum(n for stage, n in _records_read(spark).items() if stage not in before)
     assert read == 1000
 
 
+@pytest.mark.parametrize("curve", [mt.roc_curve, lambda d, k: mt.accuracy_at_quantile(d, "0.5", k)])
+def test_curves_scan_once(spark, sf_dir, curve):
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        (F.col("user_id") % 3).alias("g"), F.col("value").alias("unc"), (F.col("event_type") != "error").alias("ok")
+    )
+    before = _records_read(spark)
+    curve(df, ["g"]).collect()
+    assert sum(n for stage, n in _records_read(spark).items() if stage not in before) == 1000
+
+
 def test_running_totals_and_index(spark):
     rng = np.random.default_rng(0)
     rows = [(int(k), int(x), int(v)) for x, (k, v) in enumerate(rng.integers(0, 4, (500, 2)))]
