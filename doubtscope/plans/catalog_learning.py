@@ -82,9 +82,6 @@ def build_train_set(spark, sf):
     )
 
 
-_POOL_SQL = """v AS (SELECT doc_id % 40 AS seq, doc_id AS pos, n_chars, doc_id % 7 <> 0 AS valid FROM documents)"""
-
-
 def _token_vectors(spark, sf):
     """Documents as the tokens of 40 sequences, one hot: a third of all rows has the same key."""
     d = table(spark, sf, "documents")
@@ -289,7 +286,7 @@ def encode_dataset(spark, sf):
 
 _E1_SQL = f"""{_MIXED_SQL},
 flag AS (SELECT tid, CASE WHEN lower(dataset) IN ('coqa', 'newsqa', 'emrqa', 'nq', 'triviaqa') THEN rouge_l >= 0.3 ELSE label = pred END AS ok FROM rouge),
-{fx._words_sql('turns', 'tid')}, {fx.PATIENCE_SQL},
+{fx.words_sql('turns', 'tid')}, {fx.PATIENCE_SQL},
 scored AS (SELECT f.tid, f.ok, round(h.mean, 9) AS unc FROM flag f LEFT JOIN heap h ON h.tid = f.tid)"""
 
 
@@ -330,7 +327,7 @@ def evaluate_scorer(spark, sf):
 @query(
     "evaluate_learned_score",
     f"""{_MIXED_SQL}, flag AS (SELECT tid, CASE WHEN lower(dataset) IN ('coqa', 'newsqa', 'emrqa', 'nq', 'triviaqa') THEN rouge_l >= 0.3 ELSE label = pred END AS ok FROM rouge),
-    {fx._words_sql('turns', 'tid')}, has AS (SELECT DISTINCT tid FROM norms), src AS (SELECT tid AS row_id, text FROM turns),
+    {fx.words_sql('turns', 'tid')}, has AS (SELECT DISTINCT tid FROM norms), src AS (SELECT tid AS row_id, text FROM turns),
     x AS (SELECT row_id, i, CAST(CAST('0x' || substr(md5(text), CAST(i + 1 AS INTEGER), 1) AS INTEGER) AS DOUBLE) / 16 AS v FROM src, range(8) r(i)),
     hid AS (SELECT row_id, h, sum(v * (CAST((h * 31 + i * 17) % 23 - 11 AS DOUBLE) / 64)) + CAST(h % 5 - 2 AS DOUBLE) / 8 AS z FROM x, range(2) r(h) GROUP BY row_id, h),
     net AS (SELECT row_id, round(sum(z / (1 + exp(-z)) * (CAST((h * 7) % 11 - 5 AS DOUBLE) / 8)) + CAST(0.125 AS DOUBLE), 6) AS unc FROM hid GROUP BY row_id),

@@ -22,7 +22,7 @@ from doubtscope.operators.metrics import (
 from doubtscope.operators.network import mlp_score
 from doubtscope.operators.pairing import attach_correct_flags, zip_result_logits
 from doubtscope.operators.resample import bootstrap_ci, seed_report
-from doubtscope.operators.scoring import embed_prompts, infer_wide, wide_label
+from doubtscope.operators.scoring import embed_prompts, infer_wide
 from doubtscope.operators.selection import best_run
 from doubtscope.session import stored
 from doubtscope.sources.artifacts import write_embeddings
@@ -174,6 +174,5 @@ def sweep_and_select(train: DataFrame, val: DataFrame, test: DataFrame, grid: di
 
 __all__ = [
     "encode_dataset", "evaluate_files", "evaluate_learned_score", "evaluate_scored", "evaluate_sequence_score",
-    "infer_corpus", "multi_seed_train", "sequence_scores", "stored", "sweep_and_select", "train_and_measure",
-    "wide_label",
+    "infer_corpus", "multi_seed_train", "sequence_scores", "sweep_and_select", "train_and_measure",
 ]

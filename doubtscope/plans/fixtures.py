@@ -61,7 +61,7 @@ def doc_logits(spark: SparkSession, sf_dir: str, entries: int = TOP_ENTRIES) ->
     )
 
 
-def _words_sql(source: str, key: str) -> str:
+def words_sql(source: str, key: str) -> str:
     return f"""
 words AS (SELECT {key}, unnest(string_split(text, ' ')) AS w,
                  generate_subscripts(string_split(text, ' '), 1) - 1 AS p FROM {source}),
@@ -75,8 +75,8 @@ norms AS (SELECT {key}, p, sqrt(sum(CASE WHEN logit > 0 THEN logit * logit ELSE
 
 
 TURNS_SQL = "turns AS (SELECT conv_id * 1000 + turn AS tid, conv_id, turn, role, text FROM conversations)"
-TURN_NORMS_SQL = f"{TURNS_SQL}, {_words_sql('turns', 'tid')}"
-DOC_NORMS_SQL = _words_sql("documents", "doc_id")
+TURN_NORMS_SQL = f"{TURNS_SQL}, {words_sql('turns', 'tid')}"
+DOC_NORMS_SQL = words_sql("documents", "doc_id")
 
 # per token t (numbered over scorable tokens): it updates iff fewer than M earlier scores reach it
 PATIENCE_SQL = """
