@@ -14,15 +14,13 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) is a temporary folder made and set.
+    Only where the setting is absent (tests, a laptop) does a temporary folder take its place.
     """
+    context = spark.sparkContext
     base = spark.conf.get(_CHECKPOINT_KEY, None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="doubtscope-")
-        spark.conf.set(_CHECKPOINT_KEY, base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="doubtscope-"))
+    return (base or context.getCheckpointDir()).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
