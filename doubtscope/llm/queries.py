@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doubtscope.llm import decontam, language, mixing, sharding, simhash
+from doubtscope.llm import decontam, language, mixing, personal, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,83 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spans_sql(kind: str, pattern: str, group: int = 0) -> str:
+    """List of (kind, s, e, whole, value) of the matches of an RE2 pattern in column t."""
+    quoted = pattern.replace("'", "''")
+    return f"""list_transform(
+      list_zip(range(len(regexp_extract_all(t, '{quoted}'))), regexp_extract_all(t, '{quoted}'), regexp_extract_all(t, '{quoted}', {group})),
+      lambda z: struct_pack(kind := '{kind}',
+        s := list_sum(list_transform(string_split_regex(t, '{quoted}')[1 : z[1] + 1], lambda x: length(x)))
+           + coalesce(list_sum(list_transform(regexp_extract_all(t, '{quoted}')[1 : z[1]], lambda x: length(x))), 0),
+        whole := z[2], value := z[3]))"""
+
+
+_NAMED = "array_to_string(list_transform({}, lambda x: x.kind || ':' || x.s || ':' || x.e), ',')"
+
+_SECRETS_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(doc_id::VARCHAR, '') AS repo, coalesce(text, '') AS t FROM documents),
+raw AS (SELECT rid, doc_id, owner, repo, unnest(list_concat(
+  list_filter({_spans_sql("assign", secrets.PATTERNS["assign"][0], 2)}, lambda x: length(x.value) >= 6),
+  {_spans_sql("access", "AKIA[A-Z0-9]{16,}")}, {_spans_sql("hex", "[0-9a-f]{24,}")},
+  list_filter({_spans_sql("opaque", "[A-Za-z0-9+/_=-]{20,}")}, lambda x: regexp_matches(x.value, '[0-9]') AND regexp_matches(x.value, '[a-z]') AND regexp_matches(x.value, '[A-Z]')))) AS f FROM docs),
+flat AS (SELECT rid, doc_id, owner, repo, f.kind AS kind, f.s::BIGINT AS s, (f.s + length(f.whole))::BIGINT AS e, sha256(f.value) AS h,
+  list_position(['assign', 'access', 'hex', 'opaque'], f.kind) AS rank FROM raw),
+spans AS (SELECT * FROM flat a WHERE kind <> 'opaque' OR NOT EXISTS (SELECT 1 FROM flat b WHERE b.rid = a.rid AND b.kind <> 'opaque' AND b.s < a.e AND a.s < b.e)),
+owners AS (SELECT h, count(DISTINCT owner) AS n_owners FROM spans GROUP BY h),
+told AS (SELECT spans.*, n_owners >= 2 AS copied FROM spans JOIN owners USING (h) WHERE kind <> 'opaque' OR n_owners < 2),
+kept AS (SELECT rid, list(struct_pack(kind := kind, s := s, e := e, copied := copied) ORDER BY s, rank) AS f FROM told GROUP BY rid),
+whole AS (SELECT doc_id, coalesce(f, []) AS f FROM docs LEFT JOIN kept USING (rid))
+SELECT doc_id, len(list_filter(f, lambda x: x.kind = 'assign'))::BIGINT AS n_assign, len(list_filter(f, lambda x: x.kind = 'access'))::BIGINT AS n_access,
+  len(list_filter(f, lambda x: x.kind = 'hex'))::BIGINT AS n_hex,
+  sha256({_NAMED.format("list_filter(f, lambda x: x.kind <> 'opaque')")}) AS base_sha256, {_NAMED.format("f")} AS spans,
+  len(list_filter(f, lambda x: x.copied))::BIGINT AS n_copied, len(list_filter(f, lambda x: NOT x.copied))::BIGINT AS n_live
+FROM whole"""
+
+
+@_query("op1_secret_scan", _SECRETS_SQL)
+def op1_secret_scan(spark, sf_dir):
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
+_LUHN = """list_sum(list_transform(range(length({0})), lambda i: CASE WHEN i % 2 = 0 THEN substr(reverse({0}), i + 1, 1)::INT
+  ELSE (substr(reverse({0}), i + 1, 1)::INT * 2) // 10 + (substr(reverse({0}), i + 1, 1)::INT * 2) % 10 END)) % 10 = 0"""
+_IBAN = "regexp_replace(x.whole, ' ', '', 'g')"
+_MOD97 = f"""list_reduce(list_prepend(0, list_transform(range(length({_IBAN})), lambda i: ascii(substr(substr({_IBAN}, 5) || substr({_IBAN}, 1, 4), i + 1, 1)))),
+  lambda r, c: (CASE WHEN c >= 65 THEN r * 100 + c - 55 ELSE r * 10 + c - 48 END) % 97) = 1"""
+_CONFIRM = {
+    "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+", "true"),
+    "ip": ("[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", "list_max(list_transform(string_split(x.whole, '.'), lambda p: p::HUGEINT)) <= 255"),
+    "card": (
+        "[0-9]([\\x20-]?[0-9])+",
+        f"length(regexp_replace(x.whole, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND {_LUHN.format("regexp_replace(x.whole, '[^0-9]', '', 'g')")}",
+    ),
+    "phone": ("\\+[0-9][\\x20().0-9-]+[0-9]", "length(regexp_replace(x.whole, '[^0-9]', '', 'g')) BETWEEN 9 AND 15"),
+    "iban": ("\\b[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}(?:\\x20?[A-Z0-9]{1,3})?\\b", _MOD97),
+}
+
+
+def _personal_kind(kind: str) -> str:
+    pattern, check = _CONFIRM[kind]
+    near = f"substr(t, greatest(x.s - {personal.NEAR}, 0)::BIGINT + 1, least(x.s, {personal.NEAR})::BIGINT) || ' ' || substr(t, (x.s + length(x.whole))::BIGINT + 1, {personal.NEAR})"
+    score = f"{personal.SCORES[kind]} + CASE WHEN regexp_matches(lower({near}), '{personal.CONTEXT[kind]}') THEN {personal.RAISE} ELSE 0 END"
+    return f"""list_transform(list_filter({_spans_sql(kind, pattern)}, lambda x: {check}),
+      lambda x: struct_pack(kind := x.kind, s := x.s::BIGINT, e := (x.s + length(x.whole))::BIGINT, score := {score}))"""
+
+
+_PERSONAL_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (SELECT doc_id, list_concat({", ".join(_personal_kind(k) for k in personal.KINDS)}) AS f FROM docs)
+SELECT doc_id, {", ".join(f"len(list_filter(f, lambda x: x.kind = '{k}'))::BIGINT AS n_{k}" for k in personal.BASE)},
+  sha256({_NAMED.format("list_filter(f, lambda x: x.kind <> 'iban')")}) AS base_sha256, {_NAMED.format("f")} AS spans,
+  coalesce(list_sum(list_transform(f, lambda x: x.score)), 0)::BIGINT AS score_sum
+FROM found"""
+
+
+@_query("op3_personal_data", _PERSONAL_SQL)
+def op3_personal_data(spark, sf_dir):
+    return personal.digest(personal.find_personal(_table(spark, sf_dir, "documents")))
+
+
 @_query("op4_simhash")
 def op4_simhash(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
