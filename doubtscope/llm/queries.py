@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doubtscope.llm import decontam, language, mixing, personal, secrets, sharding, simhash
+from doubtscope.llm import ann, decontam, html, language, mixing, personal, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -186,3 +186,27 @@ def op8_decontamination(spark, sf_dir):
 @_query("op10_language")
 def op10_language(spark, sf_dir):
     return language.identify(_table(spark, sf_dir, "documents"))
+
+
+@_query("op2_main_text")
+def op2_main_text(spark, sf_dir):
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
+@_query(
+    "op6_warc",
+    """WITH sized AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT h, min(page_id) AS first_id FROM sized WHERE n >= 100 GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+  CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM sized LEFT JOIN firsts USING (h)""",
+)
+def op6_warc(spark, sf_dir):
+    index = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op9_nearest")
+def op9_nearest(spark, sf_dir):
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
