@@ -8,7 +8,7 @@ from string import Formatter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType
 
 # Results must equal the published prompt layout and rules.
 DEFAULT_USER_TEMPLATE = (
@@ -174,13 +174,28 @@ def uses_text_overlap(dataset: Column) -> Column:
     return F.lower(dataset).isin(*TEXT_ANSWER_DATASETS)
 
 
+def _is_list(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, ArrayType)
+
+
 def with_correct(df: DataFrame, dataset: Column, label: str, pred: str, out: str = "ok") -> DataFrame:
-    """Correctness by the rule of each row's dataset, so tables may mix datasets."""
-    asked = df.withColumn("__qa", uses_text_overlap(dataset)).withColumn(
-        "__label", F.when(F.col("__qa"), F.col(label).cast("string"))
-    )
-    judged = with_correct_qa(asked, "__label", pred, "__ok")
-    exact = is_correct_exact(F.col(label), F.col(pred))
-    return judged.withColumn(
-        out, F.when(F.coalesce(F.col("__qa"), F.lit(False)), F.col("__ok")).otherwise(exact)
-    ).drop("__qa", "__label", "__ok")
+    """Correctness by the rule of each row's dataset, so tables may mix datasets.
+
+    Lists compare as bags; a side that is no list counts as a list of one then. For the overlap rule
+    a list is the text of its sorted elements.
+    """
+    lists = _is_list(df, label) or _is_list(df, pred)
+
+    def bag(name: str) -> Column:
+        if _is_list(df, name):
+            return canonical_list(F.col(name))
+        return F.when(F.col(name).isNotNull(), F.array(F.col(name).cast("string")))
+
+    def text(name: str) -> Column:
+        return F.array_join(canonical_list(F.col(name)), " ") if _is_list(df, name) else F.col(name).cast("string")
+
+    asked = df.withColumn("__qa", F.coalesce(uses_text_overlap(dataset), F.lit(False)))
+    asked = asked.withColumn("__label", F.when(F.col("__qa"), text(label))).withColumn("__pred", text(pred))
+    judged = with_correct_qa(asked, "__label", "__pred", "__ok")
+    exact = is_correct_exact(bag(label), bag(pred), lists=True) if lists else is_correct_exact(F.col(label), F.col(pred))
+    return judged.withColumn(out, F.when(F.col("__qa"), F.col("__ok")).otherwise(exact)).drop("__qa", "__label", "__pred", "__ok")

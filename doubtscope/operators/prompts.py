@@ -23,6 +23,11 @@ def positional_split(df: DataFrame, split: str, row_id: str = "row_id", n: Colum
     return counted.filter(inside).drop("__n", "__val")
 
 
+def n_pairs() -> Column:
+    """Number of (question, answer) pairs of a corpus row."""
+    return F.least(F.coalesce(F.size("questions"), F.lit(0)), F.coalesce(F.size("answers.input_text"), F.lit(0)))
+
+
 def explode_qa(
     corpus: DataFrame,
     config: dict | None = None,
@@ -30,22 +35,28 @@ def explode_qa(
     system_prompt=None,
     row_id: str = "row_id",
     tag: str = "coqa",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One prompt sample per (question, answer) pair, cut to the shorter list; nulls become ''."""
+    """One prompt sample per (question, answer) pair, cut to the shorter list; nulls become ''.
+
+    ``keep`` names further columns of the corpus row that go along.
+    """
     system, template = resolve_prompts(config, system_prompt)
     questions = F.coalesce(F.col("questions"), F.array().cast("array<string>"))
     answers = F.coalesce(F.col("answers.input_text"), F.array().cast("array<string>"))
-    n = F.least(F.size(questions), F.size(answers))
+    n = n_pairs()
     pairs = F.arrays_zip(
         F.slice(questions, 1, n).alias("q"), F.slice(answers, 1, n).alias("a")
     )
     exploded = corpus.select(
         F.col(row_id),
+        *keep,
         F.coalesce("story", F.lit("")).alias("story"),
         F.posexplode(pairs).alias("qa_idx", "qa"),
     )
     flat = exploded.select(
         row_id,
+        *keep,
         "qa_idx",
         "story",
         F.coalesce("qa.q", F.lit("")).alias("question"),
@@ -61,6 +72,7 @@ def explode_qa(
     )
     return flat.select(
         row_id,
+        *keep,
         "qa_idx",
         chat_messages(user, system).alias("prompt"),
         "label",

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 from doubtscope.functions import tokens as tok
 from doubtscope.functions.text import flatten_chat, label_text, strip
 from doubtscope.operators.network import mlp_score
-from doubtscope.operators.prompts import responses_wide
 
 BATCH_DEFAULT = 500
 CANDIDATES = "array<map<bigint,struct<logprob:double,decoded_token:string,rank:int>>>"
@@ -65,13 +65,56 @@ def answer_fields(responses: DataFrame, k: int = tok.TOPK_DEFAULT) -> DataFrame:
     )
 
 
+_ENTRY = pa.struct([("logprob", pa.float64()), ("decoded_token", pa.string()), ("rank", pa.int32())])
+_CANDIDATES = pa.list_(pa.map_(pa.int64(), _ENTRY))
+
+
+def _arrow_candidates(tokens) -> list | None:
+    """Per-token maps as Arrow takes them: key-value pairs, entries as dicts or in field order."""
+    if tokens is None:
+        return None
+    names = [f.name for f in _ENTRY]
+    return [
+        None if t is None else [(k, v if v is None or isinstance(v, dict) else dict(zip(names, v, strict=True))) for k, v in t.items()]
+        for t in tokens
+    ]
+
+
 def infer_wide(samples: DataFrame, predictor, n_responses: int, k: int = tok.TOPK_DEFAULT,
-               keys: list[str] | None = None) -> DataFrame:
-    """Samples with the columns of every response beside them."""
-    keys = keys or ["row_id"]
-    long = answer_fields(batch_score(samples, predictor, keys=keys), k)
-    wide = responses_wide(long, n_responses, RESPONSE_FIELDS, keys)
-    return samples.join(wide, keys)
+               batch_size: int = BATCH_DEFAULT) -> DataFrame:
+    """Samples with the columns of every response beside them.
+
+    The batch that asks the model also writes the wide row, so answers and logits are never shuffled:
+    the samples' own columns pass through untouched. Responses beyond ``n_responses`` are left out,
+    missing ones are null.
+    """
+    asked = samples.withColumn("__text", flatten_chat(F.col("prompt")))
+    types = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
+    made = [f"generated_text_{i} string, candidates_{i} {CANDIDATES}" for i in range(n_responses)]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in types.items()), *made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch_size):
+                part = whole.slice(at, batch_size)
+                answers = predictor(part.column("__text").to_pylist())
+                columns = {c: part.column(c) for c in types}
+                for i in range(n_responses):
+                    own = [a[i] if i < len(a) else (None, None) for a in answers]
+                    columns[f"generated_text_{i}"] = pa.array([o[0] for o in own], pa.string())
+                    columns[f"candidates_{i}"] = pa.array([_arrow_candidates(o[1]) for o in own], _CANDIDATES)
+                yield pa.RecordBatch.from_pydict(columns)
+
+    wide = asked.mapInArrow(run, schema)
+    for i in range(n_responses):
+        wide = wide.withColumn(f"gen_topk_logits_{i}", tok.topk_entries(F.col(f"candidates_{i}"), k)).drop(f"candidates_{i}")
+    fields = {}
+    for i in range(n_responses):
+        logits = F.col(f"gen_topk_logits_{i}")
+        fields[f"answer_{i}"] = strip(F.col(f"generated_text_{i}"))
+        fields[f"answer_token_index_{i}"] = tok.answer_token_index(logits)
+        fields[f"answer_token_topk_logits_{i}"] = tok.answer_token_topk(logits)
+    return wide.withColumns(fields)
 
 
 def hash_embed(df: DataFrame, text: str, dim: int = 64, out: str = "embedding") -> DataFrame:

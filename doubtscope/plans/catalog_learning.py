@@ -206,23 +206,66 @@ def model_answers(spark, sf):
     )
 
 
-@query(
-    "infer_dataset",
-    f"""WITH {fx.CORPUS_SQL}, d AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS n FROM corpus),
-        q AS (SELECT count(*) AS n FROM qa JOIN d ON d.row_id = qa.row_id WHERE i < n - 2 * (n // 10)),
-        p AS (SELECT n, n // 5 + 1 AS per FROM q)
-        SELECT CAST(s AS INTEGER) AS shard_idx, least((s + 1) * per, n) - s * per AS expected_rows, least((s + 1) * per, n) - s * per AS written_rows_results,
-               least((s + 1) * per, n) - s * per AS written_rows_logits, true AS completed FROM p, range(5) r(s) WHERE s * per < n""",
-)
-def infer_dataset(spark, sf):
+def weighed_logits(i: int):
+    """All logits of a response as one number: each times its token id, which tells token and place."""
+    entries = F.flatten(F.col(f"gen_topk_logits_{i}"))
+    total = F.aggregate(entries, F.lit(0.0), lambda t, e: t + e["logit"] * e["token_id"])
+    return F.round(total, 6).alias(f"logits_{i}")
+
+
+# prompts of the train split of the corpus, numbered over all pairs, with what the stub model answers
+_CORPUS_PROMPTS_SQL = f"""{fx.CORPUS_SQL},
+place AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS n FROM corpus),
+asked AS (SELECT row_number() OVER (ORDER BY qa.row_id, qa_idx) - 1 AS row_id, label,
+  'You are a reading comprehension assistant. Answer the question about a given story with brief, direct answers. Please only use the information from the story to give your answer.' || chr(10)
+  || ' Story:' || chr(10) || story || chr(10) || chr(10) || 'Question:' || chr(10) || question || chr(10) || chr(10) || chr(10) AS text
+  FROM qa JOIN place ON place.row_id = qa.row_id WHERE i < n - 2 * (n // 10)),
+src AS (SELECT row_id, text FROM asked), {_STUB_SQL}"""
+
+
+def _inferred(spark, sf):
+    """Root of the stored inference output over the train split, in 12 or 13 shards of several files each."""
     from doubtscope.operators.prefix import dense_index
     from doubtscope.sources.corpus import corpus_split
 
     c = fx.corpus(spark, sf).withColumnRenamed("row_id", "key")
     rows = stored(dense_index(c, "key", "row_id").drop("key"), "corpus")
     n = corpus_split(rows, "train").count()
-    m = ev.infer_corpus(rows, fresh_path(spark, "infer"), stub_model, "train", "raw", 2, n // 5 + 1)
-    return m.select("shard_idx", "expected_rows", "written_rows_results", "written_rows_logits", "completed")
+    root = fresh_path(spark, "infer")
+    ev.infer_corpus(rows, root, stub_model, "train", "raw", 2, n // 12 + 1)
+    return root
+
+
+@query(
+    "infer_dataset",
+    f"""WITH {_CORPUS_PROMPTS_SQL}, per AS (SELECT count(*) // 12 + 1 AS per FROM asked),
+        places AS (SELECT row_id, r, sum(logit * (j + 10 * t)) AS total FROM ord GROUP BY ALL)
+        SELECT a.row_id, CAST(a.row_id // per AS INTEGER) AS shard_idx, asked.label, substr(d.h, 1, 8) AS answer_0, substr(d.h, 9, 8) AS answer_1,
+          round(a.total, 6) AS logits_0, round(b.total, 6) AS logits_1
+        FROM places a JOIN places b ON b.row_id = a.row_id AND a.r = 0 AND b.r = 1 JOIN dig d ON d.row_id = a.row_id JOIN asked ON asked.row_id = a.row_id, per""",
+)
+def infer_dataset(spark, sf):
+    from doubtscope.sources.sharded import read_sharded
+
+    root = _inferred(spark, sf)
+    results = read_sharded(spark, f"{root}/results")
+    logits = read_sharded(spark, f"{root}/logits").drop("shard_idx")
+    return results.join(logits, "row_id").select("row_id", "shard_idx", "label", "answer_0", "answer_1", *[weighed_logits(i) for i in range(2)])
+
+
+# the stub's answers are at most four tokens long, so the early halt (20 tokens) never comes
+@query(
+    "infer_then_evaluate",
+    f"""WITH {_CORPUS_PROMPTS_SQL}, norms AS (SELECT row_id, t, sqrt(sum(CASE WHEN logit > 0 THEN logit * logit ELSE CAST(0 AS DOUBLE) END)) AS s FROM ord WHERE r = 1 GROUP BY ALL),
+        unc AS (SELECT row_id, avg(s) AS unc FROM norms GROUP BY row_id),
+        sc AS (SELECT u.unc, substr(d.h, 9, 1) < '8' AS ok FROM unc u JOIN dig d ON d.row_id = u.row_id), {fx.metrics_sql('sc', [])} SELECT {', '.join(FIVE)} FROM metrics""",
+)
+def infer_then_evaluate(spark, sf):
+    root = _inferred(spark, sf)
+    m = ev.evaluate_files(
+        spark, f"{root}/results", f"{root}/logits", "own rule", 1, correct_fn=lambda label, pred: F.substring(pred, 1, 1) < "8"
+    )
+    return m.select(*[shown(c).alias(c) for c in FIVE])
 
 
 # --- embeddings ---------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from doubtscope.functions import tokens as tok
 from doubtscope.operators.scoring import infer_wide
 from doubtscope.plans import fixtures as fx
-from doubtscope.plans.catalog_learning import _turn_prompts, stub_model
+from doubtscope.plans.catalog_learning import _STUB_SQL, _TURN_SRC, _turn_prompts, stub_model, weighed_logits
 from doubtscope.plans.registry import query, shown
 from doubtscope.session import fresh_path
 from doubtscope.streaming.patience import run_to_table, stream_patience
@@ -36,7 +36,9 @@ def patience_stream(spark, sf):
 
 @query(
     "stream_resumable_score",
-    f"""WITH {fx.TURNS_SQL} SELECT count(*) AS n_rows, count(DISTINCT tid) AS n_distinct, true AS all_complete FROM turns""",
+    f"""WITH {_TURN_SRC}, {_STUB_SQL}, places AS (SELECT row_id, r, count(*) AS n, sum(logit * (j + 10 * t)) AS total FROM ord GROUP BY ALL)
+        SELECT a.row_id, substr(d.h, 1, 8) AS answer_0, substr(d.h, 9, 8) AS answer_1, round(a.total, 6) AS logits_0, round(b.total, 6) AS logits_1
+        FROM places a JOIN places b ON b.row_id = a.row_id AND a.r = 0 AND b.r = 1 JOIN dig d ON d.row_id = a.row_id""",
 )
 def scoring_stream(spark, sf):
     prompts = _turn_prompts(spark, sf)
@@ -46,16 +48,11 @@ def scoring_stream(spark, sf):
     def start():
         stream = spark.readStream.schema(prompts.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
         query_ = stream_resumable_score(
-            stream, f"{root}/out", lambda b: infer_wide(b, stub_model, 2, keys=["row_id", "shard_idx"]),
-            ["answer_0", "answer_1"], ["gen_topk_logits_0", "gen_topk_logits_1"],
+            stream, f"{root}/out", lambda b: infer_wide(b, stub_model, 2), ["answer_0", "answer_1"], ["gen_topk_logits_0", "gen_topk_logits_1"]
         )
         query_.awaitTermination()
 
     start()
     start()  # nothing is new: nothing is added
-    results = spark.read.parquet(f"{root}/out/results")
-    status = spark.read.parquet(f"{root}/out/manifest").agg(F.sum("written_rows").alias("n"), F.bool_and("completed").alias("c"))
-    packed = status.select(F.struct("n", "c").alias("s")).scalar()
-    return results.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("row_id").alias("n_distinct")).withColumn("s", packed).select(
-        "n_rows", "n_distinct", (F.col("s.c") & (F.col("s.n") == F.col("n_rows"))).alias("all_complete")
-    )
+    results, logits = spark.read.parquet(f"{root}/out/results"), spark.read.parquet(f"{root}/out/logits")
+    return results.join(logits, "row_id").select("row_id", "answer_0", "answer_1", *[weighed_logits(i) for i in range(2)])

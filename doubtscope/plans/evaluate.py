@@ -26,33 +26,54 @@ from doubtscope.operators.scoring import embed_prompts, infer_wide
 from doubtscope.operators.selection import best_run
 from doubtscope.session import stored
 from doubtscope.sources.artifacts import write_embeddings
-from doubtscope.sources.corpus import corpus_split, number_samples
-from doubtscope.sources.sharded import first_readable, read_sharded, scan_topk_column
+from doubtscope.sources.corpus import numbered_samples
+from doubtscope.sources.sharded import first_readable, no_logits, read_sharded, scan_topk_column
 from doubtscope.sources.shards import resumable_sharded_write
 
 RESULT_COLUMNS = ["prompt", "label"]
 
 
-def sequence_scores(results: DataFrame, logits: DataFrame, dataset: Column, m: int = HEAP_DEFAULT,
-                    w: int = PATIENCE_DEFAULT, pred: str = "answer_0") -> DataFrame:
-    """(row_id, unc, ok): the early-halting score and the correctness of every result row."""
+CorrectFn = Callable[[Column, Column], Column]
+
+
+def flags(results: DataFrame, dataset: Column, pred: str, correct_fn: CorrectFn | None = None) -> DataFrame:
+    """(row_id, ok): by ``correct_fn(label, prediction)`` if given, else by the rule of the dataset."""
     slim = results.select("row_id", "label", F.col(pred).alias("__pred"), dataset.alias("__dataset"))
-    flagged = with_correct(slim, F.col("__dataset"), "label", "__pred").select("row_id", "ok")
+    if correct_fn is None:
+        return with_correct(slim, F.col("__dataset"), "label", "__pred").select("row_id", "ok")
+    return slim.select("row_id", F.coalesce(correct_fn(F.col("label"), F.col("__pred")).cast("boolean"), F.lit(False)).alias("ok"))
+
+
+def sequence_scores(results: DataFrame, logits: DataFrame | None, dataset: Column, m: int = HEAP_DEFAULT,
+                    w: int = PATIENCE_DEFAULT, pred: str = "answer_0", correct_fn: CorrectFn | None = None) -> DataFrame:
+    """(row_id, unc, ok): the early-halting score and the correctness of every result row.
+
+    Rows without logits, or all rows if there is no logits table, have a null score.
+    """
+    logits = no_logits(results.sparkSession) if logits is None else logits
+    flagged = flags(results, dataset, pred, correct_fn)
     return zip_result_logits(flagged, logits, patience_from_topk(F.col("logits"), m, w)["mean"])
 
 
-def evaluate_sequence_score(results: DataFrame, logits: DataFrame, dataset: Column, m: int = HEAP_DEFAULT,
-                            w: int = PATIENCE_DEFAULT, pred: str = "answer_0") -> DataFrame:
+def evaluate_sequence_score(results: DataFrame, logits: DataFrame | None, dataset: Column, m: int = HEAP_DEFAULT,
+                            w: int = PATIENCE_DEFAULT, pred: str = "answer_0", correct_fn: CorrectFn | None = None) -> DataFrame:
     """Result + logits tables → mean, std, auroc, aurac, balanced_acc."""
-    return detection_summary(sequence_scores(results, logits, dataset, m, w, pred))
+    return detection_summary(sequence_scores(results, logits, dataset, m, w, pred, correct_fn))
 
 
-def evaluate_files(spark: SparkSession, results: str, logits: str, dataset: str, response_idx: int = 0,
-                   m: int = HEAP_DEFAULT, w: int = PATIENCE_DEFAULT) -> DataFrame:
-    """``evaluate_sequence_score`` on stored (sharded) tables; only the needed columns are read."""
+def evaluate_files(spark: SparkSession, results: str, logits: str | None, dataset: str, response_idx: int = 0,
+                   m: int = HEAP_DEFAULT, w: int = PATIENCE_DEFAULT, correct_fn: CorrectFn | None = None) -> DataFrame:
+    """``evaluate_sequence_score`` on stored (sharded) tables; only the needed columns are read.
+
+    Without a logits table, or without that response in it, the scores are null.
+    """
     pred = f"answer_{response_idx}"
     table = read_sharded(spark, results, ["label", pred])
-    return evaluate_sequence_score(table, scan_topk_column(spark, logits, response_idx), F.lit(dataset), m, w, pred)
+    try:
+        found = None if logits is None else scan_topk_column(spark, logits, response_idx)
+    except FileNotFoundError:
+        found = None
+    return evaluate_sequence_score(table, found, F.lit(dataset), m, w, pred, correct_fn)
 
 
 def evaluate_scored(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -72,13 +93,12 @@ def evaluate_scored(scored: DataFrame, keys: list[str] | None = None) -> DataFra
 
 
 def evaluate_learned_score(results: DataFrame, logits: DataFrame, embeddings: DataFrame, weights: np.ndarray,
-                           dataset: Column, topk_worst: int = HEAP_DEFAULT, pred: str = "answer_0") -> DataFrame:
+                           dataset: Column, topk_worst: int = HEAP_DEFAULT, pred: str = "answer_0",
+                           correct_fn: CorrectFn | None = None) -> DataFrame:
     """Result + logits + embeddings + weights → metrics of the learned score. Rows pair by key."""
     labels = lab.compute_labels(results, logits, "topm_norm", topk_worst=topk_worst)
     scored = mlp_score(embeddings, {0: weights}).select("row_id", "unc")
-    slim = results.select("row_id", F.col("label").alias("truth"), F.col(pred).alias("__pred"), dataset.alias("__d"))
-    flags = with_correct(slim, F.col("__d"), "truth", "__pred").select("row_id", "ok")
-    table = attach_correct_flags(labels.join(scored, "row_id"), flags)
+    table = attach_correct_flags(labels.join(scored, "row_id"), flags(results, dataset, pred, correct_fn))
     return evaluate_scored(stored(table, "scored"))
 
 
@@ -97,13 +117,14 @@ def encode_dataset(spark: SparkSession, stems: dict[str, list[str]], out: str, e
 def infer_corpus(corpus: DataFrame, root: str, predictor: Callable, split: str = "train", method: str = "raw",
                  n_responses: int = 1, n_per_shard: int = 10_000, validation: DataFrame | None = None) -> DataFrame:
     """Corpus → prompts → answers and logits in resumable shards. Returns the manifest."""
-    samples = number_samples(corpus_split(corpus, split, method, validation)).select("row_id", "prompt", "label")
+    # stored once, in order of row_id: counted, and read by each wave in its own range
+    samples = stored(numbered_samples(corpus, split, method, validation).select("row_id", "prompt", "label"), "samples")
     answers = [f"{f}_{i}" for i in range(n_responses)
                for f in ("generated_text", "answer", "answer_token_index", "answer_token_topk_logits")]
     return resumable_sharded_write(
         samples,
         root,
-        lambda rows: infer_wide(rows, predictor, n_responses, keys=["row_id", "shard_idx"]),
+        lambda rows: infer_wide(rows, predictor, n_responses),
         [*RESULT_COLUMNS, *answers],
         [f"gen_topk_logits_{i}" for i in range(n_responses)],
         n_per_shard,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,15 +15,24 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) does a temporary folder take its place.
+    Only on a local master may a temporary folder take its place; on a cluster each executor would
+    write to its own disk, so a missing setting is an error there.
     """
     context = spark.sparkContext
-    base = spark.conf.get(_CHECKPOINT_KEY, None)
+    base = spark.conf.get(_CHECKPOINT_KEY, None) or context.getCheckpointDir()
+    if base is None and not re.match(r"local(\[|$)", context.master):
+        raise ValueError(f"{_CHECKPOINT_KEY} must name a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base or tempfile.mkdtemp(prefix="doubtscope-"))
     return (base or context.getCheckpointDir()).rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a temporary table, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

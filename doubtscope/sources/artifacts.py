@@ -21,8 +21,21 @@ def write_result_tables(out: DataFrame, root: str, result_columns: list[str], lo
 
 
 def write_embeddings(df: DataFrame, path: str) -> None:
-    """Store (row_id, prompt, label, embedding); nothing happens when the table is there."""
-    df.write.mode("ignore").parquet(path)
+    """Store (row_id, prompt, label, embedding) unless it is there whole.
+
+    A table counts as whole if its completion marker gives the number of rows it holds; anything
+    else, such as what a crashed write left, is overwritten.
+    """
+    spark = df.sparkSession
+    marker = read_if_there(spark, f"{path}.complete", "n bigint")
+    promised = marker.first() if marker is not None else None
+    if promised is not None:
+        there = read_if_there(spark, path, "row_id bigint")
+        if there is not None and there.count() == promised["n"]:
+            return
+    df.write.mode("overwrite").parquet(path)
+    done = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+    done.coalesce(1).write.mode("overwrite").parquet(f"{path}.complete")
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:

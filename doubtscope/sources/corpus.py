@@ -6,23 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doubtscope.functions.text import STEPWISE_SUFFIX, STORY_CONFIG
-from doubtscope.operators.prefix import dense_index
-from doubtscope.operators.prompts import explode_qa, positional_split
+from doubtscope.operators.prefix import running_totals
+from doubtscope.operators.prompts import explode_qa, n_pairs, positional_split
 from doubtscope.sources.sharded import read_sharded
 
 CORPUS_SCHEMA = "source string, story string, questions array<string>, answers struct<input_text: array<string>>"
 
 
-def corpus_split(train: DataFrame, split: str, method: str = "raw", validation: DataFrame | None = None,
-                 config: dict | None = STORY_CONFIG) -> DataFrame:
-    """Prompt samples of a split: test is the validation table, train and val are row ranges of train."""
+def split_rows(train: DataFrame, split: str, validation: DataFrame | None = None) -> DataFrame:
+    """Corpus rows of a split: test is the validation table, train and val are row ranges of train."""
     if split == "test":
         if validation is None:
             raise ValueError("the test split needs the validation table")
-        rows = validation
-    else:
-        rows = positional_split(train, split)
-    return explode_qa(rows, config, STEPWISE_SUFFIX if method == "cot" else "")
+        return validation
+    return positional_split(train, split)
+
+
+def corpus_split(train: DataFrame, split: str, method: str = "raw", validation: DataFrame | None = None,
+                 config: dict | None = STORY_CONFIG) -> DataFrame:
+    """Prompt samples of a split."""
+    return explode_qa(split_rows(train, split, validation), config, STEPWISE_SUFFIX if method == "cot" else "")
 
 
 def read_corpus_split(spark: SparkSession, path: str, split: str, method: str = "raw") -> DataFrame:
@@ -32,9 +35,16 @@ def read_corpus_split(spark: SparkSession, path: str, split: str, method: str =
     return corpus_split(rows, split, method, validation=rows)
 
 
-def number_samples(samples: DataFrame, per_row: int = 1 << 20) -> DataFrame:
-    """Dense ``row_id`` over exploded samples, ordered by (corpus row, pair). Corpus row → ``corpus_row``."""
-    keyed = samples.withColumnRenamed("row_id", "corpus_row").withColumn(
-        "__k", F.col("corpus_row") * per_row + F.col("qa_idx")
-    )
-    return dense_index(keyed, "__k", "row_id").drop("__k")
+def numbered_samples(train: DataFrame, split: str, method: str = "raw", validation: DataFrame | None = None,
+                     config: dict | None = STORY_CONFIG) -> DataFrame:
+    """Prompt samples of a split with a dense ``row_id`` in order of (corpus row, pair); the corpus row
+    is ``corpus_row``.
+
+    Numbered by running counts of pairs, two numbers per story: the rendered prompts, which repeat
+    the story for each question, are never shuffled.
+    """
+    rows = split_rows(train, split, validation).withColumnRenamed("row_id", "corpus_row").withColumn("__n", n_pairs())
+    counted = running_totals(rows.select("corpus_row", "__n"), [], "corpus_row", {"pairs": "__n"})
+    first = counted.select("corpus_row", (F.col("cum_pairs") - F.col("__n")).alias("__first"))
+    samples = explode_qa(rows.join(first, "corpus_row"), config, STEPWISE_SUFFIX if method == "cot" else "", row_id="corpus_row", keep=("__first",))
+    return samples.withColumn("row_id", F.col("__first") + F.col("qa_idx")).drop("__first")

@@ -1,8 +1,8 @@
 """Resumable writes in shards of a fixed number of rows.
 
-A manifest table says which shards are whole. A run processes the other shards only, replaces their
-partitions, checks the row counts of what was written and then appends to the manifest, so a run
-that dies anywhere can simply be started again.
+A manifest table says which shards are whole. A run processes the other shards only, some at a time,
+replaces their partitions, checks the row counts of what was written and then appends to the
+manifest, so a run that dies anywhere can simply be started again and keeps what was finished.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doubtscope.session import fresh_path, stored
+from doubtscope.session import fresh_path, remove
 
 ROWS_PER_SHARD_DEFAULT = 10_000
 MANIFEST = (
@@ -85,13 +85,9 @@ def _check_plan(spark: SparkSession, root: str, n_total: int, n_shards: int, n_p
 
 
 def write_partitions(df: DataFrame, path: str, key: str = "shard_idx") -> None:
-    """Replace the partitions of ``key`` that occur in df and leave the others alone.
-
-    A task writes chunks of 10,000 row numbers, so one shard of any size is written by many tasks.
-    """
+    """Replace the partitions of ``key`` that occur in df and leave the others alone; no row moves."""
     (
-        df.repartition(key, F.expr(f"row_id div {ROWS_PER_SHARD_DEFAULT}") if "row_id" in df.columns else F.lit(0))
-        .sortWithinPartitions(key, *(["row_id"] if "row_id" in df.columns else []))
+        df.sortWithinPartitions(key, *(["row_id"] if "row_id" in df.columns else []))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(key)
@@ -99,6 +95,46 @@ def write_partitions(df: DataFrame, path: str, key: str = "shard_idx") -> None:
     )
 
 
+def _counts(spark: SparkSession, path: str, shards: list[int], name: str) -> DataFrame:
+    table = spark.read.schema("row_id bigint, shard_idx int").parquet(path)
+    return table.filter(F.col("shard_idx").isin(shards)).groupBy("shard_idx").agg(F.count(F.lit(1)).alias(name))
+
+
+def _run_wave(samples, shards, root, produce, result_columns, logit_columns, n_per_shard, chunk_rows) -> None:
+    """Predict, write and record some shards; whole ones are recorded even if others are not."""
+    spark = samples.sparkSession
+    low, high = min(shards) * n_per_shard, (max(shards) + 1) * n_per_shard
+    rows = with_shard(samples.filter((F.col("row_id") >= low) & (F.col("row_id") < high)), n_per_shard)
+    chunks = len(shards) * -(-n_per_shard // chunk_rows)
+    # prompts, not logits, are dealt to the tasks: a task's output then holds whole chunks of shards
+    dealt = rows.filter(F.col("shard_idx").isin(shards)).repartition(chunks, "shard_idx", F.expr(f"row_id div {chunk_rows}"))
+    # a predictor may be random and is dear: its output is stored once, both tables come from it
+    staged = fresh_path(spark, "staged")
+    try:
+        produce(dealt).write.parquet(staged)
+        out = spark.read.parquet(staged)
+        for table, columns in (("results", result_columns), ("logits", logit_columns)):
+            write_partitions(out.select("row_id", "shard_idx", *columns), f"{root}/{table}")
+    finally:
+        remove(spark, staged)
+    n_total = spark.read.schema(PLAN).parquet(f"{root}/plan").first()["n_total"]
+    status = (
+        shard_plan(spark, n_total, n_per_shard)
+        .filter(F.col("shard_idx").isin(shards))
+        .join(_counts(spark, f"{root}/results", shards, "written_rows_results"), "shard_idx", "left")
+        .join(_counts(spark, f"{root}/logits", shards, "written_rows_logits"), "shard_idx", "left")
+    )
+    whole = (F.col("written_rows_results") == F.col("expected_rows")) & (F.col("written_rows_logits") == F.col("expected_rows"))
+    columns = [c.split()[0] for c in MANIFEST.split(", ")]
+    told = status.withColumn("completed", F.coalesce(whole, F.lit(False))).select(*columns).coalesce(1).collect()
+    good = [r for r in told if r["completed"]]
+    if good:
+        spark.createDataFrame(good, MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    bad = sorted(r["shard_idx"] for r in told if not r["completed"])
+    if bad:
+        raise RuntimeError(f"shards {bad[:20]} were not written whole")
+
+
 def resumable_sharded_write(
     samples: DataFrame,
     root: str,
@@ -106,47 +142,48 @@ def resumable_sharded_write(
     result_columns: list[str],
     logit_columns: list[str],
     n_per_shard: int = ROWS_PER_SHARD_DEFAULT,
+    shards_per_wave: int = 8,
+    chunk_rows: int = 1000,
 ) -> DataFrame:
     """Run ``produce`` on the rows of pending shards and store results and logits by shard.
 
-    ``samples`` has a dense ``row_id``; ``produce`` keeps it and may add rows per sample only if the
-    counts are per sample again (responses as columns). Returns the manifest.
+    ``samples`` has a dense ``row_id``; ``produce`` keeps it and ``shard_idx`` and gives one row per
+    sample (responses as columns), without moving rows. Pending shards are done in waves of
+    ``shards_per_wave``; each wave is predicted, written, counted and added to the manifest before
+    the next. If a wave fails, its unfinished shards are tried one by one, so that only bad shards
+    stay open; the first error is raised when all others are done. Returns the manifest.
     """
     spark = samples.sparkSession
     n_total = samples.count()
     n_shards = -(-n_total // n_per_shard)
     _check_plan(spark, root, n_total, n_shards, n_per_shard)
     plan = shard_plan(spark, n_total, n_per_shard)
-    results, logits = f"{root}/results", f"{root}/logits"
-    manifest = read_if_there(spark, f"{root}/manifest", MANIFEST)
-    if manifest is None:
-        manifest = spark.createDataFrame([], MANIFEST)
-    done = complete_shards(manifest, read_if_there(spark, results), read_if_there(spark, logits))
-    # stored, because the tables it is read from are about to change
-    pending = stored(pending_shards(plan, done), "pending")
-    if not pending.isEmpty():
-        rows = with_shard(samples, n_per_shard).join(pending.select("shard_idx"), "shard_idx", "left_semi")
-        # a predictor may be random and is dear: its output is stored once, both tables come from it
-        staged = fresh_path(spark, "staged")
-        produce(rows).write.parquet(staged)
-        out = spark.read.parquet(staged)
-        write_partitions(out.select("row_id", "shard_idx", *result_columns), results)
-        write_partitions(out.select("row_id", "shard_idx", *logit_columns), logits)
-        written = [
-            spark.read.parquet(t).groupBy("shard_idx").agg(F.count(F.lit(1)).alias(n))
-            for t, n in ((results, "written_rows_results"), (logits, "written_rows_logits"))
-        ]
-        status = pending.join(written[0], "shard_idx", "left").join(written[1], "shard_idx", "left")
-        status = status.withColumn(
-            "completed",
-            F.coalesce(
-                (F.col("written_rows_results") == F.col("expected_rows"))
-                & (F.col("written_rows_logits") == F.col("expected_rows")),
-                F.lit(False),
-            ),
-        ).select("shard_idx", "n_shards", "start", "end", "expected_rows", "written_rows_results", "written_rows_logits", "completed")
-        bad = [r["shard_idx"] for r in status.filter("not completed").select("shard_idx").limit(20).collect()]
-        if bad:
-            raise RuntimeError(f"shards {bad} were not written whole")
-        status.write.mode("append").parquet(f"{root}/manifest")
-    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
+
+    def pending() -> list[int]:
+        manifest = read_if_there(spark, f"{root}/manifest", MANIFEST)
+        if manifest is None:
+            manifest = spark.createDataFrame([], MANIFEST)
+        tables = [read_if_there(spark, f"{root}/{t}", "row_id bigint, shard_idx int") for t in ("results", "logits")]
+        done = complete_shards(manifest, *tables)
+        return sorted(r["shard_idx"] for r in pending_shards(plan, done).select("shard_idx").collect())
+
+    errors: list[Exception] = []
+
+    def attempt(shards: list[int]) -> None:
+        try:
+            _run_wave(samples, shards, root, produce, result_columns, logit_columns, n_per_shard, chunk_rows)
+        except Exception as e:  # noqa: BLE001  kept and raised when the other shards are done
+            if len(shards) == 1:
+                errors.append(e)
+                return
+            still = set(pending())
+            for shard in (s for s in shards if s in still):
+                attempt([shard])
+
+    todo = pending()
+    for at in range(0, len(todo), shards_per_wave):
+        attempt(todo[at : at + shards_per_wave])
+    if errors:
+        raise errors[0]
+    found = read_if_there(spark, f"{root}/manifest", MANIFEST)
+    return found if found is not None else spark.createDataFrame([], MANIFEST)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doubtscope.session import fresh_path
+from doubtscope.session import fresh_path, remove
 from doubtscope.sources.shards import write_partitions
 
 
@@ -27,12 +27,15 @@ def stream_resumable_score(
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         staged = fresh_path(spark, "staged")
-        produce(batch.withColumn("shard_idx", F.lit(int(batch_id)))).write.parquet(staged)
-        out = spark.read.parquet(staged)
-        write_partitions(out.select("row_id", "shard_idx", *result_columns), f"{root}/results")
-        write_partitions(out.select("row_id", "shard_idx", *logit_columns), f"{root}/logits")
-        status = out.groupBy("shard_idx").agg(F.count(F.lit(1)).alias("written_rows")).withColumn("completed", F.lit(True))
-        write_partitions(status, f"{root}/manifest")
+        try:
+            produce(batch.withColumn("shard_idx", F.lit(int(batch_id)))).write.parquet(staged)
+            out = spark.read.parquet(staged)
+            write_partitions(out.select("row_id", "shard_idx", *result_columns), f"{root}/results")
+            write_partitions(out.select("row_id", "shard_idx", *logit_columns), f"{root}/logits")
+            status = out.groupBy("shard_idx").agg(F.count(F.lit(1)).alias("written_rows")).withColumn("completed", F.lit(True))
+            write_partitions(status, f"{root}/manifest")
+        finally:
+            remove(spark, staged)
 
     return (
         stream.writeStream.foreachBatch(sink)

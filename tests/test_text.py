@@ -101,3 +101,12 @@ def test_flatten_chat(spark):
     ddl = "p array<struct<role:string,content:string>>"
     assert first(spark, ([("user", "a"), ("assistant", None), ("user", "b")],), ddl, tx.flatten_chat(F.col("p")).alias("r"))["r"] == "a  b"
     assert first(spark, (None,), ddl, tx.flatten_chat(F.col("p")).alias("r"))["r"] == ""
+
+
+def test_list_answers_by_dataset(spark):
+    rows = [("mmlu", ["b", "a", None], ["a", "b"]), ("mmlu", ["a"], ["b"]), ("coqa", ["the", "red", "fox"], ["fox", "red"]), ("coqa", ["x"], ["y"]), ("mmlu", None, ["a"]), (None, ["a"], ["a"])]
+    df = spark.createDataFrame(rows, "d string, label array<string>, pred array<string>")
+    got = [r["ok"] for r in tx.with_correct(df, F.col("d"), "label", "pred").collect()]
+    assert got == [True, False, True, False, False, True]
+    mixed = spark.createDataFrame([("mmlu", ["a"], "a"), ("mmlu", ["a", "b"], "a"), ("nq", ["tall", "tower"], "tall tower")], "d string, label array<string>, pred string")
+    assert [r["ok"] for r in tx.with_correct(mixed, F.col("d"), "label", "pred").collect()] == [True, False, True]
