@@ -128,25 +128,44 @@ def patience_from_topk(seq: Column, m: int = HEAP_DEFAULT, w: int = PATIENCE_DEF
 def running_floor(scores: Column, m: int = HEAP_DEFAULT) -> Column:
     """Per token: score, the m-th highest score before it (null while fewer), and whether it counts.
 
-    Returns ``array<struct<score, floor, updates>>``.
+    Returns ``array<struct<score, floor, updates>>``. The fold keeps only the tokens that count, which
+    are few unless scores keep rising; the tokens between two of them share a floor and are filled
+    in afterwards, so the work grows with the sequence and not with its square.
     """
     _check(m, 1)
-    row = "array<struct<score:double,floor:double,updates:boolean>>"
+    change = "array<struct<at:int,before:double,after:double>>"
     init = F.struct(
-        F.array().cast("array<double>").alias("top"), F.array().cast(row).alias("rows")
+        F.lit(0).alias("at"), F.array().cast("array<double>").alias("top"), F.array().cast(change).alias("changes")
     )
 
     def visit(acc: Column, x: Column) -> Column:
         top = acc["top"]
         full = F.size(top) >= m
-        floor = F.when(full, F.get(top, F.lit(0)))
         beats = ~full | ((x > F.get(top, F.lit(0))) & ~F.isnan(x))
         base = F.when(full, F.slice(top, 2, m - 1) if m > 1 else F.array().cast("array<double>")).otherwise(top)
-        after = F.when(beats, F.sort_array(F.concat(base, F.array(x)))).otherwise(top)
-        entry = F.struct(x.alias("score"), floor.alias("floor"), beats.alias("updates"))
-        return F.struct(after.alias("top"), F.concat(acc["rows"], F.array(entry)).alias("rows"))
+        after = F.sort_array(F.concat(base, F.array(x)))
+        floor = F.when(full, F.get(top, F.lit(0)))
+        entry = F.struct(acc["at"].alias("at"), floor.alias("before"), F.when(F.size(after) >= m, F.get(after, F.lit(0))).alias("after"))
+        return F.struct(
+            (acc["at"] + 1).alias("at"),
+            F.when(beats, after).otherwise(top).alias("top"),
+            F.when(beats, F.concat(acc["changes"], F.array(entry)).cast(change)).otherwise(acc["changes"]).alias("changes"),
+        )
+
+    def fill(acc: Column) -> Column:
+        """(floor, updates) of every token: the changing one, then its followers up to the next change."""
 
-    return F.aggregate(scores, init, visit, lambda a: a["rows"])
+        def stretch(c: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(acc["changes"], k + 1)["at"], acc["at"])
+            rest = F.struct(c["after"].alias("floor"), F.lit(False).alias("updates"))
+            return F.concat(F.array(F.struct(c["before"].alias("floor"), F.lit(True).alias("updates"))), F.array_repeat(rest, end - c["at"] - 1))
+
+        return F.flatten(F.transform(acc["changes"], stretch))
+
+    filled = F.aggregate(scores, init, visit, fill)
+    return F.zip_with(
+        scores, filled, lambda x, f: F.struct(x.alias("score"), f["floor"].alias("floor"), f["updates"].alias("updates"))
+    )
 
 
 def patience_trace(scores: Column, m: int = HEAP_DEFAULT, w: int = PATIENCE_DEFAULT) -> Column:

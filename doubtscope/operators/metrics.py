@@ -60,13 +60,16 @@ def finite_only(df: DataFrame, unc: str = "unc") -> DataFrame:
 
 
 def score_cells(df: DataFrame, keys: list[str], unc: str = "unc", ok: str = "ok") -> DataFrame:
-    """One row per (keys, score): ``n_wrong``, ``n_right`` (finite scores) and ``n_any`` (non-null)."""
+    """One row per (keys, score): ``n_wrong``, ``n_right`` (finite scores), ``n_any`` (non-null scores),
+    and ``w_all``, ``r_all``, the wrong and right rows whatever their score."""
     x = f"cast(`{unc}` as double)"
     finite = f"{x} is not null and not isnan({x}) and abs({x}) <> double('infinity')"
     return df.groupBy(*keys, F.expr(f"{x} as score")).agg(
         F.expr(f"count_if({finite} and not `{ok}`) as n_wrong"),
         F.expr(f"count_if({finite} and `{ok}`) as n_right"),
         F.expr(f"count({x}) as n_any"),
+        F.expr(f"count_if(not `{ok}`) as w_all"),
+        F.expr(f"count_if(`{ok}`) as r_all"),
     )
 
 
@@ -74,7 +77,7 @@ def ranked_cells(df: DataFrame, keys: list[str], unc: str = "unc", ok: str = "ok
     """Cells with ascending running counts (``cum_*``) and group totals (``all_*``)."""
     # The filter is always true and there for its columns: each of the three readers of the cells
     # then needs all of them, so none prunes one, the shuffle is reused and the source scanned once.
-    cells = score_cells(df, keys, unc, ok).filter("n_wrong + n_right + n_any >= 0")
+    cells = score_cells(df, keys, unc, ok).filter("n_wrong + n_right + n_any + w_all + r_all >= 0")
     return running_totals(
         cells,
         keys,
@@ -85,7 +88,7 @@ def ranked_cells(df: DataFrame, keys: list[str], unc: str = "unc", ok: str = "ok
     )
 
 
-def _metric_columns(with_threshold: bool) -> list[Column]:
+def _metric_columns(with_threshold: bool, at: float | None = None) -> list[Column]:
     """The aggregates over ranked cells from which every metric is finished.
 
     Finding where J is highest needs a struct buffer and so a sorted aggregate; J alone does not.
@@ -104,6 +107,14 @@ def _metric_columns(with_threshold: bool) -> list[Column]:
         f"sum({wins}) as wins",
         f"sum(if({_SEEN}, cum_right / ({_UPTO}) * {cuts}, null)) as covered",
     ]
+    if at is not None:
+        # at a given threshold every row counts; a null score is on neither side, NaN above all
+        columns += [
+            "sum(w_all) as w_rows",
+            "sum(r_all) as r_rows",
+            f"sum(if(score >= {at!r}D, w_all, 0L)) as caught",
+            f"sum(if(score < {at!r}D, r_all, 0L)) as passed",
+        ]
     if with_threshold:
         columns.append(f"max(if({_SEEN}, struct({_YOUDEN} as j, score as at), null)) as best")
     return [F.expr(c) for c in columns]
@@ -124,6 +135,7 @@ _FINISHED = {
     "n_ranked": "coalesce(p + n, 0L)",
     "n_wrong": "coalesce(p, 0L)",
 }
+_AT_THRESHOLD = "if(w_rows > 0 and r_rows > 0, (caught / w_rows + passed / r_rows) / 2, null)"
 
 
 def detection_table(
@@ -132,15 +144,20 @@ def detection_table(
     unc: str = "unc",
     ok: str = "ok",
     metrics: list[str] | None = None,
+    at: float | None = None,
 ) -> DataFrame:
-    """One row per group with the named metrics; the source is read once for all of them."""
+    """One row per group with the named metrics; the source is read once for all of them.
+
+    With ``at``, ``balanced_acc`` is taken at that threshold, over all rows, and null for one class.
+    """
     keys = keys or []
     names = metrics or list(_FINISHED)
+    finished = _FINISHED if at is None else _FINISHED | {"balanced_acc": _AT_THRESHOLD}
     return (
         ranked_cells(df, keys, unc, ok)
         .groupBy(*keys)
-        .agg(*_metric_columns("threshold" in names))
-        .selectExpr(*keys, *[f"{_FINISHED[m]} as {m}" for m in names])
+        .agg(*_metric_columns("threshold" in names, None if at is None else float(at)))
+        .selectExpr(*keys, *[f"{finished[m]} as {m}" for m in names])
     )
 
 

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 
 def _edge_bits(df: DataFrame) -> int:
-    """Number of range edges is 2**bits - 1: at least one range per shuffle partition, at most 1024."""
+    """Number of range edges is 2**bits - 1: at least one range per shuffle partition, so ranges shrink
+    as partitions are added."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(3, min(10, (partitions - 1).bit_length()))
+    return max(3, (partitions - 1).bit_length())
 
 
 def with_ranges(df: DataFrame, order: str, keep: str | None = None) -> DataFrame:
@@ -26,7 +27,7 @@ def with_ranges(df: DataFrame, order: str, keep: str | None = None) -> DataFrame
     bits = _edge_bits(df)
     shares = ", ".join(str(i / (1 << bits)) for i in range(1, 1 << bits))
     sample = df.filter(keep) if keep else df
-    edges = sample.select(F.expr(f"percentile_approx({order}, array({shares}), 10000) as edges"))
+    edges = sample.select(F.expr(f"percentile_approx({order}, array({shares}), {max(10000, 16 << bits)}) as edges"))
     steps = ", ".join(str(1 << b) for b in reversed(range(bits)))
     search = f"aggregate(array({steps}), 0, (a, s) -> if(get(__edges, a + s - 1) < {order}, a + s, a))"
     return df.withColumn("__edges", edges.scalar()).withColumn("__range", F.expr(search)).drop("__edges")

@@ -55,26 +55,9 @@ def resample_metrics(
         n_resamples = 0
     draws = resample_draws(df.sparkSession, max(n_rows, 1), n_resamples, seed)
     drawn = draws.join(indexed, "row_index").select("resample", "unc", "ok")
-    table = detection_table(
-        drawn, ["resample"], metrics=[*METRICS, "n_ranked", "n_wrong"]
-    ).filter((F.col("n_wrong") > 0) & (F.col("n_wrong") < F.col("n_ranked")))
-    if threshold is None:
-        return table.select("resample", *METRICS)
-    at = drawn.groupBy("resample").agg(
-        *[
-            F.count_if(cond).alias(name)
-            for name, cond in {
-                "p": ~F.col("ok"),
-                "n": F.col("ok"),
-                "tp": ~F.col("ok") & (F.col("unc") >= threshold),
-                "tn": F.col("ok") & ~(F.col("unc") >= threshold),
-            }.items()
-        ]
-    )
-    fixed = at.filter((F.col("p") > 0) & (F.col("n") > 0)).select(
-        "resample", ((F.col("tp") / F.col("p") + F.col("tn") / F.col("n")) / 2).alias("balanced_acc")
-    )
-    return table.drop("balanced_acc").join(fixed, "resample").select("resample", *METRICS)
+    table = detection_table(drawn, ["resample"], metrics=[*METRICS, "n_ranked", "n_wrong"], at=threshold)
+    both = table.filter((F.col("n_wrong") > 0) & (F.col("n_wrong") < F.col("n_ranked")))
+    return both.select("resample", *METRICS)
 
 
 def _rounded(c: Column) -> Column:

@@ -84,8 +84,8 @@ class Trained:
 def grid_runs(grid: dict | None = None, seed: int = 0, **fixed) -> list[Run]:
     """Every combination of the grid, in order, each with its own seed."""
     grid = grid or GRID
-    seeds = np.random.default_rng(seed).integers(0, 10001, size=10**4)
-    combos = itertools.product(*grid.values())
+    combos = list(itertools.product(*grid.values()))
+    seeds = np.random.default_rng(seed).integers(0, 10001, size=len(combos))
     return [
         Run(run_id=i, seed=int(seeds[i]), **dict(zip(grid, c)), **fixed) for i, c in enumerate(combos)
     ]
