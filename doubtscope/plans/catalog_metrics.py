@@ -151,37 +151,33 @@ long AS (SELECT 'auroc' AS metric, auroc AS v FROM vals UNION ALL SELECT 'aurac'
          UNION ALL SELECT 'balanced_acc', balanced_acc FROM vals)"""
 
 
-# one score per user, so that every event counts and the resamples stay small
-_USER_SQL = """users AS (SELECT user_id AS row_id, CAST(floor(avg(value) * 10) AS DOUBLE) AS unc,
-    count(*) FILTER (event_type = 'purchase') >= count(*) FILTER (event_type = 'error') AS ok FROM events GROUP BY user_id)"""
+_EVENT_SQL = """answers AS (SELECT event_id AS row_id, CAST(floor(value) AS DOUBLE) AS unc, event_type <> 'error' AS ok FROM events)"""
 
 
-def _users(spark, sf):
-    kind = F.col("event_type")
-    return table(spark, sf, "events").groupBy(F.col("user_id").alias("row_id")).agg(
-        F.floor(F.avg("value") * 10).cast("double").alias("unc"),
-        (F.count_if(kind == "purchase") >= F.count_if(kind == "error")).alias("ok"),
+def _answers(spark, sf):
+    return table(spark, sf, "events").select(
+        F.col("event_id").alias("row_id"), F.floor("value").cast("double").alias("unc"), (F.col("event_type") != "error").alias("ok")
     )
 
 
 @query(
     "bootstrap_metrics",
-    f"""WITH {_USER_SQL}, {_boot_sql(1000, 0, 'users', None)}
+    f"""WITH {_EVENT_SQL}, {_boot_sql(1000, 0, 'answers', None)}
         SELECT metric, round(avg(v), 3) AS mean, round(stddev_pop(v), 3) AS std FROM long GROUP BY metric""",
 )
 def bootstrap_metrics(spark, sf):
-    return rs.bootstrap_metrics(_users(spark, sf), "row_id", n_resamples=1000, seed=0)
+    return rs.bootstrap_metrics(_answers(spark, sf), "row_id", n_resamples=1000, seed=0)
 
 
 @query(
     "bootstrap_ci",
-    f"""WITH {_USER_SQL}, {_boot_sql(1000, 7, 'users', 650.0)}
+    f"""WITH {_EVENT_SQL}, {_boot_sql(1000, 7, 'answers', 60.0)}
         SELECT metric, round(avg(v), 3) AS mean, round(stddev_pop(v), 3) AS std,
                round(quantile_cont(v, 0.025), 3) AS ci_low, round(quantile_cont(v, 0.975), 3) AS ci_high
         FROM long GROUP BY metric""",
 )
 def bootstrap_ci(spark, sf):
-    return rs.bootstrap_ci(_users(spark, sf), "row_id", n_resamples=1000, seed=7, threshold=650.0)
+    return rs.bootstrap_ci(_answers(spark, sf), "row_id", n_resamples=1000, seed=7, threshold=60.0)
 
 
 def _runs(spark, sf):
