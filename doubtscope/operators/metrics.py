@@ -88,7 +88,7 @@ def ranked_cells(df: DataFrame, keys: list[str], unc: str = "unc", ok: str = "ok
     )
 
 
-def _metric_columns(with_threshold: bool, at: float | None = None) -> list[Column]:
+def _metric_columns(with_threshold: bool, at: str | None = None) -> list[Column]:
     """The aggregates over ranked cells from which every metric is finished.
 
     Finding where J is highest needs a struct buffer and so a sorted aggregate; J alone does not.
@@ -112,8 +112,8 @@ def _metric_columns(with_threshold: bool, at: float | None = None) -> list[Colum
         columns += [
             "sum(w_all) as w_rows",
             "sum(r_all) as r_rows",
-            f"sum(if(score >= {at!r}D, w_all, 0L)) as caught",
-            f"sum(if(score < {at!r}D, r_all, 0L)) as passed",
+            f"sum(if(score >= {at}, w_all, 0L)) as caught",
+            f"sum(if(score < {at}, r_all, 0L)) as passed",
         ]
     if with_threshold:
         columns.append(f"max(if({_SEEN}, struct({_YOUDEN} as j, score as at), null)) as best")
@@ -144,11 +144,12 @@ def detection_table(
     unc: str = "unc",
     ok: str = "ok",
     metrics: list[str] | None = None,
-    at: float | None = None,
+    at: float | str | None = None,
 ) -> DataFrame:
     """One row per group with the named metrics; the source is read once for all of them.
 
-    With ``at``, ``balanced_acc`` is taken at that threshold, over all rows, and null for one class.
+    With ``at``, ``balanced_acc`` is taken at that threshold (a number, or SQL over the keys), over
+    all rows, and null for one class.
     """
     keys = keys or []
     names = metrics or list(_FINISHED)
@@ -156,7 +157,7 @@ def detection_table(
     return (
         ranked_cells(df, keys, unc, ok)
         .groupBy(*keys)
-        .agg(*_metric_columns("threshold" in names, None if at is None else float(at)))
+        .agg(*_metric_columns("threshold" in names, f"double('{at}')" if isinstance(at, float | int) else at))
         .selectExpr(*keys, *[f"{finished[m]} as {m}" for m in names])
     )
 

@@ -60,15 +60,56 @@ def resample_metrics(
     return both.select("resample", *METRICS)
 
 
+def resample_runs(
+    scored: DataFrame, order: str, seeds: dict[int, int], thresholds: dict[int, float], n_resamples: int = RESAMPLES_DEFAULT
+) -> DataFrame:
+    """auroc, aurac, balanced_acc per run and resample of (run_id, order, unc, ok), all runs in one job.
+
+    Every run scores the same rows; each has its own seed and its own threshold for balanced accuracy.
+    """
+    spark = scored.sparkSession
+    index = stored(dense_index(scored.select(F.col(order).alias("__order")).distinct(), "__order", "row_index"), "resample-index")
+    n_rows = index.count()
+    rows = scored.join(index, F.col(order) == F.col("__order")).select("run_id", "row_index", F.col("unc").cast("double").alias("unc"), "ok")
+    rows = stored(rows, "resample-rows")
+    runs = sorted(seeds)
+    per_run = n_resamples * n_rows if n_rows > 1 else 0
+    n = F.lit(max(n_rows, 1)).cast("bigint")
+    at = F.expr(f"int(id div {max(per_run, 1)}L)")
+    numbered = spark.range(0, len(runs) * per_run).select(
+        F.get(F.lit(runs), at).alias("run_id"),
+        F.get(F.lit([seeds[r] for r in runs]), at).alias("seed"),
+        F.expr(f"id % {max(per_run, 1)}L div {max(n_rows, 1)}L").alias("resample"),
+        (F.col("id") % n).alias("at"),
+    )
+    draws = numbered.select("run_id", "resample", draw_below(n, F.col("seed"), F.col("resample"), F.col("at")).alias("row_index"))
+    drawn = draws.join(rows, ["run_id", "row_index"]).select("run_id", "resample", "unc", "ok")
+    cuts = ", ".join(f"{r}, double('{thresholds[r]}')" for r in runs)
+    table = detection_table(drawn, ["run_id", "resample"], metrics=[*METRICS, "n_ranked", "n_wrong"], at=f"element_at(map({cuts}), run_id)")
+    both = table.filter((F.col("n_wrong") > 0) & (F.col("n_wrong") < F.col("n_ranked")))
+    return both.select("run_id", "resample", *METRICS)
+
+
 def _rounded(c: Column) -> Column:
     return F.coalesce(F.round(c, 3), F.lit(NAN))
 
 
-def _per_metric(values: DataFrame, shape) -> DataFrame:
-    """One row per metric. The aggregate has no key, so there is a row even without resamples."""
-    one = values.agg(*[shape(F.col(m)).alias(m) for m in METRICS])
+def _per_metric(values: DataFrame, shape, keys: list[str] | None = None) -> DataFrame:
+    """One row per metric (and key). Without keys there is a row even without resamples."""
+    keys = keys or []
+    one = values.groupBy(*keys).agg(*[shape(F.col(m)).alias(m) for m in METRICS])
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("r")) for m in METRICS])
-    return one.select(F.explode(rows).alias("m")).select("m.metric", "m.r.*")
+    return one.select(*keys, F.explode(rows).alias("m")).select(*keys, "m.metric", "m.r.*")
+
+
+def _interval(v: Column) -> Column:
+    v = F.when(~F.isnan(v), v)
+    return F.struct(
+        _rounded(F.avg(v)).alias("mean"),
+        _rounded(F.stddev_pop(v)).alias("std"),
+        _rounded(F.percentile(v, F.lit(0.025))).alias("ci_low"),
+        _rounded(F.percentile(v, F.lit(0.975))).alias("ci_high"),
+    )
 
 
 def bootstrap_metrics(df: DataFrame, order: str, **how) -> DataFrame:
@@ -81,17 +122,13 @@ def bootstrap_metrics(df: DataFrame, order: str, **how) -> DataFrame:
 
 def bootstrap_ci(df: DataFrame, order: str, finite: bool = False, **how) -> DataFrame:
     """As ``bootstrap_metrics`` with the 2.5 and 97.5 percentiles; NaN results are left out."""
+    return _per_metric(resample_metrics(df, order, finite=finite, **how), _interval)
 
-    def shape(v: Column) -> Column:
-        v = F.when(~F.isnan(v), v)
-        return F.struct(
-            _rounded(F.avg(v)).alias("mean"),
-            _rounded(F.stddev_pop(v)).alias("std"),
-            _rounded(F.percentile(v, F.lit(0.025))).alias("ci_low"),
-            _rounded(F.percentile(v, F.lit(0.975))).alias("ci_high"),
-        )
 
-    return _per_metric(resample_metrics(df, order, finite=finite, **how), shape)
+def bootstrap_runs_ci(scored: DataFrame, order: str, seeds: dict[int, int], thresholds: dict[int, float],
+                      n_resamples: int = RESAMPLES_DEFAULT) -> DataFrame:
+    """(run_id, metric, mean, std, ci_low, ci_high) of every run."""
+    return _per_metric(resample_runs(scored, order, seeds, thresholds, n_resamples), _interval, ["run_id"])
 
 
 def seed_report(df: DataFrame, keys: list[str], value: str = "mean") -> DataFrame:

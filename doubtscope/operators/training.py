@@ -1,11 +1,17 @@
 """Training the small scorer over a distributed table, all runs of a grid at once.
 
-One Spark job per epoch. The training rows are dealt once into parts that fit a task, by a hash of
-their key, and kept there. In an epoch every part takes ordinary mini-batch steps for every active
-run, starting from the shared weights; the resulting weights and optimiser moments are averaged,
-weighted by rows (iterative parameter mixing). With one part this is exactly sequential mini-batch
-training. What travels is weights: runs x parts x model size, never rows. Row order and dropout are
-drawn from (seed, epoch, part), so a retried task repeats its result.
+How a run is trained is the caller's choice and never follows from the number of rows:
+
+- ``exact``: every step is one Spark job. A step's batch is dealt by a hash of the row's key, each task
+  streams its rows and returns one summed gradient per run, and the sum over all tasks makes the
+  step. The result does not depend on how the rows lie in partitions. Meant for large batches.
+- ``averaged``: the rows are dealt once into a given number of parts. Every part takes ordinary
+  mini-batch steps up to the end of the epoch or the next validation; weights and optimiser moments
+  are then averaged, weighted by rows (iterative parameter mixing). With one part this is sequential
+  mini-batch training. A part is held by one task, so choose parts to fit executors.
+
+What travels is weights and gradients, never rows. Row order and dropout are drawn from (seed, epoch,
+step), so a retried task repeats its result.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -41,7 +48,7 @@ GRID = {"lr": [3e-3, 1e-3, 3e-4], "dropout": [0.3], "batch_size": [64, 128, 256]
 EPOCHS_DEFAULT, VAL_STEPS_DEFAULT, WEIGHT_DECAY_DEFAULT = 100, 2000, 1e-4
 SEEDS_DEFAULT = (0, 1, 2, 3, 4)
 
-VALUES_PER_PART = 1 << 25
+MODES = ("exact", "averaged")
 BLOCK = 1 << 16
 
 
@@ -106,24 +113,50 @@ def _rate(step: int, total: int) -> float:
     return max(0.0, 0.5 * (1.0 + np.cos(np.pi * (step - warm) / max(1, total - warm))))
 
 
-def _train_part(part: int, x: np.ndarray, y: np.ndarray, run: Run, state, epoch: int, total: int):
-    """One epoch of mini-batch steps over one part → (weights, Adam state, summed loss)."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A well-mixed 64-bit hash of 64-bit integers."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _row_keys(row_id: np.ndarray, seed: int, epoch: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        salt = _mixed(np.array([seed * 1_000_003 + epoch + 1], np.uint64))
+        return _mixed(row_id.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt)
+
+
+def _dropout(keys: np.ndarray, step: int, hidden: int, share: float) -> np.ndarray | None:
+    """Scaled mask over hidden units, drawn per row and step whatever batch the row came in."""
+    if share <= 0:
+        return None
+    with np.errstate(over="ignore"):
+        cell = keys[:, None] + np.arange(1, hidden + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step)
+    return (((_mixed(cell) >> np.uint64(11)).astype(float) * 2.0**-53) >= share) / (1.0 - share)
+
+
+def _train_part(part: int, x: np.ndarray, y: np.ndarray, run: Run, state, epoch: int, total: int,
+                first: int = 0, last: int | None = None):
+    """Mini-batch steps first..last of an epoch over one part → (weights, Adam state, summed loss, rows)."""
     flat, adam = state[0].copy(), Adam(state[1].copy(), state[2].copy(), state[3])
-    rng = np.random.default_rng([run.seed, epoch, part])
-    order, lost, step = rng.permutation(len(x)), 0.0, state[3]
-    hidden = hidden_size(x.shape[1])
-    for at in range(0, len(order), run.batch_size):
-        rows = order[at : at + run.batch_size]
+    order = np.random.default_rng([run.seed, epoch, part]).permutation(len(x))
+    hidden, lost, seen = hidden_size(x.shape[1]), 0.0, 0
+    for k in range(first, -(-len(x) // run.batch_size) if last is None else last):
+        rows = order[k * run.batch_size : (k + 1) * run.batch_size]
+        if not len(rows):
+            break
         mask = None
         if run.dropout > 0:
+            rng = np.random.default_rng([run.seed, epoch, part, k])
             mask = (rng.random((len(rows), hidden)) >= run.dropout) / (1.0 - run.dropout)
         target = y[rows]
         loss, grad = backprop(
             flat, x[rows], lambda pred: loss_and_slope(run.loss, run.rank_lambda, pred, target), mask
         )
-        flat = adam.update(flat, grad, run.lr * _rate(step, total), run.weight_decay)
-        lost, step = lost + loss * len(rows), step + 1
-    return flat, adam, lost
+        flat = adam.update(flat, grad, run.lr * _rate(adam.steps, total), run.weight_decay)
+        lost, seen = lost + loss * len(rows), seen + len(rows)
+    return flat, adam, lost, seen
 
 
 def train_runs(
@@ -132,50 +165,58 @@ def train_runs(
     runs: list[Run],
     epochs: int = EPOCHS_DEFAULT,
     val_steps: int = VAL_STEPS_DEFAULT,
+    mode: str = "exact",
     parts: int | None = None,
+    initial: dict[int, np.ndarray] | None = None,
 ) -> Trained:
     """Train all runs on (row_id, embedding, y); validate on (row_id, embedding, ok).
 
-    A run validates when it has passed another ``val_steps`` steps and at the end, keeps the weights
-    of its best validation AUROC, and stops after 10 % of all steps without improvement.
+    A run validates every ``val_steps`` steps and after its last one, keeps the weights of its best
+    validation AUROC, and stops after 10 % of all steps without improvement. ``averaged`` needs
+    ``parts``; ``exact`` takes losses that are sums over rows (mse). ``initial`` replaces the drawn
+    starting weights of runs.
     """
+    if mode not in MODES or (mode == "averaged") != (parts is not None):
+        raise ValueError("mode is 'exact', or 'averaged' with a number of parts")
+    if mode == "exact" and any(r.loss != "mse" for r in runs):
+        raise ValueError("the pairs of a ranking loss span tasks: train it with mode='averaged'")
     spark = train.sparkSession
     shape = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     if not shape["n"]:
         raise ValueError("no labelled training row")
     dim = int(shape["d"])
-    parts = parts or max(1, -(-shape["n"] * dim // VALUES_PER_PART))
-    data = (
-        train.select("row_id", "embedding", F.col("y").cast("double").alias("y"))
-        .withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int"))
-        .repartition(parts, "part")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    data = train.select("row_id", "embedding", F.col("y").cast("double").alias("y"))
+    if mode == "averaged":
+        dealt = data.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int"))
+        data = dealt.repartitionById(parts, F.col("part"))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    held_val = None if val is None else val.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        largest = data.groupBy("part").count().agg(F.max("count")).first()[0]
-        per_epoch = {r.run_id: -(-largest // r.batch_size) for r in runs}
+        rows = shape["n"] if mode == "exact" else data.groupBy("part").count().agg(F.max("count")).first()[0]
+        per_epoch = {r.run_id: -(-rows // r.batch_size) for r in runs}
         states = {}
         for r in runs:
-            flat = init_weights(dim, r.seed)
+            flat = (initial or {}).get(r.run_id)
+            flat = init_weights(dim, r.seed) if flat is None else np.asarray(flat, float)
             states[r.run_id] = _State(flat, Adam(np.zeros_like(flat), np.zeros_like(flat)), flat)
         history: list[dict] = []
-        for epoch in range(epochs):
-            active = [r for r in runs if not states[r.run_id].stopped]
-            if not active:
-                break
-            losses = _epoch(data, active, states, per_epoch, epoch, epochs, dim)
+        while active := [r for r in runs if not states[r.run_id].stopped and states[r.run_id].step < per_epoch[r.run_id] * epochs]:
+            spans = {}
+            for r in active:
+                step, n = states[r.run_id].step, per_epoch[r.run_id]
+                ahead = 1 if mode == "exact" else n if val is None else val_steps - step % val_steps
+                spans[r.run_id] = (step // n, step % n, min(n, step % n + ahead))
+            advance = _exact_step if mode == "exact" else _averaged_steps
+            losses = advance(spark, data, active, states, per_epoch, spans, epochs, dim)
             due = []
             for r in active:
-                s = states[r.run_id]
-                before, s.step = s.step, s.step + per_epoch[r.run_id]
-                last = epoch == epochs - 1
-                if val is not None and (last or before // val_steps < s.step // val_steps):
+                s, (epoch, first, last) = states[r.run_id], spans[r.run_id]
+                s.step += last - first
+                if val is not None and (s.step % val_steps == 0 or s.step == per_epoch[r.run_id] * epochs):
                     due.append(r)
-                history.append(
-                    {"run_id": r.run_id, "epoch": epoch, "step": s.step, "loss": losses[r.run_id], "val_auroc": None}
-                )
+                history.append({"run_id": r.run_id, "epoch": epoch, "step": s.step, "loss": losses[r.run_id], "val_auroc": None})
             if due:
-                _validate(val, due, states, per_epoch, epochs, val_steps, history)
+                _validate(held_val, due, states, per_epoch, epochs, val_steps, history)
         for s in states.values():
             if val is None:
                 s.best = s.flat
@@ -184,67 +225,121 @@ def train_runs(
         )
     finally:
         data.unpersist()
+        if held_val is not None:
+            held_val.unpersist()
 
 
-def _epoch(data, active, states, per_epoch, epoch, epochs, dim) -> dict[int, float]:
-    spark = data.sparkSession
+def _doubles(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.asarray(v.values) for v in column]
+
+
+def _exact_step(spark, data, active, states, per_epoch, spans, epochs, dim) -> dict[int, float]:
+    """One step of every active run: gradients summed over all tasks, in one job."""
     # plain values only: broadcast data is unpickled by name, and workers need not have this package
-    shared = spark.sparkContext.broadcast(
-        [
-            (asdict(r), (s.flat, s.adam.m, s.adam.v, s.adam.steps), per_epoch[r.run_id] * epochs)
-            for r in active
-            for s in [states[r.run_id]]
-        ]
+    plan = [(asdict(r), states[r.run_id].flat, spans[r.run_id], per_epoch[r.run_id], states[r.run_id].step) for r in active]
+    shared = spark.sparkContext.broadcast(plan)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = matrix_of(batch.column("embedding")), batch.column("y").to_numpy(zero_copy_only=False)
+            ids = batch.column("row_id").to_numpy(zero_copy_only=False)
+            for spec, flat, (epoch, first, _), n_batches, step in shared.value:
+                run = Run(**spec)
+                keys = _row_keys(ids, run.seed, epoch)
+                mine = (keys % np.uint64(n_batches)).astype(np.int64) == first
+                if not mine.any():
+                    continue
+                target = y[mine]
+
+                def squares(pred, target=target):
+                    off = pred - target
+                    return float(off @ off), 2.0 * off
+
+                loss, grad = backprop(flat, x[mine], squares, _dropout(keys[mine], step, hidden_size(x.shape[1]), run.dropout))
+                n, lost, total = sums.get(run.run_id, (0, 0.0, 0.0))
+                sums[run.run_id] = (n + int(mine.sum()), lost + loss, total + grad)
+        if sums:
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "run_id": pa.array(list(sums), pa.int32()),
+                    "n": pa.array([v[0] for v in sums.values()], pa.int64()),
+                    "lost": pa.array([v[1] for v in sums.values()], pa.float64()),
+                    "grad": pa.array([v[2] for v in sums.values()], pa.list_(pa.float64())),
+                }
+            )
+
+    partial = data.mapInArrow(work, "run_id int, n bigint, lost double, grad array<double>")
+    summed = (
+        partial.groupBy("run_id")
+        .agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"), vector_to_array(Summarizer.sum(array_to_vector("grad"))).alias("grad"))
+        .toArrow()
     )
+    shared.destroy()
+    found = dict(zip(summed["run_id"].to_pylist(), zip(summed["n"].to_pylist(), summed["lost"].to_pylist(), _doubles(summed["grad"]))))
+    losses = {}
+    for r in active:
+        n, lost, grad = found.get(r.run_id, (0, float("nan"), None))
+        losses[r.run_id] = lost / n if n else lost
+        if n:  # a hash can leave a batch empty: the step passes
+            s, total = states[r.run_id], per_epoch[r.run_id] * epochs
+            s.flat = s.adam.update(s.flat, grad / n, r.lr * _rate(s.step, total), r.weight_decay)
+    return losses
+
+
+def _averaged_steps(spark, data, active, states, per_epoch, spans, epochs, dim) -> dict[int, float]:
+    """Steps of every part and run up to the end of their spans, then the weighted mean of the parts."""
+    plan = [
+        (asdict(r), (s.flat, s.adam.m, s.adam.v, s.adam.steps), spans[r.run_id], per_epoch[r.run_id] * epochs)
+        for r in active
+        for s in [states[r.run_id]]
+    ]
+    shared = spark.sparkContext.broadcast(plan)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        table = pa.Table.from_batches(held).sort_by([("part", "ascending"), ("row_id", "ascending")])
-        x, y = matrix_of(table["embedding"]), table["y"].to_numpy()
-        part = table["part"].to_numpy()
-        for p in np.unique(part):
-            lo, hi = np.searchsorted(part, [p, p + 1])
-            for spec, state, total in shared.value:
-                run = Run(**spec)
-                flat, adam, lost = _train_part(int(p), x[lo:hi], y[lo:hi], run, state, epoch, total)
-                whole = np.concatenate([flat, adam.m, adam.v])
-                starts = range(0, len(whole), BLOCK)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "run_id": pa.array([run.run_id] * len(starts), pa.int32()),
-                        "block": pa.array(range(len(starts)), pa.int32()),
-                        "n_rows": pa.array([int(hi - lo)] * len(starts), pa.int64()),
-                        "steps": pa.array([adam.steps] * len(starts), pa.int32()),
-                        "lost": pa.array([lost] * len(starts), pa.float64()),
-                        "vals": pa.array([whole[i : i + BLOCK] for i in starts], pa.list_(pa.float64())),
-                    }
-                )
-
-    out = data.mapInArrow(
-        work, "run_id int, block int, n_rows bigint, steps int, lost double, vals array<double>"
-    )
+        table = pa.Table.from_batches(held).sort_by([("row_id", "ascending")])
+        x, y, p = matrix_of(table["embedding"]), table["y"].to_numpy(), table["part"][0].as_py()
+        for spec, state, (epoch, first, last), total in shared.value:
+            run = Run(**spec)
+            flat, adam, lost, seen = _train_part(p, x, y, run, state, epoch, total, first, last)
+            whole = np.concatenate([flat, adam.m, adam.v])
+            starts = range(0, len(whole), BLOCK)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "run_id": pa.array([run.run_id] * len(starts), pa.int32()),
+                    "block": pa.array(range(len(starts)), pa.int32()),
+                    "n_rows": pa.array([len(x)] * len(starts), pa.int64()),
+                    "steps": pa.array([adam.steps] * len(starts), pa.int32()),
+                    "lost": pa.array([lost] * len(starts), pa.float64()),
+                    "seen": pa.array([seen] * len(starts), pa.int64()),
+                    "vals": pa.array([whole[i : i + BLOCK] for i in starts], pa.list_(pa.float64())),
+                }
+            )
+
+    out = data.mapInArrow(work, "run_id int, block int, n_rows bigint, steps int, lost double, seen bigint, vals array<double>")
     mixed = (
         out.groupBy("run_id", "block")
         .agg(
-            vector_to_array(
-                Summarizer.mean(array_to_vector("vals"), F.col("n_rows").cast("double"))
-            ).alias("vals"),
+            vector_to_array(Summarizer.mean(array_to_vector("vals"), F.col("n_rows").cast("double"))).alias("vals"),
             F.max("steps").alias("steps"),
-            (F.sum("lost") / F.sum("n_rows")).alias("loss"),
+            (F.sum("lost") / F.sum("seen")).alias("loss"),
         )
-        .collect()
+        .toArrow()
+        .sort_by([("run_id", "ascending"), ("block", "ascending")])
     )
-    losses = {}
-    size = weight_count(dim)
+    shared.destroy()
+    losses, size = {}, weight_count(dim)
     for r in active:
-        rows = sorted((m for m in mixed if m["run_id"] == r.run_id), key=lambda m: m["block"])
-        whole = np.concatenate([np.asarray(m["vals"]) for m in rows])
+        rows = mixed.filter(pc.equal(mixed["run_id"], r.run_id))
+        whole = np.concatenate(_doubles(rows["vals"]))
         s = states[r.run_id]
-        s.flat, s.adam = whole[:size], Adam(whole[size : 2 * size], whole[2 * size :], rows[0]["steps"])
-        losses[r.run_id] = rows[0]["loss"]
-    shared.unpersist()
+        s.flat, s.adam = whole[:size], Adam(whole[size : 2 * size], whole[2 * size :], rows["steps"][0].as_py())
+        losses[r.run_id] = rows["loss"][0].as_py()
     return losses
 
 
@@ -264,7 +359,7 @@ def _validate(val, due, states, per_epoch, epochs, val_steps, history) -> None:
             s.best_auroc, s.best_step, s.idle = got["auroc"], s.step, 0
             s.best = s.flat.copy()
             s.best_val = {k: v for k, v in got.items() if k != "run_id"}
-        else:
+        elif s.step % val_steps == 0:  # the validation after the last step counts no idle time
             s.idle += val_steps
         s.stopped = s.idle >= int(0.1 * total) and s.step > max(1, int(0.05 * total))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from doubtscope.operators import labels as lab
@@ -383,40 +384,183 @@ def evaluate_learned_score(spark, sf):
     return m.select(F.round("auroc", 4).alias("auroc"), F.round("aurac", 4).alias("aurac"), "n_samples", "n_correct")
 
 
-# --- training (results depend on random draws: rows only) ---------------------------------------
+# --- training: full-batch steps in exact mode, which SQL can repeat -----------------------------
+
+FULL_BATCH = 1 << 30
+STEPS = 3
+#: nine runs: the published learning rates, and weight decay for the settings that draw random numbers
+PLAIN_GRID = {"lr": tr.GRID["lr"], "weight_decay": [1e-4, 1e-2, 0.5]}
+_DIMS_SQL = "hh AS (SELECT max(len(embedding)) AS dd, max(len(embedding)) // 4 AS nh FROM embeddings)"
+_XS_SQL = """x AS (SELECT row_id, unnest(embedding) AS v0, generate_subscripts(embedding, 1) - 1 AS d FROM vectors),
+xs AS (SELECT row_id, d, CAST(v0 AS DOUBLE) AS v FROM x)"""
+
+
+def _start(dim: int, seed: int) -> np.ndarray:
+    """Weights by a formula, another size for each seed."""
+    return fx.fixed_weights(dim) * (1 + seed / 8)
+
+
+def _training_sql(p: str, runs: str) -> str:
+    """CTEs that train ``runs`` (run, seed, lr, decay) by STEPS full-batch Adam steps over xs, vectors and
+    hh, ending in ``{p}sc``: (run, row_id, split, ok, unc) of all rows."""
+
+    def forward(w: str, rows: str, name: str) -> str:
+        return f"""
+{name}w1 AS MATERIALIZED (SELECT run, i // dd AS h, i % dd AS d, value FROM {w}, hh WHERE i < dd * nh),
+{name}wb AS MATERIALIZED (SELECT b.run, b.i - dd * nh AS h, b.value AS b1, u.value AS w2 FROM hh, {w} b JOIN {w} u ON u.run = b.run
+  WHERE b.i >= dd * nh AND b.i < dd * nh + nh AND u.i = b.i + nh),
+{name}b2 AS MATERIALIZED (SELECT run, value AS b2 FROM {w}, hh WHERE i = dd * nh + 2 * nh),
+{name}z AS MATERIALIZED (SELECT w.run, x.row_id, w.h, sum(x.v * w.value) AS z0 FROM {rows} x JOIN {name}w1 w ON w.d = x.d GROUP BY w.run, x.row_id, w.h),
+{name}a AS MATERIALIZED (SELECT z.run, z.row_id, z.h, z0 + b1 AS z, w2 FROM {name}z z JOIN {name}wb b ON b.run = z.run AND b.h = z.h),
+{name}y AS MATERIALIZED (SELECT a.run, a.row_id, sum(z / (1 + exp(-z)) * w2) + max(b2) AS unc FROM {name}a a JOIN {name}b2 c ON c.run = a.run
+  GROUP BY a.run, a.row_id)"""
+
+    parts = [
+        f"""{p}tx AS MATERIALIZED (SELECT xs.* FROM xs JOIN vectors USING (row_id) WHERE split = 'train'),
+{p}w0 AS MATERIALIZED (SELECT run, CAST(i AS BIGINT) AS i, (1 + seed / CAST(8 AS DOUBLE)) * CASE
+  WHEN i < dd * nh THEN CAST(((i // dd) * 31 + (i % dd) * 17) % 23 - 11 AS DOUBLE) / 64
+  WHEN i < dd * nh + nh THEN CAST((i - dd * nh) % 5 - 2 AS DOUBLE) / 8
+  WHEN i < dd * nh + 2 * nh THEN CAST(((i - dd * nh - nh) * 7) % 11 - 5 AS DOUBLE) / 8
+  ELSE CAST(0.125 AS DOUBLE) END AS value FROM {runs}, hh, range((SELECT dd * nh + 2 * nh + 1 FROM hh)) r(i)),
+{p}m0 AS (SELECT run, i, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS v FROM {p}w0)"""
+    ]
+    for k in range(STEPS):
+        n = f"{p}{k}"
+        rate = tr._rate(k, STEPS)
+        parts.append(forward(f"{p}w{k}", f"{p}tx", n))
+        parts.append(f"""
+{n}o AS MATERIALIZED (SELECT y.run, y.row_id, 2 * (y.unc - CAST(v.y AS DOUBLE)) / (SELECT count(*) FROM vectors WHERE split = 'train') AS g
+  FROM {n}y y JOIN vectors v ON v.row_id = y.row_id),
+{n}b AS MATERIALIZED (SELECT a.run, a.row_id, a.h, g * w2 * (s * (1 + z * (1 - s))) AS b, g * z * s AS e
+  FROM (SELECT *, 1 / (1 + exp(-z)) AS s FROM {n}a) a JOIN {n}o o ON o.run = a.run AND o.row_id = a.row_id),
+{n}g AS (SELECT b.run, b.h * dd + t.d AS i, sum(b.b * t.v) AS g FROM {n}b b JOIN {p}tx t ON t.row_id = b.row_id, hh GROUP BY b.run, b.h, t.d, dd
+  UNION ALL SELECT run, dd * nh + h, sum(b) FROM {n}b, hh GROUP BY run, h, dd, nh
+  UNION ALL SELECT run, dd * nh + nh + h, sum(e) FROM {n}b, hh GROUP BY run, h, dd, nh
+  UNION ALL SELECT run, dd * nh + 2 * nh, sum(g) FROM {n}o, hh GROUP BY run, dd, nh),
+{n}c AS (SELECT run, i, CASE WHEN norm > {net.CLIP_NORM} THEN g * {net.CLIP_NORM} / (norm + 1e-6) ELSE g END AS g
+  FROM (SELECT *, sqrt(sum(g * g) OVER (PARTITION BY run)) AS norm FROM {n}g)),
+{p}m{k + 1} AS MATERIALIZED (SELECT c.run, c.i, {net.BETA1} * m + {1 - net.BETA1} * g AS m, {net.BETA2} * v + {1 - net.BETA2} * g * g AS v
+  FROM {n}c c JOIN {p}m{k} m ON m.run = c.run AND m.i = c.i),
+{p}w{k + 1} AS MATERIALIZED (SELECT w.run, w.i, w.value * (1 - lr * {rate} * decay)
+    - lr * {rate} * (m / {1 - net.BETA1 ** (k + 1)}) / (sqrt(v / {1 - net.BETA2 ** (k + 1)}) + {net.ADAM_EPS}) AS value
+  FROM {p}w{k} w JOIN {p}m{k + 1} m ON m.run = w.run AND m.i = w.i JOIN {runs} r ON r.run = w.run)""")
+    parts.append(forward(f"{p}w{STEPS}", "xs", f"{p}f"))
+    parts.append(f"""
+{p}sc AS MATERIALIZED (SELECT y.run, y.row_id, split, ok, unc FROM {p}fy y JOIN vectors v ON v.row_id = y.row_id),
+{p}mt AS MATERIALIZED (WITH {fx.metrics_sql(f"{p}sc", ["run", "split"])} SELECT run, split, auroc, aurac, balanced_acc, threshold FROM metrics)""")
+    return ",".join(parts)
+
+
+def _runs_sql(runs: list[tr.Run], seeded: bool = True) -> str:
+    rows = ", ".join(f"({r.run_id}, {r.seed if seeded else 0}, CAST({r.lr} AS DOUBLE), CAST({r.weight_decay} AS DOUBLE))" for r in runs)
+    return f"(SELECT * FROM (VALUES {rows}) t(run, seed, lr, decay))"
+
+
+def _plain_runs(kind: str) -> list[tr.Run]:
+    if kind == "grid":
+        return tr.grid_runs(PLAIN_GRID, dropout=0.0, batch_size=FULL_BATCH)
+    return tr.seed_runs(tr.Run(0, lr=3e-3, dropout=0.0, batch_size=FULL_BATCH))
+
+
+def _how(dim: int, runs: int | None = None, seeds=None) -> dict:
+    starts = {i: _start(dim, 0) for i in range(runs)} if runs else {i: _start(dim, s) for i, s in enumerate(seeds)}
+    return {"epochs": STEPS, "mode": "exact", "initial": starts}
 
 
 def _three(spark, sf):
     v = stored(fx.vectors(spark, sf), "vectors")
-    return (v.filter("split = 'train'"), v.filter("split = 'val'"), v.filter("split = 'test'"))
+    return [v.filter(F.col("split") == s) for s in ("train", "val", "test")]
 
 
-@query("mlp_train")
+_GRID_RUNS, _SEED_RUNS = _plain_runs("grid"), _plain_runs("seeds")
+_VEC_SQL = f"{fx.VECTORS_SQL}, {_XS_SQL}, {_DIMS_SQL}"
+_GRID_SQL = f"gruns AS {_runs_sql(_GRID_RUNS, seeded=False)}, {_training_sql('g', 'gruns')}"
+_WIDE_SQL = """v.auroc AS val_auroc, v.aurac AS val_aurac, v.balanced_acc AS val_balanced_acc, t.auroc AS test_auroc, t.aurac AS test_aurac, t.balanced_acc AS test_balanced_acc"""
+
+
+@query("mlp_train", f"""WITH {_VEC_SQL}, sruns AS {_runs_sql(_SEED_RUNS)}, {_training_sql('s', 'sruns')}
+    SELECT CAST(run AS INTEGER) AS run_id, i, round(value, 6) AS value FROM sw{STEPS}""")
 def mlp_train(spark, sf):
     train, val, _ = _three(spark, sf)
-    runs = [tr.Run(i, lr=3e-3, batch_size=64, loss=kind, seed=i) for i, kind in enumerate(net.LOSSES)]
-    done = tr.train_runs(train, val, runs, epochs=4, val_steps=5, parts=2)
-    return spark.createDataFrame(
-        [(h["run_id"], h["epoch"], h["step"], float(h["loss"]), h["val_auroc"]) for h in done.history],
-        "run_id int, epoch int, step int, loss double, val_auroc double",
-    )
+    done = tr.train_runs(train, val, _SEED_RUNS, **_how(fx.vector_width(train), seeds=tr.SEEDS_DEFAULT))
+    rows = tr.weights_table(spark, done.weights)
+    return rows.select("run_id", F.posexplode("weights").alias("i", "value")).select("run_id", F.col("i").cast("bigint").alias("i"), F.round("value", 6).alias("value"))
 
 
-@query("grid_sweep")
+@query("grid_sweep", f"""WITH {_VEC_SQL}, {_GRID_SQL} SELECT CAST(r.run AS INTEGER) AS run_id, r.lr, r.decay AS weight_decay, {_WIDE_SQL}
+    FROM gruns r JOIN gmt v ON v.run = r.run AND v.split = 'val' JOIN gmt t ON t.run = r.run AND t.split = 'test'""")
 def grid_sweep(spark, sf):
     train, val, test = _three(spark, sf)
-    _, found = ev.train_and_measure(train, val, test, tr.grid_runs(), epochs=3, parts=2)
-    return found
-
-
-@query("multi_seed_train")
+    _, found = ev.train_and_measure(train, val, test, _GRID_RUNS, **_how(fx.vector_width(train), runs=len(_GRID_RUNS)))
+    points = [f"{p}_{m}" for p in ("val", "test") for m in ev.METRICS]
+    return found.select("run_id", "lr", "weight_decay", *[shown(c).alias(c) for c in points])
+
+
+def _intervals_sql(p: str, runs: str) -> str:
+    """``{p}iv``: (seed, metric, mean, std, ci_low, ci_high) over 1,000 resamples of the test rows."""
+    return f"""
+{p}num AS (SELECT s.run, r.seed, unc, ok, row_number() OVER (PARTITION BY s.run ORDER BY row_id) - 1 AS row_index FROM {p}sc s JOIN {runs} r ON r.run = s.run WHERE split = 'test'),
+{p}dr AS (SELECT r.run, b AS resample, CAST('0x' || substr(md5(r.seed || ':' || b || ':' || i), 1, 15) AS BIGINT) % n AS row_index
+  FROM {runs} r, range(1000) q(b), (SELECT DISTINCT row_index AS i FROM {p}num), (SELECT count(DISTINCT row_index) AS n FROM {p}num)),
+{p}drawn AS MATERIALIZED (SELECT d.run, n.seed, d.resample, n.unc, n.ok FROM {p}dr d JOIN {p}num n ON n.run = d.run AND n.row_index = d.row_index),
+{p}bm AS (WITH {fx.metrics_sql(f"{p}drawn", ["run", "resample"])} SELECT * FROM metrics WHERE balanced_acc >= 0),
+{p}bal AS (SELECT d.run, any_value(d.seed) AS seed, d.resample, (count(*) FILTER (NOT ok AND unc >= threshold) / CAST(count(*) FILTER (NOT ok) AS DOUBLE)
+    + count(*) FILTER (ok AND NOT unc >= threshold) / CAST(count(*) FILTER (ok) AS DOUBLE)) / 2 AS bal
+  FROM {p}drawn d JOIN {p}mt t ON t.run = d.run AND t.split = 'val' GROUP BY d.run, d.resample),
+{p}long AS (SELECT seed, unnest(['auroc', 'aurac', 'balanced_acc']) AS metric, unnest([m.auroc, m.aurac, b.bal]) AS v FROM {p}bm m JOIN {p}bal b ON b.run = m.run AND b.resample = m.resample),
+{p}iv AS (SELECT CAST(seed AS INTEGER) AS seed, metric, round(avg(v), 3) AS mean, round(stddev_pop(v), 3) AS std,
+  round(quantile_cont(v, 0.025), 3) AS ci_low, round(quantile_cont(v, 0.975), 3) AS ci_high FROM {p}long GROUP BY seed, metric)"""
+
+
+@query("multi_seed_train", f"""WITH {_VEC_SQL}, sruns AS {_runs_sql(_SEED_RUNS)}, {_training_sql('s', 'sruns')}, {_intervals_sql('s', 'sruns')}
+    SELECT i.*, round(v.threshold, 6) AS threshold, {_WIDE_SQL} FROM siv i JOIN sruns r ON r.seed = i.seed
+    JOIN smt v ON v.run = r.run AND v.split = 'val' JOIN smt t ON t.run = r.run AND t.split = 'test'""")
 def multi_seed_train(spark, sf):
     train, val, test = _three(spark, sf)
-    _, found = ev.multi_seed_train(train, val, test, tr.Run(0, lr=3e-3), seeds=(0, 1), epochs=3, n_resamples=50)
-    return found
+    found = ev.multi_seed_train(train, val, test, _SEED_RUNS[0], **_how(fx.vector_width(train), seeds=tr.SEEDS_DEFAULT))
+    points = [f"{p}_{m}" for p in ("val", "test") for m in ev.METRICS]
+    records = found.records.select("seed", F.round(shown("threshold"), 6).alias("threshold"), *[shown(c).alias(c) for c in points])
+    return found.intervals.join(records, "seed")
 
 
-@query("sweep_and_select")
+_WINNER_SQL = """won AS (SELECT r.lr, r.decay FROM gruns r JOIN gmt v ON v.run = r.run AND v.split = 'val' ORDER BY v.auroc DESC, r.run LIMIT 1),
+sruns AS (SELECT s AS run, s AS seed, lr, decay FROM won, range(5) q(s))"""
+
+
+@query("sweep_and_select", f"""WITH {_VEC_SQL}, {_GRID_SQL}, {_WINNER_SQL}, {_training_sql('s', 'sruns')}, {_intervals_sql('s', 'sruns')}
+    SELECT metric, round(avg(mean), 6) AS mean_of_bootstrapped_means, round(stddev_pop(mean), 6) AS std_across_seeds,
+      (SELECT lr FROM won) AS lr, (SELECT decay FROM won) AS weight_decay FROM siv GROUP BY metric""")
 def sweep_and_select(spark, sf):
     train, val, test = _three(spark, sf)
-    return ev.sweep_and_select(train, val, test, epochs=2, seeds=(0, 1), n_resamples=20)
+    dim = fx.vector_width(train)
+    chosen = ev.sweep_and_select(
+        train, val, test, PLAIN_GRID, run={"dropout": 0.0, "batch_size": FULL_BATCH}, epochs=STEPS, mode="exact",
+        grid_how={"initial": _how(dim, runs=9)["initial"]}, seed_how={"initial": _how(dim, seeds=tr.SEEDS_DEFAULT)["initial"]},
+    )
+    return chosen.report.select("metric", *[F.round(c, 6).alias(c) for c in ("mean_of_bootstrapped_means", "std_across_seeds")], "lr", "weight_decay")
+
+
+_LEARN_ROWS_SQL = f"""{_MIXED_SQL}, flag AS (SELECT tid, CASE WHEN lower(dataset) IN ('coqa', 'newsqa', 'emrqa', 'nq', 'triviaqa') THEN rouge_l >= 0.3 ELSE label = pred END AS ok FROM rouge),
+{fx.words_sql('turns', 'tid')}, placed AS (SELECT tid, s, row_number() OVER (PARTITION BY tid ORDER BY s DESC) AS r FROM norms),
+raw AS (SELECT f.tid AS row_id, f.ok, CAST(l.label AS FLOAT) AS label, CASE f.tid // 1000 % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split
+  FROM flag f JOIN (SELECT tid, avg(s) AS label FROM placed WHERE r <= 5 GROUP BY tid) l ON l.tid = f.tid),
+span AS (SELECT CAST(min(label) AS DOUBLE) AS lo, CAST(max(label) AS DOUBLE) AS hi FROM raw WHERE split = 'train'),
+vectors AS MATERIALIZED (SELECT row_id, ok, split, CAST(greatest(least((CAST(label AS DOUBLE) - lo) / greatest(hi - lo, 1e-8), 1), 0) AS FLOAT) AS y FROM raw, span),
+xs AS MATERIALIZED (SELECT tid AS row_id, i AS d, CAST(CAST('0x' || substr(md5(text), CAST(i + 1 AS INTEGER), 1) AS INTEGER) AS DOUBLE) / 16 AS v
+  FROM turns, range(8) r(i) WHERE tid IN (SELECT row_id FROM vectors)), hh AS (SELECT 8 AS dd, 2 AS nh)"""
+
+
+@query("learn_and_evaluate", f"""{_LEARN_ROWS_SQL}, {_GRID_SQL}, {_WINNER_SQL}, {_training_sql('s', 'sruns')},
+    best AS (SELECT run FROM smt WHERE split = 'test' ORDER BY auroc DESC, run LIMIT 1)
+    SELECT auroc, aurac, balanced_acc, (SELECT count(*) FROM vectors WHERE split = 'test') AS n_samples,
+      (SELECT count(*) FROM vectors WHERE split = 'test' AND ok) AS n_correct FROM smt WHERE split = 'test' AND run = (SELECT run FROM best)""")
+def learn_and_evaluate(spark, sf):
+    conv = F.expr("row_id div 1000 % 10")
+    split = F.when(conv == 8, "val").when(conv == 9, "test").otherwise("train")
+    emb = embed_prompts(_turn_prompts(spark, sf), digest_vectors).drop("label")
+    m = ev.learn_and_evaluate(
+        _results(spark, sf).withColumn("split", split), _result_logits(spark, sf), emb, F.col("dataset"), "turns", fresh_path(spark, "registry"),
+        grid=PLAIN_GRID, run={"dropout": 0.0, "batch_size": FULL_BATCH}, epochs=STEPS, mode="exact",
+        grid_how={"initial": _how(8, runs=9)["initial"]}, seed_how={"initial": _how(8, seeds=tr.SEEDS_DEFAULT)["initial"]},
+    )
+    return m.select(*[shown(c).alias(c) for c in ev.METRICS], "n_samples", "n_correct")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,11 +22,11 @@ from doubtscope.operators.metrics import (
 )
 from doubtscope.operators.network import mlp_score
 from doubtscope.operators.pairing import attach_correct_flags, zip_result_logits
-from doubtscope.operators.resample import bootstrap_ci, seed_report
+from doubtscope.operators.resample import bootstrap_runs_ci, seed_report
 from doubtscope.operators.scoring import embed_prompts, infer_wide
 from doubtscope.operators.selection import best_run
 from doubtscope.session import stored
-from doubtscope.sources.artifacts import write_embeddings
+from doubtscope.sources.artifacts import read_best, register_best, study_report, write_embeddings, write_metrics
 from doubtscope.sources.corpus import numbered_samples
 from doubtscope.sources.sharded import first_readable, no_logits, read_sharded, scan_topk_column
 from doubtscope.sources.shards import resumable_sharded_write
@@ -131,69 +132,112 @@ def infer_corpus(corpus: DataFrame, root: str, predictor: Callable, split: str =
     )
 
 
-def train_and_measure(train: DataFrame, val: DataFrame, test: DataFrame, runs: list[tr.Run], epochs: int,
-                      val_steps: int = tr.VAL_STEPS_DEFAULT, parts: int | None = None) -> tuple[tr.Trained, DataFrame]:
-    """Train all runs; one row per run with its validation and test metrics."""
+METRICS = ["auroc", "aurac", "balanced_acc"]
+
+
+def train_and_measure(train: DataFrame, val: DataFrame, test: DataFrame, runs: list[tr.Run],
+                      **how) -> tuple[tr.Trained, DataFrame]:
+    """Train all runs; one row per run with its validation and test metrics. ``how`` as in ``train_runs``."""
     spark = train.sparkSession
-    trained = tr.train_runs(train, val, runs, epochs, val_steps, parts)
-    names = ["auroc", "aurac", "balanced_acc"]
-    tested = detection_table(mlp_score(test, trained.weights, keep=["row_id", "ok"]), ["run_id"], metrics=names)
+    trained = tr.train_runs(train, val, runs, **how)
+    tested = detection_table(mlp_score(test, trained.weights, keep=["row_id", "ok"]), ["run_id"], metrics=METRICS)
     best = spark.createDataFrame(
-        [(r.run_id, *[float(trained.best_val[r.run_id].get(n, NAN)) for n in names]) for r in runs],
-        "run_id int, " + ", ".join(f"val_{n} double" for n in names),
+        [(r.run_id, *[float(trained.best_val[r.run_id].get(n, NAN)) for n in METRICS]) for r in runs],
+        "run_id int, " + ", ".join(f"val_{n} double" for n in METRICS),
     )
-    renamed = tested.select("run_id", *[F.col(n).alias(f"test_{n}") for n in names])
-    return trained, tr.runs_table(spark, runs).join(best, "run_id").join(renamed, "run_id")
+    renamed = tested.select("run_id", *[F.col(n).alias(f"test_{n}") for n in METRICS])
+    return trained, tr.runs_table(spark, runs).join(best, "run_id").join(renamed, "run_id", "left")
+
+
+@dataclass
+class Seeded:
+    """The winner trained over several seeds: weights by seed, per-seed records, bootstrap intervals."""
+
+    weights: dict[int, np.ndarray]
+    records: DataFrame  # seed, threshold, val_<metric>, test_<metric>
+    intervals: DataFrame  # seed, metric, mean, std, ci_low, ci_high
 
 
 def multi_seed_train(train: DataFrame, val: DataFrame, test: DataFrame, best: tr.Run, seeds=tr.SEEDS_DEFAULT,
-                     epochs: int = tr.EPOCHS_DEFAULT, n_resamples: int = 1000,
-                     parts: int | None = None) -> tuple[tr.Trained, DataFrame]:
-    """The best settings over several seeds: threshold from validation, bootstrap on test.
+                     n_resamples: int = 1000, **how) -> Seeded:
+    """The best settings over several seeds: best validation and test point per seed, threshold from
+    validation, bootstrap on test. All seeds are trained, scored and resampled together."""
+    runs = tr.seed_runs(best, seeds)
+    trained, measured = train_and_measure(train, val, test, runs, **how)
+    cuts = detection_table(mlp_score(val, trained.weights, keep=["row_id", "ok"]), ["run_id"], metrics=["threshold"])
+    cuts = stored(cuts, "thresholds")
+    found = {r["run_id"]: r["threshold"] for r in cuts.collect()}
+    scored = mlp_score(test, trained.weights, keep=["row_id", "ok"])
+    intervals = bootstrap_runs_ci(
+        scored, "row_id", {r.run_id: r.seed for r in runs}, {r.run_id: found.get(r.run_id, 0.5) for r in runs}, n_resamples
+    )
+    names = train.sparkSession.createDataFrame([(r.run_id, r.seed) for r in runs], "run_id int, seed int")
+    points = [f"{p}_{m}" for p in ("val", "test") for m in METRICS]
+    records = measured.drop("seed").join(cuts, "run_id", "left").join(names, "run_id").select("seed", "threshold", *points)
+    return Seeded({r.seed: trained.weights[r.run_id] for r in runs}, records, intervals.join(names, "run_id").drop("run_id"))
+
+
+@dataclass
+class Selection:
+    best: tr.Run
+    table: DataFrame  # the grid with validation and test metrics
+    seeded: Seeded
+    report: DataFrame  # metric, mean_of_bootstrapped_means, std_across_seeds, and the settings
 
-    Returns the weights per seed and (seed, metric, mean, std, ci_low, ci_high).
+
+def sweep_and_select(train: DataFrame, val: DataFrame, test: DataFrame, grid: dict | None = None,
+                     seeds=tr.SEEDS_DEFAULT, n_resamples: int = 1000, run: dict | None = None,
+                     grid_how: dict | None = None, seed_how: dict | None = None, **how) -> Selection:
+    """Grid search → best run by validation AUROC → seeds → averaged bootstrap metrics.
+
+    ``run`` gives settings that all runs share; ``grid_how`` and ``seed_how`` add to ``how`` for one
+    of the two trainings.
     """
-    runs = tr.seed_runs(best, seeds)
-    trained = tr.train_runs(train, val, runs, epochs, parts=parts)
-    scored = stored(mlp_score(test, trained.weights, keep=["row_id", "ok"]), "test-scores")
-    cuts = {
-        r["run_id"]: r["threshold"]
-        for r in detection_table(
-            mlp_score(val, trained.weights, keep=["row_id", "ok"]), ["run_id"], metrics=["threshold"]
-        ).collect()
-    }
-    parts_ = [
-        bootstrap_ci(
-            scored.filter(F.col("run_id") == r.run_id), "row_id", n_resamples=n_resamples, seed=r.seed,
-            threshold=cuts.get(r.run_id, 0.5),
-        ).withColumn("seed", F.lit(r.seed))
-        for r in runs
-    ]
-    table = parts_[0]
-    for p in parts_[1:]:
-        table = table.unionByName(p)
-    return trained, table
-
-
-def sweep_and_select(train: DataFrame, val: DataFrame, test: DataFrame, grid: dict | None = None, epochs: int = 100,
-                     seeds=tr.SEEDS_DEFAULT, n_resamples: int = 1000, parts: int | None = None, **fixed) -> DataFrame:
-    """Grid search → best run by validation AUROC → seeds → averaged bootstrap metrics."""
-    runs = tr.grid_runs(grid, **fixed)
-    _, table = train_and_measure(train, val, test, runs, epochs, parts=parts)
-    table = table.withColumn("path", F.format_string("sweep-%05d", F.col("run_id")))
+    runs = tr.grid_runs(grid, **(run or {}))
+    _, table = train_and_measure(train, val, test, runs, **how, **(grid_how or {}))
+    table = stored(table.withColumn("path", F.format_string("sweep-%05d", F.col("run_id"))), "sweep")
     won = best_run(table, auroc="val_auroc").first()
     if won is None:
         raise ValueError("no run has a validation AUROC")
     best = runs[won["run_id"]]
-    _, seeded = multi_seed_train(train, val, test, best, seeds, epochs, n_resamples, parts)
-    report = seed_report(seeded, ["metric"])
-    return report.select(
-        "metric", "mean_of_bootstrapped_means", "std_across_seeds", F.lit(best.lr).alias("lr"),
-        F.lit(best.dropout).alias("dropout"), F.lit(best.batch_size).alias("batch_size"),
+    seeded = multi_seed_train(train, val, test, best, seeds, n_resamples, **how, **(seed_how or {}))
+    settings = [F.lit(getattr(best, n)).alias(n) for n in ("lr", "dropout", "batch_size", "weight_decay")]
+    report = seed_report(stored(seeded.intervals, "intervals"), ["metric"]).select(
+        "metric", "mean_of_bootstrapped_means", "std_across_seeds", *settings
+    )
+    return Selection(best, table, seeded, report)
+
+
+def learn_and_evaluate(results: DataFrame, logits: DataFrame, embeddings: DataFrame, dataset: Column, study: str,
+                       registry: str, label_fn: str = "topm_norm", topk_worst: int = HEAP_DEFAULT, pred: str = "answer_0",
+                       correct_fn: CorrectFn | None = None, **sweep) -> DataFrame:
+    """Tables → labels → sweep → seeds → stored report, weights and marker → metrics of the best seed on test.
+
+    ``results`` has a ``split`` of train, val and test; row ids are unique over all splits. What is
+    stored below ``{registry}/study={study}``: ``optimal`` (the winning run), ``report``, ``weights``
+    and ``best``.
+    """
+    spark = results.sparkSession
+    labels = lab.compute_labels(results, logits, label_fn, topk_worst=topk_worst).join(results.select("row_id", "split"), "row_id")
+    rows = lab.build_train_set(labels, embeddings).join(flags(results, dataset, pred, correct_fn), "row_id")
+    rows = stored(rows, "train-set")
+    train, val, test = (rows.filter(F.col("split") == s) for s in ("train", "val", "test"))
+    chosen = sweep_and_select(train, val, test, **sweep)
+    root = f"{registry}/study={study}"
+    records = stored(chosen.seeded.records, "records")
+    # seeds in the order they were asked for settle ties
+    reports = records.select("seed", F.col("test_auroc").alias("auroc"), F.col("seed").alias("ord"))
+    register_best(tr.weights_table(spark, chosen.seeded.weights, "seed"), reports, study, registry)
+    study_report(records, chosen.report, study).write.mode("overwrite").json(f"{root}/report")
+    write_metrics(chosen.table.filter(F.col("run_id") == chosen.best.run_id), f"{root}/optimal", study=study)
+    weights = tr.read_weights(read_best(spark, study, registry), "seed")
+    tested = results.filter(F.col("split") == "test")
+    return evaluate_learned_score(
+        tested, logits, embeddings, next(iter(weights.values())), dataset, topk_worst, pred, correct_fn
     )
 
 
 __all__ = [
     "encode_dataset", "evaluate_files", "evaluate_learned_score", "evaluate_scored", "evaluate_sequence_score",
-    "infer_corpus", "multi_seed_train", "sequence_scores", "sweep_and_select", "train_and_measure",
+    "infer_corpus", "learn_and_evaluate", "multi_seed_train", "sequence_scores", "sweep_and_select", "train_and_measure",
 ]

@@ -53,26 +53,67 @@ def test_one_part_is_sequential_training(spark, frame, rows):
     """With one part the distributed job equals the same loop run here."""
     x, y = rows[0].astype(float), rows[1]
     run = tr.Run(0, lr=1e-2, dropout=0.2, batch_size=32, seed=5)
-    got = tr.train_runs(frame, None, [run], epochs=3, parts=1).weights[0]
+    got = tr.train_runs(frame, None, [run], epochs=3, mode="averaged", parts=1).weights[0]
     flat = net.init_weights(DIM, run.seed)
     state = (flat, np.zeros_like(flat), np.zeros_like(flat), 0)
     for epoch in range(3):
-        flat, adam, _ = tr._train_part(0, x, y, run, state, epoch, 3 * 8)
+        flat, adam, *_ = tr._train_part(0, x, y, run, state, epoch, 3 * 8)
         state = (flat, adam.m, adam.v, adam.steps)
     np.testing.assert_allclose(got, flat, rtol=1e-9, atol=1e-12)
 
 
 def test_training_is_repeatable_and_independent_of_layout(frame):
     runs = [tr.Run(i, lr=1e-2, dropout=0.1, batch_size=16, seed=i) for i in range(2)]
-    a = tr.train_runs(frame, None, runs, epochs=2, parts=3).weights
-    b = tr.train_runs(frame.repartition(7), None, runs, epochs=2, parts=3).weights
-    alone = tr.train_runs(frame, None, runs[1:], epochs=2, parts=3).weights
+    a = tr.train_runs(frame, None, runs, epochs=2, mode="averaged", parts=3).weights
+    b = tr.train_runs(frame.repartition(7), None, runs, epochs=2, mode="averaged", parts=3).weights
+    alone = tr.train_runs(frame, None, runs[1:], epochs=2, mode="averaged", parts=3).weights
     np.testing.assert_allclose(a[0], b[0], rtol=1e-9, atol=1e-12)
     np.testing.assert_allclose(a[1], alone[1], rtol=1e-9, atol=1e-12)
 
 
+def test_exact_training_does_not_depend_on_partitions(frame):
+    runs = [tr.Run(0, lr=1e-2, dropout=0.2, batch_size=64, seed=3), tr.Run(1, lr=3e-3, dropout=0.0, batch_size=10**6)]
+    a = tr.train_runs(frame.repartition(1), None, runs, epochs=2).weights
+    b = tr.train_runs(frame.repartition(9, "y"), None, runs, epochs=2).weights
+    for k in (0, 1):
+        np.testing.assert_allclose(a[k], b[k], rtol=1e-9, atol=1e-12)
+
+
+def test_exact_full_batch_equals_local_steps(frame, rows):
+    x, y = rows[0].astype(float), rows[1]
+    run = tr.Run(0, lr=1e-2, dropout=0.0, batch_size=240)
+    got = tr.train_runs(frame, None, [run], epochs=4).weights[0]
+    flat = net.init_weights(DIM, 0)
+    adam = net.Adam(np.zeros_like(flat), np.zeros_like(flat))
+    for step in range(4):
+        _, grad = net.backprop(flat, x, lambda p: net.loss_and_slope("mse", 0.5, p, y))
+        flat = adam.update(flat, grad, run.lr * tr._rate(step, 4), run.weight_decay)
+    np.testing.assert_allclose(got, flat, rtol=1e-9, atol=1e-12)
+
+
+def test_validation_comes_every_val_steps(frame):
+    run = tr.Run(0, lr=1e-2, dropout=0.1, batch_size=8)  # 30 steps an epoch
+    done = tr.train_runs(frame, frame, [run], epochs=3, val_steps=12, mode="averaged", parts=1)
+    assert [h["step"] for h in done.history if h["val_auroc"] is not None][:5] == [12, 24, 36, 48, 60]
+    whole = tr.train_runs(frame, None, [run], epochs=3, mode="averaged", parts=1).weights[0]
+    cut = tr.train_runs(frame, frame.limit(0), [run], epochs=3, val_steps=7, mode="averaged", parts=1)
+    assert cut.history[-1]["step"] == 90 and len({h["step"] for h in cut.history}) > 12
+    rows = frame.orderBy("row_id").limit(5)  # one class only: AUROC 0.5 throughout, so training stops early
+    one = tr.train_runs(frame, rows.withColumn("ok", F.lit(True)), [run], epochs=20, val_steps=10, mode="averaged", parts=1)
+    assert one.history[-1]["step"] == 70  # the first validation is the best; 60 idle steps are 10 % of 600
+    assert np.isfinite(whole).all()
+
+
+def test_modes_are_checked(frame):
+    for how in ({"mode": "averaged"}, {"parts": 2}, {"mode": "other"}):
+        with pytest.raises(ValueError):
+            tr.train_runs(frame, None, [tr.Run(0)], epochs=1, **how)
+    with pytest.raises(ValueError, match="ranking"):
+        tr.train_runs(frame, None, [tr.Run(0, loss="rank")], epochs=1)
+
+
 def test_loss_falls_and_scorer_learns(frame):
-    done = tr.train_runs(frame, frame, [tr.Run(0, lr=2e-2, dropout=0.0, batch_size=16)], epochs=12, val_steps=40, parts=2)
+    done = tr.train_runs(frame, frame, [tr.Run(0, lr=2e-2, dropout=0.0, batch_size=16)], epochs=12, val_steps=40, mode="averaged", parts=2)
     losses = [h["loss"] for h in done.history]
     assert losses[-1] < losses[0] / 2
     assert done.best_val[0]["auroc"] > 0.9
