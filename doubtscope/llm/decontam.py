@@ -3,8 +3,9 @@
 Every passage of every training text is a query. The score of item d for a passage is the BM25 sum
 over their common words, divided by the score d gives itself, so that it reads as weighted coverage
 (0..1) and one threshold serves items of all lengths. All items at or above the threshold are
-retrieved, and then verified: the item is cut into a question and an answer, and each must share at
-least ``min_overlap`` of its five-word shingles with the document.
+retrieved, and then verified: the item is cut into a question and an answer, and of each at least
+``min_overlap`` must be there: of its five-word shingles anywhere in the document, or, for copies with
+a word changed here and there, of its words in order within the best passage.
 
 The index is cut into segments of bounded size; each is broadcast and searched in turn, so neither
 the driver nor a task ever holds more than one.
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doubtscope.functions.text import lcs_length
+
 K1, B = 1.2, 0.75
 BLOCK = 64  # postings per block
 SPANS = (1024, 256)  # words bounded at once, coarse then fine, before passages are searched one by one
@@ -59,7 +62,7 @@ class Index:
     """One segment of the inverted index: postings in item order, cut into blocks with their maxima."""
 
     item_ids: list
-    parts: list[tuple[set, set]]
+    parts: list[list[tuple[set, list]]]  # per item, question and answer: shingles and words
     terms: dict[bytes, int]
     starts: np.ndarray  # per term, into items/weights
     items: np.ndarray
@@ -103,7 +106,7 @@ def build_index(items: list[tuple], df: dict[bytes, int], n_items: int, mean_wor
         weight = {w: log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in counts.items()}
         own = sum(weight.values())
         rows += [(terms.setdefault(w, len(terms)), len(ids), x / own) for w, x in weight.items()]
-        parts.append((shingles(cut[0]), shingles(cut[1])))
+        parts.append([(shingles(part), part) for part in cut])
         ids.append(item_id)
         longest = max(longest, len(whole))
     rows.sort()
@@ -182,19 +185,21 @@ def search(index: Index, text: str | None, threshold: float, min_overlap: float)
             if index.reachable(span[span >= 0], threshold):
                 yield from open_spans(at, end, spans[1:])
 
-    best: dict[int, float] = {}
+    best: dict[int, tuple[float, int]] = {}
     for start in open_spans(0, len(words), SPANS):
         terms = np.unique(ids[start : start + size])
         for item, score in block_max_wand(index, terms[terms >= 0].tolist(), threshold):
-            best[item] = max(best.get(item, 0.0), score)
+            best[item] = max(best.get(item, (0.0, 0)), (score, -start))
     if not best:
         return []
     have = shingles(words)
     checked = []
-    for item in sorted(best):
-        overlap = min(len(part & have) / len(part) for part in index.parts[item])
+    for item, (score, start) in sorted(best.items()):
+        # the best passage may begin inside the copy or end in it
+        near = words[max(0, -start - step) : -start + size + step]
+        overlap = min(max(len(s & have) / len(s), lcs_length(w, near) / len(w)) for s, w in index.parts[item])
         if overlap >= min_overlap:
-            checked.append((index.item_ids[item], best[item], overlap))
+            checked.append((index.item_ids[item], score, overlap))
     return checked
 
 
@@ -257,7 +262,7 @@ def contaminated_pairs(
     """(doc_id, item_id, score, overlap): every verified pair of a document row and an item.
 
     score is the best passage's share of the item's own BM25 score, overlap the smaller of the
-    question's and the answer's shared shingles. Null and empty texts on either side have no pairs;
+    question's and the answer's share that is found. Null and empty texts on either side have no pairs;
     no items or no documents give an empty result; repeated rows repeat their pairs. Of repeated
     items each id is reported. Other columns are not read.
     """

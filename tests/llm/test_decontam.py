@@ -64,6 +64,19 @@ def test_planted_items_and_nothing_else(docs, make):
     assert kept.columns == table.columns
 
 
+def test_copies_with_changed_words(docs, make):
+    items, rows, _ = corpus()
+    changed = []
+    for k, (i, text) in enumerate(items[:20]):
+        words = text.split()
+        for at in range(5, len(words), 11):
+            words[at] = "other"
+        changed.append((1000 + k, f"{rows[40 + k][1]} {' '.join(words)} {rows[60][1]}"))
+    table, item_table = docs([*changed, *rows[40:80]]), make([(i, t, 0.0) for i, t in items], ITEM)
+    got = sorted((r.doc_id, r.item_id) for r in decontam.contaminated_pairs(table, item_table).collect())
+    assert got == [(1000 + k, items[k][0]) for k in range(20)]
+
+
 def test_question_and_answer_columns(docs, make):
     items = make([(1, "what is the name of the tall thing here", "the answer is a very tall tower")], "item_id long, text string, answer string")
     both = "what is the name of the tall thing here? well: the answer is a very tall tower."
