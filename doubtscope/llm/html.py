@@ -1,10 +1,11 @@
 """Main text of web pages by site template removal.
 
-A page is parsed into blocks of text; every block knows the hashes of the element subtrees it stands
-in. Spark counts per host on how many pages each subtree hash occurs, and subtrees that recur across
-many pages of their host are deleted, with what tags and class names mark as boilerplate. Text that
-the page itself marks as its article is content: there a subtree counts as template only if it is a
-link list, since a paragraph may well stand in many articles.
+A page is parsed into blocks of text; every element subtree is hashed, and every block knows the
+hashes of the subtrees it stands in. Spark counts per host on how many pages each hash occurs, and
+subtrees that recur across many pages of their host are deleted. What tags and class names mark as
+boilerplate goes too, recurring or not. Text that the page itself marks as its article is content:
+there a subtree counts as template only if it is a link list, since a paragraph may well stand in
+many articles.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doubtscope.session import fresh_path
+from doubtscope.session import fresh_path, stored
 
 #: Element names by what they mean for the text.
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
@@ -67,8 +68,9 @@ class _Element:
 
 
 def parse(page: str | None) -> tuple[list[tuple[str, bool, list[int]]], set[int]]:
-    """(blocks, hashes) of a page: each block's text, whether it is in an article, and the hashes of
-    the elements it stands in, outermost first; hashes are of all subtrees that may be template."""
+    """(blocks, hashes) of a page: the text of each block that is not marked as boilerplate, whether it
+    is in an article, and the hashes of the elements it stands in, outermost first; hashes are of all
+    subtrees that may be template, boilerplate included."""
     page = page or ""
     root = _Element("#root", False, False, 0)
     stack, blocks, text = [root], [], []
@@ -83,8 +85,9 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, list[int]]], set[int]
             top = stack[-1]
             top.parts.append(whole)
             top.chars += len(whole)
-            blocks.append((whole, top.article))
-            owners.append(stack[1:])
+            if not top.drop:
+                blocks.append((whole, top.article))
+                owners.append(stack[1:])
 
     def close() -> None:
         e = stack.pop()
@@ -93,13 +96,13 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, list[int]]], set[int]
         up.parts.append(f"{e.hash:x}")
         up.chars += e.chars
         up.links += e.links
-        if e.chars and not e.drop and e.name not in ("html", "body"):
+        if e.chars and e.name not in ("html", "body"):
             if not e.article or e.links > 1 and e.links * 60 > e.chars:
                 hashes[e.hash] = e.chars
                 closed[id(e)] = e.hash
 
     def add(raw: str) -> None:
-        if raw and not stack[-1].drop:
+        if raw:
             text.append(raw)
 
     at, n = 0, len(page)
@@ -199,9 +202,11 @@ def main_text(
     """One row per row of pages: (page_id, url, text, n_chars, n_removed).
 
     A subtree is template if its hash stands on at least ``min_pages`` pages and ``min_share`` of the
-    host's pages. Pages that mark an article yield only what stands in it; others all that is left.
-    Null or empty html gives an empty text; a null url is a host of its own; repeated rows are
-    repeated, each counting as a page. Other columns are not read.
+    host's pages; so a host has at most 1 / min_share times the subtrees of a page as template, however
+    many pages it has. Pages that mark an article yield only what stands in it; others all that is
+    left. ``n_removed`` counts the page's subtrees that are template. Null or empty html gives an empty
+    text; a null url is a host of its own; repeated rows are repeated, each counting as a page. Other
+    columns are not read.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")
@@ -213,22 +218,17 @@ def main_text(
     counts = parsed.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     template = counts.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
 
-    keyed = parsed.withColumn("key", F.xxhash64("page_id", "url", "hashes"))
-    hit = (
-        keyed.select("key", "host", F.explode("hashes").alias("hash"))
-        .join(template, ["host", "hash"])
-        .groupBy("key")
-        .agg(F.collect_set("hash").alias("removed"))
-    )
-    # pages without a subtree that could be template need no join
-    marked = keyed.where(F.size("hashes") > 0).join(hit, "key", "left")
-    marked = marked.unionByName(keyed.where(F.size("hashes") == 0).withColumn("removed", F.lit(None).cast("array<long>")))
+    # a short row per host: where all of them are small enough for Spark to broadcast, no page moves
+    by_host = template.groupBy("host").agg(F.collect_list("hash").alias("template"))
+    marked = parsed.join(stored(by_host, "html-template"), "host", "left")
+    none = F.array().cast("array<long>")
+    template_here = F.coalesce("template", none)
     has_article = F.exists("blocks", lambda b: b["article"])
     kept = F.filter(
         "blocks",
-        lambda b: (b["article"] | ~has_article) & ~F.arrays_overlap(b["within"], F.coalesce("removed", F.array().cast("array<long>"))),
+        lambda b: (b["article"] | ~has_article) & ~F.arrays_overlap(b["within"], template_here),
     )
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return marked.select(
-        "page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed")
+        "page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size(F.array_intersect("hashes", template_here)).alias("n_removed")
     )
