@@ -355,17 +355,30 @@ def sequence_scores(spark, sf):
     return s.select("row_id", "ok", shown("unc").alias("unc"))
 
 
+def _both_metrics_sql(keys: list[str]) -> str:
+    """CTEs ``mt`` and ``ps`` (metrics by true and pseudo flags) and ``ct`` (counts) over sc: keys, unc, ok, label."""
+    k = ", ".join(keys)
+    lead, by = (f"{k}, ", f"GROUP BY {k}") if keys else ("", "")
+    return f"""pc AS (SELECT {lead}unc, trunc(label) = 0 AS ok FROM sc),
+mt AS (WITH {fx.metrics_sql('sc', keys)} SELECT {lead}{', '.join(FIVE)} FROM metrics),
+ps AS (WITH {fx.metrics_sql('pc', keys)} SELECT {lead}{', '.join(f"{c} AS pseudo_{c}" for c in FIVE)} FROM metrics),
+ct AS (SELECT {lead}count(*) AS n_samples, count(*) FILTER (ok) AS n_correct, count(*) FILTER (NOT ok) AS n_incorrect FROM sc {by})"""
+
+
+def _evaluated(m, keys: list[str], digits: int = 9):
+    names = [*FIVE, *[f"pseudo_{c}" for c in FIVE]]
+    return m.select(*keys, *[shown(c, digits).alias(c) for c in names], "n_samples", "n_correct", "n_incorrect")
+
+
 @query(
     "evaluate_scorer",
-    f"""{_NET}, sc AS (SELECT v.split, v.ok, round(n.unc, 6) AS unc FROM net n JOIN vectors v ON v.row_id = n.row_id),
-        {fx.metrics_sql('sc', ['split'])} SELECT m.split, auroc, aurac, balanced_acc, c.n_samples, c.n_correct, c.n_incorrect FROM metrics m
-        JOIN (SELECT split, count(*) AS n_samples, count(*) FILTER (ok) AS n_correct, count(*) FILTER (NOT ok) AS n_incorrect FROM sc GROUP BY split) c ON c.split = m.split""",
+    f"""{_NET}, sc AS (SELECT v.split, v.ok, CAST(v.y AS DOUBLE) AS label, round(n.unc, 6) AS unc FROM net n JOIN vectors v ON v.row_id = n.row_id),
+        {_both_metrics_sql(['split'])} SELECT mt.*, ps.* EXCLUDE (split), ct.* EXCLUDE (split) FROM mt JOIN ps USING (split) JOIN ct USING (split)""",
 )
 def evaluate_scorer(spark, sf):
     v, w = _fixed(spark, sf)
     scored = net.mlp_score(v.withColumnRenamed("y", "label"), {0: w}, keep=["row_id", "split", "ok", "label"])
-    m = ev.evaluate_scored(scored.withColumn("unc", F.round("unc", 6)), ["split"])
-    return m.select("split", *[shown(c).alias(c) for c in FIVE[2:]], "n_samples", "n_correct", "n_incorrect")
+    return _evaluated(ev.evaluate_scored(scored.withColumn("unc", F.round("unc", 6)), ["split"]), ["split"])
 
 
 @query(
@@ -375,13 +388,15 @@ def evaluate_scorer(spark, sf):
     x AS (SELECT row_id, i, CAST(CAST('0x' || substr(md5(text), CAST(i + 1 AS INTEGER), 1) AS INTEGER) AS DOUBLE) / 16 AS v FROM src, range(8) r(i)),
     hid AS (SELECT row_id, h, sum(v * (CAST((h * 31 + i * 17) % 23 - 11 AS DOUBLE) / 64)) + CAST(h % 5 - 2 AS DOUBLE) / 8 AS z FROM x, range(2) r(h) GROUP BY row_id, h),
     net AS (SELECT row_id, round(sum(z / (1 + exp(-z)) * (CAST((h * 7) % 11 - 5 AS DOUBLE) / 8)) + CAST(0.125 AS DOUBLE), 6) AS unc FROM hid GROUP BY row_id),
-    sc AS (SELECT f.ok, n.unc FROM flag f JOIN has ON has.tid = f.tid JOIN net n ON n.row_id = f.tid), {fx.metrics_sql('sc', [])}
-    SELECT round(auroc, 4) AS auroc, round(aurac, 4) AS aurac, (SELECT count(*) FROM sc) AS n_samples, (SELECT count(*) FILTER (ok) FROM sc) AS n_correct FROM metrics""",
+    top AS (SELECT tid, s, row_number() OVER (PARTITION BY tid ORDER BY s DESC) AS r FROM norms),
+    lb AS (SELECT tid, CAST(CAST(avg(s) AS FLOAT) AS DOUBLE) AS label FROM top WHERE r <= 5 GROUP BY tid),
+    sc AS (SELECT f.ok, n.unc, lb.label FROM flag f JOIN has ON has.tid = f.tid JOIN net n ON n.row_id = f.tid JOIN lb ON lb.tid = f.tid), {_both_metrics_sql([])}
+    SELECT {", ".join(f"round({c}, 4) AS {c}" for c in [*FIVE, *[f"pseudo_{c}" for c in FIVE]])}, n_samples, n_correct, n_incorrect FROM mt, ps, ct""",
 )
 def evaluate_learned_score(spark, sf):
     emb = embed_prompts(_turn_prompts(spark, sf), digest_vectors).drop("label")
     m = ev.evaluate_learned_score(_results(spark, sf), _result_logits(spark, sf), emb, fx.fixed_weights(8), F.col("dataset"))
-    return m.select(F.round("auroc", 4).alias("auroc"), F.round("aurac", 4).alias("aurac"), "n_samples", "n_correct")
+    return _evaluated(m, [], 4)
 
 
 # --- training: full-batch steps in exact mode, which SQL can repeat -----------------------------

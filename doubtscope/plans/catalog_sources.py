@@ -240,15 +240,18 @@ def model_registry(spark, sf):
 
 @query(
     "study_report",
-    """SELECT 'orders' AS study, count(*) AS n_seeds, count(DISTINCT o_orderstatus) AS n_metrics FROM
-       (SELECT o_orderstatus, CAST(month(o_orderdate) AS INTEGER) AS seed FROM orders GROUP BY ALL)""",
+    """WITH s AS (SELECT o_orderstatus, CAST(month(o_orderdate) AS INTEGER) AS seed, avg(o_totalprice) AS auroc FROM orders GROUP BY ALL)
+       SELECT 'orders' AS study, o_orderstatus, seed, round(auroc, 4) AS value FROM s
+       UNION ALL SELECT 'orders', o_orderstatus, CAST(NULL AS INTEGER), round(avg(auroc), 4) FROM s GROUP BY o_orderstatus""",
 )
 def study_report(spark, sf):
     o = table(spark, sf, "orders").withColumn("seed", F.month("o_orderdate"))
     seeds = o.groupBy("o_orderstatus", "seed").agg(F.avg("o_totalprice").alias("auroc"))
     averaged = seeds.groupBy("o_orderstatus").agg(F.avg("auroc").alias("mean"))
     r = ar.study_report(seeds, averaged, "orders")
-    return r.select("study", F.size("per_seed").cast("bigint").alias("n_seeds"), F.size("averaged").cast("bigint").alias("n_metrics"))
+    each = r.select("study", F.explode("per_seed").alias("p")).select("study", "p.o_orderstatus", "p.seed", F.round("p.auroc", 4).alias("value"))
+    mean = r.select("study", F.explode("averaged").alias("a"))
+    return each.unionByName(mean.select("study", "a.o_orderstatus", F.lit(None).cast("int").alias("seed"), F.round("a.mean", 4).alias("value")))
 
 
 @query(
@@ -273,12 +276,12 @@ def zip_result_logits(spark, sf):
 
 @query(
     "labels_by_row",
-    "SELECT d.doc_id AS row_id, d.source, l.quality AS label FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NOT NULL",
+    "SELECT d.doc_id AS row_id, d.source, l.quality AS label FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
 )
 def labels_by_row(spark, sf):
     results = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "source", F.col("lang").alias("label"))
     given = table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label"))
-    return pr.with_labels_by_row(results, given).filter("label is not null")
+    return pr.with_labels_by_row(results, given)
 
 
 @query(

@@ -16,8 +16,8 @@ from doubtscope.streaming.scoring import stream_resumable_score
 
 @query(
     "stream_patience",
-    f"""WITH {fx.TURN_NORMS_SQL}, {fx.PATIENCE_SQL} SELECT h.tid AS seq, round(mean, 9) AS mean, CAST(tau AS INTEGER) AS tau, triggered
-        FROM halt h JOIN heap p ON p.tid = h.tid""",
+    f"""WITH {fx.TURN_NORMS_SQL}, {fx.PATIENCE_SQL} SELECT t.tid AS seq, round(mean, 9) AS mean, CAST(coalesce(tau, 0) AS INTEGER) AS tau, coalesce(triggered, false) AS triggered
+        FROM turns t LEFT JOIN halt h ON h.tid = t.tid LEFT JOIN heap p ON p.tid = t.tid""",
 )
 def patience_stream(spark, sf):
     logits = fx.turn_logits(spark, sf)
@@ -30,7 +30,7 @@ def patience_stream(spark, sf):
     rows.repartition(3, F.expr("pos % 3")).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
     run_to_table(stream_patience(stream, 5, 20), f"{root}/out", f"{root}/checkpoint")
-    out = spark.read.parquet(f"{root}/out").filter("tau > 0")
+    out = spark.read.parquet(f"{root}/out")
     return out.select("seq", shown("mean").alias("mean"), "tau", "triggered")
 
 

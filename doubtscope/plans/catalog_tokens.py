@@ -93,13 +93,13 @@ def patience_from_topk(spark, sf):
 
 @query(
     "patience_long",
-    f"""{_PATIENCE} SELECT h.tid AS seq, round(mean, 9) AS unc, CAST(tau AS BIGINT) AS tau, triggered
-        FROM halt h JOIN heap p ON p.tid = h.tid""",
+    f"""{_PATIENCE} SELECT t.tid AS seq, round(mean, 9) AS unc, CAST(coalesce(tau, 0) AS BIGINT) AS tau, coalesce(triggered, false) AS triggered
+        FROM turns t LEFT JOIN halt h ON h.tid = t.tid LEFT JOIN heap p ON p.tid = t.tid""",
 )
 def patience_rows(spark, sf):
     rows = fx.turn_logits(spark, sf).select(F.col("tid").alias("seq"), F.posexplode("logits").alias("pos", "t"))
     scored = rows.select("seq", "pos", tok.token_l2(F.col("t")).alias("score"))
-    out = patience_long(scored, 5, 20, block=64).filter("tau > 0")
+    out = patience_long(scored, 5, 20, block=64)
     return out.select("seq", shown("mean").alias("unc"), F.col("tau").cast("bigint").alias("tau"), "triggered")
 
 
