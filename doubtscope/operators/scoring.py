@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doubtscope.functions import tokens as tok
+from doubtscope.functions.mixing import draw_below
 from doubtscope.functions.text import flatten_chat, label_text, strip
 from doubtscope.operators.network import mlp_score
 
@@ -118,12 +119,18 @@ def infer_wide(samples: DataFrame, predictor, n_responses: int, k: int = tok.TOP
 
 
 def hash_embed(df: DataFrame, text: str, dim: int = 64, out: str = "embedding") -> DataFrame:
-    """Built-in embedder: hashed word counts, scaled to unit length. Runs in the JVM."""
-    words = Tokenizer(inputCol=text, outputCol="__words").transform(df)
-    counts = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=dim).transform(words)
+    """Built-in embedder: words counted in ``dim`` buckets by their MD5, scaled to unit length.
+
+    Runs in the JVM, in one pass over the words; the digest makes it repeatable in any engine. A text
+    without words, or null, is the zero vector.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    buckets = F.transform(words, lambda w: draw_below(F.lit(dim), w).cast("string"))
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="__buckets", outputCol="__tf")
+    counts = counter.transform(df.withColumn("__buckets", buckets))
     unit = Normalizer(inputCol="__tf", outputCol="__unit").transform(counts)
     vector = vector_to_array("__unit", dtype="float32")
-    return unit.withColumn(out, vector).drop("__words", "__tf", "__unit")
+    return unit.withColumn(out, vector).drop("__buckets", "__tf", "__unit")
 
 
 def embed_prompts(results: DataFrame, embedder: Callable[[DataFrame, str], DataFrame] | None = None,

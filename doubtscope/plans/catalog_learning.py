@@ -289,12 +289,16 @@ def embed(spark, sf):
     return e.select("row_id", F.posexplode("embedding").alias("i", "v")).select("row_id", "i", F.col("v").cast("double").alias("v"))
 
 
-@query("hash_embed")
+@query(
+    "hash_embed",
+    """WITH w AS (SELECT doc_id AS row_id, unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) AS w FROM documents),
+    c AS (SELECT row_id, CAST('0x' || substr(md5(w), 1, 15) AS BIGINT) % 64 AS i, count(*) AS n FROM w GROUP BY ALL)
+    SELECT row_id, CAST(i AS INTEGER) AS i, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY row_id)) AS FLOAT) AS DOUBLE), 5) AS v FROM c""",
+)
 def hashed(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
-    e = hash_embed(d, "text", 64)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return e.select("row_id", F.size("embedding").alias("width"), F.round(norm, 4).alias("norm"))
+    e = hash_embed(d, "text", 64).select("row_id", F.posexplode("embedding").alias("i", "v")).filter("v > 0")
+    return e.select("row_id", "i", F.round(F.col("v").cast("double"), 5).alias("v"))
 
 
 _SCORED_SQL = f"""{_TURN_SRC},
