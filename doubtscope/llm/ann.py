@@ -130,6 +130,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~odd & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _spread_out(df: DataFrame, n_shards: int) -> DataFrame:
+    """Deal shards to tasks of their own: little data, much work, so partitions are not merged by size."""
+    limit = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(2 * n_shards, limit)), "dim", "shard")
+
+
 INDEX = "dim int, shard int, ids array<long>, copies array<int>, vectors array<float>, entry int, widths array<int>, links array<int>"
 
 
@@ -164,7 +170,7 @@ def build_index(vectors: DataFrame, rows_per_shard: int = 2048) -> DataFrame:
             }
         )
 
-    return dealt.groupBy("dim", "shard").applyInPandas(build, INDEX)
+    return _spread_out(dealt, sum(sizes.values())).groupBy("dim", "shard").applyInPandas(build, INDEX)
 
 
 def _search_shard(row: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, ef: int) -> Iterator[tuple[int, int, float]]:
@@ -213,7 +219,8 @@ def nearest(
         .agg(F.collect_list("vec_id").alias("query_ids"), F.flatten(F.collect_list("embedding")).alias("query_vectors"))
         .select("dim", "query_ids", "query_vectors", F.explode(F.sequence(F.lit(0), of["last"])).alias("shard"))
     )
-    pairs = index.join(blocks, ["dim", "shard"])
+    n_shards = sum(last + 1 for _, last in plan.values())
+    pairs = _spread_out(index, n_shards).join(_spread_out(blocks, n_shards), ["dim", "shard"])
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
