@@ -16,14 +16,14 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import reduce
 from itertools import repeat
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,10 +68,10 @@ class Index:
     items: np.ndarray
     weights: np.ndarray
     passage: int  # words of a passage; steps are half of it, so any run of half that length is inside one
-    postings: list[tuple[list, list]] = field(default_factory=list)
-    block_last: list[list] = field(default_factory=list)
-    block_max: list[list] = field(default_factory=list)
-    term_max: list[float] = field(default_factory=list)
+    postings: list[tuple[list, list]] = field(init=False, default_factory=list)
+    block_last: list[list] = field(init=False, default_factory=list)
+    block_max: list[list] = field(init=False, default_factory=list)
+    term_max: list[float] = field(init=False, default_factory=list)
 
     def __post_init__(self):
         for a, b in zip(self.starts[:-1], self.starts[1:], strict=True):
@@ -231,18 +231,21 @@ def index_segments(items: DataFrame, id_col: str, text_col: str, answer_col: str
         yield build_index(listed, counts, n_items, n_words / n_items)
 
 
-def contamination_column(text: Column, index_var, threshold: float, min_overlap: float) -> Column:
-    """Array of (item_id, score, overlap) for a text column against one broadcast index segment."""
+def contamination_column(session: SparkSession, text: Column, index: Index, threshold: float, min_overlap: float) -> Column:
+    """Array of (item_id, score, overlap) for a text column against one index segment, which is broadcast
+    as plain values: workers need not have this package."""
+    shared = session.sparkContext.broadcast({f.name: getattr(index, f.name) for f in fields(index) if f.init})
     kind = T.ArrayType(
         T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("overlap", T.DoubleType())])
     )
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())]))
 
     @F.arrow_udf(kind)
-    def hits(texts: pa.Array) -> pa.Array:
-        index = index_var.value
-        found = (search(index, t.as_py(), threshold, min_overlap) for t in texts)
-        return pa.array([[dict(zip(("item_id", "score", "overlap"), h, strict=True)) for h in rows] for rows in found], arrow)
+    def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = Index(**shared.value)
+        for texts in batches:
+            found = (search(index, t.as_py(), threshold, min_overlap) for t in texts)
+            yield pa.array([[dict(zip(("item_id", "score", "overlap"), h, strict=True)) for h in rows] for rows in found], arrow)
 
     return hits(text.cast("string"))
 
@@ -269,7 +272,7 @@ def contaminated_pairs(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     session = docs.sparkSession
     found = [
-        rows.select("doc_id", F.inline(contamination_column(F.col("text"), session.sparkContext.broadcast(index), threshold, min_overlap)))
+        rows.select("doc_id", F.inline(contamination_column(session, F.col("text"), index, threshold, min_overlap)))
         for index in index_segments(items, item_id, item_text, item_answer, segment_words)
     ]
     if not found:
@@ -290,6 +293,6 @@ def keep_clean(
 ) -> DataFrame:
     """The rows of docs, all columns, that hold no item."""
     for index in index_segments(items, item_id, item_text, item_answer, segment_words):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        docs = docs.where(F.size(contamination_column(F.col(text_col), shared, threshold, min_overlap)) == 0)
+        found = contamination_column(docs.sparkSession, F.col(text_col), index, threshold, min_overlap)
+        docs = docs.where(F.size(found) == 0)
     return docs

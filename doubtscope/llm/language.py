@@ -8,7 +8,7 @@ the smallest total wins. Case is folded on both sides: shouting is no language o
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
@@ -63,28 +63,28 @@ def fit_dictionaries(
     return {lang: b"\n".join(texts)[:dict_bytes] for lang, texts in parts.items()}
 
 
-@lru_cache(maxsize=4)
-def _compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstandard.ZstdCompressor]]:
+def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
+    """(language, compressor) in order of name."""
     made = []
-    for lang, content in dictionaries:
+    for lang, content in sorted(dictionaries.items()):
         learned = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         learned.precompute_compress(level=LEVEL)
         made.append((lang, zstandard.ZstdCompressor(dict_data=learned, write_checksum=False, write_content_size=False, write_dict_id=False)))
     return made
 
 
-def classify(text: bytes | None, dictionaries: tuple[tuple[str, bytes], ...], min_margin: float) -> tuple[str, float, bool]:
+def classify(text: bytes | None, languages: list[tuple[str, zstandard.ZstdCompressor]], min_margin: float) -> tuple[str, float, bool]:
     """(language, score, rejected) of UTF-8 text.
 
     score is the gap between the second and the best language as a share of the second's size,
     stretched to 0..1. Ties go to the language that comes first by name.
     """
     words = (text or b"").decode("utf-8", "replace").lower()
-    if not dictionaries or not _LETTER.search(words):
+    if not languages or not _LETTER.search(words):
         return UNKNOWN, 0.0, True
     text = words.encode()
     chunks = [text[k : k + CHUNK] for k in range(0, len(text), CHUNK)]
-    sizes = sorted((sum(len(c.compress(x)) for x in chunks), lang) for lang, c in _compressors(dictionaries))
+    sizes = sorted((sum(len(c.compress(x)) for x in chunks), lang) for lang, c in languages)
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
     margin = 1.0 - sizes[0][0] / sizes[1][0]
@@ -93,15 +93,16 @@ def classify(text: bytes | None, dictionaries: tuple[tuple[str, bytes], ...], mi
 
 def language_column(text: Column, dictionaries: dict[str, bytes], min_margin: float = 0.002) -> Column:
     """Struct (lang_pred, score, rejected) for a text column; every whole text is compressed."""
-    fixed = tuple(sorted(dictionaries.items()))
 
     @F.arrow_udf(RESULT)
-    def language(texts: pa.Array) -> pa.Array:
-        found = [classify(t.as_py(), fixed, min_margin) for t in texts.cast(pa.binary())]
-        return pa.StructArray.from_arrays(
-            [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))],
-            names=RESULT.names,
-        )
+    def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        languages = compressors(dictionaries)
+        for texts in batches:
+            found = [classify(t.as_py(), languages, min_margin) for t in texts.cast(pa.binary())]
+            yield pa.StructArray.from_arrays(
+                [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))],
+                names=RESULT.names,
+            )
 
     return language(text.cast("string"))
 

@@ -50,5 +50,5 @@ def test_held_out_labels_are_not_learned(docs):
 
 
 def test_case_does_not_matter():
-    d = (("de", lorem(0).encode()), ("en", lorem(1).encode()))
+    d = language.compressors({"de": lorem(0).encode(), "en": lorem(1).encode()})
     assert language.classify(lorem(3).upper().encode(), d, 0.0)[0] == "en"
