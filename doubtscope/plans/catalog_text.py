@@ -94,10 +94,14 @@ def first_rows(spark, sf):
     return limit_samples(e, e.count() // 3)
 
 
-@query("row_range", "SELECT o_orderkey AS row_id, o_orderstatus FROM orders WHERE o_orderkey >= 250 AND o_orderkey < 1250")
+@query(
+    "row_range",
+    """SELECT o_orderkey AS row_id, o_orderstatus FROM orders, (SELECT count(*) AS n FROM orders) WHERE o_orderkey >= n // 4 AND o_orderkey < 3 * n // 4""",
+)
 def rows_between(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), "o_orderstatus")
-    return row_range(o, 250, 1250)
+    n = o.count()
+    return row_range(o, n // 4, 3 * n // 4)
 
 
 @query(

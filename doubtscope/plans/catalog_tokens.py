@@ -150,8 +150,11 @@ def tokens_saved(spark, sf):
     )
 
 
+CANDIDATES = 24  # more than are kept
+
+
 def _candidates(spark, sf):
-    """(tid, candidates): six candidates per word; ranks known in even turns; the chosen one (rank 0) last."""
+    """(tid, candidates): CANDIDATES candidates per word; ranks known in even turns; the chosen one (rank 0) last."""
     t = spread(fx.turns(spark, sf))
 
     def token(w, p):
@@ -160,15 +163,15 @@ def _candidates(spark, sf):
         def one(j):
             j = j.cast("bigint")
             logprob = ((F.col("tid") * 13 + p * 37 + j * 101 + F.length(w) * 7) % 40).cast("double") / 4.0 - 5.0
-            rank = F.when(F.col("tid") % 2 == 0, (F.lit(5) - j).cast("int")).otherwise(
-                F.when(j == 5, F.lit(0)).otherwise(F.lit(None).cast("int"))
+            rank = F.when(F.col("tid") % 2 == 0, (F.lit(CANDIDATES - 1) - j).cast("int")).otherwise(
+                F.when(j == CANDIDATES - 1, F.lit(0)).otherwise(F.lit(None).cast("int"))
             )
             value = F.struct(
                 logprob.alias("logprob"), F.concat(w, F.lit("#"), j.cast("string")).alias("decoded_token"), rank.alias("rank")
             )
-            return F.struct((p * 10 + j).alias("key"), value.alias("value"))
+            return F.struct((p * 100 + j).alias("key"), value.alias("value"))
 
-        cand = F.map_from_entries(F.transform(F.sequence(F.lit(0), F.lit(5)), one))
+        cand = F.map_from_entries(F.transform(F.sequence(F.lit(0), F.lit(CANDIDATES - 1)), one))
         return F.when((F.col("tid") + p) % 61 != 0, cand)
 
     return t.select("tid", F.transform(F.split("text", " "), token).alias("candidates"))
@@ -176,15 +179,15 @@ def _candidates(spark, sf):
 
 _CAND_SQL = f"""WITH {fx.TURNS_SQL},
 words AS (SELECT tid, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS p FROM turns),
-cand AS (SELECT tid, p, j, p * 10 + j AS token_id, w || '#' || j AS token,
+cand AS (SELECT tid, p, j, p * 100 + j AS token_id, w || '#' || j AS token,
                 CAST((tid * 13 + p * 37 + j * 101 + length(w) * 7) % 40 AS DOUBLE) / 4 - 5 AS logit,
-                CASE WHEN tid % 2 = 0 THEN 5 - j WHEN j = 5 THEN 0 END AS rank
-         FROM words, range(6) r(j) WHERE (tid + p) % 61 <> 0),
+                CASE WHEN tid % 2 = 0 THEN {CANDIDATES - 1} - j WHEN j = {CANDIDATES - 1} THEN 0 END AS rank
+         FROM words, range({CANDIDATES}) r(j) WHERE (tid + p) % 61 <> 0),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY tid, p ORDER BY
                 CASE WHEN tid % 2 = 0 THEN CAST(rank AS DOUBLE) ELSE -logit END, j) AS place FROM cand),
 kept AS (SELECT tid, p, token_id, token, logit, rank,
                 row_number() OVER (PARTITION BY tid, p ORDER BY place) AS place FROM ordered
-         WHERE place <= 4 OR rank = 0)"""
+         WHERE place <= {tok.TOPK_DEFAULT} OR rank = 0)"""
 
 
 @query(
@@ -193,7 +196,7 @@ kept AS (SELECT tid, p, token_id, token, logit, rank,
         CAST(coalesce(rank, -1) AS INTEGER) AS rank FROM kept""",
 )
 def topk_entries(spark, sf):
-    e = _candidates(spark, sf).select("tid", F.posexplode(tok.topk_entries(F.col("candidates"), 4)).alias("pos", "t"))
+    e = _candidates(spark, sf).select("tid", F.posexplode(tok.topk_entries(F.col("candidates"), tok.TOPK_DEFAULT)).alias("pos", "t"))
     rows = e.select("tid", "pos", F.posexplode("t").alias("i", "e"))
     return rows.select(
         "tid", F.col("pos").cast("bigint").alias("pos"), (F.col("i") + 1).cast("bigint").alias("place"), "e.*"
@@ -203,11 +206,11 @@ def topk_entries(spark, sf):
 @query(
     "topk_per_token",
     f"""{_CAND_SQL} SELECT tid, CAST(p AS BIGINT) AS pos, count(*) AS n_kept, max(logit) AS top_logit, round(avg(logit), 9) AS mean_logit
-        FROM ordered WHERE place <= 3 GROUP BY tid, p""",
+        FROM ordered WHERE place <= {tok.TOPK_DEFAULT} GROUP BY tid, p""",
 )
 def topk_per_token(spark, sf):
     c = _candidates(spark, sf)
-    e = c.select("tid", F.posexplode(tok.topk_entries(F.col("candidates"), 3, chosen_rank=-1)).alias("pos", "t"))
+    e = c.select("tid", F.posexplode(tok.topk_entries(F.col("candidates"), tok.TOPK_DEFAULT, chosen_rank=-1)).alias("pos", "t"))
     logits = F.col("t.logit")
     return e.filter("t is not null").select(
         "tid",
@@ -230,7 +233,7 @@ def answer_fields(spark, sf):
 
     c = _candidates(spark, sf).join(fx.turns(spark, sf).select("tid", "text"), "tid")
     padded = F.concat(F.lit("\t "), F.col("text"), F.lit("\n "))
-    f = fields(c.withColumn("generated_text", padded), 4)
+    f = fields(c.withColumn("generated_text", padded))
     first = F.get(F.get(F.col("answer_token_topk_logits"), F.lit(0)), F.lit(0))
     return f.select("tid", "answer", "answer_token_index", first["token"].alias("last_token"), first["logit"].alias("last_logit"))
 

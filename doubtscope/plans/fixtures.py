@@ -13,7 +13,7 @@ from doubtscope.operators.network import hidden_size
 from doubtscope.plans.registry import table
 from doubtscope.session import spread
 
-TOP_ENTRIES = 4
+TOP_ENTRIES = 20
 
 
 def _logit(key: Column, pos: Column, k: Column, width: Column) -> Column:
