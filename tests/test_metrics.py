@@ -144,3 +144,33 @@ def test_bootstrap_is_repeatable_and_sound(spark):
     assert a == b
     assert a["auroc"]["ci_low"] < auroc(unc, ok) < a["auroc"]["ci_high"]
     assert a["auroc"]["mean"] == pytest.approx(auroc(unc, ok), abs=0.02)
+
+
+def test_a_threshold_costs_no_second_draw(spark):
+    df = spark.createDataFrame([(i, float(i % 7), i % 3 > 0) for i in range(40)], "row_id bigint, unc double, ok boolean")
+
+    def draws(threshold):
+        plan = rs.resample_metrics(df, "row_id", n_resamples=5, threshold=threshold)._jdf.queryExecution().optimizedPlan()
+        return plan.toString().count("Range (")
+
+    assert draws(3.0) == draws(None) > 0
+
+
+def test_runs_resampled_together_equal_runs_alone(spark):
+    rows = [(i, r, float((i * (5 + r)) % 11), i % 3 > 0) for i in range(60) for r in (0, 1)]
+    df = spark.createDataFrame(rows, "row_id bigint, run_id int, unc double, ok boolean")
+    together = rs.bootstrap_runs_ci(df, "row_id", {0: 4, 1: 9}, {0: 5.0, 1: float("inf")}, n_resamples=40).collect()
+    for run, seed, cut in ((0, 4, 5.0), (1, 9, float("inf"))):
+        alone = rs.bootstrap_ci(df.filter(f"run_id = {run}"), "row_id", n_resamples=40, seed=seed, threshold=cut).collect()
+        assert sorted(tuple(r)[1:] for r in together if r["run_id"] == run) == sorted(map(tuple, alone))
+
+
+def test_running_floor_of_long_answers_is_quick(spark):
+    import time
+
+    from doubtscope.functions.tokens import running_floor
+
+    scores = F.transform(F.sequence(F.lit(1), F.lit(16_000)), lambda i: F.pmod(F.xxhash64(i), F.lit(10**6)).cast("double"))
+    start = time.time()
+    spark.range(8).select(running_floor(scores)).write.format("noop").mode("overwrite").save()
+    assert time.time() - start < 15
