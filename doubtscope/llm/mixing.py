@@ -33,12 +33,14 @@ def n_tokens(text: Column) -> Column:
     return F.greatest(words, F.lit(1)).cast("long")
 
 
-def rake(cells: DataFrame, powers: dict[str, float], rounds: int) -> DataFrame:
+def rake(cells: DataFrame, powers: dict[str, float], rounds: int, share: float = 0.0) -> DataFrame:
     """Cells (the dimensions, tokens) with ``weight``, raked so that each dimension's marginal is its target.
 
     The target share of a value is its token share to the dimension's power, normalised: power 1
     keeps the mix as it is, 0 makes the values equal. Cells are as many as there are combinations,
-    far fewer than documents; they stay a distributed table, written out at every step.
+    far fewer than documents; they stay a distributed table, written out at every step. With ``share``
+    no cell gets more weight than all its tokens have in a sample of that share; the next rounds give
+    what it cannot take to other cells of the same values.
     """
     total = cells.agg(F.sum("tokens").cast("double")).first()[0]
     targets = {}
@@ -51,7 +53,10 @@ def rake(cells: DataFrame, powers: dict[str, float], rounds: int) -> DataFrame:
         for d in DIMENSIONS:
             have = now.groupBy(d).agg(F.sum("weight").alias("have"))
             factor = have.join(targets[d], d).select(d, (F.col("target") / F.col("have")).alias("factor"))
-            now = now.join(factor, d).select(*DIMENSIONS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
+            weight = F.col("weight") * F.col("factor")
+            if share:
+                weight = F.least(weight, F.col("tokens") / F.lit(share * total))
+            now = now.join(factor, d).select(*DIMENSIONS, "tokens", weight.alias("weight"))
             now = stored(now, "mix-cells")
     return now
 
@@ -65,12 +70,36 @@ def keyed(docs: DataFrame, text: Column, source: Column, lang: Column, topic: Co
     return docs.withColumn("__mix", F.struct(*named, n_tokens(text).alias("tokens")))
 
 
-def keep_probabilities(marked: DataFrame, powers: dict[str, float] = POWERS, rounds: int = 6) -> DataFrame:
-    """(source, lang, topic, p): the weight a token of the cell has, as a share of the largest such weight."""
+#: Share of all tokens that the query and the pipeline keep at least.
+LEAST_SHARE = 0.1
+
+
+def keep_probabilities(marked: DataFrame, powers: dict[str, float] = POWERS, rounds: int = 6, least_share: float = 0.0) -> DataFrame:
+    """(source, lang, topic, p): the weight a token of the cell has, as a share of the largest such weight.
+
+    Where that would leave less than ``least_share`` of all tokens (in expectation), the sample gets
+    this share instead: cells too small for their weight are kept whole, and others make up the rest.
+    """
     cells = stored(marked.groupBy(*[F.col(f"__mix.{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__mix.tokens").alias("tokens")), "mix-counts")
-    raked = rake(cells, powers, rounds).withColumn("rate", F.col("weight") / F.col("tokens"))
-    top = raked.agg(F.max("rate")).first()[0]
-    return raked.select(*DIMENSIONS, (F.col("rate") / F.lit(top)).alias("p"))
+    rate = F.col("weight") / F.col("tokens")
+    raked = rake(cells, powers, rounds).withColumn("rate", rate)
+    top, whole, tokens = raked.agg(F.max("rate"), F.sum("weight"), F.sum("tokens")).first()
+    if top is None or whole / top >= least_share * tokens:
+        return raked.select(*DIMENSIONS, (F.col("rate") / F.lit(top)).alias("p"))
+    raked = rake(cells, powers, rounds, least_share).withColumn("rate", rate)
+    p = F.least(F.lit(1.0), F.col("rate") * F.lit(_scale(raked, least_share * tokens)))
+    return raked.select(*DIMENSIONS, p.alias("p"))
+
+
+def _scale(raked: DataFrame, size: float) -> float:
+    """The factor of the rates, cut at 1, that makes a sample of ``size`` tokens; one pass more per set of cells kept whole."""
+    scale, full = size / raked.agg(F.sum("weight")).first()[0], -1
+    while True:
+        whole = F.col("rate") * F.lit(scale) >= 1.0
+        n, kept, rest = raked.agg(F.count_if(whole), F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole, F.col("weight")))).first()
+        if n == full or rest is None:
+            return scale
+        scale, full = max(scale, (size - (kept or 0)) / rest), n
 
 
 def draw(doc_id: Column, seed: int) -> Column:
@@ -89,14 +118,16 @@ def sample_mixture(
     powers: dict[str, float] = POWERS,
     rounds: int = 6,
     seed: int = 7,
+    least_share: float = 0.0,
 ) -> DataFrame:
     """All columns of docs, and ``__mix`` (source, lang, topic, tokens), ``__p`` and ``__kept``.
 
     ``__kept`` says whether the document is in the sample. A null source, language or text is a value
     of its own or an empty text; rows that repeat an id share one draw; an empty table stays empty.
+    ``least_share`` is the share of all tokens that the sample keeps at least.
     """
     text = F.col(text_col)
     marked = keyed(docs, text, F.col(source_col), F.col(lang_col), format_topic(text) if topic is None else topic)
-    rates = keep_probabilities(marked, powers, rounds).select(F.struct(*DIMENSIONS).alias("__cell"), F.col("p").alias("__p"))
+    rates = keep_probabilities(marked, powers, rounds, least_share).select(F.struct(*DIMENSIONS).alias("__cell"), F.col("p").alias("__p"))
     cell = F.struct(*[F.col(f"__mix.{d}").alias(d) for d in DIMENSIONS])
     return marked.join(rates, cell == F.col("__cell")).drop("__cell").withColumn("__kept", draw(F.col(id_col), seed) < F.col("__p"))

@@ -174,7 +174,7 @@ WHERE ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::
 
 @_query("op7_mixing", _mix_sql(mixing.POWERS, 6, 7))
 def op7_mixing(spark, sf_dir):
-    mixed = mixing.sample_mixture(_table(spark, sf_dir, "documents")).where("__kept")
+    mixed = mixing.sample_mixture(_table(spark, sf_dir, "documents"), least_share=mixing.LEAST_SHARE).where("__kept")
     return mixed.select("doc_id", "__mix.source", "__mix.lang", "__mix.topic", "__mix.tokens", F.round("__p", 6).alias("p"))
 
 
