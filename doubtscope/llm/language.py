@@ -36,15 +36,16 @@ def fit_dictionaries(
 ) -> dict[str, bytes]:
     """Raw-content dictionaries learned from labelled rows: {language: UTF-8 text}.
 
-    Bounded sample, by parameter: per language at most ``samples`` distinct texts (the first ones by
-    a hash of the text), of each an excerpt of ``excerpt`` characters, together ``dict_bytes`` bytes.
+    Bounded sample, by parameter: per language ``samples`` distinct texts, or all where there are fewer
+    (drawn and ordered by a hash of the text, copies counting once), of each an excerpt of ``excerpt`` characters, together ``dict_bytes`` bytes.
     Rows without label or text do not count. Languages come from the labels; each adds at most
     ``dict_bytes`` to what tasks receive.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(
         "lang is not null and length(trim(text)) > 0"
     )
-    counts = dict(rows.groupBy("lang").count().collect())
+    # of distinct texts, by a sketch within 1 %: rows would thin out the texts of a language made of copies
+    counts = dict(rows.groupBy("lang").agg(F.approx_count_distinct("text", 0.01)).collect())
     if not counts:
         return {}
     share = F.element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 4 * samples / n + 64 / n))]), F.col("lang"))

@@ -52,3 +52,10 @@ def test_held_out_labels_are_not_learned(docs):
 def test_case_does_not_matter():
     d = language.compressors({"de": lorem(0).encode(), "en": lorem(1).encode()})
     assert language.classify(lorem(3).upper().encode(), d, 0.0)[0] == "en"
+
+
+def test_a_language_of_copies_learns_all_its_texts(spark):
+    texts = "concat('copied words of text ', cast(id % 40 as string), ' here')"
+    rows = spark.range(40_000).selectExpr(f"{texts} as text", "'xx' as lang").unionAll(spark.range(900).selectExpr("concat('single text ', cast(id as string)) as text", "'yy' as lang"))
+    learned = {lang: content.split(b"\n") for lang, content in language.fit_dictionaries(rows).items()}
+    assert len(set(learned["xx"])) == 40 and len(set(learned["yy"])) == 256
