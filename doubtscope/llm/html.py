@@ -29,6 +29,7 @@ INLINE = frozenset(
 )
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button select head".split()) | RAW
 ARTICLE = frozenset("article main".split())
+WHOLE = ARTICLE | {"html", "body"}  # never boilerplate by a class name
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -40,28 +41,36 @@ HINTS = frozenset(
     "signup social sponsor sponsored subscribe toolbar widget".split()
 )
 
+#: Parts of a class name that may stand beside a hint word, as in comment-list.
+BESIDE = frozenset("area bar bottom box container inner left links list right site top wrap wrapper".split())
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_HINT_ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_PARTS = re.compile(r"[a-z0-9]+")
+_ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def _marked(attributes: str) -> bool:
-    """Whether class, id or role name boilerplate, or the element is hidden."""
-    if not attributes:
-        return False
-    for m in _HINT_ATTR.finditer(attributes):
-        if HINTS.intersection(_PARTS.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return _HIDDEN.search(attributes) is not None
+def _hinted(token: str) -> bool:
+    """Whether a class, id or role as a whole names boilerplate: hint words, and words that go with them."""
+    parts = set(re.split("[-_]+", token)) - {""}
+    return not HINTS.isdisjoint(parts) and parts <= HINTS | BESIDE
+
+
+def _marks(attributes: str) -> tuple[bool, bool]:
+    """(whether class, id or role name boilerplate, whether the element is hidden)."""
+    named = hidden = False
+    for m in _ATTR.finditer(attributes or ""):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        named = named or name in ("class", "id", "role") and any(map(_hinted, value.split()))
+        hidden = hidden or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and bool(_NO_DISPLAY.search(value))
+    return named, hidden
 
 
 class _Element:
-    __slots__ = ("name", "drop", "article", "parts", "links", "chars", "first", "hash")
+    __slots__ = ("name", "drop", "article", "parts", "links", "chars", "first", "hash", "named")
 
-    def __init__(self, name: str, drop: bool, article: bool, first: int):
-        self.name, self.drop, self.article, self.first = name, drop, article, first
+    def __init__(self, name: str, drop: bool, article: bool, first: int, named: bool = False):
+        self.name, self.drop, self.article, self.first, self.named = name, drop, article, first, named
         self.parts: list[str] = []  # what the subtree's hash is made of
         self.links = self.chars = 0
         self.hash = 0
@@ -119,7 +128,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, list[int]]], set[int]
         if name in INLINE:
             if name == "a" and not m[1]:
                 stack[-1].links += 1
-            if not (m[1] or not m[3]) and _marked(m[3]):
+            if not (m[1] or not m[3]) and any(_marks(m[3])):
                 flush()
                 skip = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = skip.end() if skip else at
@@ -152,15 +161,20 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, list[int]]], set[int]
                         close()
                     break
         top = stack[-1]
-        drop = top.drop or name in BOILERPLATE and not (name == "header" and top.article) or _marked(m[3])
-        stack.append(_Element(name, drop, top.article or name in ARTICLE, len(blocks)))
+        named, hidden = _marks(m[3])
+        drop = top.drop or name in BOILERPLATE and not (name == "header" and top.article) or hidden
+        stack.append(_Element(name, drop, top.article or name in ARTICLE, len(blocks), named and name not in WHOLE))
         if m[3].endswith("/") and name not in ARTICLE and name not in BOILERPLATE:
             close()
     flush()
     while len(stack) > 1:
         close()
     template = {h for h, chars in hashes.items() if 2 * chars <= root.chars}  # what holds most of a page is its content
-    found = [(t, inside, [h for e in above if (h := closed.get(id(e))) in template]) for (t, inside), above in zip(blocks, owners, strict=True)]
+    found = [
+        (t, inside, [h for e in above if (h := closed.get(id(e))) in template])
+        for (t, inside), above in zip(blocks, owners, strict=True)
+        if not any(e.named and 2 * e.chars <= root.chars for e in above)
+    ]
     return found, template
 
 
@@ -205,8 +219,8 @@ def main_text(
     host's pages; so a host has at most 1 / min_share times the subtrees of a page as template, however
     many pages it has. Pages that mark an article yield only what stands in it; others all that is
     left. ``n_removed`` counts the page's subtrees that are template. Null or empty html gives an empty
-    text; a null url is a host of its own; repeated rows are repeated, each counting as a page. Other
-    columns are not read.
+    text; a null url is a host of its own; repeated rows are repeated, but pages of a host with the same
+    text count as one. Other columns are not read.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")
@@ -214,8 +228,10 @@ def main_text(
     path = fresh_path(pages.sparkSession, "html-blocks")
     parsed_pages(rows).write.option("compression", "zstd").parquet(path)
     parsed = pages.sparkSession.read.parquet(path)
-    sizes = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = parsed.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    # copies of a page say nothing about its template: pages of one host with the same blocks count once
+    single = parsed.groupBy("host", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("content")).agg(F.max("hashes").alias("hashes"))
+    sizes = single.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    counts = single.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     template = counts.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
 
     # a short row per host: where all of them are small enough for Spark to broadcast, no page moves

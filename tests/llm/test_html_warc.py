@@ -50,6 +50,27 @@ def test_template_subtrees_go_and_articles_stay(pages):
     assert html.main_text(pages([])).count() == 0
 
 
+def test_hints_are_whole_names_on_real_attributes():
+    for page in (
+        "<body class='no-sidebar'><article class='post has-header'><p>own",
+        "<article><div class='elementor-widget'><p>own</p></div>",
+        "<article><p data-id='comment-policy' data-title='The hidden valley'>own</p></article>",
+        "<article><p data-href='?id=notice'>own</p></article>",
+        "<body class=sidebar><main id=share><p>own",
+        "<article><div class=widget><p>own</p></div></article>",  # holds all of the text
+    ):
+        assert text_of(page) == "own", page
+    for mark in ("class='x comment-list'", "id=cookie_notice", "role=navigation", "hidden", "style='display: none'", "aria-hidden=true"):
+        assert text_of(f"<article><p>own words</p><div {mark}>not</div></article>") == "own words", mark
+
+
+def test_copies_of_a_page_are_no_template(pages):
+    page = "<body><div>" + "".join(f"<p>paragraph {k} of the copied page</p>" for k in range(3)) + "</div></body>"
+    rows = [(k, "http://copies.example/%d" % k, page) for k in range(5)] + [(9, "http://copies.example/9", "<p>other</p>")]
+    got = {r.page_id: r.text for r in html.main_text(pages(rows)).collect()}
+    assert got == dict.fromkeys(range(5), " ".join(f"paragraph {k} of the copied page" for k in range(3))) | {9: "other"}
+
+
 def test_all_articles_of_the_given_pages(spark):
     import html as entities
 
