@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doubtscope.llm import ann, decontam, html, language, mixing, personal, secrets, sharding, simhash, warc
+from doubtscope.llm import ann, clusters, decontam, html, language, mixing, periodic, personal, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -210,3 +210,51 @@ def op6_warc(spark, sf_dir):
 @_query("op9_nearest")
 def op9_nearest(spark, sf_dir):
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def _cluster_sql(k: int, rounds: int, seed: int) -> str:
+    apart = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, min((d, num)) AS best FROM (SELECT rid, num, {apart} AS d FROM kept, c{r}) GROUP BY rid)")
+        if r < rounds:
+            moved = f"SELECT num, list(m ORDER BY j) AS c FROM (SELECT best[2] AS num, j, floor_div(sum(x), count(*)) AS m FROM (SELECT best, unnest(v) AS x, unnest(range(64)) AS j FROM a{r} JOIN kept USING (rid)) GROUP BY ALL) GROUP BY num"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT num, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN ({moved}) n USING (num))")
+    steps = ",\n".join(steps).replace("floor_div(sum(x), count(*))", "((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT")
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {clusters.SCALE})::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR) NULLS LAST, v) - 1 AS num, v AS c FROM kept ORDER BY num LIMIT {k}),
+{steps},
+told AS (SELECT rid, vec_id, best[2] AS num, best[1] AS distance FROM a{rounds} JOIN kept USING (rid))
+SELECT vec_id, num::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY num))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM told JOIN c{rounds} USING (num)"""
+
+
+@_query("op11_centroid_clusters", _cluster_sql(8, 10, 3))
+def op11_centroid_clusters(spark, sf_dir):
+    return clusters.digest(*clusters.cluster(_table(spark, sf_dir, "embeddings"), dim=64, k=8, rounds=10, seed=3))
+
+
+#: Equal words at a distance of q, counted as islands; the smallest of the periods that share a stretch is the run's.
+_RUNS_SQL = """WITH given AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS h FROM documents),
+sized AS (SELECT *, len(w) AS n, h // 10 AS g FROM given),
+placed AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM sized),
+docs AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[1 : a], list_transform(range(n - a), lambda i: w[a + i % (1 + (n - a) // (3 + g % 8)) + 1])) ELSE w END AS w FROM placed),
+words AS (SELECT rid, n, unnest(w) AS w, unnest(range(n)) AS i FROM docs),
+equal AS (SELECT x.rid, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.rid = y.rid AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT rid, q, min(i) AS s, count(*) + q AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM equal) GROUP BY rid, q, island),
+runs AS MATERIALIZED (SELECT rid, s, n, min(q) AS q FROM islands WHERE n >= greatest(6, 4 * q) GROUP BY rid, s, n),
+told AS (SELECT rid, count(*) AS n_runs, min((-(n / q), s, q, n)) AS best, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY rid),
+cut AS (SELECT DISTINCT rid, unnest(range(s + q, s + n)) AS i FROM runs),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS t FROM words ANTI JOIN cut USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best[2]::BIGINT AS start, best[4]::BIGINT AS length, best[3]::BIGINT AS period,
+  (1000 * best[4] // best[3])::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM docs LEFT JOIN told USING (rid) LEFT JOIN kept USING (rid)"""
+
+
+@_query("op12_periodic_runs", _RUNS_SQL)
+def op12_periodic_runs(spark, sf_dir):
+    return periodic.digest(periodic.with_runs(periodic.repeated_words(_table(spark, sf_dir, "documents"))))
