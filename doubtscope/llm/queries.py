@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doubtscope.llm import ann, clusters, decontam, html, language, mixing, periodic, personal, secrets, sharding, simhash, warc
+from doubtscope.llm import ann, clusters, decontam, html, language, lmscore, mixing, periodic, personal, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -258,3 +258,8 @@ FROM docs LEFT JOIN told USING (rid) LEFT JOIN kept USING (rid)"""
 @_query("op12_periodic_runs", _RUNS_SQL)
 def op12_periodic_runs(spark, sf_dir):
     return periodic.digest(periodic.with_runs(periodic.repeated_words(_table(spark, sf_dir, "documents"))))
+
+
+@_query("op13_lm_score")
+def op13_lm_score(spark, sf_dir):
+    return lmscore.score(_table(spark, sf_dir, "documents"))
