@@ -48,15 +48,17 @@ def unpack(flat: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return flat[:cut].reshape(h, dim), flat[cut : cut + h], flat[cut + h : cut + 2 * h], flat[-1]
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
+def sigmoid(z: np.ndarray) -> np.ndarray:
     e = np.exp(-np.abs(z))
     return np.where(z >= 0, 1.0, e) / (1.0 + e)
 
 
-def predict(flat: np.ndarray, x: np.ndarray) -> np.ndarray:
+def predict(flat: np.ndarray, x: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+    """Scores of rows; ``keep`` is the scaled dropout mask over hidden units, in training."""
     w1, b1, w2, b2 = unpack(flat, x.shape[1])
     z = x @ w1.T + b1
-    return (z * _sigmoid(z)) @ w2 + b2
+    hidden = z * sigmoid(z)
+    return (hidden if keep is None else hidden * keep) @ w2 + b2
 
 
 def pair_loss(pred: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray, int]:
@@ -68,7 +70,7 @@ def pair_loss(pred: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray,
     sign = np.sign(dy)
     margin = -sign * (pred[:, None] - pred[None, :])
     soft = np.maximum(margin, 0.0) + np.log1p(np.exp(-np.abs(margin)))
-    pull = np.where(pairs, -sign * _sigmoid(margin), 0.0)
+    pull = np.where(pairs, -sign * sigmoid(margin), 0.0)
     return float(soft[pairs].sum()), pull.sum(axis=1) - pull.sum(axis=0), count
 
 
@@ -91,7 +93,7 @@ def backprop(flat: np.ndarray, x: np.ndarray, slope_of, keep: np.ndarray | None
     ``keep`` is the scaled dropout mask over hidden units."""
     w1, b1, w2, b2 = unpack(flat, x.shape[1])
     z = x @ w1.T + b1
-    s = _sigmoid(z)
+    s = sigmoid(z)
     hidden = z * s if keep is None else z * s * keep
     loss, slope = slope_of(hidden @ w2 + b2)
     back = slope[:, None] * w2[None, :] * (s * (1.0 + z * (1.0 - s)))

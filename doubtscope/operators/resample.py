@@ -1,19 +1,26 @@
 """Bootstrap of the detection metrics.
 
-Every resample is a group of cells: each draw picks up its row's score, equal scores are merged on
-the map side before the one shuffle, and what is ranked is never larger than distinct scores x
-resamples. The ranking itself is ``running_totals``, which cuts all
-resamples into score ranges, so no resample sits in one task.
+Two ways to the same distribution:
+
+- ``split`` (the default): what a resample draws from n rows, counted per distinct score and class, is multinomial. The counts
+  are drawn top down: first how many draws are wrong answers, then, halving again and again, how many fall in
+  each range of scores, then on each score of a range. Every split is a binomial keyed by (seed, node), so
+  a task works out the totals below its own range by a few splits, without seeing other ranges, and
+  gives back five numbers per resample. Cost: distinct scores x resamples, whatever the number of rows.
+- ``draws``: every draw picks up its row by a digest that SQL can repeat. Equal scores are merged on the
+  map side before the one shuffle, and the ranking is ``running_totals``. Cost: rows x resamples.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doubtscope.functions.mixing import draw_below
-from doubtscope.operators.metrics import NAN, detection_table, finite_only
-from doubtscope.operators.prefix import dense_index
+from doubtscope.operators.metrics import NAN, detection_table, finite_only, score_cells
+from doubtscope.operators.prefix import dense_index, with_ranges
 from doubtscope.session import stored
 
 RESAMPLES_DEFAULT = 1000
@@ -31,6 +38,114 @@ def resample_draws(spark, n_rows: int, n_resamples: int, seed: int) -> DataFrame
     )
 
 
+METHODS = ("split", "draws")
+#: Drawn counts that a task holds at a time.
+HELD = 1 << 22
+
+
+def _binomial(n: np.ndarray, share: float, *node: int) -> np.ndarray:
+    """One binomial draw per resample, the same wherever this node of the tree is worked out."""
+    return np.random.default_rng([x & 0xFFFFFFFF for x in node]).binomial(n, min(max(share, 0.0), 1.0))
+
+
+def draws_in_range(weights: np.ndarray, at: int, n: np.ndarray, *node: int) -> tuple[np.ndarray, np.ndarray]:
+    """(draws below range ``at``, draws in it) of n draws per resample over ranges with these weights.
+
+    Halves the ranges and follows the half that holds ``at``: one binomial per level.
+    """
+    low, high, below = 0, len(weights), np.zeros_like(n)
+    while high - low > 1:
+        middle, whole = (low + high) // 2, weights[low:high].sum()
+        left = _binomial(n, weights[low:middle].sum() / whole if whole else 0.0, *node, low, high)
+        if at < middle:
+            high, n = middle, left
+        else:
+            low, n, below = middle, n - left, below + left
+    return below, n
+
+
+def range_metrics(score, wrong, right, wrong_below, right_below, all_wrong, all_right, at) -> dict[str, np.ndarray]:
+    """What one range of ascending scores adds to the metrics, per resample: arrays are resamples x scores."""
+    up_wrong, up_right = wrong_below[:, None] + np.cumsum(wrong, axis=1), right_below[:, None] + np.cumsum(right, axis=1)
+    flagged, passed = (all_wrong[:, None] - up_wrong + wrong).astype(float), (all_right[:, None] - up_right + right).astype(float)
+    upto, n = up_wrong + up_right, all_wrong + all_right
+    cuts = (n[:, None] - 1) * (19 + 9 * np.arange(20)) // 190
+    here = (cuts >= (wrong_below + right_below)[:, None]) & (cuts < upto[:, -1:])
+    covered = np.zeros(len(upto))
+    for r in np.flatnonzero(here.any(axis=1)):
+        k = np.searchsorted(upto[r], cuts[r][here[r]], side="right")
+        covered[r] = (up_right[r][k] / upto[r][k]).sum()
+    above = score >= at
+    return {
+        "wins": (right * (2.0 * (all_wrong[:, None] - up_wrong) + wrong)).sum(axis=1),
+        "j": (flagged * all_right[:, None] - passed * all_wrong[:, None]).max(axis=1),
+        "covered": covered,
+        "caught": wrong[:, above].sum(axis=1),
+        "passed": right[:, ~above].sum(axis=1),
+    }
+
+
+_SPLIT = "run_id int, resample long, wins double, j double, covered double, caught long, passed long, p long, n long, w_rows long, r_rows long"
+
+
+def _split_metrics(rows: DataFrame, seeds: dict[int, int], thresholds: dict[int, float] | None, n_resamples: int) -> DataFrame:
+    """auroc, aurac, balanced_acc per run and resample of (run_id, unc, ok), by multinomial splitting."""
+    cells = stored(score_cells(rows, ["run_id"]), "resample-cells")
+    # stored, so that every task sees the same ranges; with other ranges a seed draws other resamples
+    ranged = stored(with_ranges(cells.filter("n_wrong + n_right > 0"), "score").select("run_id", "__range", "score", "n_wrong", "n_right"), "resample-ranges")
+    # a row per run and range of scores, and the few scores that cannot be ranked
+    totals = ranged.groupBy("run_id", "__range").agg(F.sum("n_wrong").alias("w"), F.sum("n_right").alias("r")).collect()
+    odd = cells.filter("n_wrong + n_right = 0").select("run_id", "score", F.col("w_all").alias("w"), F.col("r_all").alias("r")).collect()
+    size = 1 + max((t["__range"] for t in totals), default=0)
+    plan: dict[int, list] = {}
+    for run in seeds:
+        plan[run] = [np.zeros(size, np.int64), np.zeros(size, np.int64), sorted(((x.score is None, x.score or 0.0, x.w, x.r) for x in odd if x.run_id == run), key=str)]
+    for t in totals:
+        plan[t.run_id][0][t["__range"]], plan[t.run_id][1][t["__range"]] = t.w, t.r
+
+    def measure(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        run, block = int(key[0]), int(key[1])
+        wrong, right, odd = plan[run]
+        seed, at = seeds[run], float("inf") if thresholds is None else thresholds[run]
+        n = int(wrong.sum() + right.sum() + sum(x[2] + x[3] for x in odd))
+        left, left_weight, caught, passed, extra_w, extra_r = np.full(n_resamples, n if n > 1 else 0), n, 0, 0, 0, 0
+        for k, (null, score, w, r) in enumerate(odd):  # draws of scores that are not ranked come first
+            for kind, weight in ((0, w), (1, r)):
+                drawn = _binomial(left, weight / left_weight if left_weight else 0.0, seed, 0, k, kind)
+                left, left_weight = left - drawn, left_weight - weight
+                if kind:
+                    extra_r = extra_r + drawn
+                    passed = passed + drawn * (not null and score < at)
+                else:
+                    extra_w = extra_w + drawn
+                    caught = caught + drawn * (not null and not score < at)
+        all_wrong = _binomial(left, wrong.sum() / left_weight if left_weight else 0.0, seed, 1, 0, 0)
+        all_right = left - all_wrong
+        below_w, here_w = draws_in_range(wrong, block, all_wrong, seed, 2)
+        below_r, here_r = draws_in_range(right, block, all_right, seed, 3)
+        cells = cells.sort_values("score")
+        score, w, r = (cells[c].to_numpy() for c in ("score", "n_wrong", "n_right"))
+        rng, parts, step = np.random.default_rng([seed & 0xFFFFFFFF, 4, block]), [], max(1, HELD // len(score))
+        for a in range(0, n_resamples, step):
+            part = slice(a, a + step)
+            drawn = [rng.multinomial(k[part], x / x.sum()) if x.sum() else np.zeros((len(k[part]), len(x)), np.int64) for k, x in ((here_w, w), (here_r, r))]
+            parts.append(pd.DataFrame(range_metrics(score, *drawn, below_w[part], below_r[part], all_wrong[part], all_right[part], at)))
+        out = pd.concat(parts, ignore_index=True)
+        if block == int(np.flatnonzero(wrong + right)[0]):
+            out["caught"], out["passed"] = out["caught"] + caught, out["passed"] + passed
+        out = out.assign(p=all_wrong, n=all_right, w_rows=all_wrong + extra_w, r_rows=all_right + extra_r, resample=np.arange(n_resamples), run_id=run)
+        return out[["run_id", "resample", "wins", "j", "covered", "caught", "passed", "p", "n", "w_rows", "r_rows"]]
+
+    found = ranged.groupBy("run_id", "__range").applyInPandas(measure, _SPLIT)
+    whole = found.groupBy("run_id", "resample").agg(
+        *[F.sum(c).alias(c) for c in ("wins", "covered", "caught", "passed")], *[F.max(c).alias(c) for c in ("j", "p", "n", "w_rows", "r_rows")]
+    )
+    balanced = "(1D + greatest(j, 0D) / (cast(p as double) * n)) / 2" if thresholds is None else "(caught / w_rows + passed / r_rows) / 2"
+    return whole.filter("p > 0 and n > 0").selectExpr(
+        "run_id", "resample", "wins / (2D * p * n) as auroc", "covered * (0.9D / 19) as aurac", f"{balanced} as balanced_acc"
+    )
+
+
 def resample_metrics(
     df: DataFrame,
     order: str,
@@ -40,13 +155,19 @@ def resample_metrics(
     unc: str = "unc",
     ok: str = "ok",
     finite: bool = True,
+    method: str = "split",
 ) -> DataFrame:
     """auroc, aurac, balanced_acc per resample; one-class resamples are left out.
 
-    ``order`` is the unique numeric column that numbers the rows. Balanced accuracy is taken at
+    ``order`` is the unique numeric column that numbers the rows (for ``draws``). Balanced accuracy is taken at
     ``threshold``, or at each resample's own best threshold when it is None.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}, expected one of {METHODS}")
     rows = finite_only(df, unc) if finite else df
+    if method == "split":
+        one = rows.select(F.lit(0).alias("run_id"), F.col(unc).cast("double").alias("unc"), F.col(ok).alias("ok"))
+        return _split_metrics(one, {0: seed}, None if threshold is None else {0: threshold}, n_resamples).drop("run_id")
     rows = rows.select(F.col(order).alias("__order"), F.col(unc).cast("double").alias("unc"), F.col(ok).alias("ok"))
     # two numbers and a flag per row, stored once: what made the scores is not run per resample
     indexed = stored(dense_index(rows, "__order", "row_index").drop("__order"), "resample-rows")
@@ -61,12 +182,14 @@ def resample_metrics(
 
 
 def resample_runs(
-    scored: DataFrame, order: str, seeds: dict[int, int], thresholds: dict[int, float], n_resamples: int = RESAMPLES_DEFAULT
+    scored: DataFrame, order: str, seeds: dict[int, int], thresholds: dict[int, float], n_resamples: int = RESAMPLES_DEFAULT, method: str = "split"
 ) -> DataFrame:
     """auroc, aurac, balanced_acc per run and resample of (run_id, order, unc, ok), all runs in one job.
 
     Every run scores the same rows; each has its own seed and its own threshold for balanced accuracy.
     """
+    if method == "split":
+        return _split_metrics(scored.select("run_id", F.col("unc").cast("double").alias("unc"), "ok"), seeds, thresholds, n_resamples)
     spark = scored.sparkSession
     index = stored(dense_index(scored.select(F.col(order).alias("__order")).distinct(), "__order", "row_index"), "resample-index")
     n_rows = index.count()
@@ -126,9 +249,9 @@ def bootstrap_ci(df: DataFrame, order: str, finite: bool = False, **how) -> Data
 
 
 def bootstrap_runs_ci(scored: DataFrame, order: str, seeds: dict[int, int], thresholds: dict[int, float],
-                      n_resamples: int = RESAMPLES_DEFAULT) -> DataFrame:
+                      n_resamples: int = RESAMPLES_DEFAULT, method: str = "split") -> DataFrame:
     """(run_id, metric, mean, std, ci_low, ci_high) of every run."""
-    return _per_metric(resample_runs(scored, order, seeds, thresholds, n_resamples), _interval, ["run_id"])
+    return _per_metric(resample_runs(scored, order, seeds, thresholds, n_resamples, method), _interval, ["run_id"])
 
 
 def seed_report(df: DataFrame, keys: list[str], value: str = "mean") -> DataFrame:

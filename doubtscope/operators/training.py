@@ -2,16 +2,17 @@
 
 How a run is trained is the caller's choice and never follows from the number of rows:
 
-- ``exact``: every step is one Spark job. A step's batch is dealt by a hash of the row's key, each task
-  streams its rows and returns one summed gradient per run, and the sum over all tasks makes the
-  step. The result does not depend on how the rows lie in partitions. Meant for large batches.
+- ``exact``: every step is one Spark job. An epoch places the rows in its batches by a keyed permutation of their
+  number; each task streams its rows and returns one summed gradient per run, and the sum over all tasks
+  makes the step. For a ranking loss another job fetches the batch's predictions first, so that its pairs may
+  span tasks. The result does not depend on how rows lie in partitions. Meant for large batches.
 - ``averaged``: the rows are dealt once into a given number of parts. Every part takes ordinary
   mini-batch steps up to the end of the epoch or the next validation; weights and optimiser moments
   are then averaged, weighted by rows (iterative parameter mixing). With one part this is sequential
   mini-batch training. A part is held by one task, so choose parts to fit executors.
 
-What travels is weights and gradients, never rows. Row order and dropout are drawn from (seed, epoch,
-step), so a retried task repeats its result.
+What travels is weights, gradients and predictions of a batch, never rows. Row order and dropout are drawn from
+(seed, epoch, step), so a retried task repeats its result.
 """
 
 from __future__ import annotations
@@ -40,8 +41,12 @@ from doubtscope.operators.network import (
     LOSSES,
     matrix_of,
     mlp_score,
+    PAIR_GAP,
+    predict,
+    sigmoid,
     weight_count,
 )
+from doubtscope.operators.prefix import dense_index
 
 # The published grid and training defaults
 GRID = {"lr": [3e-3, 1e-3, 3e-4], "dropout": [0.3], "batch_size": [64, 128, 256]}
@@ -50,6 +55,8 @@ SEEDS_DEFAULT = (0, 1, 2, 3, 4)
 
 MODES = ("exact", "averaged")
 BLOCK = 1 << 16
+#: Rows a batch may have under a ranking loss: their predictions come to the driver, and each row meets all others.
+MOST_PAIRED = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -121,6 +128,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def places(number: np.ndarray, n: int, seed: int, epoch: int) -> np.ndarray:
+    """Where an epoch puts rows 0 .. n - 1: a permutation keyed by (seed, epoch), worked out for the given rows only.
+
+    Four rounds of a Feistel network over the next even number of bits; values beyond n go round again.
+    """
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    low = np.uint64((1 << half) - 1)
+    keys = _mixed(np.arange(1, 5, dtype=np.uint64) + _mixed(np.array([seed * 1_000_003 + epoch + 1], np.uint64)))
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x >> np.uint64(half), x & low
+        for k in keys:
+            left, right = right, left ^ (_mixed(right + k) & low)
+        return left << np.uint64(half) | right
+
+    with np.errstate(over="ignore"):
+        out = once(number.astype(np.uint64))
+        while (beyond := out >= n).any():
+            out[beyond] = once(out[beyond])
+    return out.astype(np.int64)
+
+
 def _row_keys(row_id: np.ndarray, seed: int, epoch: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         salt = _mixed(np.array([seed * 1_000_003 + epoch + 1], np.uint64))
@@ -173,19 +202,20 @@ def train_runs(
 
     A run validates every ``val_steps`` steps and after its last one, keeps the weights of its best
     validation AUROC, and stops after 10 % of all steps without improvement. ``averaged`` needs
-    ``parts``; ``exact`` takes losses that are sums over rows (mse). ``initial`` replaces the drawn
-    starting weights of runs.
+    ``parts``. ``row_id`` is unique. ``initial`` replaces the drawn starting weights of runs.
     """
     if mode not in MODES or (mode == "averaged") != (parts is not None):
         raise ValueError("mode is 'exact', or 'averaged' with a number of parts")
-    if mode == "exact" and any(r.loss != "mse" for r in runs):
-        raise ValueError("the pairs of a ranking loss span tasks: train it with mode='averaged'")
     spark = train.sparkSession
     shape = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     if not shape["n"]:
         raise ValueError("no labelled training row")
     dim = int(shape["d"])
     data = train.select("row_id", "embedding", F.col("y").cast("double").alias("y"))
+    if mode == "exact":
+        if any(r.loss != "mse" and min(r.batch_size, shape["n"]) > MOST_PAIRED for r in runs):
+            raise ValueError(f"a batch of a ranking loss has at most {MOST_PAIRED} rows")
+        data = data.join(dense_index(data.select("row_id"), "row_id", "number"), "row_id")
     if mode == "averaged":
         dealt = data.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int"))
         data = dealt.repartitionById(parts, F.col("part"))
@@ -207,7 +237,7 @@ def train_runs(
                 ahead = 1 if mode == "exact" else n if val is None else val_steps - step % val_steps
                 spans[r.run_id] = (step // n, step % n, min(n, step % n + ahead))
             advance = _exact_step if mode == "exact" else _averaged_steps
-            losses = advance(spark, data, active, states, per_epoch, spans, epochs, dim)
+            losses = advance(spark, data, active, states, per_epoch, spans, epochs, shape["n"])
             due = []
             for r in active:
                 s, (epoch, first, last) = states[r.run_id], spans[r.run_id]
@@ -233,63 +263,110 @@ def _doubles(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.asarray(v.values) for v in column]
 
 
-def _exact_step(spark, data, active, states, per_epoch, spans, epochs, dim) -> dict[int, float]:
-    """One step of every active run: gradients summed over all tasks, in one job."""
+def pair_slope(pred: np.ndarray, target: np.ndarray, all_pred: np.ndarray, all_target: np.ndarray) -> tuple[float, np.ndarray, int]:
+    """This task's part of ``pair_loss`` over a batch that spans tasks: (loss, gradient in its own
+    predictions, pairs) of the pairs whose first row is here, against blocks of all rows."""
+    loss, slope, count = 0.0, np.zeros_like(pred), 0
+    for at in range(0, len(all_pred), 4096):
+        dy = target[:, None] - all_target[None, at : at + 4096]
+        pairs = np.abs(dy) > PAIR_GAP
+        sign = np.sign(dy)
+        margin = -sign * (pred[:, None] - all_pred[None, at : at + 4096])
+        loss += float((np.maximum(margin, 0.0) + np.log1p(np.exp(-np.abs(margin))))[pairs].sum())
+        slope += 2.0 * np.where(pairs, -sign * sigmoid(margin), 0.0).sum(axis=1)  # a row is first in one pair, second in its mirror
+        count += int(pairs.sum())
+    return loss, slope, count
+
+
+def _exact_step(spark, data, active, states, per_epoch, spans, epochs, n) -> dict[int, float]:
+    """One step of every active run: gradients summed over all tasks, in one job (and one before it for ranking losses)."""
     # plain values only: broadcast data is unpickled by name, and workers need not have this package
-    plan = [(asdict(r), states[r.run_id].flat, spans[r.run_id], per_epoch[r.run_id], states[r.run_id].step) for r in active]
-    shared = spark.sparkContext.broadcast(plan)
+    plan = [(asdict(r), states[r.run_id].flat, spans[r.run_id], states[r.run_id].step) for r in active]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {}
+    def rows_of(batches: Iterator[pa.RecordBatch], plan: list, ranked: bool):
+        """(run, weights, vectors, targets, dropout mask, rows in the batch) of every Arrow batch and run with rows in the step."""
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, y = matrix_of(batch.column("embedding")), batch.column("y").to_numpy(zero_copy_only=False)
-            ids = batch.column("row_id").to_numpy(zero_copy_only=False)
-            for spec, flat, (epoch, first, _), n_batches, step in shared.value:
+            ids, number = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row_id", "number"))
+            for spec, flat, (epoch, k, _), step in plan:
                 run = Run(**spec)
-                keys = _row_keys(ids, run.seed, epoch)
-                mine = (keys % np.uint64(n_batches)).astype(np.int64) == first
-                if not mine.any():
+                if ranked and run.loss == "mse":
                     continue
-                target = y[mine]
+                first, last = k * run.batch_size, min(n, (k + 1) * run.batch_size)
+                place = places(number, n, run.seed, epoch)
+                mine = (place >= first) & (place < last)
+                if mine.any():
+                    keep = _dropout(_row_keys(ids[mine], run.seed, epoch), step, hidden_size(x.shape[1]), run.dropout)
+                    yield run, flat, x[mine], y[mine], keep, last - first
+
+    whole: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    if any(r.loss != "mse" for r in active):
+        shared = spark.sparkContext.broadcast(plan)
+
+        def preds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for run, flat, x, y, keep, _ in rows_of(batches, shared.value, True):
+                yield pa.RecordBatch.from_pydict({"run_id": pa.array([run.run_id] * len(y), pa.int32()), "pred": pa.array(predict(flat, x, keep)), "y": pa.array(y)})
+
+        found = data.mapInArrow(preds, "run_id int, pred double, y double").toArrow()
+        shared.destroy()
+        for r in active:
+            mine = found.filter(pc.equal(found["run_id"], r.run_id))
+            whole[r.run_id] = (mine["pred"].to_numpy(), mine["y"].to_numpy())
+    shared = spark.sparkContext.broadcast((plan, whole))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, whole = shared.value
+        sums: dict[tuple[int, bool], list] = {}
+
+        def add(key: tuple[int, bool], size: int, lost: float, grad: np.ndarray) -> None:
+            held = sums.setdefault(key, [0, 0.0, 0.0])
+            sums[key] = [held[0] + size, held[1] + lost, held[2] + grad]
 
-                def squares(pred, target=target):
-                    off = pred - target
-                    return float(off @ off), 2.0 * off
+        for run, flat, x, y, keep, _ in rows_of(batches, plan, False):
 
-                loss, grad = backprop(flat, x[mine], squares, _dropout(keys[mine], step, hidden_size(x.shape[1]), run.dropout))
-                n, lost, total = sums.get(run.run_id, (0, 0.0, 0.0))
-                sums[run.run_id] = (n + int(mine.sum()), lost + loss, total + grad)
+            def squares(pred, target=y):
+                off = pred - target
+                return float(off @ off), 2.0 * off
+
+            if run.loss != "rank":
+                add((run.run_id, False), len(y), *backprop(flat, x, squares, keep))
+            if run.loss != "mse":
+                lost, slope, count = pair_slope(predict(flat, x, keep), y, *whole[run.run_id])
+                add((run.run_id, True), count, lost, backprop(flat, x, lambda pred, slope=slope: (0.0, slope), keep)[1])
         if sums:
             yield pa.RecordBatch.from_pydict(
                 {
-                    "run_id": pa.array(list(sums), pa.int32()),
+                    "run_id": pa.array([k[0] for k in sums], pa.int32()),
+                    "pairs": pa.array([k[1] for k in sums], pa.bool_()),
                     "n": pa.array([v[0] for v in sums.values()], pa.int64()),
                     "lost": pa.array([v[1] for v in sums.values()], pa.float64()),
                     "grad": pa.array([v[2] for v in sums.values()], pa.list_(pa.float64())),
                 }
             )
 
-    partial = data.mapInArrow(work, "run_id int, n bigint, lost double, grad array<double>")
+    partial = data.mapInArrow(work, "run_id int, pairs boolean, n bigint, lost double, grad array<double>")
     summed = (
-        partial.groupBy("run_id")
+        partial.groupBy("run_id", "pairs")
         .agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"), vector_to_array(Summarizer.sum(array_to_vector("grad"))).alias("grad"))
         .toArrow()
     )
     shared.destroy()
-    found = dict(zip(summed["run_id"].to_pylist(), zip(summed["n"].to_pylist(), summed["lost"].to_pylist(), _doubles(summed["grad"]))))
+    found = {(r, p): v for r, p, *v in zip(*(summed[c].to_pylist() for c in ("run_id", "pairs", "n", "lost")), _doubles(summed["grad"]), strict=True)}
     losses = {}
     for r in active:
-        n, lost, grad = found.get(r.run_id, (0, float("nan"), None))
-        losses[r.run_id] = lost / n if n else lost
-        if n:  # a hash can leave a batch empty: the step passes
-            s, total = states[r.run_id], per_epoch[r.run_id] * epochs
-            s.flat = s.adam.update(s.flat, grad / n, r.lr * _rate(s.step, total), r.weight_decay)
+        s, total, loss, grad = states[r.run_id], per_epoch[r.run_id] * epochs, 0.0, np.zeros(len(states[r.run_id].flat))
+        for pairs, scale in ((False, 1.0), (True, 1.0 if r.loss == "rank" else r.rank_lambda)):
+            size, lost, part = found.get((r.run_id, pairs), (0, 0.0, None))
+            if size:
+                loss, grad = loss + scale * lost / size, grad + scale * part / size
+        losses[r.run_id] = loss
+        s.flat = s.adam.update(s.flat, grad, r.lr * _rate(s.step, total), r.weight_decay)
     return losses
 
 
-def _averaged_steps(spark, data, active, states, per_epoch, spans, epochs, dim) -> dict[int, float]:
+def _averaged_steps(spark, data, active, states, per_epoch, spans, epochs, n) -> dict[int, float]:
     """Steps of every part and run up to the end of their spans, then the weighted mean of the parts."""
     plan = [
         (asdict(r), (s.flat, s.adam.m, s.adam.v, s.adam.steps), spans[r.run_id], per_epoch[r.run_id] * epochs)
@@ -333,8 +410,9 @@ def _averaged_steps(spark, data, active, states, per_epoch, spans, epochs, dim)
         .sort_by([("run_id", "ascending"), ("block", "ascending")])
     )
     shared.destroy()
-    losses, size = {}, weight_count(dim)
+    losses = {}
     for r in active:
+        size = len(states[r.run_id].flat)
         rows = mixed.filter(pc.equal(mixed["run_id"], r.run_id))
         whole = np.concatenate(_doubles(rows["vals"]))
         s = states[r.run_id]

@@ -403,7 +403,8 @@ def evaluate_learned_score(spark, sf):
     return _evaluated(m, [], 4)
 
 
-# --- training: full-batch steps in exact mode, which SQL can repeat -----------------------------
+# --- training: a few full-batch steps in exact mode, which SQL can repeat: the arithmetic of a step, not
+# what a user trains with (see the published settings below) ---------------------------------------
 
 FULL_BATCH = 1 << 30
 STEPS = 3
@@ -497,18 +498,18 @@ _GRID_SQL = f"gruns AS {_runs_sql(_GRID_RUNS, seeded=False)}, {_training_sql('g'
 _WIDE_SQL = """v.auroc AS val_auroc, v.aurac AS val_aurac, v.balanced_acc AS val_balanced_acc, t.auroc AS test_auroc, t.aurac AS test_aurac, t.balanced_acc AS test_balanced_acc"""
 
 
-@query("mlp_train", f"""WITH {_VEC_SQL}, sruns AS {_runs_sql(_SEED_RUNS)}, {_training_sql('s', 'sruns')}
+@query("mlp_train_steps", f"""WITH {_VEC_SQL}, sruns AS {_runs_sql(_SEED_RUNS)}, {_training_sql('s', 'sruns')}
     SELECT CAST(run AS INTEGER) AS run_id, i, round(value, 6) AS value FROM sw{STEPS}""")
-def mlp_train(spark, sf):
+def mlp_train_steps(spark, sf):
     train, val, _ = _three(spark, sf)
     done = tr.train_runs(train, val, _SEED_RUNS, **_how(fx.vector_width(train), seeds=tr.SEEDS_DEFAULT))
     rows = tr.weights_table(spark, done.weights)
     return rows.select("run_id", F.posexplode("weights").alias("i", "value")).select("run_id", F.col("i").cast("bigint").alias("i"), F.round("value", 6).alias("value"))
 
 
-@query("grid_sweep", f"""WITH {_VEC_SQL}, {_GRID_SQL} SELECT CAST(r.run AS INTEGER) AS run_id, r.lr, r.decay AS weight_decay, {_WIDE_SQL}
+@query("grid_sweep_steps", f"""WITH {_VEC_SQL}, {_GRID_SQL} SELECT CAST(r.run AS INTEGER) AS run_id, r.lr, r.decay AS weight_decay, {_WIDE_SQL}
     FROM gruns r JOIN gmt v ON v.run = r.run AND v.split = 'val' JOIN gmt t ON t.run = r.run AND t.split = 'test'""")
-def grid_sweep(spark, sf):
+def grid_sweep_steps(spark, sf):
     train, val, test = _three(spark, sf)
     _, found = ev.train_and_measure(train, val, test, _GRID_RUNS, **_how(fx.vector_width(train), runs=len(_GRID_RUNS)))
     points = [f"{p}_{m}" for p in ("val", "test") for m in ev.METRICS]
@@ -531,12 +532,12 @@ def _intervals_sql(p: str, runs: str) -> str:
   round(quantile_cont(v, 0.025), 3) AS ci_low, round(quantile_cont(v, 0.975), 3) AS ci_high FROM {p}long GROUP BY seed, metric)"""
 
 
-@query("multi_seed_train", f"""WITH {_VEC_SQL}, sruns AS {_runs_sql(_SEED_RUNS)}, {_training_sql('s', 'sruns')}, {_intervals_sql('s', 'sruns')}
+@query("multi_seed_train_steps", f"""WITH {_VEC_SQL}, sruns AS {_runs_sql(_SEED_RUNS)}, {_training_sql('s', 'sruns')}, {_intervals_sql('s', 'sruns')}
     SELECT i.*, round(v.threshold, 6) AS threshold, {_WIDE_SQL} FROM siv i JOIN sruns r ON r.seed = i.seed
     JOIN smt v ON v.run = r.run AND v.split = 'val' JOIN smt t ON t.run = r.run AND t.split = 'test'""")
-def multi_seed_train(spark, sf):
+def multi_seed_train_steps(spark, sf):
     train, val, test = _three(spark, sf)
-    found = ev.multi_seed_train(train, val, test, _SEED_RUNS[0], **_how(fx.vector_width(train), seeds=tr.SEEDS_DEFAULT))
+    found = ev.multi_seed_train(train, val, test, _SEED_RUNS[0], resample="draws", **_how(fx.vector_width(train), seeds=tr.SEEDS_DEFAULT))
     points = [f"{p}_{m}" for p in ("val", "test") for m in ev.METRICS]
     records = found.records.select("seed", F.round(shown("threshold"), 6).alias("threshold"), *[shown(c).alias(c) for c in points])
     return found.intervals.join(records, "seed")
@@ -546,15 +547,15 @@ _WINNER_SQL = """won AS (SELECT r.lr, r.decay FROM gruns r JOIN gmt v ON v.run =
 sruns AS (SELECT s AS run, s AS seed, lr, decay FROM won, range(5) q(s))"""
 
 
-@query("sweep_and_select", f"""WITH {_VEC_SQL}, {_GRID_SQL}, {_WINNER_SQL}, {_training_sql('s', 'sruns')}, {_intervals_sql('s', 'sruns')}
+@query("sweep_and_select_steps", f"""WITH {_VEC_SQL}, {_GRID_SQL}, {_WINNER_SQL}, {_training_sql('s', 'sruns')}, {_intervals_sql('s', 'sruns')}
     SELECT metric, round(avg(mean), 6) AS mean_of_bootstrapped_means, round(stddev_pop(mean), 6) AS std_across_seeds,
       (SELECT lr FROM won) AS lr, (SELECT decay FROM won) AS weight_decay FROM siv GROUP BY metric""")
-def sweep_and_select(spark, sf):
+def sweep_and_select_steps(spark, sf):
     train, val, test = _three(spark, sf)
     dim = fx.vector_width(train)
     chosen = ev.sweep_and_select(
         train, val, test, PLAIN_GRID, run={"dropout": 0.0, "batch_size": FULL_BATCH}, epochs=STEPS, mode="exact",
-        grid_how={"initial": _how(dim, runs=9)["initial"]}, seed_how={"initial": _how(dim, seeds=tr.SEEDS_DEFAULT)["initial"]},
+        grid_how={"initial": _how(dim, runs=9)["initial"]}, seed_how={"initial": _how(dim, seeds=tr.SEEDS_DEFAULT)["initial"], "resample": "draws"},
     )
     return chosen.report.select("metric", *[F.round(c, 6).alias(c) for c in ("mean_of_bootstrapped_means", "std_across_seeds")], "lr", "weight_decay")
 
@@ -569,17 +570,66 @@ xs AS MATERIALIZED (SELECT tid AS row_id, i AS d, CAST(CAST('0x' || substr(md5(t
   FROM turns, range(8) r(i) WHERE tid IN (SELECT row_id FROM vectors)), hh AS (SELECT 8 AS dd, 2 AS nh)"""
 
 
-@query("learn_and_evaluate", f"""{_LEARN_ROWS_SQL}, {_GRID_SQL}, {_WINNER_SQL}, {_training_sql('s', 'sruns')},
+@query("learn_and_evaluate_steps", f"""{_LEARN_ROWS_SQL}, {_GRID_SQL}, {_WINNER_SQL}, {_training_sql('s', 'sruns')},
     best AS (SELECT run FROM smt WHERE split = 'test' ORDER BY auroc DESC, run LIMIT 1)
     SELECT auroc, aurac, balanced_acc, (SELECT count(*) FROM vectors WHERE split = 'test') AS n_samples,
       (SELECT count(*) FROM vectors WHERE split = 'test' AND ok) AS n_correct FROM smt WHERE split = 'test' AND run = (SELECT run FROM best)""")
-def learn_and_evaluate(spark, sf):
+def learn_and_evaluate_steps(spark, sf):
     conv = F.expr("row_id div 1000 % 10")
     split = F.when(conv == 8, "val").when(conv == 9, "test").otherwise("train")
     emb = embed_prompts(_turn_prompts(spark, sf), digest_vectors).drop("label")
     m = ev.learn_and_evaluate(
         _results(spark, sf).withColumn("split", split), _result_logits(spark, sf), emb, F.col("dataset"), "turns", fresh_path(spark, "registry"),
         grid=PLAIN_GRID, run={"dropout": 0.0, "batch_size": FULL_BATCH}, epochs=STEPS, mode="exact",
-        grid_how={"initial": _how(8, runs=9)["initial"]}, seed_how={"initial": _how(8, seeds=tr.SEEDS_DEFAULT)["initial"]},
+        grid_how={"initial": _how(8, runs=9)["initial"]}, seed_how={"initial": _how(8, seeds=tr.SEEDS_DEFAULT)["initial"], "resample": "draws"},
+    )
+    return m.select(*[shown(c).alias(c) for c in ev.METRICS], "n_samples", "n_correct")
+
+
+# --- training at the published settings: the grid of rates and batch sizes, 100 epochs of mini-batches, dropout,
+# validation every 2,000 steps and after the last one, early stop ------------------------------------------------
+
+#: In how many parts the rows are dealt, whose weights are averaged after each epoch: part of the settings.
+PARTS = 4
+PUBLISHED = {"epochs": tr.EPOCHS_DEFAULT, "val_steps": tr.VAL_STEPS_DEFAULT, "mode": "averaged", "parts": PARTS}
+
+
+def _points():
+    return [shown(f"{p}_{m}").alias(f"{p}_{m}") for p in ("val", "test") for m in ev.METRICS]
+
+
+@query("mlp_train")
+def mlp_train(spark, sf):
+    train, val, _ = _three(spark, sf)
+    done = tr.train_runs(train, val, tr.seed_runs(tr.Run(0)), **PUBLISHED)
+    rows = tr.weights_table(spark, done.weights)
+    return rows.select("run_id", F.posexplode("weights").alias("i", "value")).select("run_id", F.col("i").cast("bigint").alias("i"), F.round("value", 6).alias("value"))
+
+
+@query("grid_sweep")
+def grid_sweep(spark, sf):
+    _, found = ev.train_and_measure(*_three(spark, sf), tr.grid_runs(), **PUBLISHED)
+    return found.select("run_id", "lr", "dropout", "batch_size", *_points())
+
+
+@query("multi_seed_train")
+def multi_seed_train(spark, sf):
+    found = ev.multi_seed_train(*_three(spark, sf), tr.grid_runs()[0], **PUBLISHED)
+    return found.intervals.join(found.records.select("seed", F.round(shown("threshold"), 6).alias("threshold"), *_points()), "seed")
+
+
+@query("sweep_and_select")
+def sweep_and_select(spark, sf):
+    report = ev.sweep_and_select(*_three(spark, sf), **PUBLISHED).report
+    return report.select("metric", *[F.round(c, 6).alias(c) for c in ("mean_of_bootstrapped_means", "std_across_seeds")], "lr", "dropout", "batch_size")
+
+
+@query("learn_and_evaluate")
+def learn_and_evaluate(spark, sf):
+    conv = F.expr("row_id div 1000 % 10")
+    split = F.when(conv == 8, "val").when(conv == 9, "test").otherwise("train")
+    emb = embed_prompts(_turn_prompts(spark, sf), digest_vectors).drop("label")
+    m = ev.learn_and_evaluate(
+        _results(spark, sf).withColumn("split", split), _result_logits(spark, sf), emb, F.col("dataset"), "turns", fresh_path(spark, "registry"), **PUBLISHED
     )
     return m.select(*[shown(c).alias(c) for c in ev.METRICS], "n_samples", "n_correct")

@@ -160,24 +160,34 @@ def _answers(spark, sf):
     )
 
 
+@query("bootstrap_metrics")
+def bootstrap_metrics(spark, sf):
+    return rs.bootstrap_metrics(_answers(spark, sf), "row_id", n_resamples=1000, seed=0)
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(spark, sf):
+    return rs.bootstrap_ci(_answers(spark, sf), "row_id", n_resamples=1000, seed=7, threshold=60.0)
+
+
 @query(
-    "bootstrap_metrics",
+    "bootstrap_metrics_draws",
     f"""WITH {_EVENT_SQL}, {_boot_sql(1000, 0, 'answers', None)}
         SELECT metric, round(avg(v), 3) AS mean, round(stddev_pop(v), 3) AS std FROM long GROUP BY metric""",
 )
-def bootstrap_metrics(spark, sf):
-    return rs.bootstrap_metrics(_answers(spark, sf), "row_id", n_resamples=1000, seed=0)
+def bootstrap_metrics_draws(spark, sf):
+    return rs.bootstrap_metrics(_answers(spark, sf), "row_id", n_resamples=1000, seed=0, method="draws")
 
 
 @query(
-    "bootstrap_ci",
+    "bootstrap_ci_draws",
     f"""WITH {_EVENT_SQL}, {_boot_sql(1000, 7, 'answers', 60.0)}
         SELECT metric, round(avg(v), 3) AS mean, round(stddev_pop(v), 3) AS std,
                round(quantile_cont(v, 0.025), 3) AS ci_low, round(quantile_cont(v, 0.975), 3) AS ci_high
         FROM long GROUP BY metric""",
 )
-def bootstrap_ci(spark, sf):
-    return rs.bootstrap_ci(_answers(spark, sf), "row_id", n_resamples=1000, seed=7, threshold=60.0)
+def bootstrap_ci_draws(spark, sf):
+    return rs.bootstrap_ci(_answers(spark, sf), "row_id", n_resamples=1000, seed=7, threshold=60.0, method="draws")
 
 
 def _runs(spark, sf):

@@ -159,7 +159,7 @@ class Seeded:
 
 
 def multi_seed_train(train: DataFrame, val: DataFrame, test: DataFrame, best: tr.Run, seeds=tr.SEEDS_DEFAULT,
-                     n_resamples: int = 1000, **how) -> Seeded:
+                     n_resamples: int = 1000, resample: str = "split", **how) -> Seeded:
     """The best settings over several seeds: best validation and test point per seed, threshold from
     validation, bootstrap on test. All seeds are trained, scored and resampled together."""
     runs = tr.seed_runs(best, seeds)
@@ -169,7 +169,7 @@ def multi_seed_train(train: DataFrame, val: DataFrame, test: DataFrame, best: tr
     found = {r["run_id"]: r["threshold"] for r in cuts.collect()}
     scored = mlp_score(test, trained.weights, keep=["row_id", "ok"])
     intervals = bootstrap_runs_ci(
-        scored, "row_id", {r.run_id: r.seed for r in runs}, {r.run_id: found.get(r.run_id, 0.5) for r in runs}, n_resamples
+        scored, "row_id", {r.run_id: r.seed for r in runs}, {r.run_id: found.get(r.run_id, 0.5) for r in runs}, n_resamples, resample
     )
     names = train.sparkSession.createDataFrame([(r.run_id, r.seed) for r in runs], "run_id int, seed int")
     points = [f"{p}_{m}" for p in ("val", "test") for m in METRICS]

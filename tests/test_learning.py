@@ -79,6 +79,44 @@ def test_exact_training_does_not_depend_on_partitions(frame):
         np.testing.assert_allclose(a[k], b[k], rtol=1e-9, atol=1e-12)
 
 
+def plain_steps(x, y, run, epochs):
+    """The same mini-batches, dropout and steps in one loop over the whole table."""
+    flat, n = net.init_weights(x.shape[1], run.seed), len(x)
+    adam, per_epoch, ids = net.Adam(np.zeros_like(flat), np.zeros_like(flat)), -(-n // run.batch_size), np.arange(n)
+    for step in range(per_epoch * epochs):
+        epoch, k = divmod(step, per_epoch)
+        place = tr.places(ids, n, run.seed, epoch)
+        mine = np.flatnonzero(place // run.batch_size == k)
+        keep = tr._dropout(tr._row_keys(ids[mine], run.seed, epoch), step, net.hidden_size(x.shape[1]), run.dropout)
+        _, grad = net.backprop(flat, x[mine], lambda p, t=y[mine]: net.loss_and_slope(run.loss, run.rank_lambda, p, t), keep)
+        flat = adam.update(flat, grad, run.lr * tr._rate(step, per_epoch * epochs), run.weight_decay)
+    return flat
+
+
+def test_exact_mini_batches_equal_a_plain_loop(frame, rows):
+    runs = [tr.Run(k, lr=1e-2 / (k + 1), dropout=0.3 if k < 3 else 0.0, batch_size=(64, 100, 240)[k % 3], seed=7 + k, loss=net.LOSSES[k % 3]) for k in range(5)]
+    got = tr.train_runs(frame.repartition(5), None, runs, epochs=3).weights
+    for r in runs:
+        np.testing.assert_allclose(got[r.run_id], plain_steps(rows[0].astype(float), rows[1], r, 3), rtol=1e-7, atol=1e-10)
+
+
+def test_an_epoch_is_a_permutation():
+    for n in (1, 2, 3, 5, 64, 1000, 4097):
+        whole = tr.places(np.arange(n), n, 3, 1)
+        assert sorted(whole) == list(range(n))
+        assert (tr.places(np.arange(n)[n // 2 :], n, 3, 1) == whole[n // 2 :]).all()
+    assert (tr.places(np.arange(1000), 1000, 3, 2) != tr.places(np.arange(1000), 1000, 3, 1)).mean() > 0.9
+
+
+def test_pairs_of_a_batch_may_span_tasks(rows):
+    rng = np.random.default_rng(4)
+    pred, target = rng.normal(size=5000), np.round(rng.normal(size=5000), 1)
+    loss, slope, count = net.pair_loss(pred, target)
+    parts = [tr.pair_slope(pred[a:b], target[a:b], pred, target) for a, b in ((0, 7), (7, 7), (7, 3000), (3000, 5000))]
+    assert sum(p[2] for p in parts) == count and sum(p[0] for p in parts) == pytest.approx(loss)
+    np.testing.assert_allclose(np.concatenate([p[1] for p in parts]), slope, rtol=1e-9, atol=1e-9)
+
+
 def test_exact_full_batch_equals_local_steps(frame, rows):
     x, y = rows[0].astype(float), rows[1]
     run = tr.Run(0, lr=1e-2, dropout=0.0, batch_size=240)
@@ -108,8 +146,6 @@ def test_modes_are_checked(frame):
     for how in ({"mode": "averaged"}, {"parts": 2}, {"mode": "other"}):
         with pytest.raises(ValueError):
             tr.train_runs(frame, None, [tr.Run(0)], epochs=1, **how)
-    with pytest.raises(ValueError, match="ranking"):
-        tr.train_runs(frame, None, [tr.Run(0, loss="rank")], epochs=1)
 
 
 def test_loss_falls_and_scorer_learns(frame):

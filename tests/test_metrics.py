@@ -150,7 +150,7 @@ def test_a_threshold_costs_no_second_draw(spark):
     df = spark.createDataFrame([(i, float(i % 7), i % 3 > 0) for i in range(40)], "row_id bigint, unc double, ok boolean")
 
     def draws(threshold):
-        plan = rs.resample_metrics(df, "row_id", n_resamples=5, threshold=threshold)._jdf.queryExecution().optimizedPlan()
+        plan = rs.resample_metrics(df, "row_id", n_resamples=5, threshold=threshold, method="draws")._jdf.queryExecution().optimizedPlan()
         return plan.toString().count("Range (")
 
     assert draws(3.0) == draws(None) > 0
@@ -159,9 +159,9 @@ def test_a_threshold_costs_no_second_draw(spark):
 def test_runs_resampled_together_equal_runs_alone(spark):
     rows = [(i, r, float((i * (5 + r)) % 11), i % 3 > 0) for i in range(60) for r in (0, 1)]
     df = spark.createDataFrame(rows, "row_id bigint, run_id int, unc double, ok boolean")
-    together = rs.bootstrap_runs_ci(df, "row_id", {0: 4, 1: 9}, {0: 5.0, 1: float("inf")}, n_resamples=40).collect()
+    together = rs.bootstrap_runs_ci(df, "row_id", {0: 4, 1: 9}, {0: 5.0, 1: float("inf")}, 40, "draws").collect()
     for run, seed, cut in ((0, 4, 5.0), (1, 9, float("inf"))):
-        alone = rs.bootstrap_ci(df.filter(f"run_id = {run}"), "row_id", n_resamples=40, seed=seed, threshold=cut).collect()
+        alone = rs.bootstrap_ci(df.filter(f"run_id = {run}"), "row_id", n_resamples=40, seed=seed, threshold=cut, method="draws").collect()
         assert sorted(tuple(r)[1:] for r in together if r["run_id"] == run) == sorted(map(tuple, alone))
 
 
@@ -174,3 +174,57 @@ def test_running_floor_of_long_answers_is_quick(spark):
     start = time.time()
     spark.range(8).select(running_floor(scores)).write.format("noop").mode("overwrite").save()
     assert time.time() - start < 15
+
+
+def test_split_draws_are_multinomial():
+    """Counts per range against the multinomial they must follow: chi-square of the sums, variances and covariances."""
+    weights, n, resamples = np.array([5, 0, 40, 1, 20, 9, 25]), 100, 4000
+    drawn = np.stack([rs.draws_in_range(weights, k, np.full(resamples, n), 7, 2)[1] for k in range(7)])
+    below = np.stack([rs.draws_in_range(weights, k, np.full(resamples, n), 7, 2)[0] for k in range(7)])
+    assert (drawn.sum(axis=0) == n).all() and (below[1:] == np.cumsum(drawn, axis=0)[:-1]).all() and not drawn[1].any()
+    share = weights / weights.sum()
+    seen = share > 0
+    chi = ((drawn.sum(axis=1) - n * resamples * share)[seen] ** 2 / (n * resamples * share[seen])).sum()
+    assert chi < 20.5  # 99.9 % of a chi-square of 5 degrees
+    spread = np.cov(drawn)
+    want = n * (np.diag(share) - np.outer(share, share))
+    assert np.abs(spread - want).max() < 0.06 * n * share.max()
+
+
+def test_range_metrics_add_up_to_the_plain_metrics():
+    rng = np.random.default_rng(2)
+    score = np.sort(rng.choice(np.arange(60) / 7, 40, replace=False))
+    wrong, right = rng.integers(0, 4, (25, 40)), rng.integers(0, 5, (25, 40))
+    p, n = wrong.sum(axis=1), right.sum(axis=1)
+    parts = []
+    for a, b in ((0, 3), (3, 17), (17, 18), (18, 40)):
+        below = wrong[:, :a].sum(axis=1), right[:, :a].sum(axis=1)
+        parts.append(rs.range_metrics(score[a:b], wrong[:, a:b], right[:, a:b], *below, p, n, 4.0))
+    for r in range(25):
+        unc = np.repeat(np.r_[score, score], np.r_[wrong[r], right[r]])
+        ok = np.repeat([False, True], [p[r], n[r]])
+        total = {k: sum(x[k][r] for x in parts) for k in parts[0]}
+        assert total["wins"] / (2 * p[r] * n[r]) == pytest.approx(auroc(unc, ok))
+        assert total["covered"] * 0.9 / 19 == pytest.approx(aurac(unc, ok))
+        j = max(x["j"][r] for x in parts)
+        assert (1 + max(j, 0) / (p[r] * n[r])) / 2 == pytest.approx(youden(unc, ok)[1])
+        assert (total["caught"], total["passed"]) == (((unc >= 4.0) & ~ok).sum(), ((unc < 4.0) & ok).sum())
+
+
+@pytest.mark.parametrize("ties", [True, False])
+def test_split_and_drawn_bootstrap_agree(spark, ties):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=600)
+    rows = [(i, float(np.round(v, 1) if ties else v), bool(v + rng.normal() < 0.4)) for i, v in enumerate(x)]
+    rows += [(600, float("nan"), True), (601, None, False), (602, float("inf"), False), (603, float("-inf"), True)]
+    df = spark.createDataFrame(rows, "row_id bigint, unc double, ok boolean")
+    for cut in (None, 0.3):
+        a, b = (
+            {r["metric"]: r for r in rs.bootstrap_ci(df, "row_id", n_resamples=800, seed=4, threshold=cut, method=m).collect()} for m in ("split", "draws")
+        )
+        for m in rs.METRICS:
+            assert a[m]["mean"] == pytest.approx(b[m]["mean"], abs=4 * b[m]["std"] / 800**0.5 * 2**0.5 + 0.001)
+            assert a[m]["std"] == pytest.approx(b[m]["std"], rel=0.15, abs=0.002)
+            assert a[m]["ci_low"] == pytest.approx(b[m]["ci_low"], abs=0.5 * b[m]["std"] + 0.001)
+    with pytest.raises(ValueError):
+        rs.bootstrap_ci(df, "row_id", method="other")
