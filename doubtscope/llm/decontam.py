@@ -1,11 +1,13 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched with block-max WAND.
 
-Every passage of every training text is a query. The score of item d for a passage is the BM25 sum
-over their common words, divided by the score d gives itself, so that it reads as weighted coverage
-(0..1) and one threshold serves items of all lengths. All items at or above the threshold are
-retrieved, and then verified: the item is cut into a question and an answer, and of each at least
-``min_overlap`` must be there: of its five-word shingles anywhere in the document, or, for copies with
-a word changed here and there, of its words in order within the best passage.
+A test item is cut into a question and an answer, and each is an entry of the index of its own. Every passage of every
+training text is a query. The score of an entry for a passage is the BM25 sum over their common words,
+divided by the score the entry gives itself, so that it reads as weighted coverage (0..1) and one threshold
+serves entries of all lengths. All entries at or above the threshold are retrieved, and every retrieved passage is
+verified: of the entry's five-word shingles at least ``min_overlap`` must be anywhere in the document, or, for copies
+with a word changed here and there, of its words in order in one of the passages. An item is found where its question
+and its answer are, however far apart. A passage is twice as long as the next power of two of the entry's length (128 words
+at least), so what is found of an item does not hang on the items beside it.
 
 The index is cut into segments of bounded size; each is broadcast and searched in turn, so neither
 the driver nor a task ever holds more than one.
@@ -57,17 +59,27 @@ def halves(words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
     return words[:middle], words[middle:]
 
 
+def units_of(question: list[bytes], answer: list[bytes] | None) -> list[list[bytes]]:
+    """What of an item must be found: its question and its answer, without empty ones and repeats."""
+    cut = halves(question) if answer is None else (question, answer)
+    return [u for k, u in enumerate(cut) if u and u not in cut[:k]]
+
+
+def passage_words(unit: list[bytes]) -> int:
+    """Words of a passage for an entry; steps are half of it, so any run of the entry's length is inside one."""
+    return max(128, 2 << (len(unit) - 1).bit_length())
+
+
 @dataclass
 class Index:
-    """One segment of the inverted index: postings in item order, cut into blocks with their maxima."""
+    """The entries of one segment that have passages of one length: postings in order of entries, cut into blocks with their maxima."""
 
-    item_ids: list
-    parts: list[list[tuple[set, list]]]  # per item, question and answer: shingles and words
+    units: list[tuple[int, set, list]]  # per entry: its item's place, shingles, words
     terms: dict[bytes, int]
     starts: np.ndarray  # per term, into items/weights
     items: np.ndarray
     weights: np.ndarray
-    passage: int  # words of a passage; steps are half of it, so any run of half that length is inside one
+    passage: int
     postings: list[tuple[list, list]] = field(init=False, default_factory=list)
     block_last: list[list] = field(init=False, default_factory=list)
     block_max: list[list] = field(init=False, default_factory=list)
@@ -89,32 +101,42 @@ class Index:
         return len(at) > 0 and float(np.bincount(self.items[at], self.weights[at]).max()) >= threshold - 1e-9
 
 
-def build_index(items: list[tuple], df: dict[bytes, int], n_items: int, mean_words: float) -> Index:
-    """Index of (id, question words, answer words or None) rows; df, n_items and mean_words are of all items."""
-    terms: dict[bytes, int] = {}
-    rows, parts, ids = [], [], []
-    longest = 1
+@dataclass
+class Segment:
+    """Items, how many entries each has, and their entries by length of passage."""
+
+    item_ids: list
+    n_units: list[int]
+    indexes: list[Index]
+
+
+def build_segment(items: list[tuple], df: dict[bytes, int], n_items: int, mean_words: float) -> Segment:
+    """Segment of (id, question words, answer words or None) rows; df and n_items are of all items, mean_words of all entries."""
+    ids, n_units, by_passage = [], [], {}
     for item_id, question, answer in items:
-        whole = question + (answer or [])
-        if not whole:
+        units = units_of(question, answer)
+        if not units:
             continue
-        cut = halves(question) if answer is None else (question, answer)
-        counts: dict[bytes, int] = {}
-        for w in whole:
-            counts[w] = counts.get(w, 0) + 1
-        norm = K1 * (1 - B + B * len(whole) / mean_words)
-        weight = {w: log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in counts.items()}
-        own = sum(weight.values())
-        rows += [(terms.setdefault(w, len(terms)), len(ids), x / own) for w, x in weight.items()]
-        parts.append([(shingles(part), part) for part in cut])
+        for unit in units:
+            by_passage.setdefault(passage_words(unit), []).append((len(ids), shingles(unit), unit))
         ids.append(item_id)
-        longest = max(longest, len(whole))
-    rows.sort()
-    term = np.array([r[0] for r in rows], np.int64)
-    starts = np.searchsorted(term, np.arange(len(terms) + 1))
-    return Index(
-        ids, parts, terms, starts, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], float), max(128, 2 * longest)
-    )
+        n_units.append(len(units))
+    indexes = []
+    for passage, units in sorted(by_passage.items()):
+        terms: dict[bytes, int] = {}
+        rows = []
+        for place, (_, _, unit) in enumerate(units):
+            counts: dict[bytes, int] = {}
+            for w in unit:
+                counts[w] = counts.get(w, 0) + 1
+            norm = K1 * (1 - B + B * len(unit) / mean_words)
+            weight = {w: log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in counts.items()}
+            own = sum(weight.values())
+            rows += [(terms.setdefault(w, len(terms)), place, x / own) for w, x in weight.items()]
+        rows.sort()
+        starts = np.searchsorted(np.array([r[0] for r in rows], np.int64), np.arange(len(terms) + 1))
+        indexes.append(Index(units, terms, starts, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], float), passage))
+    return Segment(ids, n_units, indexes)
 
 
 def block_max_wand(index: Index, term_ids: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -166,11 +188,32 @@ def block_max_wand(index: Index, term_ids: list[int], threshold: float) -> list[
     return found
 
 
-def search(index: Index, text: str | None, threshold: float, min_overlap: float) -> list[tuple]:
-    """Verified (item id, best passage score, smaller of the two overlaps) of a text, by item position."""
+def search(segment: Segment, text: str | None, threshold: float, min_overlap: float) -> list[tuple]:
+    """Verified (item id, score, overlap) of a text, by item position: the smaller of the question's and the answer's best."""
     words = words_of(text)
-    if not words or not index.terms:
+    if not words:
         return []
+    found: dict[int, list[tuple[float, float]]] = {}
+    have: set | None = None
+    for index in segment.indexes:
+        hits = retrieve(index, words, threshold)
+        have = shingles(words) if hits and have is None else have
+        for place, passages in hits.items():
+            item, marks, unit = index.units[place]
+            overlap = len(marks & have) / len(marks)
+            for _, start in passages if overlap < 1.0 else ():
+                # the passage may begin inside the copy or end in it
+                near = words[max(0, start - index.passage // 2) : start + index.passage + index.passage // 2]
+                overlap = max(overlap, lcs_length(unit, near) / len(unit))
+            if overlap >= min_overlap:
+                found.setdefault(item, []).append((max(score for score, _ in passages), overlap))
+    return [
+        (segment.item_ids[item], min(s for s, _ in parts), min(o for _, o in parts)) for item, parts in sorted(found.items()) if len(parts) == segment.n_units[item]
+    ]
+
+
+def retrieve(index: Index, words: list[bytes], threshold: float) -> dict[int, list[tuple[float, int]]]:
+    """{entry: (score, first word) of every passage at or above the threshold}."""
     ids = np.fromiter(map(index.terms.get, words, repeat(-1)), np.int64, len(words))
     size, step = index.passage, index.passage // 2
 
@@ -185,26 +228,16 @@ def search(index: Index, text: str | None, threshold: float, min_overlap: float)
             if index.reachable(span[span >= 0], threshold):
                 yield from open_spans(at, end, spans[1:])
 
-    best: dict[int, tuple[float, int]] = {}
+    found: dict[int, list[tuple[float, int]]] = {}
     for start in open_spans(0, len(words), SPANS):
         terms = np.unique(ids[start : start + size])
-        for item, score in block_max_wand(index, terms[terms >= 0].tolist(), threshold):
-            best[item] = max(best.get(item, (0.0, 0)), (score, -start))
-    if not best:
-        return []
-    have = shingles(words)
-    checked = []
-    for item, (score, start) in sorted(best.items()):
-        # the best passage may begin inside the copy or end in it
-        near = words[max(0, -start - step) : -start + size + step]
-        overlap = min(max(len(s & have) / len(s), lcs_length(w, near) / len(w)) for s, w in index.parts[item])
-        if overlap >= min_overlap:
-            checked.append((index.item_ids[item], score, overlap))
-    return checked
+        for place, score in block_max_wand(index, terms[terms >= 0].tolist(), threshold):
+            found.setdefault(place, []).append((score, start))
+    return found
 
 
-def index_segments(items: DataFrame, id_col: str, text_col: str, answer_col: str | None, segment_words: int) -> Iterator[Index]:
-    """Index segments of about ``segment_words`` words each; document frequencies are over all items.
+def index_segments(items: DataFrame, id_col: str, text_col: str, answer_col: str | None, segment_words: int) -> Iterator[Segment]:
+    """Segments of about ``segment_words`` words each; document frequencies are over all items.
 
     Only one segment's items are on the driver at a time. Words come from the same splitter as the
     training texts.
@@ -217,7 +250,9 @@ def index_segments(items: DataFrame, id_col: str, text_col: str, answer_col: str
     answer = split(F.col(answer_col).cast("string")) if answer_col else F.lit(None).cast("array<binary>")
     rows = items.select(F.col(id_col).alias("id"), split(F.col(text_col).cast("string")).alias("question"), answer.alias("answer"))
     whole = F.concat("question", F.coalesce("answer", F.array().cast("array<binary>")))
-    n_items, n_words = rows.where(F.size(whole) > 0).agg(F.count(F.lit(1)), F.sum(F.size(whole))).first()
+    alone = F.when(F.size("question") < 2 * SHINGLE, 1).otherwise(2)
+    n_units = F.when(F.col("answer").isNull(), alone).otherwise((F.size("question") > 0).cast("int") + (F.size("answer") > 0).cast("int"))
+    n_items, n_words, entries = rows.where(F.size(whole) > 0).agg(F.count(F.lit(1)), F.sum(F.size(whole)), F.sum(n_units)).first()
     if not n_items:
         return
     n_segments = -(-n_words // segment_words)
@@ -228,13 +263,14 @@ def index_segments(items: DataFrame, id_col: str, text_col: str, answer_col: str
         mine = part.select(F.explode(whole).alias("word")).distinct()
         counts = {bytes(r.word): r["count"] for r in df.join(mine, "word", "left_semi").collect()}
         listed = [(r.id, [bytes(w) for w in r.question], r.answer and [bytes(w) for w in r.answer]) for r in part.orderBy("id", "question").collect()]
-        yield build_index(listed, counts, n_items, n_words / n_items)
+        yield build_segment(listed, counts, n_items, n_words / entries)
 
 
-def contamination_column(session: SparkSession, text: Column, index: Index, threshold: float, min_overlap: float) -> Column:
-    """Array of (item_id, score, overlap) for a text column against one index segment, which is broadcast
+def contamination_column(session: SparkSession, text: Column, segment: Segment, threshold: float, min_overlap: float) -> Column:
+    """Array of (item_id, score, overlap) for a text column against one segment, which is broadcast
     as plain values: workers need not have this package."""
-    shared = session.sparkContext.broadcast({f.name: getattr(index, f.name) for f in fields(index) if f.init})
+    plain = [{f.name: getattr(index, f.name) for f in fields(index) if f.init} for index in segment.indexes]
+    shared = session.sparkContext.broadcast((segment.item_ids, segment.n_units, plain))
     kind = T.ArrayType(
         T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("overlap", T.DoubleType())])
     )
@@ -242,9 +278,10 @@ def contamination_column(session: SparkSession, text: Column, index: Index, thre
 
     @F.arrow_udf(kind)
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Index(**shared.value)
+        ids, n_units, plain = shared.value
+        segment = Segment(ids, n_units, [Index(**p) for p in plain])
         for texts in batches:
-            found = (search(index, t.as_py(), threshold, min_overlap) for t in texts)
+            found = (search(segment, t.as_py(), threshold, min_overlap) for t in texts)
             yield pa.array([[dict(zip(("item_id", "score", "overlap"), h, strict=True)) for h in rows] for rows in found], arrow)
 
     return hits(text.cast("string"))
@@ -264,16 +301,16 @@ def contaminated_pairs(
 ) -> DataFrame:
     """(doc_id, item_id, score, overlap): every verified pair of a document row and an item.
 
-    score is the best passage's share of the item's own BM25 score, overlap the smaller of the
-    question's and the answer's share that is found. Null and empty texts on either side have no pairs;
+    score is the best passage's share of the entry's own BM25 score, overlap the share of it that is found; of question
+    and answer the smaller. Null and empty texts on either side have no pairs;
     no items or no documents give an empty result; repeated rows repeat their pairs. Of repeated
     items each id is reported. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     session = docs.sparkSession
     found = [
-        rows.select("doc_id", F.inline(contamination_column(session, F.col("text"), index, threshold, min_overlap)))
-        for index in index_segments(items, item_id, item_text, item_answer, segment_words)
+        rows.select("doc_id", F.inline(contamination_column(session, F.col("text"), segment, threshold, min_overlap)))
+        for segment in index_segments(items, item_id, item_text, item_answer, segment_words)
     ]
     if not found:
         return session.createDataFrame([], "doc_id long, item_id long, score double, overlap double")
@@ -292,7 +329,7 @@ def keep_clean(
     segment_words: int = 1_000_000,
 ) -> DataFrame:
     """The rows of docs, all columns, that hold no item."""
-    for index in index_segments(items, item_id, item_text, item_answer, segment_words):
-        found = contamination_column(docs.sparkSession, F.col(text_col), index, threshold, min_overlap)
+    for segment in index_segments(items, item_id, item_text, item_answer, segment_words):
+        found = contamination_column(docs.sparkSession, F.col(text_col), segment, threshold, min_overlap)
         docs = docs.where(F.size(found) == 0)
     return docs

@@ -7,7 +7,6 @@ the smallest total wins. Case is folded on both sides: shouting is no language o
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +22,6 @@ LEVEL = 6
 RESULT = T.StructType(
     [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
 )
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -81,7 +79,7 @@ def classify(text: bytes | None, languages: list[tuple[str, zstandard.ZstdCompre
     stretched to 0..1. Ties go to the language that comes first by name.
     """
     words = (text or b"").decode("utf-8", "replace").lower()
-    if not languages or not _LETTER.search(words):
+    if not languages or not any(map(str.isalpha, words)):
         return UNKNOWN, 0.0, True
     text = words.encode()
     chunks = [text[k : k + CHUNK] for k in range(0, len(text), CHUNK)]

@@ -171,6 +171,34 @@ def link_forest(fingerprints: DataFrame, radius: int = 4, tile_size: int = 1 <<
     return pairs.mapInArrow(compare, "a long, b long")
 
 
+def _classes(marked: DataFrame, radius: int, tile_size: int) -> DataFrame:
+    """(fp, root, first_id) of every distinct fingerprint of (doc_id, fp): equal roots, same group."""
+    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+    members = component_members(link_forest(classes.select("fp"), radius, tile_size)).withColumnRenamed("node", "fp")
+    return classes.join(members, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, tile_size: int = 1 << 16
+) -> DataFrame:
+    """One row of each near-duplicate group of docs, all columns: the one with the smallest id, then the least digest of its text.
+
+    A row is chosen, not an id: an id that stands on several texts keeps only the row that won its group. Null ids come
+    last. Rows that repeat an id and text are one. Null and empty texts form a group.
+    """
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    columns = [F.col(id_col).alias("doc_id"), digest.alias("digest"), fingerprint_column(F.col(text_col), width).alias("fp")]
+    marked = stored(docs.select(*columns), "simhash-prints")
+    roots = _classes(marked, radius, tile_size).select("fp", "root")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest"))
+    # least of each fingerprint first, so that a large group of copies never meets in one task
+    first = marked.groupBy("fp").agg(least.alias("row")).join(roots, "fp").groupBy("root").agg(F.min("row").alias("row"))
+    stay = first.select("row.doc_id", "row.digest")
+    digest = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
+    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["doc_id"]) & (digest == stay["digest"]), "left_semi")
+    return kept.dropDuplicates([id_col, text_col])
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, tile_size: int = 1 << 16
 ) -> DataFrame:
@@ -184,11 +212,9 @@ def near_duplicates(
     marked = stored(
         docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), width).alias("fp")), "simhash-prints"
     )
-    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
-    members = component_members(link_forest(classes.select("fp"), radius, tile_size)).withColumnRenamed("node", "fp")
-    groups = members.join(classes, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    grouped = members.join(groups, "root").select("fp", "component_id")
-    by_class = classes.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    classes = _classes(marked, radius, tile_size)
+    groups = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_class = classes.join(groups, "root").select("fp", "component_id")
     return marked.join(by_class, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

@@ -21,7 +21,7 @@ def make_index(items):
     for _, ws, _ in rows:
         for w in set(ws):
             df[w] = df.get(w, 0) + 1
-    return decontam.build_index(rows, df, len(rows), sum(len(w) for _, w, _ in rows) / len(rows))
+    return decontam.build_segment(rows, df, len(rows), sum(len(w) for _, w, _ in rows) / len(rows)).indexes[0]
 
 
 def test_wand_finds_what_full_scoring_finds(monkeypatch):
@@ -88,3 +88,47 @@ def test_empty_tables(docs, make):
     assert decontam.contaminated_pairs(docs([(1, "a")]), make([], ITEM)).count() == 0
     assert decontam.contaminated_pairs(docs([]), make([(1, "some words of an item", 0.0)], ITEM)).count() == 0
     assert decontam.keep_clean(docs([(1, "a")]), make([(1, None, 0.0)], ITEM)).count() == 1
+
+
+def plainly_found(items, text, min_overlap=0.8):
+    """Ids of the items of which question and answer are there: enough shingles anywhere, or words in order in one stretch."""
+    words = decontam.words_of(text)
+    have = decontam.shingles(words)
+    out = []
+    for i, t in items:
+        units = decontam.units_of(decontam.words_of(t), None)
+
+        def there(unit):
+            marks = decontam.shingles(unit)
+            if len(marks & have) >= min_overlap * len(marks):
+                return True
+            size = decontam.passage_words(unit)
+            return any(decontam.lcs_length(unit, words[k : k + 2 * size]) >= min_overlap * len(unit) for k in range(0, max(1, len(words)), size // 2))
+
+        if units and all(map(there, units)):
+            out.append(i)
+    return out
+
+
+def test_search_against_a_plain_version(docs, make):
+    """Halves apart, changed words, other items and other segments: always what a plain reading of every item finds."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(3000)]
+    items = [(k, " ".join(rng.choices(words, k=16 + 9 * k % 70))) for k in range(30)]
+    rows = []
+    for k, gap in enumerate((0, 100, 200, 600, 2500, 40, 300)):
+        own = items[k][1].split()
+        cut = (len(own) + 1) // 2
+        fill = rng.choices(words, k=400)
+        rows.append((k, " ".join(fill[:200] + own[:cut] + rng.choices(words, k=gap) + own[cut:] + fill[200:])))
+        changed = list(own)
+        changed[cut // 2] = "other"
+        rows.append((100 + k, " ".join(fill[:90] + changed + fill[90:])))
+        rows.append((200 + k, " ".join(fill[:150] + own[:cut] + fill[150:])))
+    rows += [(300 + k, " ".join(rng.choices(words, k=700))) for k in range(6)]
+    want = sorted((i, item) for i, t in rows for item in plainly_found(items, t))
+    assert {(k, k) for k in range(7)} <= set(want) and not any(i >= 200 for i, _ in want)
+    long_one = (999, " ".join(rng.choices([f"z{k}" for k in range(900)], k=700)))
+    for more, segment in (([], 10**6), ([long_one], 10**6), ([], 300), ([long_one], 200)):
+        table = make([(i, t, 0.0) for i, t in items + more], ITEM)
+        assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated_pairs(docs(rows), table, segment_words=segment).collect()) == want

@@ -25,11 +25,11 @@ def lorem(k):
 
 def test_edges(docs):
     rows = [(k, lorem(k), "en" if k % 2 else "de") for k in range(40)]
-    odd = [(100, None, "en"), (101, "", "en"), (102, "123 -- 4", None), (103, lorem(1) * 400, None), (None, lorem(2), None), (5, lorem(5), "en"), (105, "Ωμέγα", None)]
+    odd = [(106, "½ ² Ⅷ ٣ _ — ③", "en"), (100, None, "en"), (101, "", "en"), (102, "123 -- 4", None), (103, lorem(1) * 400, None), (None, lorem(2), None), (5, lorem(5), "en"), (105, "Ωμέγα", None)]
     got = {}
     for r in language.identify(docs(rows + odd)).collect():
         got.setdefault(r.doc_id, []).append(r)
-    for k in (100, 101, 102):
+    for k in (100, 101, 102, 106):
         assert (got[k][0].lang_pred, got[k][0].score, got[k][0].rejected) == ("und", 0.0, True)
     assert got[103][0].lang_pred == "en" and got[None][0].lang_pred == "de" and len(got[5]) == 2
     assert got[105][0].lang_pred in ("en", "de")

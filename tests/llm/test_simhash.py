@@ -108,3 +108,14 @@ def test_components_of_chains_and_stars(spark):
 
 def test_empty_table(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
+
+
+def test_one_row_of_each_group_stays(docs):
+    a = "a long enough text with many words in it so that one more hardly matters " * 6
+    b = "something else altogether which shares nothing with the other text at all " * 6
+    rows = [(1, a), (5, a + "now"), (5, b), (None, a + "null"), (None, "lonely words without an id"), (None, "lonely words without an id"), (7, None), (8, ""), (1, a)]
+    kept = simhash.keep_one(docs(rows))
+    assert kept.columns == docs([]).columns
+    got = sorted((str(r.doc_id), r.text) for r in kept.collect())
+    assert got == sorted([("1", a), ("5", b), ("None", "lonely words without an id"), ("7", None)], key=lambda x: (x[0], x[1]))
+    assert simhash.keep_one(docs([])).count() == 0
