@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from doubtscope.llm.decontam import keep_clean
 from doubtscope.llm.language import keep_identified
 from doubtscope.llm.mixing import LEAST_SHARE, sample_mixture
 from doubtscope.llm.sharding import assign_shards
-from doubtscope.llm.simhash import near_duplicates
+from doubtscope.llm.simhash import keep_one
 from doubtscope.session import stored
 
 SHARDS = [f"shard-{k:02d}" for k in range(32)]
@@ -22,14 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id.
-
-    Documents with a null id are kept only where their whole group has none, once per text.
-    """
-    groups = near_duplicates(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One document of each near-duplicate group, the one with the smallest id; null ids come last."""
+    return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
