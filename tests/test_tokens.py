@@ -6,6 +6,7 @@ from models import patience
 from pyspark.sql import functions as F
 
 from doubtscope.functions import tokens as tok
+from doubtscope.operators import longform
 from doubtscope.operators.longform import patience_long
 
 SEQ = "q array<array<struct<logit:double>>>"
@@ -113,3 +114,38 @@ def test_topk_entries_rules(spark):
     assert [e["token_id"] for e in r[0]] == [2, 1]
     assert [e["token_id"] for e in r[1]] == [2, 1, 5]  # the chosen entry is appended
     assert r[2] is None
+
+
+def test_long_form_with_odd_scores_and_many_levels(spark, monkeypatch):
+    """NaN, infinities, nulls, gaps in position and three levels of summaries, against the fold over arrays."""
+    monkeypatch.setattr(longform, "FAN", 3)
+    rng = random.Random(8)
+    odd = [float("nan"), float("inf"), float("-inf"), None]
+    rows = [(i, [rng.choice(odd) if rng.random() < (0.3 if i % 3 else 0.02) else float(rng.randint(0, 9)) for _ in range(rng.randint(1, 150))]) for i in range(120)]
+    rows += [(500, [None] * 9), (501, [float("nan")] * 40), (502, [float(i) for i in range(400)])]
+    df = spark.createDataFrame(rows, "seq bigint, x array<double>").repartition(4)
+    long = df.select("seq", F.posexplode("x").alias("pos", "score")).withColumn("pos", F.expr("pos * 3 + seq % 2"))
+    for m, w in ((1, 2), (4, 9)):
+        kept = F.filter("x", lambda v: v.isNotNull())
+        want = {r["seq"]: tuple(r["r"]) for r in df.select("seq", tok.patience_agg(kept, m, w).alias("r")).collect()}
+        got = {r["seq"]: (r["mean"], r["tau"], r["triggered"]) for r in patience_long(long, m, w, 16).collect()}
+        assert got.keys() == want.keys()
+        for k, (mean, tau, stop) in want.items():
+            assert got[k][1:] == (tau, stop) and (got[k][0] == mean or str(got[k][0]) == str(mean) or got[k][0] == pytest.approx(mean)), k
+
+
+def test_rows_of_the_long_form_stay_short(spark, monkeypatch):
+    """A sequence whose every token raises the floor: no stored row holds more than the summaries of a few blocks."""
+    sizes = []
+    kept = longform.stored
+
+    def watched(df, name):
+        out = kept(df, name)
+        arrays = [c for c, kind in out.dtypes if kind.startswith("array")]
+        sizes.extend(out.agg(*[F.max(F.size(c)) for c in arrays]).first() if arrays else [])
+        return out
+
+    monkeypatch.setattr(longform, "stored", watched)
+    rising = spark.range(30_000).selectExpr("1L as seq", "id as pos", "cast(id as double) as score")
+    r = patience_long(rising, 5, 20, 256).first()
+    assert (r["mean"], r["tau"], r["triggered"]) == (29_997.0, 30_000, False) and max(sizes) <= 5
