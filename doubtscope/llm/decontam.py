@@ -33,7 +33,7 @@ from doubtscope.functions.text import lcs_length
 
 K1, B = 1.2, 0.75
 BLOCK = 64  # postings per block
-SPANS = (1024, 256)  # words bounded at once, coarse then fine, before passages are searched one by one
+SPANS = (1024, 256)  # words bounded at once, coarse then fine, before passages are bounded and searched one by one
 SHINGLE = 5
 _ASCII_BREAKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _OTHER_BREAKS = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]+")
@@ -219,8 +219,11 @@ def retrieve(index: Index, words: list[bytes], threshold: float) -> dict[int, li
 
     def open_spans(first: int, last: int, spans: tuple[int, ...]) -> Iterator[int]:
         """Starts of the passages in [first, last) that a bound over longer spans does not rule out."""
-        if not spans:
-            yield from range(first, last, step)
+        if not spans:  # the last bound is over the passage itself
+            for at in range(first, last, step):
+                passage = ids[at : at + size]
+                if index.reachable(passage[passage >= 0], threshold):
+                    yield at
             return
         for at in range(first, last, max(spans[0] // step, 1) * step):
             end = min(at + max(spans[0] // step, 1) * step, last)
