@@ -12,6 +12,7 @@ import bisect
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,25 +28,35 @@ STATE = (
 
 
 class _Fold:
-    """State of one answer between micro-batches."""
+    """State of one answer between micro-batches; tokens that wait for earlier ones are sorted arrays."""
 
     def __init__(self, m: int, w: int, saved: tuple | None = None):
         self.m, self.w = m, w
         top, self.idle, self.tau, self.next_pos, pos, score, self.last_pos, self.done = saved or (
             [], 0, 0, 0, [], [], -1, False
         )
-        self.top, self.waiting, self.triggered = list(top), dict(zip(pos, score)), False
+        self.top, self.triggered = list(top), False
+        self.pos = np.asarray(pos, np.int64)
+        self.missing = np.array([x is None for x in score], bool)
+        self.score = np.array([0.0 if x is None else x for x in score], float)
 
     def saved(self) -> tuple:
-        pos = sorted(self.waiting)
-        return (self.top, self.idle, self.tau, self.next_pos, pos, [self.waiting[p] for p in pos],
-                self.last_pos, self.done)
-
-    def take(self, pos: int, score: float | None, last: bool) -> None:
-        if last:
-            self.last_pos = pos
-        if pos >= self.next_pos and pos not in self.waiting:
-            self.waiting[pos] = score
+        score = [None if gone else x for x, gone in zip(self.score.tolist(), self.missing.tolist())]
+        return (self.top, self.idle, self.tau, self.next_pos, self.pos.tolist(), score, self.last_pos, self.done)
+
+    def take(self, pos: np.ndarray, score: np.ndarray, missing: np.ndarray, last: np.ndarray) -> None:
+        """Add a frame of tokens; of those with one position the first counts."""
+        if last.any():
+            self.last_pos = int(pos[last][-1])
+        new = pos >= self.next_pos
+        self.pos, first = np.unique(np.concatenate([self.pos, pos[new]]), return_index=True)
+        self.score = np.concatenate([self.score, score[new]])[first]
+        self.missing = np.concatenate([self.missing, missing[new]])[first]
+
+    def finish(self) -> None:
+        """Keep nothing but the mark that the answer is finished."""
+        self.done, self.top = True, []
+        self.pos, self.score, self.missing = self.pos[:0], self.score[:0], self.missing[:0]
 
     def read(self, score: float | None) -> None:
         if score is None:
@@ -64,13 +75,14 @@ class _Fold:
 
     def advance(self, skip_gaps: bool = False) -> bool:
         """Read the tokens that are next in order. True when the answer is finished."""
-        while self.waiting and not self.triggered:
-            if self.next_pos not in self.waiting:
-                if not skip_gaps:
-                    break
-                self.next_pos = min(self.waiting)
-            self.read(self.waiting.pop(self.next_pos))
-            self.next_pos += 1
+        ready = len(self.pos) if skip_gaps else int((self.pos == self.next_pos + np.arange(len(self.pos))).cumprod().sum())
+        for score, missing in zip(self.score[:ready].tolist(), self.missing[:ready].tolist()):
+            self.read(None if missing else score)
+            if self.triggered:
+                break
+        if ready:
+            self.next_pos = int(self.pos[ready - 1]) + 1
+            self.pos, self.score, self.missing = self.pos[ready:], self.score[ready:], self.missing[ready:]
         ended = self.last_pos >= 0 and self.next_pos > self.last_pos
         return self.triggered or ended or skip_gaps
 
@@ -92,13 +104,15 @@ def stream_patience(
     """(seq, pos from 0, score or null, is_last) → one row per finished answer.
 
     With ``event_time`` an answer without end marker is closed when the watermark passes its newest
-    token by ``delay_ms``: gaps are skipped then and its state is dropped.
+    token by ``delay_ms``: gaps are skipped then and its state is dropped. Without it there is no clock to drop
+    by, and the mark that an answer is finished stays, to keep late tokens out.
     """
     timed = event_time is not None
     source = tokens.withWatermark(event_time, delay) if timed else tokens
     stamp = F.col(event_time) if timed else F.lit(None).cast("timestamp")
-    rows = source.select("seq", F.col("pos").cast("bigint").alias("pos"), F.col("score").cast("double").alias("score"),
-                         "is_last", stamp.alias(event_time or "at"))
+    score = F.col("score").cast("double")  # pandas takes null for NaN, which counts as a token
+    rows = source.select("seq", F.col("pos").cast("bigint").alias("pos"), F.coalesce(score, F.lit(0.0)).alias("score"),
+                         score.isNull().alias("missing"), F.coalesce("is_last", F.lit(False)).alias("is_last"), stamp.alias(event_time or "at"))
     at = event_time or "at"
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -113,15 +127,14 @@ def stream_patience(
         for frame in frames:
             if fold.done:
                 continue
-            for pos, score, last in zip(frame["pos"], frame["score"], frame["is_last"]):
-                fold.take(int(pos), None if score is None or pd.isna(score) else float(score), bool(last))
+            fold.take(*(frame[c].to_numpy() for c in ("pos", "score", "missing", "is_last")))
             if timed and len(frame):
                 top = frame[at].max()
                 newest = top if newest is None or top > newest else newest
         out = None
         if not fold.done and fold.advance():
             out = fold.result(key[0])
-            fold.done, fold.top, fold.waiting = True, [], {}
+            fold.finish()
         state.update(fold.saved())
         if timed:
             due = int(newest.timestamp() * 1000) if newest is not None else 0

@@ -44,3 +44,19 @@ def test_watermark_closes_an_answer_without_end(spark, root):
     last = [(3, 0, 1.0, True, t0 + dt.timedelta(hours=4))]
     got = _run(spark, root, [open_, later, last], event_time="at", delay="1 minute", delay_ms=60_000)
     assert (got[1]["mean"], got[1]["tau"], got[1]["triggered"]) == (5.0, 2, False)
+
+
+def test_missing_scores_and_nan(spark, root):
+    """A null score is no token, NaN is one; both in order and packed over batches."""
+    nan = float("nan")
+    v = [3.0, None, 4.0, 8.0, nan, 2.0, None, 0.0, nan, 0.0, 9.0]
+    rows = [(1, p, x, p == len(v) - 1, None) for p, x in enumerate(v)]
+    got = _run(spark, root, [rows[6:], rows[:6]])
+    mean, tau, stop = patience([x for x in v if x is not None], 3, 5)
+    assert (got[1]["tau"], got[1]["triggered"]) == (tau, stop) and got[1]["mean"] == mean == 5.0
+
+
+def test_a_long_answer_over_two_batches(spark, root):
+    rising = [(7, p, float(p), p == 99_999, None) for p in range(100_000)]
+    got = _run(spark, root, [rising[50_000:], rising[:50_000]])
+    assert (got[7]["tau"], got[7]["triggered"], got[7]["mean"]) == (100_000, False, 99_998.0)
