@@ -33,26 +33,36 @@ def n_tokens(text: Column) -> Column:
     return F.greatest(words, F.lit(1)).cast("long")
 
 
-def rake(cells: DataFrame, powers: dict[str, float], rounds: int, share: float = 0.0) -> DataFrame:
+def target_shares(cells: DataFrame, dimension: str, power: float, wanted: dict[str, float] | None = None) -> DataFrame:
+    """(value, target) of a dimension: the ``wanted`` shares of its values, normalised over those that occur (values not named
+    get none); without them each value's token share to the power, normalised: power 1 keeps the mix, 0 makes values equal."""
+    share = F.pow(F.sum("tokens").cast("double"), F.lit(power))
+    if wanted is not None:
+        named = [x for k, v in wanted.items() for x in (F.lit(k), F.lit(float(v)))]
+        share = F.coalesce(F.element_at(F.create_map(*named), F.col(dimension)), F.lit(0.0)) if named else F.lit(0.0)
+    shares = stored(cells.groupBy(dimension).agg(share.alias("share")), "mix-shares")
+    whole = shares.agg(F.sum("share")).first()[0]
+    return shares.select(dimension, (F.col("share") / F.lit(whole or 1.0)).alias("target"))
+
+
+def rake(
+    cells: DataFrame, powers: dict[str, float], rounds: int, share: float = 0.0, targets: dict[str, dict[str, float]] | None = None
+) -> DataFrame:
     """Cells (the dimensions, tokens) with ``weight``, raked so that each dimension's marginal is its target.
 
-    The target share of a value is its token share to the dimension's power, normalised: power 1
-    keeps the mix as it is, 0 makes the values equal. Cells are as many as there are combinations,
-    far fewer than documents; they stay a distributed table, written out at every step. With ``share``
-    no cell gets more weight than all its tokens have in a sample of that share; the next rounds give
-    what it cannot take to other cells of the same values.
+    ``targets`` gives shares by dimension and value; a dimension that it does not name follows its power
+    (see ``target_shares``). Cells are as many as there are combinations, far fewer than documents; they stay a
+    distributed table, written out at every step. With ``share`` no cell gets more weight than all its
+    tokens have in a sample of that share; the next rounds give what it cannot take to other cells of the
+    same values.
     """
-    total = cells.agg(F.sum("tokens").cast("double")).first()[0]
-    targets = {}
-    for d in DIMENSIONS:
-        shares = stored(cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(powers[d])).alias("share")), "mix-shares")
-        whole = shares.agg(F.sum("share")).first()[0]
-        targets[d] = shares.select(d, (F.col("share") / F.lit(whole)).alias("target"))
+    total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 1.0
+    wanted = {d: target_shares(cells, d, powers[d], (targets or {}).get(d)) for d in DIMENSIONS}
     now = cells.withColumn("weight", F.col("tokens") / F.lit(total))
     for _ in range(rounds):
         for d in DIMENSIONS:
             have = now.groupBy(d).agg(F.sum("weight").alias("have"))
-            factor = have.join(targets[d], d).select(d, (F.col("target") / F.col("have")).alias("factor"))
+            factor = have.join(wanted[d], d).select(d, F.when(F.col("have") > 0, F.col("target") / F.col("have")).otherwise(0.0).alias("factor"))
             weight = F.col("weight") * F.col("factor")
             if share:
                 weight = F.least(weight, F.col("tokens") / F.lit(share * total))
@@ -70,25 +80,32 @@ def keyed(docs: DataFrame, text: Column, source: Column, lang: Column, topic: Co
     return docs.withColumn("__mix", F.struct(*named, n_tokens(text).alias("tokens")))
 
 
-#: Share of all tokens that the query and the pipeline keep at least.
-LEAST_SHARE = 0.1
-
+#: Share of all tokens that the query and the pipeline sample, in expectation.
+SHARE = 0.15
 
-def keep_probabilities(marked: DataFrame, powers: dict[str, float] = POWERS, rounds: int = 6, least_share: float = 0.0) -> DataFrame:
-    """(source, lang, topic, p): the weight a token of the cell has, as a share of the largest such weight.
 
-    Where that would leave less than ``least_share`` of all tokens (in expectation), the sample gets
-    this share instead: cells too small for their weight are kept whole, and others make up the rest.
-    """
+def _rated(marked: DataFrame, powers, rounds, share, targets) -> DataFrame:
+    """(source, lang, topic, tokens, p) of every cell."""
     cells = stored(marked.groupBy(*[F.col(f"__mix.{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__mix.tokens").alias("tokens")), "mix-counts")
-    rate = F.col("weight") / F.col("tokens")
-    raked = rake(cells, powers, rounds).withColumn("rate", rate)
-    top, whole, tokens = raked.agg(F.max("rate"), F.sum("weight"), F.sum("tokens")).first()
-    if top is None or whole / top >= least_share * tokens:
-        return raked.select(*DIMENSIONS, (F.col("rate") / F.lit(top)).alias("p"))
-    raked = rake(cells, powers, rounds, least_share).withColumn("rate", rate)
-    p = F.least(F.lit(1.0), F.col("rate") * F.lit(_scale(raked, least_share * tokens)))
-    return raked.select(*DIMENSIONS, p.alias("p"))
+    raked = rake(cells, powers, rounds, share or 0.0, targets).withColumn("rate", F.col("weight") / F.col("tokens"))
+    top, tokens = raked.agg(F.max("rate"), F.sum("tokens")).first()
+    if share is None:
+        p = F.col("rate") / F.lit(top or 1.0)
+    else:
+        p = F.least(F.lit(1.0), F.col("rate") * F.lit(_scale(raked, share * tokens) if top else 0.0))
+    return raked.select(*DIMENSIONS, "tokens", p.alias("p"))
+
+
+def keep_probabilities(
+    marked: DataFrame, powers: dict[str, float] = POWERS, rounds: int = 6, share: float | None = None, targets: dict[str, dict[str, float]] | None = None
+) -> DataFrame:
+    """(source, lang, topic, p): the chance of a cell's documents.
+
+    With ``share`` the sample has this share of all tokens in expectation: cells too small for their weight are
+    kept whole, and others of the same values make up the rest. Without it the sample is the largest that has
+    all weights in proportion, so the cell with the highest rate sets its size.
+    """
+    return _rated(marked, powers, rounds, share, targets).select(*DIMENSIONS, "p")
 
 
 def _scale(raked: DataFrame, size: float) -> float:
@@ -118,16 +135,39 @@ def sample_mixture(
     powers: dict[str, float] = POWERS,
     rounds: int = 6,
     seed: int = 7,
-    least_share: float = 0.0,
+    share: float | None = None,
+    targets: dict[str, dict[str, float]] | None = None,
 ) -> DataFrame:
     """All columns of docs, and ``__mix`` (source, lang, topic, tokens), ``__p`` and ``__kept``.
 
     ``__kept`` says whether the document is in the sample. A null source, language or text is a value
-    of its own or an empty text; rows that repeat an id share one draw; an empty table stays empty.
-    ``least_share`` is the share of all tokens that the sample keeps at least.
+    of its own or an empty text; rows that repeat an id share one draw; an empty table stays empty. Columns of
+    docs by these three names are replaced. ``share`` and ``targets`` as in ``keep_probabilities`` and ``rake``.
     """
     text = F.col(text_col)
-    marked = keyed(docs, text, F.col(source_col), F.col(lang_col), format_topic(text) if topic is None else topic)
-    rates = keep_probabilities(marked, powers, rounds, least_share).select(F.struct(*DIMENSIONS).alias("__cell"), F.col("p").alias("__p"))
+    own = docs.drop("__mix", "__p", "__kept")
+    marked = keyed(own, text, F.col(source_col), F.col(lang_col), format_topic(text) if topic is None else topic)
+    rates = keep_probabilities(marked, powers, rounds, share, targets).select(F.struct(*DIMENSIONS).alias("__cell"), F.col("p").alias("__p"))
     cell = F.struct(*[F.col(f"__mix.{d}").alias(d) for d in DIMENSIONS])
     return marked.join(rates, cell == F.col("__cell")).drop("__cell").withColumn("__kept", draw(F.col(id_col), seed) < F.col("__p"))
+
+
+def keep_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **how) -> DataFrame:
+    """The rows of docs that are in the sample, all columns whatever their names."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    mixed = sample_mixture(packed, f"row.{id_col}", f"row.{text_col}", f"row.{source_col}", f"row.{lang_col}", **how)
+    return mixed.where("__kept").select("row.*")
+
+
+def marginals(
+    marked: DataFrame, powers: dict[str, float] = POWERS, rounds: int = 6, share: float | None = None, targets: dict[str, dict[str, float]] | None = None
+) -> DataFrame:
+    """(dimension, value, target, reached): the share of tokens each value should have, and has in the sample in expectation."""
+    rated = stored(_rated(marked, powers, rounds, share, targets), "mix-rated")
+    whole = rated.agg(F.sum(F.col("tokens") * F.col("p"))).first()[0]
+    rows = []
+    for d in DIMENSIONS:
+        wanted = target_shares(rated, d, powers[d], (targets or {}).get(d))
+        reached = rated.groupBy(d).agg((F.sum(F.col("tokens") * F.col("p")) / F.lit(whole or 1.0)).alias("reached"))
+        rows.append(reached.join(wanted, d).select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "target", "reached"))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -145,12 +145,12 @@ def op5_sharding(spark, sf_dir):
     return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id"), SHARDS, SLOTS)
 
 
-def _mix_sql(powers: dict[str, float], rounds: int, seed: int) -> str:
+def _mix_sql(powers: dict[str, float], rounds: int, seed: int, share: float) -> str:
     steps, last = [], "w0"
     for k in range(rounds * 3):
         d = mixing.DIMENSIONS[k % 3]
         steps.append(
-            f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * target / sum(weight) OVER (PARTITION BY {d}) AS weight FROM w{k} JOIN t_{d} USING ({d}))"
+            f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, least(weight * target / sum(weight) OVER (PARTITION BY {d}), tokens / ({share} * (SELECT sum(tokens)::DOUBLE FROM cells))) AS weight FROM w{k} JOIN t_{d} USING ({d}))"
         )
         last = f"w{k + 1}"
     targets = ", ".join(
@@ -166,15 +166,19 @@ cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens
 {targets},
 w0 AS (SELECT *, tokens / (SELECT sum(tokens)::DOUBLE FROM cells) AS weight FROM cells),
 {", ".join(steps)},
-rates AS (SELECT source, lang, topic, weight / tokens / (SELECT max(weight / tokens) FROM {last}) AS p FROM {last})
+ranked AS MATERIALIZED (SELECT *, weight / tokens AS rate, row_number() OVER (ORDER BY weight / tokens DESC, source, lang, topic) AS k FROM {last}),
+steps AS (SELECT k, sum(tokens) OVER (ORDER BY k) AS whole, (SELECT sum(weight) FROM ranked) - sum(weight) OVER (ORDER BY k) AS rest, lead(rate) OVER (ORDER BY k) AS next FROM ranked
+  UNION ALL SELECT 0, 0, sum(weight), max(rate) FROM ranked),
+scales AS (SELECT k, ({share} * (SELECT sum(tokens)::DOUBLE FROM cells) - whole) / rest AS scale, next FROM steps WHERE next IS NOT NULL),
+rates AS (SELECT source, lang, topic, least(1, rate * (SELECT scale FROM scales WHERE scale * next < 1 ORDER BY k LIMIT 1)) AS p FROM ranked)
 SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, round(p, 6) AS p
 FROM marked JOIN rates USING (source, lang, topic)
 WHERE ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE / {1 << 48}.0 < p"""
 
 
-@_query("op7_mixing", _mix_sql(mixing.POWERS, 6, 7))
+@_query("op7_mixing", _mix_sql(mixing.POWERS, 6, 7, mixing.SHARE))
 def op7_mixing(spark, sf_dir):
-    mixed = mixing.sample_mixture(_table(spark, sf_dir, "documents"), least_share=mixing.LEAST_SHARE).where("__kept")
+    mixed = mixing.sample_mixture(_table(spark, sf_dir, "documents"), share=mixing.SHARE).where("__kept")
     return mixed.select("doc_id", "__mix.source", "__mix.lang", "__mix.topic", "__mix.tokens", F.round("__p", 6).alias("p"))
 
 

@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, name):
 
 def test_registered():
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= names and set(queries.SQL) <= set(entry.oracle_sql())
 
 
@@ -47,7 +47,7 @@ def test_stages_against_plain_versions(spark):
     inside = lambda text: any(b" " + b" ".join(words(t)) + b" " in b" " + b" ".join(words(text)) + b" " for _, t in items)
     assert set(clean) == {i for i, r in single.items() if not inside(r.text)}
 
-    drawn = mixing.sample_mixture(spark.createDataFrame(seen[3], columns_of(spark))).where("__kept").collect()
+    drawn = mixing.sample_mixture(spark.createDataFrame(seen[3], columns_of(spark)), share=mixing.SHARE).where("__kept").collect()
     assert set(mixed) == {r.doc_id for r in drawn} and 0 < len(mixed) < len(clean)
     table = sharding.fill_table(corpus_pipeline.SHARDS, corpus_pipeline.SLOTS)
     assert set(placed) == set(mixed) and all(r.shard == corpus_pipeline.SHARDS[table[r.slot]] for r in placed.values())
