@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from doubtscope.llm.decontam import keep_clean
 from doubtscope.llm.language import keep_identified
-from doubtscope.llm.mixing import LEAST_SHARE, sample_mixture
+from doubtscope.llm.mixing import SHARE, keep_mixture
 from doubtscope.llm.sharding import assign_shards
 from doubtscope.llm.simhash import keep_one
 from doubtscope.session import stored
@@ -32,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose token weights meet the source, language and topic targets."""
-    return sample_mixture(docs, least_share=LEAST_SHARE).where("__kept").select(*docs.columns)
+    return keep_mixture(docs, share=SHARE)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
