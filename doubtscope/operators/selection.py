@@ -22,8 +22,8 @@ def best_run(runs: DataFrame, keys: list[str] | None = None, auroc: str = "auroc
 
 
 def best_seed(reports: DataFrame, keys: list[str] | None = None, auroc: str = "auroc", order: str = "ord") -> DataFrame:
-    """First seed with the highest AUROC."""
-    rank = F.struct((-F.coalesce(F.col(auroc), F.lit(-1.0))).alias("s"), F.col(order).alias("o"))
+    """First seed with the highest AUROC; a missing or NaN one counts as -1."""
+    rank = F.struct((-F.coalesce(F.nanvl(F.col(auroc), F.lit(-1.0)), F.lit(-1.0))).alias("s"), F.col(order).alias("o"))
     return reports.groupBy(*(keys or [])).agg(F.min_by("seed", rank).alias("seed"))
 
 

@@ -113,6 +113,15 @@ def last_pool(spark, sf):
     return p.select("seq", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("ab")])
 
 
+@query(
+    "both_pools",
+    f"WITH {_TOKENS_SQL} SELECT seq, round(avg(a) FILTER (valid), 6) AS mean_a, round(avg(b) FILTER (valid), 6) AS mean_b, max_by(a, pos) FILTER (valid) AS last_a, max_by(b, pos) FILTER (valid) AS last_b FROM v GROUP BY seq",
+)
+def both_pools(spark, sf):
+    p = pool_tokens(_token_vectors(spark, sf), "both")
+    return p.select("seq", *[F.round(F.col("mean")[i], 6).alias(f"mean_{n}") for i, n in enumerate("ab")], *[F.col("last")[i].cast("double").alias(f"last_{n}") for i, n in enumerate("ab")])
+
+
 def _fixed(spark, sf):
     v = fx.vectors(spark, sf)
     return v, fx.fixed_weights(fx.vector_width(v))
@@ -315,19 +324,22 @@ def prompt_scores(spark, sf):
 
 @query(
     "encode_dataset",
-    f"""WITH {_TURN_SRC} SELECT row_id, role AS label, text AS prompt, CAST(CAST('0x' || substr(md5(text), 1, 1) AS INTEGER) AS DOUBLE) / 16 AS first
-        FROM (SELECT row_number() OVER (ORDER BY tid) - 1 AS row_id, role, text FROM turns)""",
+    f"""WITH {_TURN_SRC} SELECT row_id, role AS label, text AS prompt, i AS d, CAST(CAST('0x' || substr(md5(text), CAST(i + 1 AS INTEGER), 1) AS INTEGER) AS DOUBLE) / 16 AS v
+        FROM (SELECT row_number() OVER (ORDER BY tid) - 1 AS row_id, role, text FROM turns), range(8) r(i)""",
 )
 def encode_dataset(spark, sf):
+    """Result tables as files: of two candidates for the train split the whole one does not load, the sharded one does; val has none."""
     from doubtscope.operators.prefix import dense_index
     from doubtscope.sources.artifacts import read_embeddings
 
     p = dense_index(_turn_prompts(spark, sf).withColumnRenamed("row_id", "tid"), "tid", "row_id")
     root = fresh_path(spark, "encode")
-    p.repartitionByRange(4, "row_id").sortWithinPartitions("row_id").drop("row_id").write.parquet(f"{root}/res-0000-of-0001.parquet")
-    done = ev.encode_dataset(spark, {"train": [f"{root}/missing", f"{root}/res"], "val": [f"{root}/none"]}, f"{root}/emb", digest_vectors)
+    p.repartitionByRange(4, "row_id").sortWithinPartitions("row_id").drop("row_id").write.parquet(f"{root}/in/qa/qa_32k_b_raw_nres-1_set-train-0000-of-0001.parquet")
+    p.limit(1).write.json(f"{root}/in/qa/qa_32k_a_raw_nres-1_set-train.parquet")  # another kind of file under a result's name
+    p.limit(1).write.parquet(f"{root}/in/qa/qa_32k_a_raw_nres-1_logits_set-val.parquet")
+    done = ev.encode_task(spark, f"{root}/in", "qa", f"{root}/emb", ["train", "val"], "32k", "raw", "1", embedder=digest_vectors)
     e = read_embeddings(spark, f"{root}/emb/{done[0]}")
-    return e.select("row_id", "label", "prompt", F.col("embedding")[0].cast("double").alias("first"))
+    return e.select("row_id", "label", "prompt", F.posexplode("embedding").alias("d", "v")).select("row_id", "label", "prompt", F.col("d").cast("bigint").alias("d"), F.col("v").cast("double").alias("v"))
 
 
 # --- evaluation ---------------------------------------------------------------------------------

@@ -214,11 +214,11 @@ def best_run(spark, sf):
 
 @query(
     "best_seed",
-    f"""WITH {_RUNS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY study ORDER BY coalesce(auroc, -1) DESC, seed) AS place FROM runs
-        WHERE auroc IS NULL OR NOT isnan(auroc)) SELECT study, seed FROM r WHERE place = 1""",
+    f"""WITH {_RUNS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY study ORDER BY CASE WHEN auroc IS NULL OR isnan(auroc) THEN -1 ELSE auroc END DESC, seed) AS place
+        FROM runs) SELECT study, seed FROM r WHERE place = 1""",
 )
 def best_seed(spark, sf):
-    runs = _runs(spark, sf).filter("auroc is null or not isnan(auroc)").withColumn("ord", F.col("seed"))
+    runs = _runs(spark, sf).withColumn("ord", F.col("seed"))
     return sel.best_seed(runs, ["study"])
 
 

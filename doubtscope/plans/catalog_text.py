@@ -9,7 +9,9 @@ from doubtscope.functions import text as tx
 from doubtscope.operators.prompts import explode_qa, limit_samples, positional_split, row_range
 from doubtscope.plans import fixtures as fx
 from doubtscope.plans.registry import query, shown, table
-from doubtscope.sources.corpus import corpus_split
+from doubtscope.session import fresh_path
+from doubtscope.sources import corpus
+from doubtscope.sources.sharded import find_artifacts, read_sharded
 
 _QA = f"WITH {fx.CORPUS_SQL}"
 _PAIRS = f"WITH {fx.PAIRS_SQL}"
@@ -79,12 +81,11 @@ def split_rows(spark, sf):
         WHERE i >= n - 2 * (n // 10) AND i < n - n // 10""",
 )
 def read_corpus_split(spark, sf):
-    from doubtscope.operators.prefix import dense_index
-    from doubtscope.session import stored
-
-    c = fx.corpus(spark, sf).withColumnRenamed("row_id", "key")
-    rows = stored(dense_index(c, "key", "row_id").drop("key"), "corpus")
-    e = corpus_split(rows, "val", "cot")
+    """The corpus as files, in shards of a table in order, read back and split."""
+    path = fresh_path(spark, "corpus")
+    rows = fx.corpus(spark, sf).repartitionByRange(4, "row_id").sortWithinPartitions("row_id").drop("row_id")
+    rows.write.parquet(f"{path}/train-0000-of-0001.parquet")
+    e = corpus.read_corpus_split(spark, path, "val", "cot")
     return e.select("row_id", "qa_idx", "label", F.element_at("prompt", -1)["content"].alias("text"))
 
 
@@ -247,17 +248,46 @@ def artifact_files(spark, sf):
 
 
 @query(
-    "find_candidates",
+    "candidate_stems",
     """WITH f AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split,
             'coqa_32k_' || event_type || '-v' || user_id || '_raw_nres-1' || CASE WHEN event_id % 5 = 0 THEN '_logits' ELSE '' END
             || '_set-' AS head FROM events)
        SELECT split, head || split AS stem, min(event_id) AS ord FROM f WHERE NOT contains(head, '_logits') GROUP BY ALL""",
 )
-def find_candidates(spark, sf):
+def candidate_stems(spark, sf):
     f = artifact_files(spark, sf).filter(~F.col("name").contains("_logits"))
     return f.groupBy("split", nm.stem_of(F.col("name")).alias("stem")).agg(F.min("event_id").alias("ord"))
 
 
+@query(
+    "find_candidates",
+    """WITH f AS (SELECT *, dense_rank() OVER (ORDER BY event_type) - 1 AS k FROM events),
+       c AS (SELECT 'qa_32k_m-' || event_type || '_raw_nres-1_set-' || s.split AS stem, s.split, k % 2 AS sharded, count(*) AS n_rows FROM f,
+         (VALUES ('train'), ('val')) s(split) WHERE (event_id % 4 = 0) = (s.split = 'val') GROUP BY ALL)
+       SELECT split, stem, CAST(row_number() OVER (PARTITION BY split ORDER BY sharded, stem) - 1 AS INTEGER) AS ord, n_rows FROM c""",
+)
+def find_candidates(spark, sf):
+    """Result and logits tables of several models as files, whole or in shards; what a listing finds, and the rows each candidate reads."""
+    e = table(spark, sf, "events").withColumn("split", F.when(F.col("event_id") % 4 == 0, "val").otherwise("train"))
+    root = fresh_path(spark, "found")
+    kinds = sorted(r.event_type for r in e.select("event_type").distinct().collect())
+    for k, kind in enumerate(kinds):
+        for split in ("train", "val"):
+            rows = e.filter((F.col("event_type") == kind) & (F.col("split") == split)).select(F.col("event_id").alias("n"))
+            stem = f"{root}/qa/qa_32k_m-{kind}_raw_nres-1"
+            rows.limit(1).write.parquet(f"{stem}_logits_set-{split}.parquet")
+            if k % 2:
+                for i in range(2):
+                    rows.filter(F.col("n") % 2 == i).write.parquet(f"{stem}_set-{split}-{i:04d}-of-0002.parquet")
+            else:
+                rows.write.parquet(f"{stem}_set-{split}.parquet")
+    found = []
+    for split in ("train", "val"):
+        for at, stem in enumerate(find_artifacts(spark, root, "qa", split, "32k", "raw", "1")):
+            found.append((split, stem.rsplit("/", 1)[-1], at, read_sharded(spark, stem).count()))
+    return spark.createDataFrame(found, "split string, stem string, ord int, n_rows bigint")
+
+
 @query(
     "distinct_stems",
     """SELECT 'coqa_32k_' || event_type || '-v' || user_id AS stem, min(event_id) AS ord FROM events GROUP BY 1""",

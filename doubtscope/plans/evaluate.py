@@ -28,7 +28,7 @@ from doubtscope.operators.selection import best_run
 from doubtscope.session import stored
 from doubtscope.sources.artifacts import read_best, register_best, study_report, write_embeddings, write_metrics
 from doubtscope.sources.corpus import numbered_samples
-from doubtscope.sources.sharded import first_readable, no_logits, read_sharded, scan_topk_column
+from doubtscope.sources.sharded import find_artifacts, first_readable, no_logits, read_sharded, scan_topk_column
 from doubtscope.sources.shards import resumable_sharded_write
 
 RESULT_COLUMNS = ["prompt", "label"]
@@ -115,6 +115,13 @@ def encode_dataset(spark: SparkSession, stems: dict[str, list[str]], out: str, e
     return done
 
 
+def encode_task(spark: SparkSession, root: str, task: str, out: str, splits: list[str], length: str = "*", method: str = "*",
+                n_responses: str = "*", embedder=None, dim: int = 64) -> list[str]:
+    """As ``encode_dataset`` with the candidates that a listing of the task's folder finds: whole files first."""
+    stems = {split: find_artifacts(spark, root, task, split, length, method, n_responses) for split in splits}
+    return encode_dataset(spark, stems, out, embedder, dim)
+
+
 def infer_corpus(corpus: DataFrame, root: str, predictor: Callable, split: str = "train", method: str = "raw",
                  n_responses: int = 1, n_per_shard: int = 10_000, validation: DataFrame | None = None) -> DataFrame:
     """Corpus → prompts → answers and logits in resumable shards. Returns the manifest."""
@@ -238,6 +245,6 @@ def learn_and_evaluate(results: DataFrame, logits: DataFrame, embeddings: DataFr
 
 
 __all__ = [
-    "encode_dataset", "evaluate_files", "evaluate_learned_score", "evaluate_scored", "evaluate_sequence_score",
+    "encode_dataset", "encode_task", "evaluate_files", "evaluate_learned_score", "evaluate_scored", "evaluate_sequence_score",
     "infer_corpus", "learn_and_evaluate", "multi_seed_train", "sequence_scores", "sweep_and_select", "train_and_measure",
 ]

@@ -7,10 +7,11 @@ manifest, so a run that dies anywhere can simply be started again and keeps what
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from doubtscope.session import fresh_path, remove
@@ -21,6 +22,7 @@ MANIFEST = (
     "written_rows_results bigint, written_rows_logits bigint, completed boolean"
 )
 PLAN = "n_total bigint, n_shards int, n_per_shard bigint"
+RECORD = "inference_time double, num_samples bigint, n_shards int"
 
 
 def shard_plan(spark: SparkSession, n_total: int, n_per_shard: int) -> DataFrame:
@@ -95,9 +97,14 @@ def write_partitions(df: DataFrame, path: str, key: str = "shard_idx") -> None:
     )
 
 
-def _counts(spark: SparkSession, path: str, shards: list[int], name: str) -> DataFrame:
-    table = spark.read.schema("row_id bigint, shard_idx int").parquet(path)
-    return table.filter(F.col("shard_idx").isin(shards)).groupBy("shard_idx").agg(F.count(F.lit(1)).alias(name))
+def run_record(spark: SparkSession, root: str):
+    """(inference_time in seconds, num_samples, n_shards) of a finished run, or None."""
+    try:
+        return spark.read.schema(RECORD).json(f"{root}/running_info").first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
 
 
 def _run_wave(samples, shards, root, produce, result_columns, logit_columns, n_per_shard, chunk_rows) -> None:
@@ -113,17 +120,20 @@ def _run_wave(samples, shards, root, produce, result_columns, logit_columns, n_p
     try:
         produce(dealt).write.parquet(staged)
         out = spark.read.parquet(staged)
+        # rows are counted as they are written: no table is read again
+        written = {}
         for table, columns in (("results", result_columns), ("logits", logit_columns)):
-            write_partitions(out.select("row_id", "shard_idx", *columns), f"{root}/{table}")
+            seen = Observation(f"{table}-{min(shards)}")
+            rows = out.select("row_id", "shard_idx", *columns)
+            counts = [F.count_if(F.col("shard_idx") == s).alias(f"shard_{s}") for s in shards]
+            write_partitions(rows.observe(seen, *counts), f"{root}/{table}")
+            written[table] = {s: seen.get[f"shard_{s}"] for s in shards}
     finally:
         remove(spark, staged)
     n_total = spark.read.schema(PLAN).parquet(f"{root}/plan").first()["n_total"]
-    status = (
-        shard_plan(spark, n_total, n_per_shard)
-        .filter(F.col("shard_idx").isin(shards))
-        .join(_counts(spark, f"{root}/results", shards, "written_rows_results"), "shard_idx", "left")
-        .join(_counts(spark, f"{root}/logits", shards, "written_rows_logits"), "shard_idx", "left")
-    )
+    listed = [(s, *(written[t][s] or None for t in ("results", "logits"))) for s in shards]
+    counted = spark.createDataFrame(listed, "shard_idx int, written_rows_results bigint, written_rows_logits bigint")
+    status = shard_plan(spark, n_total, n_per_shard).join(counted, "shard_idx")
     whole = (F.col("written_rows_results") == F.col("expected_rows")) & (F.col("written_rows_logits") == F.col("expected_rows"))
     columns = [c.split()[0] for c in MANIFEST.split(", ")]
     told = status.withColumn("completed", F.coalesce(whole, F.lit(False))).select(*columns).coalesce(1).collect()
@@ -144,6 +154,7 @@ def resumable_sharded_write(
     n_per_shard: int = ROWS_PER_SHARD_DEFAULT,
     shards_per_wave: int = 8,
     chunk_rows: int = 1000,
+    skip_if_recorded: bool = False,
 ) -> DataFrame:
     """Run ``produce`` on the rows of pending shards and store results and logits by shard.
 
@@ -152,8 +163,14 @@ def resumable_sharded_write(
     ``shards_per_wave``; each wave is predicted, written, counted and added to the manifest before
     the next. If a wave fails, its unfinished shards are tried one by one, so that only bad shards
     stay open; the first error is raised when all others are done. Returns the manifest.
+
+    A run that leaves all shards whole stores a record of its time, samples and shards. With ``skip_if_recorded``
+    a job that has one is not looked at again; else its tables are counted once more.
     """
     spark = samples.sparkSession
+    began = time.time()
+    if skip_if_recorded and run_record(spark, root) is not None:
+        return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
     n_total = samples.count()
     n_shards = -(-n_total // n_per_shard)
     _check_plan(spark, root, n_total, n_shards, n_per_shard)
@@ -185,5 +202,7 @@ def resumable_sharded_write(
         attempt(todo[at : at + shards_per_wave])
     if errors:
         raise errors[0]
+    record = spark.createDataFrame([(time.time() - began, n_total, n_shards)], RECORD)
+    record.coalesce(1).write.mode("overwrite").json(f"{root}/running_info")
     found = read_if_there(spark, f"{root}/manifest", MANIFEST)
     return found if found is not None else spark.createDataFrame([], MANIFEST)

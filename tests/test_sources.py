@@ -77,6 +77,25 @@ def test_resume_processes_only_what_is_missing(spark, root):
     assert spark.read.parquet(f"{root}/logits").count() == 25
 
 
+def test_run_record_and_counts_while_writing(spark, root, monkeypatch):
+    read = []
+    kept = sw.read_if_there
+    monkeypatch.setattr(sw, "read_if_there", lambda spark, path, schema=None: read.append(path) or kept(spark, path, schema))
+    with pytest.raises(RuntimeError):
+        _job(spark, root, fail=3)
+    assert sw.run_record(spark, root) is None
+    manifest = _job(spark, root)
+    record = sw.run_record(spark, root)
+    assert (record["num_samples"], record["n_shards"]) == (25, 3) and record["inference_time"] > 0
+    told = {r["shard_idx"]: (r["written_rows_results"], r["written_rows_logits"]) for r in manifest.collect()}
+    there = {r["shard_idx"]: r["n"] for r in spark.read.parquet(f"{root}/results").groupBy("shard_idx").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert told == {k: (n, n) for k, n in there.items()} == {0: (10, 10), 1: (10, 10), 2: (5, 5)}
+    read.clear()
+    rows = spark.range(25).withColumnRenamed("id", "row_id")
+    again = sw.resumable_sharded_write(rows, root, None, [], [], 10, skip_if_recorded=True)
+    assert again.count() == 3 and read == []
+
+
 def _model_job(spark, root, bad=None, per=10, wave=3, asked=None):
     """100 prompts in 10 shards through a model that refuses one of them; counts what it is asked."""
 
