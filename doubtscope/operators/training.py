@@ -7,7 +7,7 @@ How a run is trained is the caller's choice and never follows from the number of
   makes the step. For a ranking loss another job fetches the batch's predictions first, so that its pairs may
   span tasks. The result does not depend on how rows lie in partitions. Meant for large batches.
 - ``averaged``: the rows are dealt once into a given number of parts. Every part takes ordinary
-  mini-batch steps up to the end of the epoch or the next validation; weights and optimiser moments
+  mini-batch steps for a given number of epochs or up to the next validation; weights and optimiser moments
   are then averaged, weighted by rows (iterative parameter mixing). With one part this is sequential
   mini-batch training. A part is held by one task, so choose parts to fit executors.
 
@@ -196,13 +196,14 @@ def train_runs(
     val_steps: int = VAL_STEPS_DEFAULT,
     mode: str = "exact",
     parts: int | None = None,
+    sync_epochs: int = 1,
     initial: dict[int, np.ndarray] | None = None,
 ) -> Trained:
     """Train all runs on (row_id, embedding, y); validate on (row_id, embedding, ok).
 
     A run validates every ``val_steps`` steps and after its last one, keeps the weights of its best
     validation AUROC, and stops after 10 % of all steps without improvement. ``averaged`` needs
-    ``parts``. ``row_id`` is unique. ``initial`` replaces the drawn starting weights of runs.
+    ``parts``, and averages them every ``sync_epochs`` epochs and before each validation. ``row_id`` is unique. ``initial`` replaces the drawn starting weights of runs.
     """
     if mode not in MODES or (mode == "averaged") != (parts is not None):
         raise ValueError("mode is 'exact', or 'averaged' with a number of parts")
@@ -234,8 +235,11 @@ def train_runs(
             spans = {}
             for r in active:
                 step, n = states[r.run_id].step, per_epoch[r.run_id]
-                ahead = 1 if mode == "exact" else n if val is None else val_steps - step % val_steps
-                spans[r.run_id] = (step // n, step % n, min(n, step % n + ahead))
+                # (epoch, first step of the epoch, behind the last one, counted from the same epoch)
+                end = step + 1 if mode == "exact" else min(step // n + sync_epochs, epochs) * n
+                if val is not None:
+                    end = min(end, step - step % val_steps + val_steps)
+                spans[r.run_id] = (step // n, step % n, end - step // n * n)
             advance = _exact_step if mode == "exact" else _averaged_steps
             losses = advance(spark, data, active, states, per_epoch, spans, epochs, shape["n"])
             due = []
@@ -369,7 +373,7 @@ def _exact_step(spark, data, active, states, per_epoch, spans, epochs, n) -> dic
 def _averaged_steps(spark, data, active, states, per_epoch, spans, epochs, n) -> dict[int, float]:
     """Steps of every part and run up to the end of their spans, then the weighted mean of the parts."""
     plan = [
-        (asdict(r), (s.flat, s.adam.m, s.adam.v, s.adam.steps), spans[r.run_id], per_epoch[r.run_id] * epochs)
+        (asdict(r), (s.flat, s.adam.m, s.adam.v, s.adam.steps), spans[r.run_id], per_epoch[r.run_id])
         for r in active
         for s in [states[r.run_id]]
     ]
@@ -381,9 +385,13 @@ def _averaged_steps(spark, data, active, states, per_epoch, spans, epochs, n) ->
             return
         table = pa.Table.from_batches(held).sort_by([("row_id", "ascending")])
         x, y, p = matrix_of(table["embedding"]), table["y"].to_numpy(), table["part"][0].as_py()
-        for spec, state, (epoch, first, last), total in shared.value:
-            run = Run(**spec)
-            flat, adam, lost, seen = _train_part(p, x, y, run, state, epoch, total, first, last)
+        for spec, state, (epoch, first, last), n_batches in shared.value:
+            run, lost, seen, at = Run(**spec), 0.0, 0, first
+            while at < last:  # epoch by epoch
+                ahead, k = divmod(at, n_batches)
+                upto = min(n_batches, k + last - at)
+                flat, adam, loss, rows = _train_part(p, x, y, run, state, epoch + ahead, n_batches * epochs, k, upto)
+                state, lost, seen, at = (flat, adam.m, adam.v, adam.steps), lost + loss, seen + rows, at + upto - k
             whole = np.concatenate([flat, adam.m, adam.v])
             starts = range(0, len(whole), BLOCK)
             yield pa.RecordBatch.from_pydict(

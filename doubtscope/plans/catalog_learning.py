@@ -601,9 +601,9 @@ def learn_and_evaluate_steps(spark, sf):
 # --- training at the published settings: the grid of rates and batch sizes, 100 epochs of mini-batches, dropout,
 # validation every 2,000 steps and after the last one, early stop ------------------------------------------------
 
-#: In how many parts the rows are dealt, whose weights are averaged after each epoch: part of the settings.
-PARTS = 4
-PUBLISHED = {"epochs": tr.EPOCHS_DEFAULT, "val_steps": tr.VAL_STEPS_DEFAULT, "mode": "averaged", "parts": PARTS}
+#: In how many parts the rows are dealt, and after how many epochs their weights are averaged: part of the settings.
+PARTS, SYNC_EPOCHS = 4, 5
+PUBLISHED = {"epochs": tr.EPOCHS_DEFAULT, "val_steps": tr.VAL_STEPS_DEFAULT, "mode": "averaged", "parts": PARTS, "sync_epochs": SYNC_EPOCHS}
 
 
 def _points():

@@ -62,6 +62,15 @@ def test_one_part_is_sequential_training(spark, frame, rows):
     np.testing.assert_allclose(got, flat, rtol=1e-9, atol=1e-12)
 
 
+def test_epochs_between_averages_are_ordinary_epochs(frame):
+    run = tr.Run(0, lr=1e-2, dropout=0.2, batch_size=32, seed=5)
+    each = tr.train_runs(frame, None, [run], epochs=5, mode="averaged", parts=1)
+    once = tr.train_runs(frame, frame, [run], epochs=5, mode="averaged", parts=1, sync_epochs=3, val_steps=30)
+    assert [h["step"] for h in once.history] == [24, 30, 40] and [h["step"] for h in each.history] == [8, 16, 24, 32, 40]
+    last = tr.train_runs(frame, None, [run], epochs=5, mode="averaged", parts=1, sync_epochs=4).weights[0]
+    np.testing.assert_allclose(each.weights[0], last, rtol=1e-9, atol=1e-12)
+
+
 def test_training_is_repeatable_and_independent_of_layout(frame):
     runs = [tr.Run(i, lr=1e-2, dropout=0.1, batch_size=16, seed=i) for i in range(2)]
     a = tr.train_runs(frame, None, runs, epochs=2, mode="averaged", parts=3).weights
