@@ -76,7 +76,7 @@ def scan_topk_column(spark, sf):
     wide = fx.doc_logits(spark, sf).select(
         F.col("row_id").alias("doc_id"), F.col("logits").alias("gen_topk_logits_0"), F.col("logits").alias("gen_topk_logits_1")
     )
-    wide.withColumnRenamed("doc_id", "answer_0").write.parquet(path)
+    wide.withColumnRenamed("doc_id", "answer_0").write.options(**sw.NESTED).parquet(path)
     stem = path.replace("-0000-of-0001.parquet", "")
     keys = sh.read_sharded(spark, stem, ["answer_0"]).select("row_id", F.col("answer_0").alias("doc_id"))
     logits = sh.scan_topk_column(spark, stem, 0).select("row_id", "logits")

@@ -21,6 +21,9 @@ MANIFEST = (
     "shard_idx int, n_shards int, start bigint, end bigint, expected_rows bigint, "
     "written_rows_results bigint, written_rows_logits bigint, completed boolean"
 )
+#: Write options of tables of nested logits. A row can hold a hundred thousand entries, and a reader decodes up to 4096
+#: rows of a row group at once, so groups are short and checked every few rows.
+NESTED = {"parquet.block.row.count.limit": "64", "parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "8"}
 PLAN = "n_total bigint, n_shards int, n_per_shard bigint"
 RECORD = "inference_time double, num_samples bigint, n_shards int"
 
@@ -86,12 +89,13 @@ def _check_plan(spark: SparkSession, root: str, n_total: int, n_shards: int, n_p
         raise ValueError("the number of rows or shards changed since the first run")
 
 
-def write_partitions(df: DataFrame, path: str, key: str = "shard_idx") -> None:
+def write_partitions(df: DataFrame, path: str, key: str = "shard_idx", options: dict[str, str] | None = None) -> None:
     """Replace the partitions of ``key`` that occur in df and leave the others alone; no row moves."""
     (
         df.sortWithinPartitions(key, *(["row_id"] if "row_id" in df.columns else []))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .options(**(options or {}))
         .partitionBy(key)
         .parquet(path)
     )
@@ -118,7 +122,7 @@ def _run_wave(samples, shards, root, produce, result_columns, logit_columns, n_p
     # a predictor may be random and is dear: its output is stored once, both tables come from it
     staged = fresh_path(spark, "staged")
     try:
-        produce(dealt).write.parquet(staged)
+        produce(dealt).write.options(**NESTED).parquet(staged)
         out = spark.read.parquet(staged)
         # rows are counted as they are written: no table is read again
         written = {}
@@ -126,7 +130,7 @@ def _run_wave(samples, shards, root, produce, result_columns, logit_columns, n_p
             seen = Observation(f"{table}-{min(shards)}")
             rows = out.select("row_id", "shard_idx", *columns)
             counts = [F.count_if(F.col("shard_idx") == s).alias(f"shard_{s}") for s in shards]
-            write_partitions(rows.observe(seen, *counts), f"{root}/{table}")
+            write_partitions(rows.observe(seen, *counts), f"{root}/{table}", options=NESTED if table == "logits" else None)
             written[table] = {s: seen.get[f"shard_{s}"] for s in shards}
     finally:
         remove(spark, staged)
