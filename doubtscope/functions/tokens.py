@@ -20,14 +20,9 @@ _STATE = "struct<top:array<double>,idle:int,tau:int,stop:boolean>"
 
 def token_l2(entries: Column) -> Column:
     """L2 norm of the positive part of a token's logits; null when the token has no entry."""
-    squares = F.aggregate(
-        entries.getField("logit"),
-        F.lit(None).cast("double"),
-        lambda acc, x: F.when(x.isNull(), acc)
-        .when(x <= 0, F.coalesce(acc, F.lit(0.0)))
-        .otherwise(F.coalesce(acc, F.lit(0.0)) + x * x),
-    )
-    return F.sqrt(squares)
+    logits = entries.getField("logit")
+    squares = F.aggregate(logits, F.lit(0.0), lambda acc, x: F.when(x > 0, acc + x * x).otherwise(acc))
+    return F.when(F.array_max(logits).isNotNull(), F.sqrt(squares))
 
 
 def seq_token_scores(seq: Column) -> Column:
@@ -186,42 +181,32 @@ def topk_entries(candidates: Column, k: int = TOPK_DEFAULT, chosen_rank: int = 0
     of rank ``chosen_rank`` is appended when the cut lost it. A null token stays null.
     """
 
+    def entry(e: Column) -> Column:
+        value = e["value"]
+        logit = F.coalesce(value["logprob"], F.lit(0.0)).cast("double").alias("logit")
+        return F.struct(e["key"].alias("token_id"), value["decoded_token"].alias("token"), logit, value["rank"].alias("rank"))
+
+    def cut(found: Column, order: Column) -> Column:
+        kept = F.transform(F.slice(order, 1, k), lambda s: entry(F.get(found, s["at"])))
+        lost = F.filter(F.slice(order, k + 1, F.greatest(F.size(order), F.lit(1))), lambda s: F.get(found, s["at"])["value"]["rank"] == chosen_rank)
+        return F.concat(kept, F.transform(F.slice(lost, 1, 1), lambda s: entry(F.get(found, s["at"]))))
+
     def one_token(cand: Column) -> Column:
-        entries = F.transform(
-            F.map_entries(cand),
-            lambda e, i: F.struct(
-                e["key"].alias("token_id"),
-                e["value"]["decoded_token"].alias("token"),
-                F.coalesce(e["value"]["logprob"], F.lit(0.0)).cast("double").alias("logit"),
-                e["value"]["rank"].alias("rank"),
-                i.alias("at"),
-            ),
-        )
-        ranked = F.forall(F.map_values(cand), lambda v: v["rank"].isNotNull())
-        keyed = F.transform(
-            entries,
-            lambda e: F.struct(
-                F.when(ranked, e["rank"].cast("double")).otherwise(-e["logit"]).alias("by"),
-                e["at"].alias("at"),
-                e.alias("e"),
-            ),
+        found = F.map_entries(cand)
+        ranks = found.getField("value").getField("rank")
+        by_rank = F.transform(ranks, lambda r, i: F.struct(r.cast("double").alias("by"), i.alias("at")))
+        by_logit = F.transform(
+            found.getField("value").getField("logprob"),
+            lambda x, i: F.struct((-F.coalesce(x, F.lit(0.0)).cast("double")).alias("by"), i.alias("at")),
         )
-        order = F.transform(F.sort_array(keyed), lambda s: _entry(s["e"]))
-        lost = F.slice(
-            F.filter(F.slice(order, k + 1, F.greatest(F.size(order), F.lit(1))),
-                     lambda e: e["rank"] == chosen_rank),
-            1,
-            1,
-        )
-        return F.concat(F.slice(order, 1, k), lost)
+        # places are sorted, not entries; only entries that stay are built, and the order is worked out once
+        order = F.sort_array(F.when(F.forall(ranks, lambda r: r.isNotNull()), by_rank).otherwise(by_logit))
+        both = F.array(F.struct(found.alias("found"), order.alias("order")))
+        return F.when(cand.isNotNull(), F.get(F.transform(both, lambda b: cut(b["found"], b["order"])), F.lit(0)))
 
     return F.transform(candidates, one_token)
 
 
-def _entry(e: Column) -> Column:
-    return F.struct(*[e[f].alias(f) for f in ("token_id", "token", "logit", "rank")])
-
-
 def answer_token_index(seq: Column) -> Column:
     """Index of the last token, null when there is none."""
     return F.when(F.size(seq) > 0, F.size(seq) - 1)

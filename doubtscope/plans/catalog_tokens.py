@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from doubtscope.functions import tokens as tok
@@ -153,28 +154,31 @@ def tokens_saved(spark, sf):
 CANDIDATES = 24  # more than are kept
 
 
-def _candidates(spark, sf):
-    """(tid, candidates): CANDIDATES candidates per word; ranks known in even turns; the chosen one (rank 0) last."""
-    t = spread(fx.turns(spark, sf))
+def _with_candidates(t, text="text"):
+    """Add ``candidates``: CANDIDATES candidates per word; ranks known in even turns; the chosen one (rank 0) last."""
+    n = CANDIDATES
+    counted, chosen = F.lit(np.arange(n - 1, -1, -1, dtype=np.int32)), F.concat(F.array_repeat(F.lit(None).cast("int"), n - 1), F.array(F.lit(0)))
+    ranks = F.when(F.col("tid") % 2 == 0, counted).otherwise(chosen)
+    endings = F.lit([f"#{j}" for j in range(n)])
 
     def token(w, p):
         p = p.cast("bigint")
-
-        def one(j):
-            j = j.cast("bigint")
-            logprob = ((F.col("tid") * 13 + p * 37 + j * 101 + F.length(w) * 7) % 40).cast("double") / 4.0 - 5.0
-            rank = F.when(F.col("tid") % 2 == 0, (F.lit(CANDIDATES - 1) - j).cast("int")).otherwise(
-                F.when(j == CANDIDATES - 1, F.lit(0)).otherwise(F.lit(None).cast("int"))
-            )
-            value = F.struct(
-                logprob.alias("logprob"), F.concat(w, F.lit("#"), j.cast("string")).alias("decoded_token"), rank.alias("rank")
-            )
-            return F.struct((p * 100 + j).alias("key"), value.alias("value"))
-
-        cand = F.map_from_entries(F.transform(F.sequence(F.lit(0), F.lit(CANDIDATES - 1)), one))
+        total = F.col("tid") * 13 + p * 37 + F.length(w) * 7
+        odd = F.transform(F.lit(np.arange(n)), lambda j: ((total + j * 101) % 40).cast("double") / 4.0 - 5.0)
+        values = F.arrays_zip(
+            F.when(total >= 0, fx.cycled(total, 101, 40, 4.0, 5.0, n)).otherwise(odd).alias("logprob"),
+            F.transform(endings, lambda e: F.concat(w, e)).alias("decoded_token"),
+            ranks.alias("rank"),
+        )
+        cand = F.map_from_arrays(F.sequence(p * 100, p * 100 + (n - 1)), values)
         return F.when((F.col("tid") + p) % 61 != 0, cand)
 
-    return t.select("tid", F.transform(F.split("text", " "), token).alias("candidates"))
+    return t.withColumn("candidates", F.transform(F.split(text, " "), token))
+
+
+def _candidates(spark, sf):
+    """(tid, candidates)."""
+    return _with_candidates(spread(fx.turns(spark, sf), 4)).select("tid", "candidates")
 
 
 _CAND_SQL = f"""WITH {fx.TURNS_SQL},
@@ -231,7 +235,9 @@ def topk_per_token(spark, sf):
 def answer_fields(spark, sf):
     from doubtscope.operators.scoring import answer_fields as fields
 
-    c = _candidates(spark, sf).join(fx.turns(spark, sf).select("tid", "text"), "tid")
+    # texts are joined, not the candidates made from them
+    t = fx.turns(spark, sf).select("tid", "text")
+    c = _with_candidates(spread(t.withColumnRenamed("text", "words"), 4).join(t, "tid"), "words").drop("words")
     padded = F.concat(F.lit("\t "), F.col("text"), F.lit("\n "))
     f = fields(c.withColumn("generated_text", padded))
     first = F.get(F.get(F.col("answer_token_topk_logits"), F.lit(0)), F.lit(0))
