@@ -29,7 +29,8 @@ from doubtscope.session import spread, stored
 END = b"\n"
 ORDERS = (3, 4)
 WORD_BYTES, BASE = 6, 0x9E3779B97F4A7C15  # a word's beginning counts as context up to here
-#: Shares that bound what tasks receive: at most 2^20 tokens, 2^21 (context, byte) pairs a predictor.
+#: Tasks receive at most 2^20 tokens; the others are joined. No (context, byte) pair is left out for its share:
+#: CONTEXT_SHARE, below which one once was, only bounds the small corpora of the tests.
 TOKEN_SHARE, CONTEXT_SHARE, LONGEST_HEAVY = 1 << 20, 1 << 21, 256
 CODE_BITS, SLOT_BITS = 6, 22
 CODES = 1 << CODE_BITS
@@ -175,7 +176,12 @@ def _lines(contexts: np.ndarray) -> np.ndarray:
 
 def odds_table(contexts: np.ndarray, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Stored log odds of a one, per slot, from counts of (context, code that followed); 0 where nothing is known."""
-    lines = _lines(contexts.astype(np.uint32))
+    return cell_odds(_lines(contexts.astype(np.uint32)).astype(np.int64) + codes, n)
+
+
+def cell_odds(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """As ``odds_table`` from counts of cells: a context's line plus the code that followed."""
+    lines, codes = cells & -CODES, cells & (CODES - 1)
     ones, total = np.zeros(1 << SLOT_BITS), np.zeros(1 << SLOT_BITS)
     for bit in range(CODE_BITS):
         slot = lines + ((1 << bit) | (codes >> (CODE_BITS - bit)))
@@ -185,11 +191,30 @@ def odds_table(contexts: np.ndarray, codes: np.ndarray, n: np.ndarray) -> np.nda
     return np.where(total > 0, np.clip(np.rint(odds / _STEP), -127, 127), 0).astype(np.int8)
 
 
+def cell_counts(grams: DataFrame, order: int, codes: np.ndarray) -> DataFrame:
+    """(cell, n): how often each code followed in each line of a predictor's table, over all pairs of ``gather``.
+
+    ``order`` 0 is the beginning of the word. A table has 2^16 lines of 64 codes: 2^22 cells, whatever the corpus.
+    """
+    schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            context = key >> 8 & (((1 << 8 * order) - 1) if order else 0xFFFFFFFF)
+            cell = _lines(context.astype(np.uint32)).astype(np.int64) + codes[key & 255]
+            cells, n = _merged([cell], [batch.column(1).to_numpy()])
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(n, pa.int64())], schema=schema)
+
+    kind = F.col("key") < _WORD_TAG if order else F.col("key") >= _WORD_TAG
+    return grams.where(kind).select("key", "n").mapInArrow(work, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
 def fit_predictors(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(one row of slots per predictor, code of each byte, nats on top of a code) from the counts of ``gather``.
 
-    A (context, byte) pair counts if it makes up at least 1 / 2^21 of all bytes, at any size of the corpus, so no
-    predictor has more than 2^21 of them to collect.
+    Every (context, byte) pair counts. Pairs are added up by cell before they are collected, so a predictor
+    has at most 2^22 numbers to collect.
     """
     grams = counts.where("kind = 1")
     bytes_read = grams.where(F.col("key") < _WORD_TAG).groupBy(F.col("key").bitwiseAND(255).alias("byte")).agg(F.sum("n").alias("n")).collect()
@@ -199,14 +224,8 @@ def fit_predictors(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
     codes, more = byte_codes(n)
     tables = []
     for order in (*ORDERS, 0):
-        if order:
-            key = F.col("key").bitwiseAND((1 << 8 * (order + 1)) - 1)
-            kept = grams.where(F.col("key") < _WORD_TAG).groupBy(key.alias("key")).agg(F.sum("n").alias("n"))
-        else:
-            kept = grams.where(F.col("key") >= _WORD_TAG).select(F.col("key").bitwiseAND(_WORD_TAG - 1).alias("key"), "n")
-        found = kept.where(F.col("n") * CONTEXT_SHARE >= int(n.sum())).toArrow()
-        key = found["key"].to_numpy()
-        tables.append(odds_table(key >> 8, codes[key & 255], found["n"].to_numpy()))
+        found = cell_counts(grams, order, codes).toArrow()
+        tables.append(cell_odds(found["cell"].to_numpy().astype(np.int64), found["n"].to_numpy()))
     return np.stack(tables), codes, more
 
 

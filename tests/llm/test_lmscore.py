@@ -167,3 +167,16 @@ def test_chances_sum_to_one():
     before = float(mixer.nats([b"abra c"])[0])
     after = mixer.nats([b"abra c" + bytes([x]) for x in range(256)])
     assert np.exp(before - after).sum() == pytest.approx(1.0, abs=1e-4)
+
+
+def test_rare_contexts_are_learned_from(spark):
+    """A pair seen once in four million bytes has its cell, whatever its share of the corpus."""
+    key = int.from_bytes(b"abcde")
+    often = int.from_bytes(b"zzzzz")
+    grams = [(1, None, k, n) for k, n in ((key, 1), (often, 4_000_000), (lmscore._WORD_TAG | 77 << 8 | 101, 1), (lmscore._WORD_TAG | 78 << 8 | 122, 4_000_000))]
+    tables, codes, _ = lmscore.fit_predictors(spark.createDataFrame(grams, lmscore.GATHERED))
+    for table, context in zip(tables, (int.from_bytes(b"bcd"), int.from_bytes(b"abcd"), 77), strict=True):
+        line = int(lmscore._lines(np.array([context], np.uint32))[0])
+        assert table[line + 1] != 0
+    both = (np.array([int.from_bytes(b"bcd"), int.from_bytes(b"zzz")]), codes[np.array([101, 122])], np.array([1, 4_000_000]))
+    assert (tables[0] == lmscore.odds_table(*both)).all()
