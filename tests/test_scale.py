@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doubtscope.functions import tokens as tok
-from doubtscope.operators import scoring
+from doubtscope.operators import resample, scoring
 from doubtscope.plans import fixtures as fx
 from doubtscope.sources import shards as sw
 
@@ -63,3 +63,19 @@ def test_answer_fields_joins_texts_not_candidates(spark, sf_dir, monkeypatch):
     entry.queries()["answer_fields"](spark, sf_dir)
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("map_from_arrays") < plan.index("Join")  # made above the join
+
+
+def test_draws_are_counted_in_their_task(spark, monkeypatch):
+    """The counts are those of a join with the draws, for several blocks, odd scores, missing and repeated rows."""
+    values = [(0, i, None if i % 7 == 0 else float("nan") if i % 7 == 1 else float(i % 5), None if i == 11 else i % 3 > 0) for i in range(23)]
+    values += [(1, i, -1.0 * i, True) for i in (0, 3, 3, 22, 9)]
+    rows = spark.createDataFrame(values, "run_id int, row_index long, unc double, ok boolean")
+    monkeypatch.setattr(resample, "BLOCK_ROWS", 8)
+    cells = resample.drawn_cells(rows, 23, 40, {0: 5, 1: 6})
+    assert "Range (0, 920" not in cells._jdf.queryExecution().optimizedPlan().toString()  # a row per draw
+    got = sorted(map(str, cells.groupBy("run_id", "resample", "unc", "ok").agg(F.sum("times")).collect()))
+    parts = [
+        resample.resample_draws(spark, 23, 40, seed).join(rows.filter(f"run_id = {run}"), "row_index").groupBy("run_id", "resample", "unc", "ok").agg(F.count(F.lit(1)).alias("sum(times)"))
+        for run, seed in ((0, 5), (1, 6))
+    ]
+    assert got == sorted(map(str, parts[0].unionByName(parts[1]).collect()))
