@@ -20,9 +20,13 @@ _STATE = "struct<top:array<double>,idle:int,tau:int,stop:boolean>"
 
 def token_l2(entries: Column) -> Column:
     """L2 norm of the positive part of a token's logits; null when the token has no entry."""
-    logits = entries.getField("logit")
-    squares = F.aggregate(logits, F.lit(0.0), lambda acc, x: F.when(x > 0, acc + x * x).otherwise(acc))
-    return F.when(F.array_max(logits).isNotNull(), F.sqrt(squares))
+    # one pass names the entries once; the sum stays null until there is an entry
+    squares = F.aggregate(
+        entries.getField("logit"),
+        F.lit(None).cast("double"),
+        lambda acc, x: F.when(x > 0, F.coalesce(acc, F.lit(0.0)) + x * x).when(x.isNotNull(), F.coalesce(acc, F.lit(0.0))).otherwise(acc),
+    )
+    return F.sqrt(squares)
 
 
 def seq_token_scores(seq: Column) -> Column:

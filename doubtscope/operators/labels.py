@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doubtscope.functions.tokens import HEAP_DEFAULT, seq_token_scores, topm_mean
-from doubtscope.operators.pairing import attach_embeddings, with_scalars
+from doubtscope.operators.pairing import attach_embeddings, with_scalars, with_value
 
 MIN_SPAN = 1e-8
 
@@ -48,15 +48,11 @@ def drop_unlabelled(labelled: DataFrame, label: str = "label") -> DataFrame:
 def compute_labels(results: DataFrame, logits: DataFrame | None, name: str, key: str = "row_id", **kwargs) -> DataFrame:
     """(row_id, label FLOAT) of the rows that have a label. Logits are read only if needed."""
     fn = LABEL_FUNCTIONS[name]
-    # exploding none or one label drops the rows without one; a filter would be pushed below the
-    # projection and compute the label twice
-    label = F.filter(F.array(fn.build(**kwargs).cast("float")), lambda x: x.isNotNull())
-    if not fn.needs_logits:
-        return results.select(key, F.explode(label).alias("label"))
-    if logits is None:
+    if fn.needs_logits and logits is None:
         raise ValueError(f"label function {name!r} needs a logits table")
-    labelled = logits.select(key, F.explode(label).alias("label"))
-    return results.select(key).join(labelled, key)
+    source = logits if fn.needs_logits else results
+    labelled = with_value(source.select(key, fn.build(**kwargs).cast("float").alias("label")), "label")
+    return results.select(key).join(labelled, key) if fn.needs_logits else labelled
 
 
 def label_range(labels: DataFrame, label: str = "label") -> DataFrame:

@@ -33,6 +33,17 @@ def attach_correct_flags(labelled: DataFrame, flags: DataFrame, key: str = "row_
     return labelled.join(flags.select(key, "ok"), key)
 
 
+def with_value(df: DataFrame, name: str) -> DataFrame:
+    """Rows whose ``name`` is not null, for a column that is costly to compute.
+
+    Exploding none or one value drops the others; a filter would be pushed below the projection and the
+    shuffles before it, and compute the column a second time there.
+    """
+    present = F.filter(F.array(name), lambda x: x.isNotNull())
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.explode(present).alias(name)).select(*df.columns)
+
+
 def with_scalars(df: DataFrame, one_row: DataFrame, names: list[str]) -> DataFrame:
     """Add columns of a one-row table as constants (a scalar subquery, no join)."""
     packed = one_row.select(F.struct(*names).alias("s")).scalar()

@@ -79,3 +79,88 @@ def test_draws_are_counted_in_their_task(spark, monkeypatch):
         for run, seed in ((0, 5), (1, 6))
     ]
     assert got == sorted(map(str, parts[0].unionByName(parts[1]).collect()))
+
+
+def test_logits_of_a_token_are_looked_up(spark):
+    one = spark.createDataFrame([(5,)], "total bigint").select(fx.cycled(F.col("total"), 101, 40, 4.0, 5.0, 24).alias("v"))
+    assert "slice" not in one._jdf.queryExecution().analyzed().toString()  # copies its part of the array
+    assert one.first()["v"] == [(5 + 101 * i) % 40 / 4 - 5 for i in range(24)]
+
+
+def test_norm_takes_the_entries_once(spark):
+    assert tok.token_l2(F.col("t"))._jc.toString().count("logit") == 1
+    cases = [None, [], [None], [-1.0, None], [-0.0], [3.0, None, 4.0, -9.0], [float("nan"), 1.0], [float("inf"), float("-inf")]]
+    rows = [(i, None if c is None else [(x,) for x in c]) for i, c in enumerate(cases)]
+    out = spark.createDataFrame(rows, "i int, t array<struct<logit:double>>").select("i", tok.token_l2(F.col("t")).alias("s"))
+    assert [str(r["s"]) for r in out.orderBy("i").collect()] == ["None", "None", "None", "0.0", "0.0", "5.0", "nan", "inf"]
+
+
+def _made_in_filter(df):
+    """Filters that make the logits, so that they are made twice."""
+    return [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x and "split(" in x]
+
+
+@pytest.mark.parametrize("name", ["tokens_saved", "patience_trace"])
+def test_scores_are_not_made_twice_for_a_filter(spark, sf_dir, name):
+    import __spark_entry__ as entry
+
+    assert not _made_in_filter(entry.queries()[name](spark, sf_dir))
+
+
+def test_exploded_scores_are_not_made_twice(spark, sf_dir, monkeypatch):
+    from doubtscope.plans import catalog_streams, catalog_tokens
+
+    seen = []
+    monkeypatch.setattr(catalog_tokens, "patience_long", lambda rows, *a, **k: seen.append(rows) or rows.selectExpr("seq", "score as mean", "1 as tau", "true as triggered"))
+    catalog_tokens.patience_rows(spark, sf_dir)
+
+    kept = type(seen[0]).repartition
+
+    def dealt(self, *by):
+        if len(by) == 1:
+            return kept(self, *by)
+        seen.append(self)  # the tokens, about to be written
+        raise InterruptedError
+
+    monkeypatch.setattr(type(seen[0]), "repartition", dealt)
+    with pytest.raises(InterruptedError):
+        catalog_streams.patience_stream(spark, sf_dir)
+    assert len(seen) == 2 and not any(map(_made_in_filter, seen))
+
+
+def test_labels_are_made_once_and_below_the_generator(spark, sf_dir):
+    from doubtscope.operators import labels as lab
+
+    logits = fx.doc_logits(spark, sf_dir)
+    plan = lab.compute_labels(logits.select("row_id"), logits, "topm_norm")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array") == 1 and "sort_array" not in next(x for x in plan.splitlines() if "Generate" in x)
+
+
+def test_a_null_value_drops_its_row(spark):
+    from doubtscope.operators.pairing import with_value
+
+    rows = spark.createDataFrame([(1, [2.0], "a"), (2, None, "b"), (3, [], "c")], "k int, s array<double>, t string")
+    assert sorted(map(tuple, with_value(rows, "s").collect())) == [(1, [2.0], "a"), (3, [], "c")]
+
+
+def test_labels_to_learn_from_are_stored(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as entry
+    from doubtscope.operators import labels as lab
+
+    def stop(labels, embeddings):
+        assert "sort_array" not in labels._jdf.queryExecution().optimizedPlan().toString()
+        raise InterruptedError
+
+    monkeypatch.setattr(lab, "build_train_set", stop)
+    with pytest.raises(InterruptedError):
+        entry.queries()["learn_and_evaluate_steps"](spark, sf_dir)
+
+
+def test_blocks_of_a_long_sequence_are_stored(spark, monkeypatch):
+    from doubtscope.operators import longform
+
+    seen = []
+    kept = longform.stored
+    monkeypatch.setattr(longform, "stored", lambda df, name: seen.append(name) or kept(df, name))
+    rows = spark.createDataFrame([(1, i, float(i % 3)) for i in range(9)], "seq long, pos int, score double")
+    assert longform.patience_long(rows, 2, 3, block=4).first()["tau"] == 9 and seen[0] == "long-parts"
