@@ -23,7 +23,7 @@ def patience_stream(spark, sf):
     logits = fx.turn_logits(spark, sf)
     scores = logits.select("tid", F.transform("logits", tok.token_l2).alias("s"))
     rows = scores.select(
-        F.col("tid").alias("seq"), F.posexplode("s").alias("pos", "score"), (F.size("s") - 1).alias("last")
+        F.col("tid").alias("seq"), F.posexplode(fx.some("s")).alias("pos", "score"), (F.size("s") - 1).alias("last")
     ).select("seq", F.col("pos").cast("bigint").alias("pos"), "score", (F.col("pos") == F.col("last")).alias("is_last"))
     root = fresh_path(spark, "stream")
     # files hold the tokens out of order; each file is a micro-batch

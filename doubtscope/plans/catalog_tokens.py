@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from doubtscope.functions import tokens as tok
 from doubtscope.operators.longform import patience_long
+from doubtscope.operators.pairing import with_value
 from doubtscope.operators.prompts import responses_long, responses_wide
 from doubtscope.plans import fixtures as fx
 from doubtscope.plans.registry import query, shown
@@ -98,8 +99,8 @@ def patience_from_topk(spark, sf):
         FROM turns t LEFT JOIN halt h ON h.tid = t.tid LEFT JOIN heap p ON p.tid = t.tid""",
 )
 def patience_rows(spark, sf):
-    rows = fx.turn_logits(spark, sf).select(F.col("tid").alias("seq"), F.posexplode("logits").alias("pos", "t"))
-    scored = rows.select("seq", "pos", tok.token_l2(F.col("t")).alias("score"))
+    norms = fx.turn_logits(spark, sf).select(F.col("tid").alias("seq"), F.transform("logits", tok.token_l2).alias("s"))
+    scored = norms.select("seq", F.posexplode(fx.some("s")).alias("pos", "score"))
     out = patience_long(scored, 5, 20, block=64)
     return out.select("seq", shown("mean").alias("unc"), F.col("tau").cast("bigint").alias("tau"), "triggered")
 
@@ -128,7 +129,7 @@ def running_heap_floor(spark, sf):
         triggered FROM halt h""",
 )
 def patience_trace(spark, sf):
-    s = fx.turn_logits(spark, sf).select("tid", tok.seq_token_scores(F.col("logits")).alias("s")).filter("s is not null")
+    s = with_value(fx.turn_logits(spark, sf).select("tid", tok.seq_token_scores(F.col("logits")).alias("s")), "s")
     run = s.select("tid", tok.patience_trace(F.col("s"), 5, 20).alias("r"))
     return run.select(
         "tid", F.col("r.tau").cast("bigint").alias("tau"), F.col("r.n_tokens").cast("bigint").alias("n_tokens"),
@@ -143,7 +144,7 @@ def patience_trace(spark, sf):
         FROM halt h JOIN turns t ON t.tid = h.tid GROUP BY t.role""",
 )
 def tokens_saved(spark, sf):
-    s = fx.turn_logits(spark, sf).select("tid", tok.seq_token_scores(F.col("logits")).alias("s")).filter("s is not null")
+    s = with_value(fx.turn_logits(spark, sf).select("tid", tok.seq_token_scores(F.col("logits")).alias("s")), "s")
     run = s.select("tid", tok.patience_trace(F.col("s"), 5, 20).alias("r"))
     return run.join(fx.turns(spark, sf).select("tid", "role"), "tid").groupBy("role").agg(
         shown(F.avg("r.share_read")).alias("share_read"),
