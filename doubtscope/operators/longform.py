@@ -73,6 +73,7 @@ def patience_long(tokens: DataFrame, m: int = HEAP_DEFAULT, w: int = PATIENCE_DE
         f"named_struct('n', cast(size(tokens) as bigint), 'top', slice(sort_array(filter(transform(tokens, t -> t.score), x -> not isnan(x)), false), 1, {m}),"
         f" 'odd', transform(slice(tokens, 1, {m}), t -> isnan(t.score)))"
     )
+    parts = stored(parts, "long-parts")  # read twice; making the scores again costs more
     summaries = stored(parts.select("seq", "block", F.expr(f"block div {FAN} as stretch"), F.expr(whole).alias("s")), "long-summaries")
     inside = stored(_before(summaries, ["seq", "stretch"], "block", m), "long-inside")
     stretches = inside.groupBy("seq", "stretch").agg(F.first("whole").alias("s"))
