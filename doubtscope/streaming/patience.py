@@ -109,11 +109,13 @@ def stream_patience(
     """
     timed = event_time is not None
     source = tokens.withWatermark(event_time, delay) if timed else tokens
-    stamp = F.col(event_time) if timed else F.lit(None).cast("timestamp")
     score = F.col("score").cast("double")  # pandas takes null for NaN, which counts as a token
-    rows = source.select("seq", F.col("pos").cast("bigint").alias("pos"), F.coalesce(score, F.lit(0.0)).alias("score"),
-                         score.isNull().alias("missing"), F.coalesce("is_last", F.lit(False)).alias("is_last"), stamp.alias(event_time or "at"))
-    at = event_time or "at"
+    # every column costs a conversion per answer and micro-batch: the place and both flags travel as one
+    # number, the time only if it is used; a place that is null lies before all others
+    place = F.shiftleft(F.coalesce(F.col("pos").cast("bigint"), F.lit(-1).cast("bigint")), 2)
+    flags = F.when(score.isNull(), 2).otherwise(0) + F.when(F.col("is_last"), 1).otherwise(0)
+    columns = ["seq", place.bitwiseOR(flags.cast("bigint")).alias("mark"), F.coalesce(score, F.lit(0.0)).alias("score")]
+    rows = source.select(*columns, *([event_time] if timed else []))
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fold = _Fold(m, w, state.get if state.exists else None)
@@ -127,9 +129,10 @@ def stream_patience(
         for frame in frames:
             if fold.done:
                 continue
-            fold.take(*(frame[c].to_numpy() for c in ("pos", "score", "missing", "is_last")))
+            mark = frame["mark"].to_numpy()
+            fold.take(mark >> 2, frame["score"].to_numpy(), mark & 2 > 0, mark & 1 > 0)
             if timed and len(frame):
-                top = frame[at].max()
+                top = frame[event_time].max()
                 newest = top if newest is None or top > newest else newest
         out = None
         if not fold.done and fold.advance():

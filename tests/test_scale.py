@@ -164,3 +164,17 @@ def test_blocks_of_a_long_sequence_are_stored(spark, monkeypatch):
     monkeypatch.setattr(longform, "stored", lambda df, name: seen.append(name) or kept(df, name))
     rows = spark.createDataFrame([(1, i, float(i % 3)) for i in range(9)], "seq long, pos int, score double")
     assert longform.patience_long(rows, 2, 3, block=4).first()["tau"] == 9 and seen[0] == "long-parts"
+
+
+def test_tokens_of_a_stream_travel_in_three_columns(spark, root):
+    from doubtscope.streaming.patience import run_to_table, stream_patience
+
+    ddl = "seq long, pos long, score double, is_last boolean"
+    tokens = [(1, 1, None, None), (1, None, 9.0, False), (1, 2, 5.0, True), (1, 0, 1.0, False), (2, 0, None, True)]
+    spark.createDataFrame(tokens, ddl).write.parquet(f"{root}/in")
+    stream = stream_patience(spark.readStream.schema(ddl).parquet(f"{root}/in"), 2, 3)
+    assert "score" in stream._jdf.queryExecution().analyzed().toString()
+    taken = [x for x in stream._jdf.queryExecution().analyzed().toString().splitlines() if "Project [seq" in x][0]
+    assert taken.count(" AS ") == 2 and "timestamp" not in taken  # mark and score
+    run_to_table(stream, f"{root}/out", f"{root}/checkpoint")
+    assert sorted(map(tuple, spark.read.parquet(f"{root}/out").collect())) == [(1, 3.0, 2, False), (2, None, 0, False)]
