@@ -66,6 +66,8 @@ def patience_long(tokens: DataFrame, m: int = HEAP_DEFAULT, w: int = PATIENCE_DE
     """(seq, pos, score or null) → (seq, mean, tau, triggered); equals ``patience_agg``."""
     if m < 1 or w < 1 or block < 1:
         raise ValueError("heap size, patience and block must be at least 1")
+    # read twice: making the scores again costs more. Rows of tokens, as no stored row holds a whole block
+    tokens = stored(tokens.select("seq", "pos", "score"), "long-tokens")
     parts = tokens.groupBy("seq", F.expr(f"pos div {block}").alias("block")).agg(
         F.expr("sort_array(collect_list(if(score is null, null, struct(pos, score)))) as tokens")
     )
@@ -73,7 +75,6 @@ def patience_long(tokens: DataFrame, m: int = HEAP_DEFAULT, w: int = PATIENCE_DE
         f"named_struct('n', cast(size(tokens) as bigint), 'top', slice(sort_array(filter(transform(tokens, t -> t.score), x -> not isnan(x)), false), 1, {m}),"
         f" 'odd', transform(slice(tokens, 1, {m}), t -> isnan(t.score)))"
     )
-    parts = stored(parts, "long-parts")  # read twice; making the scores again costs more
     summaries = stored(parts.select("seq", "block", F.expr(f"block div {FAN} as stretch"), F.expr(whole).alias("s")), "long-summaries")
     inside = stored(_before(summaries, ["seq", "stretch"], "block", m), "long-inside")
     stretches = inside.groupBy("seq", "stretch").agg(F.first("whole").alias("s"))

@@ -156,14 +156,14 @@ def test_labels_to_learn_from_are_stored(spark, sf_dir, monkeypatch):
         entry.queries()["learn_and_evaluate_steps"](spark, sf_dir)
 
 
-def test_blocks_of_a_long_sequence_are_stored(spark, monkeypatch):
+def test_tokens_of_a_long_sequence_are_stored(spark, monkeypatch):
     from doubtscope.operators import longform
 
     seen = []
     kept = longform.stored
     monkeypatch.setattr(longform, "stored", lambda df, name: seen.append(name) or kept(df, name))
     rows = spark.createDataFrame([(1, i, float(i % 3)) for i in range(9)], "seq long, pos int, score double")
-    assert longform.patience_long(rows, 2, 3, block=4).first()["tau"] == 9 and seen[0] == "long-parts"
+    assert longform.patience_long(rows, 2, 3, block=4).first()["tau"] == 9 and seen[0] == "long-tokens"
 
 
 def test_tokens_of_a_stream_travel_in_three_columns(spark, root):
