@@ -40,7 +40,8 @@ START = (0.4, 0.4, 0.3)
 RATE, SLOPE_RATE, SHIFT_RATE, ODDS = 0.005, 0.002, 0.01, 8.7
 _STEP = 8.0 / 127  # of the stored log odds
 _WORD_TAG = 1 << 60
-_FLUSH_KEYS, _FLUSH_TOKENS, _PIECE = 1 << 21, 1 << 18, 1 << 20
+#: Keys of a kind and tokens that a task holds before it hands them on, and bytes that it counts at once: they bound its memory.
+_FLUSH_KEYS, _FLUSH_TOKENS, _PIECE = 1 << 20, 1 << 18, 1 << 18
 
 GATHERED = "kind int, token binary, key bigint, n bigint"
 
@@ -88,13 +89,19 @@ def gram_keys(data: np.ndarray) -> np.ndarray:
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's counts. Empties the lists, so that the parts are not held beside their whole."""
     k, n = np.concatenate(keys), np.concatenate(counts)
-    distinct, which = np.unique(k, return_inverse=True)
-    return distinct, np.bincount(which, n, len(distinct)).astype(np.int64)
+    keys.clear()
+    counts.clear()
+    order = np.argsort(k)
+    k, n = k[order], n[order]
+    del order
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
+    return k[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def gather(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Counts over all texts: (kind 0, token, null, n) and (kind 1, null, (context, byte), n), each once."""
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``GATHERED`` from the texts of a task. A token or pair may come in several of them; what is held at once is bounded."""
     schema = pa.schema([("kind", pa.int32()), ("token", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
 
     def rows(kind: int, values: list | np.ndarray, n: list | np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -104,51 +111,56 @@ def gather(texts: DataFrame, text_col: str = "text") -> DataFrame:
             columns = [pa.array([kind] * len(part), pa.int32()), pa.array(none if kind else part, pa.binary()), pa.array(part if kind else none, pa.int64()), pa.array(n[at : at + (1 << 17)], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: Counter = Counter()
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        buffer = bytearray()
-        starts: list[int] = []
-
-        def count_bytes() -> None:
-            data = np.frombuffer(bytes(buffer), np.uint8)
-            text = np.ones(len(data), bool)  # the four line feeds before each text are context only
-            text[(np.array(starts)[:, None] + np.arange(4)).reshape(-1)] = False
-            buffer.clear()
-            starts.clear()
-            for row in gram_keys(data)[:, text[4:]]:
-                k, n = np.unique(row, return_counts=True)
-                keys.append(k)
-                counts.append(n)
+    tokens: Counter = Counter()
+    keys: tuple[list[np.ndarray], ...] = ([], [])  # of last bytes, of words: merged apart, so that half of them is copied at a time
+    counts: tuple[list[np.ndarray], ...] = ([], [])
+    buffer = bytearray()
+    starts: list[int] = []
+
+    def count_bytes() -> None:
+        data = np.frombuffer(bytes(buffer), np.uint8)
+        text = np.ones(len(data), bool)  # the four line feeds before each text are context only
+        text[(np.array(starts)[:, None] + np.arange(4)).reshape(-1)] = False
+        buffer.clear()
+        starts.clear()
+        for row, ks, ns in zip(gram_keys(data)[:, text[4:]], keys, counts, strict=True):
+            k, n = np.unique(row, return_counts=True)
+            ks.append(k)
+            ns.append(n)
 
-        for batch in batches:
-            for t in batch.column(0).cast(pa.binary()):
-                words = words_of(t.as_py())
-                tokens.update(words)
-                tokens[END] += 1
-                starts.append(len(buffer))
-                buffer += END * 4 + b" ".join(words) + END
-                if len(buffer) >= _PIECE:
-                    count_bytes()
-                    if sum(map(len, keys)) >= _FLUSH_KEYS:
-                        k, n = _merged(keys, counts)
-                        keys[:], counts[:] = [k], [n]
+    for batch in batches:
+        for t in batch.column(0).cast(pa.binary()):
+            words = words_of(t.as_py())
+            tokens.update(words)
+            tokens[END] += 1
+            starts.append(len(buffer))
+            buffer += END * 4 + b" ".join(words) + END
+            if len(buffer) >= _PIECE:
+                count_bytes()
+                for ks, ns in zip(keys, counts, strict=True):
+                    if sum(map(len, ks)) >= _FLUSH_KEYS:
+                        k, n = _merged(ks, ns)
                         if len(k) >= _FLUSH_KEYS // 2:
                             yield from rows(1, k, n)
-                            keys.clear()
-                            counts.clear()
-                if len(tokens) >= _FLUSH_TOKENS:
-                    yield from rows(0, list(tokens), list(tokens.values()))
-                    tokens.clear()
-        if buffer:
-            count_bytes()
-        if keys:
-            yield from rows(1, *_merged(keys, counts))
-        yield from rows(0, list(tokens), list(tokens.values()))
-
-    counted = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(work, GATHERED)
-    return counted.groupBy("kind", "token", "key").agg(F.sum("n").alias("n"))
+                        else:
+                            ks.append(k)
+                            ns.append(n)
+                        del k, n
+            if len(tokens) >= _FLUSH_TOKENS:
+                yield from rows(0, list(tokens), list(tokens.values()))
+                tokens.clear()
+    if buffer:
+        count_bytes()
+    for ks, ns in zip(keys, counts, strict=True):
+        if ks:
+            yield from rows(1, *_merged(ks, ns))
+    yield from rows(0, list(tokens), list(tokens.values()))
+
+
+def gather(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """Counts over all texts: (kind 0, token, null, n) and (kind 1, null, (context, byte), n), each once."""
+    found = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(counted, GATHERED)
+    return found.groupBy("kind", "token", "key").agg(F.sum("n").alias("n"))
 
 
 def byte_codes(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

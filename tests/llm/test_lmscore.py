@@ -1,11 +1,13 @@
 """Language-model scores: the base by plain counting, the mixer bit by bit in plain Python, and edges."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import __spark_entry__ as entry
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from doubtscope.llm import lmscore
@@ -180,3 +182,43 @@ def test_rare_contexts_are_learned_from(spark):
         assert table[line + 1] != 0
     both = (np.array([int.from_bytes(b"bcd"), int.from_bytes(b"zzz")]), codes[np.array([101, 122])], np.array([1, 4_000_000]))
     assert (tables[0] == lmscore.odds_table(*both)).all()
+
+
+def gathered(batches):
+    """(token counts, pair counts) from the rows of ``counted``, and in how many rows they came."""
+    tokens, pairs, rows = Counter(), Counter(), 0
+    for b in batches:
+        for kind, token, key, n in zip(*(c.to_pylist() for c in b.columns)):
+            (pairs if kind else tokens)[key if kind else token] += n
+            rows += 1
+    return tokens, pairs, rows
+
+
+def test_counts_do_not_depend_on_what_a_task_holds(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 12, rng.integers(1, 9))) for _ in range(rng.integers(0, 300))) for _ in range(80)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([*texts, None, "", texts[0]])})
+    tokens, pairs, rows = gathered(lmscore.counted(iter([batch])))
+    monkeypatch.setattr(lmscore, "_FLUSH_KEYS", 512)
+    monkeypatch.setattr(lmscore, "_FLUSH_TOKENS", 64)
+    monkeypatch.setattr(lmscore, "_PIECE", 300)
+    small = gathered(lmscore.counted(iter([batch])))
+    assert small[:2] == (tokens, pairs) and small[2] > rows
+    assert tokens == Counter(w for t in [*texts, "", "", texts[0]] for w in [*t.encode().split(), b"\n"])
+    assert sum(n for k, n in pairs.items() if k < lmscore._WORD_TAG) == sum(n for k, n in pairs.items() if k >= lmscore._WORD_TAG) == sum(len(text_of(t)) for t in [*texts, "", "", texts[0]])
+
+
+def test_a_counting_task_holds_little(monkeypatch):
+    """Counting noise, in which nearly every pair is new, takes a bounded number of bytes a key that is held."""
+    monkeypatch.setattr(lmscore, "_FLUSH_KEYS", 1 << 17)
+    monkeypatch.setattr(lmscore, "_PIECE", 1 << 15)
+    noise = np.random.default_rng(2).integers(33, 127, (400, 4000), np.uint8)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([t.tobytes().decode() for t in noise])})
+    tracemalloc.start()
+    try:
+        for _ in lmscore.counted(iter([batch])):
+            pass
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert held < 100 * lmscore._FLUSH_KEYS
