@@ -11,7 +11,7 @@ from doubtscope.operators.pairing import with_value
 from doubtscope.operators.prompts import responses_long, responses_wide
 from doubtscope.plans import fixtures as fx
 from doubtscope.plans.registry import query, shown
-from doubtscope.session import spread
+from doubtscope.session import dealt
 
 _TURN = f"WITH {fx.TURN_NORMS_SQL}"
 _DOC = f"WITH {fx.DOC_NORMS_SQL}"
@@ -179,7 +179,7 @@ def _with_candidates(t, text="text"):
 
 def _candidates(spark, sf):
     """(tid, candidates)."""
-    return _with_candidates(spread(fx.turns(spark, sf), 4)).select("tid", "candidates")
+    return _with_candidates(dealt(fx.turns(spark, sf), 4)).select("tid", "candidates")
 
 
 _CAND_SQL = f"""WITH {fx.TURNS_SQL},
@@ -238,7 +238,7 @@ def answer_fields(spark, sf):
 
     # texts are joined, not the candidates made from them
     t = fx.turns(spark, sf).select("tid", "text")
-    c = _with_candidates(spread(t.withColumnRenamed("text", "words"), 4).join(t, "tid"), "words").drop("words")
+    c = _with_candidates(dealt(t.withColumnRenamed("text", "words"), 4).join(t, "tid"), "words").drop("words")
     padded = F.concat(F.lit("\t "), F.col("text"), F.lit("\n "))
     f = fields(c.withColumn("generated_text", padded))
     first = F.get(F.get(F.col("answer_token_topk_logits"), F.lit(0)), F.lit(0))

@@ -2,6 +2,7 @@
 
 import glob
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,21 @@ def test_tokens_of_a_stream_travel_in_three_columns(spark, root):
     assert taken.count(" AS ") == 2 and "timestamp" not in taken  # mark and score
     run_to_table(stream, f"{root}/out", f"{root}/checkpoint")
     assert sorted(map(tuple, spark.read.parquet(f"{root}/out").collect())) == [(1, 3.0, 2, False), (2, None, 0, False)]
+
+
+def test_one_long_row_group_is_dealt_to_all_tasks(spark, tmp_path):
+    """Of many splits of a file with one row group one holds every row; the logits are made in more tasks than that."""
+    rows = {"conv_id": list(range(800)), "turn": [1] * 800, "role": ["user"] * 800, "text": [f"some words {i} and more" * 20 for i in range(800)]}
+    rows |= {"doc_id": rows["conv_id"]}
+    for name in ("conversations", "documents"):
+        pq.write_table(pa.table(rows), tmp_path / f"{name}.parquet", row_group_size=1 << 20, compression="none")
+    small = {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "1"}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        for made in (fx.turn_logits, fx.doc_logits):
+            in_task = made(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+            assert in_task[0] < 200 and in_task[1] == 800
+    finally:
+        for k in small:
+            spark.conf.unset(k)
