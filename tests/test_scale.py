@@ -197,3 +197,21 @@ def test_one_long_row_group_is_dealt_to_all_tasks(spark, tmp_path):
     finally:
         for k in small:
             spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("cuts", [None, {0: 2.0, 1: float("inf")}])
+def test_measured_where_drawn_equals_ranked_cells(spark, monkeypatch, cuts):
+    """One block is measured in its task, with no row per score and resample; so are odd scores, missing and repeated rows."""
+    odd = {0: None, 1: float("nan"), 2: float("inf"), 3: float("-inf"), 4: -0.0}
+    values = [(0, i, odd.get(i % 9, float(i % 5)), None if i == 11 else i % 3 > 0) for i in range(23)]
+    values += [(1, i, -1.0 * (i % 4), i % 2 > 0) for i in (0, 3, 3, 22, 9)]
+    rows = spark.createDataFrame(values, "run_id int, row_index long, unc double, ok boolean")
+    found = []
+    for whole in (resample.WHOLE_ROWS, 22):
+        monkeypatch.setattr(resample, "WHOLE_ROWS", whole)
+        made = resample._drawn_metrics(rows, 23, 40, {0: 5, 1: 6}, cuts)
+        assert ("Window" in made._jdf.queryExecution().optimizedPlan().toString()) == (whole == 22)
+        found.append({(r.run_id, r.resample): r[2:] for r in made.collect()})
+    assert found[0].keys() == found[1].keys() and len({k[0] for k in found[0]}) == 2
+    for k, x in found[0].items():
+        assert x == pytest.approx(found[1][k], abs=1e-12)
