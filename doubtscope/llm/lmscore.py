@@ -16,11 +16,11 @@ start, weights start anew there. A lane's result depends on nothing else in its
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +34,14 @@ WORD_BYTES, BASE = 6, 0x9E3779B97F4A7C15  # a word's beginning counts as context
 TOKEN_SHARE, CONTEXT_SHARE, LONGEST_HEAVY = 1 << 20, 1 << 21, 256
 CODE_BITS, SLOT_BITS = 6, 22
 CODES = 1 << CODE_BITS
-BLOCK, LANES = 2048, 4096
+BLOCK, LANES = 2048, 8192
 #: Weights at the start of a block: of the orders, then of the word's beginning.
 START = (0.4, 0.4, 0.3)
 RATE, SLOPE_RATE, SHIFT_RATE, ODDS = 0.005, 0.002, 0.01, 8.7
 _STEP = 8.0 / 127  # of the stored log odds
 _WORD_TAG = 1 << 60
-#: Keys of a kind and tokens that a task holds before it hands them on, and bytes that it counts at once: they bound its memory.
-_FLUSH_KEYS, _FLUSH_TOKENS, _PIECE = 1 << 20, 1 << 18, 1 << 18
+#: Keys of a kind and bytes of words that a task holds before it hands them on, and bytes that it counts at once: they bound its memory.
+_FLUSH_KEYS, _FLUSH_TOKENS, _PIECE = 1 << 20, 1 << 25, 1 << 18
 
 GATHERED = "kind int, token binary, key bigint, n bigint"
 
@@ -65,27 +65,44 @@ def _powers(n: int, base: int) -> np.ndarray:
         return np.cumprod(np.r_[np.uint64(1), np.full(max(0, n - 1), base, np.uint64)], dtype=np.uint64)
 
 
+#: A byte's factor by its place in the word; those past WORD_BYTES count nothing.
+WORD_POWERS = np.r_[_powers(WORD_BYTES, BASE), np.uint64(0)]
+
+
 def word_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the bytes of the current word before each place, at most the first WORD_BYTES of them.
 
     A word's bytes are a polynomial in ``BASE`` modulo 2^64; differences of one running sum give it for all places.
     """
-    edge = (data == 32) | (data == 10)
-    place = np.arange(len(data))
-    start = np.maximum.accumulate(np.where(np.r_[True, edge[:-1]], place, 0))
+    edges = np.flatnonzero((data == 32) | (data == 10)) + 1
+    starts = np.r_[0, edges[: np.searchsorted(edges, len(data))]]
+    sizes = np.diff(starts, append=len(data))
+    into = np.arange(len(data)) - np.repeat(starts, sizes)
     with np.errstate(over="ignore"):
-        sums = np.r_[np.uint64(0), np.cumsum((data + np.uint64(1)) * _powers(len(data), BASE), dtype=np.uint64)]
-        end = np.minimum(place, start + WORD_BYTES)
-        return _finished((sums[end] - sums[start]) * _powers(len(data), pow(BASE, -1, 1 << 64))[start])
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * WORD_POWERS.take(np.minimum(into, WORD_BYTES, out=into)), out=sums[1:])
+        return _finished(sums[:-1] - np.repeat(sums[starts], sizes))
+
+
+def gram_keys(data: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte that ``text`` marks, none of the first four: the four before it and itself as one number; and its word context and itself."""
+    pairs = data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]
+    fours = pairs[:-2].astype(np.uint32) << np.uint32(16) | pairs[2:]
+    byte, marked = data[text], text[4:]
+    last = fours[:-1][marked].astype(np.int64) << 8
+    word = word_hashes(data)[text].astype(np.int64) << 8
+    word |= _WORD_TAG
+    return last | byte, word | byte
 
 
-def gram_keys(data: np.ndarray) -> np.ndarray:
-    """For every byte after the first four: the four before it and itself as one number; and its word context and itself."""
-    wide = data.astype(np.int64)
-    n = len(data) - 4
-    last = wide[:n] << 32 | wide[1 : n + 1] << 24 | wide[2 : n + 2] << 16 | wide[3 : n + 3] << 8 | wide[4:]
-    word = _WORD_TAG | word_hashes(data)[4:].astype(np.int64) << 8 | wide[4:]
-    return np.stack([last, word])
+def words_in(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of joined texts, in order, and the place where each begins; the data begin and close with an edge."""
+    inner = (data != 32) & (data != 10)
+    turns = np.flatnonzero(inner[1:] != inner[:-1]) + 1
+    starts, ends = turns[::2], turns[1::2]
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inner])]), starts
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,14 +121,14 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ``GATHERED`` from the texts of a task. A token or pair may come in several of them; what is held at once is bounded."""
     schema = pa.schema([("kind", pa.int32()), ("token", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
 
-    def rows(kind: int, values: list | np.ndarray, n: list | np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(kind: int, values: pa.Array | np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(values), 1 << 17):
             part = values[at : at + (1 << 17)]
-            none = [None] * len(part)
-            columns = [pa.array([kind] * len(part), pa.int32()), pa.array(none if kind else part, pa.binary()), pa.array(part if kind else none, pa.int64()), pa.array(n[at : at + (1 << 17)], pa.int64())]
+            columns = [pa.array(np.full(len(part), kind, np.int32)), pa.nulls(len(part), pa.binary()) if kind else part.cast(pa.binary()), pa.array(part) if kind else pa.nulls(len(part), pa.int64()), pa.array(n[at : at + (1 << 17)])]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    tokens: Counter = Counter()
+    words: list[pa.Array] = []  # of a piece each
+    ends = 0
     keys: tuple[list[np.ndarray], ...] = ([], [])  # of last bytes, of words: merged apart, so that half of them is copied at a time
     counts: tuple[list[np.ndarray], ...] = ([], [])
     buffer = bytearray()
@@ -123,18 +140,22 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text[(np.array(starts)[:, None] + np.arange(4)).reshape(-1)] = False
         buffer.clear()
         starts.clear()
-        for row, ks, ns in zip(gram_keys(data)[:, text[4:]], keys, counts, strict=True):
+        words.append(words_in(data)[0])
+        for row, ks, ns in zip(gram_keys(data, text), keys, counts, strict=True):
             k, n = np.unique(row, return_counts=True)
             ks.append(k)
             ns.append(n)
 
+    def tokens() -> Iterator[pa.RecordBatch]:
+        found = pa.chunked_array(words, pa.large_binary()).value_counts()
+        words.clear()
+        yield from rows(0, found.field("values"), found.field("counts").to_numpy())
+
     for batch in batches:
         for t in batch.column(0).cast(pa.binary()):
-            words = words_of(t.as_py())
-            tokens.update(words)
-            tokens[END] += 1
+            ends += 1
             starts.append(len(buffer))
-            buffer += END * 4 + b" ".join(words) + END
+            buffer += END * 4 + b" ".join(words_of(t.as_py())) + END
             if len(buffer) >= _PIECE:
                 count_bytes()
                 for ks, ns in zip(keys, counts, strict=True):
@@ -146,15 +167,16 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             ks.append(k)
                             ns.append(n)
                         del k, n
-            if len(tokens) >= _FLUSH_TOKENS:
-                yield from rows(0, list(tokens), list(tokens.values()))
-                tokens.clear()
+                if sum(w.nbytes for w in words) >= _FLUSH_TOKENS:
+                    yield from tokens()
     if buffer:
         count_bytes()
     for ks, ns in zip(keys, counts, strict=True):
         if ks:
             yield from rows(1, *_merged(ks, ns))
-    yield from rows(0, list(tokens), list(tokens.values()))
+    yield from tokens()
+    if ends:
+        yield from rows(0, pa.array([END]), np.array([ends]))
 
 
 def gather(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -254,14 +276,16 @@ def _lanes(texts: list[bytes]) -> Iterator[tuple[int, bytes, int, int, int]]:
 def squash(odds: np.ndarray) -> np.ndarray:
     """Probability of log odds, cut at ODDS: the logistic function by a quotient of polynomials, so that the same
     additions and products give the same digits on every machine."""
-    y = np.clip(odds, np.float32(-ODDS), np.float32(ODDS))
+    y = np.maximum(odds, np.float32(-ODDS))
+    np.minimum(y, np.float32(ODDS), out=y)
     y *= np.float32(0.5)
     z = y * y
-    over, under = z * np.float32(21), z + np.float32(210)
+    over = z * np.float32(21)
     over += np.float32(1260)
     over *= z
     over += np.float32(10395)
     over *= y
+    under = np.add(z, np.float32(210), out=y)
     under *= z
     under += np.float32(4725)
     under *= z
@@ -276,61 +300,83 @@ class Mixer:
     """Bits of texts under the predictors' tables; the state of a lane is its weights, slopes and shifts.
 
     The gate goes by the bit's place in its code, so the bits of a byte use different sets of weights
-    and can be handled at once: each set sees one bit of every byte, in order.
+    and can be handled at once: each set sees one bit of every byte, in order. For that the odds along a code's
+    path lie together, eight bytes for a line and code: one look at a predictor's table gives them for all bits.
     """
 
     def __init__(self, tables: np.ndarray, codes: np.ndarray, more: np.ndarray):
         self.k, self.more = len(tables), more
-        self.tables, self.codes = tables.reshape(-1), codes.astype(np.int32)
-        self.offsets = (np.arange(self.k, dtype=np.int32) << SLOT_BITS)[:, None]
-        self.powers = _powers(WORD_BYTES + 1, BASE)
+        self.codes = codes.astype(np.uint8).tobytes()
+        self.paths = np.zeros((tables.size // CODES, CODES, 8), np.int8)
+        for lines, paths in zip(np.split(tables.reshape(-1, CODES), 64 * self.k), np.split(self.paths, 64 * self.k), strict=True):  # what a cache holds
+            for bit in range(CODE_BITS):
+                paths.reshape(len(lines), 1 << bit, -1, 8)[..., bit] = lines[:, 1 << bit : 2 << bit, None]
+        self.paths = self.paths.reshape(-1).view(np.int64)
+        self.offsets = (np.arange(self.k) << SLOT_BITS)[:, None]
 
     def _group(self, lanes: list[tuple[int, bytes, int, int, int]]) -> np.ndarray:
         """Nats that each lane's block takes; lanes are in order of falling length."""
         width, k = len(lanes), self.k
         sizes = np.array([len(b) for _, b, _, _, _ in lanes])
-        data = np.zeros((width, int(sizes[0])), np.uint8)
+        data = np.zeros((width, int(sizes[0]) + 64), np.uint8)  # rows of 2^11 bytes would share few places of a cache
         for row, (_, block, _, _, _) in zip(data, lanes, strict=True):
             row[: len(block)] = np.frombuffer(block, np.uint8)
-        data = np.ascontiguousarray(data.T)
+        data = np.ascontiguousarray(data[:, : sizes[0]].T)
+        coded = np.frombuffer(data.tobytes().translate(self.codes), np.uint8).reshape(data.shape)
         last = np.array([x[2] for x in lanes], np.uint32)
         word = np.array([x[3] for x in lanes], np.uint64)
-        into = np.array([x[4] for x in lanes], np.int32)
+        into = np.array([x[4] for x in lanes], np.intp)
         start = np.array(START, np.float32) * np.float32(_STEP)  # for odds as they are stored
         weights = np.tile(np.repeat(start[:, None], width, axis=1), (CODE_BITS, 1, 1))
         slopes, shifts = np.ones((CODE_BITS, width), np.float32), np.zeros((CODE_BITS, width), np.float32)
         cost, rate = np.zeros(width), np.float32(RATE * _STEP * _STEP)
         longer = np.searchsorted(-sizes, -np.arange(data.shape[0])).tolist()  # lanes longer than each place
         masks = np.array([(1 << 8 * o) - 1 for o in ORDERS], np.uint32)[:, None]
-        place = np.arange(CODE_BITS, dtype=np.int32)[:, None]
+        place = np.arange(CODE_BITS - 1, -1, -1, dtype=np.uint8)[:, None]
+        seen, read = np.empty((k, width), np.uint32), np.empty((CODE_BITS, k, width), np.float32)
+        both = np.empty((2, CODE_BITS, width), np.float32)
         with np.errstate(over="ignore"):
             for at in range(data.shape[0]):
                 n = longer[at]
-                byte = data[at, :n]
-                lines = _lines(np.concatenate([last[None, :n] & masks, _finished(word[:n])[None]])).astype(np.int32) + self.offsets
-                before = self.codes.take(byte) >> np.int32(CODE_BITS) - place  # the code's bits before each one
-                bits = (self.codes.take(byte) >> np.int32(CODE_BITS - 1) - place & np.int32(1)).astype(np.float32)
-                odds = self.tables.take(lines + (before | np.int32(1) << place)[:, None]).astype(np.float32)
-                w, slope, shift = weights[:, :, :n], slopes[:, :n], shifts[:, :n]
-                dot = np.einsum("jkn,jkn->jn", w, odds)
-                p = squash(dot)
-                odds *= ((bits - p) * rate)[:, None]
+                byte, code = data[at, :n], coded[at, :n]
+                np.bitwise_and(last[:n], masks, out=seen[:-1, :n])
+                seen[-1, :n] = _finished(word[:n])
+                slots = _lines(seen[:, :n]) + self.offsets
+                slots += code
+                odds = read[:, :, :n]
+                odds[:] = self.paths[slots].view(np.int8).reshape(k, n, 8)[:, :, :CODE_BITS].transpose(2, 0, 1)
+                bits = (code >> place & np.uint8(1)).astype(np.float32)
+                w, slope, shift, x = weights[:, :, :n], slopes[:, :n], shifts[:, :n], both[:, :, :n]
+                dot = np.einsum("jkn,jkn->jn", w, odds, out=x[0])
+                np.multiply(slope, dot, out=x[1])
+                x[1] += shift
+                p, refined = squash(x)
+                off = bits - p
+                off *= rate
+                odds *= off[:, None]
                 w += odds
-                refined = squash(slope * dot + shift)
-                off = bits - refined
-                shift += off * np.float32(SHIFT_RATE)
-                off *= dot
-                off *= np.float32(SLOPE_RATE)
-                slope += off
+                off = np.subtract(bits, refined, out=off)
                 p += refined
                 p *= np.float32(0.5)
-                p = np.abs(bits - np.float32(1) + p)  # the chance given to the bit that came
-                cost[:n] += self.more.take(byte) - np.log(np.multiply.reduce(p, axis=0, dtype=np.float64))
+                shift += np.multiply(off, np.float32(SHIFT_RATE), out=refined)
+                shift_off = off
+                shift_off *= dot
+                shift_off *= np.float32(SLOPE_RATE)
+                slope += shift_off
+                bits -= np.float32(1)
+                p += bits
+                nats = np.log(np.multiply.reduce(np.abs(p, out=p), axis=0, dtype=np.float64))  # of the chance given to the bits that came
+                np.negative(nats, out=nats)
+                rare = np.flatnonzero(code == CODES - 1)
+                nats[rare] += self.more[byte[rare]]
+                cost[:n] += nats
                 last[:n] = (last[:n] << np.uint32(8)) | byte
-                edge = (byte == 32) | (byte == 10)
-                grown = np.where(into[:n] < WORD_BYTES, (byte + np.uint64(1)) * self.powers.take(into[:n]), np.uint64(0))
-                word[:n] = np.where(edge, np.uint64(0), word[:n] + grown)
-                into[:n] = np.where(edge, 0, np.minimum(into[:n] + 1, WORD_BYTES))
+                inner = (byte != 32) & (byte != 10)
+                word[:n] += (byte + np.uint64(1)) * WORD_POWERS.take(into[:n])
+                word[:n] *= inner
+                into[:n] += 1
+                np.minimum(into[:n], WORD_BYTES, out=into[:n])
+                into[:n] *= inner
         return cost
 
     def nats(self, texts: list[bytes]) -> np.ndarray:
@@ -354,6 +400,22 @@ def _sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Recor
                 yield batch.slice(a, b - a)
 
 
+def known_and_others(texts: list[bytes], heavy: pa.Array, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Per text: how many tokens it has, how many of them are heavy, the sum of their logs, its other tokens, and how often each of these comes."""
+    words, starts = words_in(np.frombuffer(END + b"".join(texts), np.uint8))
+    n = np.diff(np.searchsorted(starts, np.cumsum([len(t) for t in texts])), prepend=0)
+    owner = np.r_[np.repeat(np.arange(len(texts)), n), np.arange(len(texts))]  # the ends come after all words
+    coded = pa.concat_arrays([words, pa.array([END] * len(texts), pa.large_binary())]).dictionary_encode()
+    at, ids = pc.index_in(coded.dictionary, heavy).fill_null(-1).to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+    base = np.bincount(owner, np.r_[logs, 0.0][at][ids], len(texts))
+    other = (at < 0)[ids]
+    pairs, times = np.unique(owner[other] * len(at) + ids[other], return_counts=True)
+    offsets = pa.array(np.searchsorted(pairs, np.arange(len(texts) + 1) * len(at)), pa.int32())
+    tokens = coded.dictionary.take(pa.array(pairs % len(at))).cast(pa.binary())
+    known = n + 1 - np.bincount(owner[other], minlength=len(texts))
+    return n + 1, known, base, pa.ListArray.from_arrays(offsets, tokens), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))
+
+
 SCORED = "doc_id {}, held_out boolean, k1 long, k2 long, n_tokens long, known long, base double, score double, others array<binary>, times array<int>"
 
 
@@ -379,35 +441,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     all_tokens, distinct = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     below = all_tokens + distinct + 1
     heavy = tokens.where((F.col("c") * TOKEN_SHARE >= all_tokens) & (F.length("token") <= LONGEST_HEAVY)).toArrow()  # at most TOKEN_SHARE rows
-    logs = dict(zip(heavy["token"].to_pylist(), np.log10((heavy["c"].to_numpy() + 1) / below).tolist(), strict=True))
-    shared = spark.sparkContext.broadcast((fit_predictors(counts), logs))  # plain values, of bounded size
+    logs = heavy["token"].combine_chunks().cast(pa.large_binary()), np.log10((heavy["c"].to_numpy() + 1) / below)
+    shared = spark.sparkContext.broadcast((fit_predictors(counts), logs))  # arrays of bounded size
     names = SCORED.format("x").replace(",", "").split()[8::2]
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictors, logs = shared.value
         mixer = Mixer(*predictors)
         for batch in _sliced(batches, "text"):
-            found, texts, others = [], [], []
-            for t in batch.column("text").cast(pa.large_binary()):
-                words = words_of(t.as_py())
-                texts.append(b" ".join(words) + END)
-                counted = Counter(words)
-                counted[END] = 1
-                known, base, rare = 0, 0.0, {}
-                for w, n in counted.items():
-                    x = logs.get(w)
-                    if x is None:
-                        rare[w] = n
-                    else:
-                        known += n
-                        base += n * x
-                found.append((len(words) + 1, known, base))
-                others.append(rare)
+            texts = [b" ".join(words_of(t.as_py())) + END for t in batch.column("text").cast(pa.large_binary())]
+            n, known, base, others, times = known_and_others(texts, *logs)
             scores = np.round(-mixer.nats(texts) / np.log(10), 6)
-            columns = [*zip(*found, strict=True), scores, [list(x) for x in others], [list(x.values()) for x in others]]
+            columns = [pa.array(n), pa.array(known), pa.array(base), pa.array(scores), others, times]
             kept = ["doc_id", "held_out", "k1", "k2"]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=kept + names)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, names=kept + names)
 
     scored = stored(rows.mapInArrow(work, SCORED.format(rows.schema["doc_id"].dataType.simpleString())), "lm-scored")
     listed = scored.select("k1", "k2", F.explode(F.arrays_zip("others", "times")).alias("x")).select("k1", "k2", F.col("x.others").alias("token"), F.col("x.times").alias("n"))

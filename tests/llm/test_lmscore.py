@@ -1,6 +1,7 @@
 """Language-model scores: the base by plain counting, the mixer bit by bit in plain Python, and edges."""
 
 import math
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
@@ -222,3 +223,50 @@ def test_a_counting_task_holds_little(monkeypatch):
     finally:
         tracemalloc.stop()
     assert held < 100 * lmscore._FLUSH_KEYS
+
+
+def test_known_tokens_and_others_of_texts():
+    """As counted word by word, with tokens that are heavy, that are not, and texts without words; the end may be either."""
+    texts = [b"the cat the mat the\n", b"\n", b"zebra \xc3\xa9 zebra\n", b"cat\n", b"\n"]
+    for heavy in ({b"the": -1.0, b"cat": -2.5, b"\n": -0.5}, {b"the": -1.0, b"unseen": -9.0}, {}):
+        known_tokens = pa.array(list(heavy), pa.large_binary())
+        n, known, base, others, times = lmscore.known_and_others(texts, known_tokens, np.array(list(heavy.values())))
+        for k, text in enumerate(texts):
+            tokens = [*text.split(), b"\n"]
+            assert (n[k], known[k]) == (len(tokens), sum(t in heavy for t in tokens))
+            assert base[k] == pytest.approx(sum(heavy.get(t, 0.0) for t in tokens))
+            assert dict(zip(others[k].as_py(), times[k].as_py(), strict=True)) == Counter(t for t in tokens if t not in heavy)
+
+
+def test_no_python_step_per_word():
+    """Words are looked up in arrays: ten thousand take as many lines of Python as ten."""
+
+    def lines(n):
+        steps = 0
+
+        def trace(frame, event, arg):
+            nonlocal steps
+            steps += event == "line" and frame.f_code.co_filename == lmscore.__file__
+            return trace
+
+        text = b" ".join(b"w%d" % (k % 997) for k in range(n)) + b"\n"
+        before = sys.gettrace()
+        sys.settrace(trace)
+        try:
+            lmscore.known_and_others([text, text], pa.array([b"w1", b"w2"], pa.large_binary()), np.array([-1.0, -2.0]))
+        finally:
+            sys.settrace(before)
+        return steps
+
+    assert 0 < lines(10) == lines(10_000)
+
+
+def test_one_look_finds_the_odds_of_a_code():
+    """A line and code hold what the table has on the code's path, bit by bit."""
+    tables, codes, more = plain_tables([b"abra cadabra abra\n", b"cad abra\n"])
+    paths = lmscore.Mixer(tables, codes, more).paths.view(np.int8).reshape(len(tables), -1, lmscore.CODES, 8)
+    for table, found in zip(tables, paths, strict=True):
+        lines = table.reshape(-1, lmscore.CODES)
+        for code in range(lmscore.CODES):
+            for bit in range(6):
+                assert (found[:, code, bit] == lines[:, (1 << bit) | (code >> (6 - bit))]).all()
