@@ -355,19 +355,17 @@ class Mixer:
                 off *= rate
                 odds *= off[:, None]
                 w += odds
-                off = np.subtract(bits, refined, out=off)
                 p += refined
                 p *= np.float32(0.5)
+                np.subtract(bits, refined, out=off)
                 shift += np.multiply(off, np.float32(SHIFT_RATE), out=refined)
-                shift_off = off
-                shift_off *= dot
-                shift_off *= np.float32(SLOPE_RATE)
-                slope += shift_off
+                off *= dot
+                off *= np.float32(SLOPE_RATE)
+                slope += off
                 bits -= np.float32(1)
                 p += bits
-                nats = np.log(np.multiply.reduce(np.abs(p, out=p), axis=0, dtype=np.float64))  # of the chance given to the bits that came
-                np.negative(nats, out=nats)
-                rare = np.flatnonzero(code == CODES - 1)
+                nats = -np.log(np.multiply.reduce(np.abs(p, out=p), axis=0, dtype=np.float64))  # of the chance given to the bits that came
+                rare = np.flatnonzero(code == CODES - 1)  # only bytes without a code of their own have more
                 nats[rare] += self.more[byte[rare]]
                 cost[:n] += nats
                 last[:n] = (last[:n] << np.uint32(8)) | byte
