@@ -86,6 +86,14 @@ def test_accuracy_at_quantile(spark):
         assert got == pytest.approx(ok[unc <= np.quantile(unc, float(q))].mean())
 
 
+def test_accuracy_at_quantile_by_group(spark):
+    """Ties at the cut stay in; null, NaN and infinite scores take no part; a null key is a group."""
+    rows = [(0, 1.0, True), (0, 2.0, False), (0, 2.0, True), (0, 9.0, False), (0, None, False), (0, float("inf"), True),
+            (1, float("nan"), True), (None, 3.0, False), (None, 4.0, True)]
+    got = {r["g"]: r["accuracy"] for r in mt.accuracy_at_quantile(spark.createDataFrame(rows, DDL), "0.5", ["g"]).collect()}
+    assert got[0] == pytest.approx(2 / 3) and np.isnan(got[1]) and got[None] == 0.0
+
+
 def _records_read(spark):
     store, gw = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
     stages = store.stageList(None, False, False, gw.new_array(spark._jvm.double, 0), None)
