@@ -1,8 +1,11 @@
+import hashlib
+
 import numpy as np
 import pytest
 from models import aurac, auroc, youden
 from pyspark.sql import functions as F
 
+from doubtscope.functions import mixing
 from doubtscope.operators import metrics as mt
 from doubtscope.operators import resample as rs
 from doubtscope.operators.prefix import dense_index, running_totals
@@ -184,6 +187,24 @@ def test_running_floor_of_long_answers_is_quick(spark):
     assert time.time() - start < 15
 
 
+@pytest.mark.parametrize("prefix", ["0:0:", "7:999:", "-12:3:", "123456789:12:", "a", "-9223372036854775808:1000000:"])
+def test_digests_of_arrays_equal_hashlib(prefix):
+    """Where the number of digits grows, at the ends of a step and across words of the message."""
+    n = mixing.STEP * 4 + 7
+    got = np.concatenate(list(mixing.digest_ints(prefix, n)))
+    assert len(got) == n
+    for i in [*range(1200), *range(9990, 10010), *range(24990, 25010), *range(99990, n)]:
+        assert int(got[i]) == int(hashlib.md5(f"{prefix}{i}".encode()).hexdigest()[:15], 16)
+    for low in (35_975_000, 10**9, 10**12):
+        a, b = mixing._digested(mixing._message(prefix.encode(), low, low + 2), 2)
+        assert a[:1].tobytes() + b[:1].tobytes() == hashlib.md5(f"{prefix}{low}".encode()).digest()[:8]
+
+
+def test_draws_of_arrays_equal_the_column(spark):
+    drawn = [r["row_index"] for r in rs.resample_draws(spark, 300, 2, 5).collect()]
+    assert drawn == [int(x) for b in (0, 1) for x in np.concatenate(list(rs.drawn_rows(300, 5, b)))]
+
+
 def test_split_draws_are_multinomial():
     """Counts per range against the multinomial they must follow: chi-square of the sums, variances and covariances."""
     weights, n, resamples = np.array([5, 0, 40, 1, 20, 9, 25]), 100, 4000
