@@ -82,6 +82,23 @@ def test_draws_are_counted_in_their_task(spark, monkeypatch):
     assert got == sorted(map(str, parts[0].unionByName(parts[1]).collect()))
 
 
+@pytest.mark.parametrize("few,gaps", [(1 << 16, False), (0, False), (1 << 16, True)])
+def test_many_rows_of_few_scores_are_one_block(spark, monkeypatch, few, gaps):
+    """Draws are made once where codes are short, however many pieces the rows are packed in; else once a block."""
+    values = [(0, i, None if i % 7 == 0 else float("nan") if i % 7 == 1 else -0.0 if i % 7 == 2 else float(i % 5), None if i == 11 else i % 3 > 0) for i in range(41)]
+    values = [v for v in values if not gaps or v[1] not in (3, 4, 5, 6, 7, 19)] + [(0, 30, 5.0, True)] * gaps
+    rows = spark.createDataFrame(values, "run_id int, row_index long, unc double, ok boolean")
+    for name, x in (("BLOCK_ROWS", 8), ("PACK_ROWS", 4), ("FEW_CELLS", few), ("PIECE", 16)):
+        monkeypatch.setattr(resample, name, x)
+    dealt, parts = resample._dealt_blocks(rows, 41, 30, 1)
+    assert dealt.select("block").distinct().count() == (1 if few and not gaps else 6) and dealt.select("piece").distinct().count() == (11 if few and not gaps else 2)
+    spread = dealt.filter("block = 0 and piece = 0").groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) == parts and {r["count"] for r in spread} == {1}
+    drawn = resample.resample_draws(spark, 41, 30, 9).join(rows, "row_index").groupBy("resample", "unc", "ok").count().collect()
+    got = resample.drawn_cells(rows, 41, 30, {0: 9}).groupBy("resample", "unc", "ok").agg(F.sum("times")).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(str(tuple(r)) for r in drawn)
+
+
 def test_logits_of_a_token_are_looked_up(spark):
     one = spark.createDataFrame([(5,)], "total bigint").select(fx.cycled(F.col("total"), 101, 40, 4.0, 5.0, 24).alias("v"))
     assert "slice" not in one._jdf.queryExecution().analyzed().toString()  # copies its part of the array
