@@ -10,7 +10,7 @@ from doubtscope.operators.labels import compute_labels
 from doubtscope.operators.prefix import dense_index
 from doubtscope.plans import fixtures as fx
 from doubtscope.plans.registry import query, shown, table
-from doubtscope.session import fresh_path
+from doubtscope.session import fresh_path, remove, stored
 from doubtscope.sources import artifacts as ar
 from doubtscope.sources import sharded as sh
 from doubtscope.sources import shards as sw
@@ -67,23 +67,41 @@ def union_relaxed(spark, sf):
     return sh.union_relaxed(tables)
 
 
+#: Characters of text whose logits lie on disk at a time, unless that takes more than MOST_SHARDS shards of at most SHARD_ROWS documents.
+SHARD_CHARS, SHARD_ROWS, MOST_SHARDS = 1 << 25, 1 << 20, 16
+#: Entries repeat much: zstd takes a third of snappy's room. Numbers of tokens do not: a dictionary of them takes more time and room than they do.
+_COMPACT = sw.NESTED | {"compression": "zstd"} | {f"parquet.enable.dictionary#gen_topk_logits_{i}.list.element.list.element.token_id": "false" for i in (0, 1)}
+
+
+def _scanned_shard(spark, stem, n, i, docs):
+    """(doc_id, scores) of one shard of the logits table: written, scanned and removed."""
+    path = f"{stem}-{i:04d}-of-{n:04d}.parquet"
+    wide = fx.logits_of(docs).select(F.col("row_id").alias("doc_id"), F.col("logits").alias("gen_topk_logits_0"), F.col("logits").alias("gen_topk_logits_1"))
+    try:
+        wide.withColumnRenamed("doc_id", "answer_0").write.options(**_COMPACT).parquet(path)
+        keys = sh.read_sharded(spark, stem, ["answer_0"]).select("row_id", F.col("answer_0").alias("doc_id"))
+        logits = sh.scan_topk_column(spark, stem, 0).select("row_id", "logits")
+        scores = logits.select("row_id", F.transform("logits", tok.token_l2).alias("scores"))
+        # a short row per document of a shard is sent to the tasks, so no score moves
+        return stored(scores.join(F.broadcast(keys), "row_id").select("doc_id", "scores"), "logits-scores", sw.NESTED)
+    finally:
+        remove(spark, path)
+
+
 @query(
     "scan_topk_column",
     f"""WITH {fx.DOC_NORMS_SQL} SELECT doc_id, p AS pos, round(s, 9) AS score FROM norms""",
 )
 def scan_topk_column(spark, sf):
-    path = f"{fresh_path(spark, 'logits')}-0000-of-0001.parquet"
-    wide = fx.doc_logits(spark, sf).select(
-        F.col("row_id").alias("doc_id"), F.col("logits").alias("gen_topk_logits_0"), F.col("logits").alias("gen_topk_logits_1")
-    )
-    wide.withColumnRenamed("doc_id", "answer_0").write.options(**sw.NESTED).parquet(path)
-    stem = path.replace("-0000-of-0001.parquet", "")
-    keys = sh.read_sharded(spark, stem, ["answer_0"]).select("row_id", F.col("answer_0").alias("doc_id"))
-    logits = sh.scan_topk_column(spark, stem, 0).select("row_id", "logits")
-    rows = logits.select("row_id", F.posexplode(F.transform("logits", tok.token_l2)).alias("pos", "score"))
-    return rows.filter("score is not null").join(keys, "row_id").select(
-        "doc_id", F.col("pos").cast("bigint").alias("pos"), shown("score").alias("score")
-    )
+    """The logits take some ten times the room of their documents, so their shards are written, scanned and removed in turn."""
+    stem = fresh_path(spark, "logits")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    n = max(1, min(MOST_SHARDS, -(-size["chars"] // SHARD_CHARS)), -(-size["n"] // SHARD_ROWS))
+    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))
+    scored = sh.union_relaxed([_scanned_shard(spark, stem, n, i, docs.filter(shard == i) if n > 1 else docs) for i in range(n)])
+    rows = scored.select("doc_id", F.posexplode(fx.some("scores")).alias("pos", "score"))
+    return rows.filter("score is not null").select("doc_id", F.col("pos").cast("bigint").alias("pos"), shown("score").alias("score"))
 
 
 def _upper_text(rows):

@@ -250,3 +250,31 @@ def test_embedding_table(spark, root):
         ar.read_embeddings(spark, f"{root}/b")
     with pytest.raises(FileNotFoundError):
         ar.read_embeddings(spark, f"{root}/c")
+
+
+def test_logits_lie_on_disk_a_shard_at_a_time(spark, tmp_path, monkeypatch):
+    """Every shard is written, scanned and removed before the next; ids that repeat or are null, null and empty texts."""
+    from doubtscope.functions import tokens as tok
+    from doubtscope.plans import catalog_sources as cs
+    from doubtscope.plans import fixtures as fx
+
+    rows = [(i if i % 5 else None, " ".join(["w" * (1 + (i + k) % 7) for k in range(i)]) if i % 11 else None) for i in range(40)] + [(7, "a b c"), (7, "a b c"), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    on_disk, written, real = [], [], sh.scan_topk_column
+
+    def scan(spark, path, at):
+        on_disk.append(len({f.rsplit("/", 2)[-2] for f in sh.list_table_files(spark, path)}))
+        found = real(spark, path, at)
+        written.append(found.count())
+        return found
+
+    monkeypatch.setattr(cs.sh, "scan_topk_column", scan)
+    monkeypatch.setattr(cs, "SHARD_CHARS", 100)
+    monkeypatch.setattr(cs, "MOST_SHARDS", 3)
+    kept = []
+    monkeypatch.setattr(cs, "fresh_path", lambda spark, name: kept.append(str(tmp_path / name)) or kept[-1])
+    got = cs.scan_topk_column(spark, str(tmp_path)).collect()
+    assert on_disk == [1, 1, 1] and sum(written) == len(rows) and not list(tmp_path.glob("logits*"))
+    want = fx.doc_logits(spark, str(tmp_path)).select("row_id", F.posexplode(F.transform("logits", tok.token_l2))).filter("col is not null").collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(str((r[0], r[1], round(r[2], 9))) for r in want)
